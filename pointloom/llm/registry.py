@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from pointloom.llm import mixing, topk
 from pointloom.llm.common import read_table
+from pointloom.llm.licenses import license_digest, scan_licenses
 from pointloom.llm.simhash import simhash_components
 
 
@@ -14,8 +17,27 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(read_table(spark, sf_dir, "documents"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_digest(scan_licenses(read_table(spark, sf_dir, "documents")))
+
+
+def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read_table(spark, sf_dir, "documents"))
+
+
+def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings")
+    return topk.top_k(vectors, vectors.where(F.col("vec_id") % 100 == 0))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op3_license_scan": op3_license_scan,
+    "op9_source_mixing": op9_source_mixing,
+    "op10_exact_top_k": op10_exact_top_k,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op9_source_mixing": mixing.ORACLE_SQL,
+    "op10_exact_top_k": topk.ORACLE_SQL,
+}
