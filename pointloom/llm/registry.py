@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointloom.llm import mixing, topk
-from pointloom.llm.common import read_table
+from pointloom.llm import chat, mixing, topk, warc
+from pointloom.llm.common import read_table, scratch_path
 from pointloom.llm.licenses import license_digest, scan_licenses
 from pointloom.llm.simhash import simhash_components
 
@@ -21,6 +21,19 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_digest(scan_licenses(read_table(spark, sf_dir, "documents")))
 
 
+def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = r"\### Assistant: </turn> ok"
+    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn int, role string, text string")
+    rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    return chat.read_back(chat.format_conversations(rows))
+
+
+def op5_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch_path(spark, "archives")
+    warc.write_archives(read_table(spark, sf_dir, "pages"), folder)
+    return warc.read_archives(spark, folder).drop("url")
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_table(spark, sf_dir, "documents"))
 
@@ -33,11 +46,15 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op3_license_scan": op3_license_scan,
+    "op4_chat_formatting": op4_chat_formatting,
+    "op5_warc_archives": op5_warc_archives,
     "op9_source_mixing": op9_source_mixing,
     "op10_exact_top_k": op10_exact_top_k,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_chat_formatting": chat.ORACLE_SQL,
+    "op5_warc_archives": warc.ORACLE_SQL,
     "op9_source_mixing": mixing.ORACLE_SQL,
     "op10_exact_top_k": topk.ORACLE_SQL,
 }
