@@ -86,3 +86,24 @@ def mix64(x: np.ndarray) -> np.ndarray:
         x = x ^ (x >> np.uint64(27))
         x = x * np.uint64(0x94D049BB133111EB)
         return x ^ (x >> np.uint64(31))
+
+
+def sum_vectors(rows: DataFrame, column: str, length: int, kind: str = "<i8", parts: int = 16) -> np.ndarray:
+    """The sum of equally long vectors kept as bytes. Tasks add up what they stream, ``parts`` partial sums reach the driver."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(length, dtype=kind)
+        for batch in batches:
+            for x in batch.column(column):
+                total += np.frombuffer(x.as_buffer(), dtype=kind)
+        yield pa.RecordBatch.from_pydict({column: pa.array([total.tobytes()], pa.binary())})
+
+    total = np.zeros(length, dtype=kind)
+    for r in rows.select(column).repartition(parts).mapInArrow(add, f"`{column}` binary").collect():
+        total += np.frombuffer(bytes(r[0]), dtype=kind)
+    return total
+
+
+def share_hash(*columns: Column) -> Column:
+    """A number from 0 to 1 that depends on the columns only."""
+    return (F.shiftrightunsigned(F.xxhash64(*columns), 11).cast("double") + 0.5) / F.lit(float(2**53))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointloom.llm import chat, mixing, topk, warc
+from pointloom.llm import chat, langid, mixing, packing, quality, topk, warc
 from pointloom.llm.common import read_table, scratch_path
 from pointloom.llm.licenses import license_digest, scan_licenses
 from pointloom.llm.simhash import simhash_components
@@ -17,6 +17,11 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(read_table(spark, sf_dir, "documents"))
 
 
+def op2_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.resample(docs, read_table(spark, sf_dir, "labels")).select("doc_id", "n_grams", "log_weight", "key", "kept")
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_digest(scan_licenses(read_table(spark, sf_dir, "documents")))
 
@@ -34,6 +39,17 @@ def op5_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(spark, folder).drop("url")
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = langid.in_held_out_fold(F.col("doc_id"))
+    model = langid.train(docs.where(~held_out))
+    return langid.identify(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read_table(spark, sf_dir, "documents"))
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_table(spark, sf_dir, "documents"))
 
@@ -45,9 +61,12 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op2_quality_resampling": op2_quality_resampling,
     "op3_license_scan": op3_license_scan,
     "op4_chat_formatting": op4_chat_formatting,
     "op5_warc_archives": op5_warc_archives,
+    "op7_language_id": op7_language_id,
+    "op8_best_fit_packing": op8_best_fit_packing,
     "op9_source_mixing": op9_source_mixing,
     "op10_exact_top_k": op10_exact_top_k,
 }
