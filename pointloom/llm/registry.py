@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointloom.llm import chat, langid, mixing, packing, quality, topk, warc
+from pointloom.llm import chat, langid, mixing, packing, quality, topk, vamana, warc
 from pointloom.llm.common import read_table, scratch_path
 from pointloom.llm.licenses import license_digest, scan_licenses
 from pointloom.llm.simhash import simhash_components
@@ -39,6 +39,10 @@ def op5_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(spark, folder).drop("url")
 
 
+def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vamana.embedding_links(read_table(spark, sf_dir, "embeddings"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = langid.in_held_out_fold(F.col("doc_id"))
@@ -65,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_license_scan": op3_license_scan,
     "op4_chat_formatting": op4_chat_formatting,
     "op5_warc_archives": op5_warc_archives,
+    "op6_embedding_near_dedup": op6_embedding_near_dedup,
     "op7_language_id": op7_language_id,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_source_mixing": op9_source_mixing,
@@ -74,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op4_chat_formatting": chat.ORACLE_SQL,
     "op5_warc_archives": warc.ORACLE_SQL,
+    "op6_embedding_near_dedup": vamana.ORACLE_SQL,
     "op9_source_mixing": mixing.ORACLE_SQL,
     "op10_exact_top_k": topk.ORACLE_SQL,
 }
