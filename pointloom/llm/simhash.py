@@ -240,3 +240,99 @@ def simhash_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     names = members.groupBy("component").agg(F.min("least").alias("component_id"))
     named = materialise(members.join(names, "component").select("fp0", "component_id"), "named-fingerprints")
     return marks.join(named, "fp0").select("doc_id", hex64(F.col("fp0")).alias("fingerprint"), "component_id")
+
+
+def flip_rate(similarity: float) -> float:
+    """The share of fingerprint bits in which sets of this Jaccard similarity (and like size) are expected to differ."""
+    return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
+def _shingle_sets(batches: Iterator[pa.RecordBatch], n: int, keep: list[str]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches, "text"):
+        sets = [np.unique(np.array(shingle_hashes(t, n) if t else [], dtype=np.uint64)).tobytes() for t in utf8(batch.column("text"))]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(sets, pa.binary())], names=[*keep, "shingles"])
+
+
+def jaccard_links(sets: list[np.ndarray], similarity: float, columns: int = 1 << 14) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i, j), i < j, of sets whose Jaccard similarity is at least ``similarity``; empty sets have none."""
+    sizes = np.array([len(s) for s in sets])
+    names, where = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(where, kind="stable")
+    where, owner = where[order], owner[order]
+    both = np.zeros((len(sets), len(sets)))
+    for a in range(0, len(names), columns):  # a stretch of the shingles at a time
+        lo, hi = np.searchsorted(where, (a, a + columns))
+        has = np.zeros((len(sets), columns), dtype=np.float32)
+        has[owner[lo:hi], where[lo:hi] - a] = 1
+        both += has @ has.T
+    least = similarity * (sizes[:, None] + sizes[None, :] - both) - 1e-9
+    i, j = np.nonzero((both >= least) & (both > 0))
+    return i[i < j], j[i < j]
+
+
+def _verify_batches(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """Rows (tile, id, shingles) in the order of their tile; links (a, b) that span what the tile's verified pairs connect."""
+    tile, ids, sets = None, [], []
+
+    def links() -> Iterator[pa.RecordBatch]:
+        if len(ids) > 1:
+            i, j = jaccard_links(sets, similarity)
+            node, root = _local_forest(i, j, len(ids))
+            if len(node):
+                name = np.array(ids, dtype=np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(name[node]), pa.array(name[root])], names=["a", "b"])
+
+    for batch in batches:
+        for t, i, s in zip(batch.column("tile").to_pylist(), batch.column("id").to_pylist(), batch.column("shingles")):
+            if t != tile:
+                yield from links()
+                tile, ids, sets = t, [], []
+            ids.append(i)
+            sets.append(np.frombuffer(s.as_buffer(), dtype=np.uint64).copy())
+    yield from links()
+
+
+def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, shingle_words: int = 5, similarity: float = 0.8, segments: int = 8, width: int = 16, tile: int = 128, most_run: int = 4096, block: int = 300_000) -> DataFrame:
+    """The rows of ``docs`` less near copies: of each group linked by texts of shingle similarity ``similarity`` or more, that of the smallest doc_id stays.
+
+    Equal texts are found by hash first (null counts as the empty text, null doc_id as larger than all) and only distinct texts go on. Their
+    fingerprints of ``segments`` times ``width`` bits are cut into segments, and texts meet where a segment differs by at
+    most one bit. Those within the flips to be expected at the similarity, plus three deviations, form coarse groups. Within these, Jaccard similarity
+    is computed exactly on the shingle sets of whole texts, tile by tile where a group is large. Texts without words
+    are copies only of equal texts. Other columns are kept, whatever their names.
+    """
+    per_word = 64 // width
+    words = -(-segments // per_word)
+    names = [f"fp{k}" for k in range(words)]
+    rate = flip_rate(similarity)
+    distance = int(64 * words * rate + 3 * (64 * words * rate * (1 - rate)) ** 0.5)
+    base = docs.select(F.struct(*docs.columns).alias("row"), F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.monotonically_increasing_id().alias("uid"))
+    base = materialise(base, "dedup-rows")
+    hashed = base.select("uid", "doc_id", "text", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"))
+    marks = fingerprints(hashed, shingle_words=shingle_words, words=words, keep=("uid", "doc_id", "h1", "h2"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "uid")).alias("first")
+    nodes = marks.groupBy("h1", "h2").agg(*(F.first(c).alias(c) for c in names), first).withColumn("id", F.monotonically_increasing_id())
+    nodes = materialise(nodes, "distinct-texts")
+    worded = nodes.where(" or ".join(f"{c} <> 0" for c in names))
+    every = [v for k in range(segments) for v in variants(F.col(names[k // per_word]), width * (k % per_word), width, k)]
+    found = _meet(worded.select(F.explode(F.array(*every)).alias("sig"), "id", *names), names, [], distance, most_run, block)
+    links = found.where("sig is null").select(F.col("id").alias("a"), F.col("to").alias("b"))
+    hot = found.where("sig is not null")
+    if not hot.isEmpty():  # common segments: a second segment has to agree as well
+        more = hot.select(F.explode(F.array(*every)).alias("other"), "sig", "id", *names).where(F.shiftright("sig", width) != F.shiftright("other", width))
+        more = more.select(F.xxhash64("sig", "other").alias("sig"), "id", *names)
+        links = links.union(_meet(more, names, [], distance, 1 << 30, block).where("sig is null").select(F.col("id").alias("a"), F.col("to").alias("b")))
+    coarse = materialise(connected_components(links), "coarse-groups").withColumnRenamed("node", "id")
+    tiles = coarse.groupBy("component").agg(F.ceil(F.count("*") / tile).alias("tiles"))
+    members = nodes.select("id", "first.uid").join(coarse, "id").join(tiles, "component")
+    members = members.join(base.select("uid", "text"), "uid").select("id", "component", "tiles", "text")
+    sets = members.mapInArrow(partial(_shingle_sets, n=shingle_words, keep=["id", "component", "tiles"]), "id bigint, component bigint, tiles bigint, shingles binary")
+    own = F.pmod(F.xxhash64("id"), "tiles")
+    pairs = sets.withColumn("own", own).select("id", "component", "shingles", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("other"))
+    pairs = pairs.select(F.xxhash64("component", F.least("own", "other"), F.greatest("own", "other")).alias("tile"), "id", "shingles")
+    verified = pairs.repartition("tile").sortWithinPartitions("tile").mapInArrow(partial(_verify_batches, similarity=similarity), "a bigint, b bigint")
+    groups = materialise(connected_components(verified), "copy-groups").withColumnRenamed("node", "id")
+    named = nodes.select("id", "first").join(groups, "id", "left")
+    stay = named.groupBy(F.coalesce("component", "id").alias("component")).agg(F.min("first").alias("first")).select("first.uid")
+    return base.join(materialise(stay, "originals"), "uid", "left_semi").select("row.*")
