@@ -47,16 +47,24 @@ def gram_buckets(text: str | None, hashes: TokenHashes, bits: int) -> np.ndarray
     return (np.concatenate((h, pairs)) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def log_ratios(target: np.ndarray, raw: np.ndarray, prior: float = 0.1) -> np.ndarray:
+class Ratios:
     """Log of target over raw probability for each bucket; the target model gets ``prior`` times its size of raw counts.
 
     Without target (or raw) n-grams all ratios are 0.
     """
-    if not target.sum() or not raw.sum():
-        return np.zeros(len(raw))
-    p = (raw + 0.5) / (raw.sum() + 0.5 * len(raw))
-    weight = prior * target.sum()
-    return np.log((target + weight * p) / (target.sum() + weight) / p)
+
+    def __init__(self, target: np.ndarray, raw: np.ndarray, prior: float = 0.1):
+        self.target, self.size, self.prior = target, int(target.sum()), prior
+        self.raw = (raw + 0.5) / (raw.sum() + 0.5 * len(raw)) if raw.sum() else np.full(len(raw), 1 / len(raw))
+        self.all = self._log(target, self.raw, self.size)
+
+    def _log(self, target: np.ndarray, raw: np.ndarray, size: int) -> np.ndarray:
+        return np.log((target + self.prior * size * raw) / ((1 + self.prior) * size) / raw) if size > 0 else np.zeros(len(raw))
+
+    def without(self, grams: np.ndarray) -> np.ndarray:
+        """The ratios of a document's own n-grams as if it were no part of the target, for it to compare with others."""
+        used, at, own = np.unique(grams, return_inverse=True, return_counts=True)
+        return self._log(self.target[used] - own, self.raw[used], self.size - len(grams))[at]
 
 
 def labelled_sample(labels: DataFrame, most_rows: int) -> DataFrame:
@@ -71,7 +79,8 @@ def importance_weights(docs: DataFrame, labels: DataFrame, *, bits: int = 16, la
     """The rows of ``docs`` (doc_id, text and any others) with _quality (sampled label or null), _grams and _weight (mean log ratio, 0 without n-grams).
 
     The raw model counts all documents. The target model counts those with label quality 1 among at most ``label_rows``
-    labelled rows chosen by hash; this sample of ids is all that is broadcast, besides one float for each bucket.
+    labelled rows chosen by hash; this sample of ids is all that is broadcast, besides a few numbers for each bucket. These
+    documents are weighed without their own share of the target, so that they compare with all others.
     """
     size = 1 << bits
     sample = materialise(labelled_sample(labels, label_rows).withColumnRenamed("doc_id", "_labelled"), "label-sample")
@@ -88,14 +97,15 @@ def importance_weights(docs: DataFrame, labels: DataFrame, *, bits: int = 16, la
         yield pa.RecordBatch.from_pydict({"v": pa.array([total.tobytes()], pa.binary())})
 
     total = sum_vectors(docs.select("_quality", "text").mapInArrow(count, "v binary"), "v", 2 * size)
-    shared = docs.sparkSession.sparkContext.broadcast(log_ratios(total[:size], total[size:], prior))
+    shared = docs.sparkSession.sparkContext.broadcast(Ratios(total[:size], total[size:], prior))
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ratio, hashes = shared.value, TokenHashes()
+        ratios, hashes = shared.value, TokenHashes()
         for batch in slices(batches, "text", 4 << 20):
             grams = [gram_buckets(t, hashes, bits) for t in batch.column("text").to_pylist()]
             n = np.array([len(g) for g in grams], dtype=np.int64)
-            total = segment_sums(ratio[np.concatenate(grams)], n)
+            good = batch.column("_quality").to_pylist()
+            total = segment_sums(np.concatenate([ratios.without(g) if q == 1 else ratios.all[g] for g, q in zip(grams, good)]), n)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n), pa.array(total / np.maximum(n, 1))], names=[*batch.schema.names, "_grams", "_weight"])
 
     schema = T.StructType([*docs.schema.fields, T.StructField("_grams", T.LongType()), T.StructField("_weight", T.DoubleType())])
