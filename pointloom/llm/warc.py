@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointloom.llm.common import materialise, slices
+from pointloom.llm.common import materialise, share_hash, slices
 
 DICTIONARY_FRAME = 0x184D2A5D
 ZSTD_MAGIC = b"\x28\xb5\x2f\xfd"
@@ -122,7 +122,8 @@ def read_frames(data: bytes, step: int = 1 << 14) -> Iterator[bytes]:
 def train_dictionary(pages: DataFrame, *, rows: int = 200, size: int = 32 << 10, most_bytes: int = 4 << 20) -> bytes:
     """A dictionary from at most ``rows`` whole pages of moderate length (``most_bytes`` in all), chosen by hash; empty where these are too few."""
     per_page = most_bytes // rows
-    fit = pages.where(F.octet_length("html").between(8, per_page)).orderBy(F.xxhash64("html"), "page_id").limit(rows)
+    share = share_hash(F.lit("dictionary"), "page_id", F.octet_length("html")) < 4.0 * rows / max(1, pages.count())
+    fit = pages.where(share & F.octet_length("html").between(8, per_page)).limit(rows)
     samples = [r.html.encode() for r in fit.select("html").collect()]
     if len(samples) < 20:
         return b""
