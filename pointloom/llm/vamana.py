@@ -192,18 +192,19 @@ def search_range(unit: np.ndarray, graph: np.ndarray, starts: np.ndarray, querie
     rows, cols = np.nonzero(sims >= threshold - slack)
     row, node = rows, ids[rows, cols]
     found = [(row, node)]
+    # the beam forgets nodes that it has seen: what counts from here on is what has been compared for the range
+    seen[:] = False
+    seen[:, -1] = True
+    seen[row, node] = True
     while len(row):
-        nexts = []
-        for a in range(0, len(row), 20_000):
-            r, near = row[a : a + 20_000], graph[node[a : a + 20_000]]
-            r, near = np.repeat(r, near.shape[1]), near.ravel()
-            fresh = ~seen[r, near]
-            pair = np.unique(r[fresh] * len(vectors) + near[fresh])
-            r, near = pair // len(vectors), pair % len(vectors)
-            seen[r, near] = True
-            ok = np.einsum("ij,ij->i", vectors[near], q[r]) >= threshold - slack
-            nexts.append((r[ok], near[ok]))
-        row, node = (np.concatenate(x) for x in zip(*nexts))
+        fresh = np.zeros_like(seen)
+        for a in range(0, len(row), 50_000):
+            fresh[row[a : a + 50_000, None], graph[node[a : a + 50_000]]] = True
+        fresh &= ~seen
+        seen |= fresh
+        row, node = np.nonzero(fresh)
+        ok = np.concatenate([np.einsum("ij,ij->i", vectors[node[a : a + 50_000]], q[row[a : a + 50_000]]) for a in range(0, max(1, len(row)), 50_000)]) >= threshold - slack
+        row, node = row[ok], node[ok]
         found.append((row, node))
     row, node = (np.concatenate(x) for x in zip(*found))
     exact = np.einsum("ij,ij->i", unit[node], queries[row]) >= threshold
