@@ -247,7 +247,10 @@ def fn13(spark, d):
 
 @query("fn12_quaternion_round_trip", POSED + f"SELECT seq, {sql_round(*NAMES9)} FROM rot")
 def fn12(spark, d):
-    return named(posed(spark, d), NAMES9, g.rotation_from_quaternion(g.quaternion_from_rotation(euler().r)), "seq")
+    # one column set for each step: nested, the expressions would be repeated many times over
+    rows = posed(spark, d).select("seq", *(v.alias(n) for n, v in zip(NAMES9, euler().r)))
+    rows = rows.select("seq", *(v.alias(n) for n, v in zip("wxyz", g.quaternion_from_rotation(tuple(F.col(n) for n in NAMES9)))))
+    return named(rows, NAMES9, g.rotation_from_quaternion(tuple(F.col(n) for n in "wxyz")), "seq")
 
 
 @query("fn15_rotation_angle", POSED + f"SELECT seq, round(degrees(acos(greatest(-1, least(1, (r00 + r11 + r22 - 1) / 2)))), 4) + 0.0::DOUBLE AS angle FROM rot")

@@ -21,7 +21,7 @@ LEAST_RANGE_M = 0.1
 
 BLOCK = np.dtype([("flag", "<u2"), ("azimuth", "<u2"), ("channels", [("distance", "<u2"), ("intensity", "u1")], 32)])
 RETURNS = "packet_id bigint, block int, seq int, channel int, azimuth_deg double, distance_m double, intensity double, timestamp_us double, x double, y double, z double"
-HEADER = struct.Struct(">dH")
+HEADER, HEADER_BYTES = ">dH", 10
 
 
 def elevation(channel: np.ndarray) -> np.ndarray:
@@ -87,12 +87,12 @@ def polar_to_xyz(df: DataFrame, distance: str = "distance_m", azimuth: str = "az
 def split_records(content: bytes) -> Iterator[tuple[float, bytes]]:
     """(time, payload) of a recording; a record that is cut short ends it."""
     at = 0
-    while at + HEADER.size <= len(content):
-        t, n = HEADER.unpack_from(content, at)
-        if at + HEADER.size + n > len(content):
+    while at + HEADER_BYTES <= len(content):
+        t, n = struct.unpack_from(HEADER, content, at)
+        if at + HEADER_BYTES + n > len(content):
             return
-        yield t, content[at + HEADER.size : at + HEADER.size + n]
-        at += HEADER.size + n
+        yield t, content[at + HEADER_BYTES : at + HEADER_BYTES + n]
+        at += HEADER_BYTES + n
 
 
 def read_recordings(spark: SparkSession, path: str) -> DataFrame:
@@ -120,7 +120,7 @@ def recording_bytes(packets: DataFrame, by: tuple[str, ...] = (), order: str = "
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 p = batch.slice(at, 1024)
-                content = b"".join(HEADER.pack(t, len(b)) + b for t, b in zip(p.column("ts").to_pylist(), p.column("payload").to_pylist()))
+                content = b"".join(struct.pack(HEADER, t, len(b)) + b for t, b in zip(p.column("ts").to_pylist(), p.column("payload").to_pylist()))
                 yield pa.RecordBatch.from_pylist([{"first": p.column("first")[0].as_py(), "content": content}])
 
     return packets.select(F.col(order).alias("first"), "ts", "payload").repartitionByRange("first").sortWithinPartitions("first").mapInArrow(pack, "first bigint, content binary")
