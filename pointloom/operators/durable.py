@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Tables written by this process: application, a weak reference to the table's file index in the JVM, its path.
+_written: list[tuple[str, object, str]] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share, taken from ``spark.checkpoint.dir``.
@@ -24,8 +28,36 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/pointloom/{name}-{uuid.uuid4().hex}"
 
 
+def remove_unused(spark: SparkSession) -> None:
+    """Delete the written tables that no DataFrame refers to any more.
+
+    As with Spark's own checkpoints, a table lives as long as some plan reads it: every plan over it holds its file index,
+    so the weak reference is empty only when the last of them has been collected.
+    """
+    app = spark.sparkContext.applicationId
+    kept = []
+    for owner, reference, path in _written:
+        if owner != app:
+            continue
+        if reference.get() is not None:
+            kept.append((owner, reference, path))
+            continue
+        with contextlib.suppress(Exception):  # what can't be deleted now only takes space
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    _written[:] = kept
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends here and lost executors cost no recomputation."""
-    path = scratch_path(df.sparkSession, name)
+    """Write ``df`` to the shared folder and read it back: lineage ends here and lost executors cost no recomputation.
+
+    The files go when no DataFrame reads them any more, at the next call after that.
+    """
+    spark = df.sparkSession
+    remove_unused(spark)
+    path = scratch_path(spark, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    index = out._jdf.queryExecution().analyzed().relation().location()
+    _written.append((spark.sparkContext.applicationId, spark._jvm.java.lang.ref.WeakReference(index), path))
+    return out
