@@ -1,9 +1,7 @@
-"""Shared helpers: durable intermediate tables, Arrow text access and array arithmetic."""
+"""Shared helpers: row selection by id, Arrow text access and array arithmetic."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,30 +10,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-WORD = r"[^\x20\x09-\x0D]+"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share, taken from ``spark.checkpoint.dir``.
-
-    Only where the session leaves it unset (tests, local runs) a temporary folder is made and recorded in the session.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="pointloom-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/pointloom/{name}-{uuid.uuid4().hex}"
+from pointloom.operators.durable import materialise, scratch_path, shared_dir  # noqa: F401
 
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends here and lost executors cost no recomputation."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -107,3 +84,21 @@ def sum_vectors(rows: DataFrame, column: str, length: int, kind: str = "<i8", pa
 def share_hash(*columns: Column) -> Column:
     """A number from 0 to 1 that depends on the columns only."""
     return (F.shiftrightunsigned(F.xxhash64(*columns), 11).cast("double") + 0.5) / F.lit(float(2**53))
+
+
+def rows_with(rows: DataFrame, chosen: DataFrame, column: str = "uid", times: int = 1) -> DataFrame:
+    """The rows whose ``column`` (a dense long, as of monotonically_increasing_id) is in ``chosen``, without moving them for it.
+
+    The ids are packed into the bits of longs first, dozens to a row, so that the side to join is small: Spark broadcasts
+    it as long as its size allows and merges beyond. ``chosen`` has each id once. With ``times`` it also has a column
+    copies, from 1 to ``times``, which the result gets.
+    """
+    width = times.bit_length()
+    per = 63 // width
+    at = F.floor(F.col(column) / F.lit(per)).cast("long")
+    copies = F.col("copies").cast("long") if times > 1 else F.lit(1).cast("long")
+    packed = chosen.select(at.alias("_word"), F.call_function("shiftleft", copies, (F.col(column) % per * width).cast("int")).alias("_bits"))
+    packed = materialise(packed.groupBy("_word").agg(F.bit_or("_bits").alias("_bits")), "packed-ids")
+    digit = F.call_function("shiftright", F.col("_bits"), (F.col(column) % per * width).cast("int")).bitwiseAND(F.lit((1 << width) - 1))
+    found = rows.withColumn("_word", at).join(packed, "_word").withColumn("copies", digit).where("copies > 0").drop("_word", "_bits")
+    return found if times > 1 else found.drop("copies")

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pointloom.llm.common import materialise, mix64, segment_sums, slices, utf8
+from pointloom.llm.common import materialise, mix64, rows_with, segment_sums, slices, utf8
 from pointloom.llm.components import connected_components
 
 SEED = 42
@@ -325,8 +325,9 @@ def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
         links = links.union(_meet(more, names, [], distance, 1 << 30, block).where("sig is null").select(F.col("id").alias("a"), F.col("to").alias("b")))
     coarse = materialise(connected_components(links), "coarse-groups").withColumnRenamed("node", "id")
     tiles = coarse.groupBy("component").agg(F.ceil(F.count("*") / tile).alias("tiles"))
-    members = nodes.select("id", "first.uid").join(coarse, "id").join(tiles, "component")
-    members = members.join(base.select("uid", "text"), "uid").select("id", "component", "tiles", "text")
+    members = materialise(nodes.select("id", "first.uid").join(coarse, "id").join(tiles, "component"), "group-members")
+    texts = rows_with(base.select("uid", "text"), members.select("uid"))
+    members = texts.hint("merge").join(members, "uid").select("id", "component", "tiles", "text")
     sets = members.mapInArrow(partial(_shingle_sets, n=shingle_words, keep=["id", "component", "tiles"]), "id bigint, component bigint, tiles bigint, shingles binary")
     own = F.pmod(F.xxhash64("id"), "tiles")
     pairs = sets.withColumn("own", own).select("id", "component", "shingles", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("other"))
@@ -335,4 +336,4 @@ def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     groups = materialise(connected_components(verified), "copy-groups").withColumnRenamed("node", "id")
     named = nodes.select("id", "first").join(groups, "id", "left")
     stay = named.groupBy(F.coalesce("component", "id").alias("component")).agg(F.min("first").alias("first")).select("first.uid")
-    return base.join(materialise(stay, "originals"), "uid", "left_semi").select("row.*")
+    return rows_with(base, stay).select("row.*")
