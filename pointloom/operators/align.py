@@ -144,8 +144,22 @@ def lookup_pixels(points: DataFrame, pixels: DataFrame, width: int, height: int,
     return hit.groupBy(*keys).agg(*(F.sum(F.col("_w") * F.col(c)).cast("int").alias(c) for c in channels))
 
 
-def correct_poses(dense: DataFrame, keyframes: DataFrame, idx: str = "idx") -> DataFrame:
+def correct_poses(dense: DataFrame, keyframes: DataFrame, idx: str = "idx", bucket: float = 100_000) -> DataFrame:
     """Dense rows with the last keyframe row at or before their index (columns key_*); rows before the first take the first."""
-    both = _neighbours(dense, keyframes, (), idx, None, True)
+    both = _neighbours(dense, keyframes, (), idx, bucket, True)
     pick = F.coalesce("_before", "_after")
     return both.withColumn("_key", pick).select(*dense.columns, *(F.col(f"_key.{c}").alias(f"key_{c}") for c in keyframes.columns))
+
+
+def visual_candidates(descriptors: DataFrame, bits: tuple[str, ...], recent: int = 3, least: int = 20, ratio: float = 0.75) -> DataFrame:
+    """Rows (query, match, n): earlier frames, not among the last ``recent``, that share ``least`` ratio-tested matches with a frame.
+
+    ``descriptors`` has (frame, id, bits). Every frame is a query against those before it, a stated set of comparisons.
+    """
+    frames = descriptors.select("frame").distinct()
+    pairs = frames.select(F.col("frame").alias("query_frame")).join(frames.select(F.col("frame").alias("match_frame")), F.col("match_frame") <= F.col("query_frame") - recent)
+    a = descriptors.withColumnRenamed("frame", "query_frame").join(pairs, "query_frame")
+    b = descriptors.withColumnRenamed("frame", "match_frame").join(pairs, "match_frame")
+    found = descriptor_matches(a, b, bits, ratio, ("query_frame", "match_frame"))
+    counts = found.groupBy(F.col("query_frame").alias("query"), F.col("match_frame").alias("match")).agg(F.count("*").alias("n"))
+    return counts.where(F.col("n") >= least)

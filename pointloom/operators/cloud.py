@@ -188,3 +188,10 @@ def colour_by(cloud: DataFrame, column: str, by: str = "scan_id") -> DataFrame:
     t = F.when(F.col("hi") > F.col("lo"), (F.col(column) - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(0.5)
     r, g, b = jet(F.col("t"))
     return cloud.join(span, by).withColumn("t", t).withColumns({"r": r, "g": g, "b": b}).drop("lo", "hi", "t")
+
+
+def nearest_within(points: DataFrame, targets: DataFrame, radius: float, key: str = "point_id", by: tuple[str, ...] = ()) -> DataFrame:
+    """Rows (by, key, other, distance): each point's nearest target (other, tx, ty, tz) within the radius, ties to the smaller other; none without one."""
+    near = _within(points.select(*by, key, "x", "y", "z"), targets, radius, by)
+    best = near.groupBy(*by, key).agg(F.min(F.struct("d2", "other")).alias("m"))
+    return best.select(*by, key, "m.other", F.sqrt("m.d2").alias("distance"))

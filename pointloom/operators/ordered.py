@@ -104,3 +104,11 @@ def rotation_report(rows: DataFrame, by: tuple[str, ...], order: tuple[str, ...]
     )
     off = lambda c: F.abs(F.col(c) - expected) <= tolerance
     return out.withColumn("passed", F.coalesce(off("slope"), F.lit(False)) | F.coalesce(off("gyro_rate"), F.lit(False)))
+
+
+def accumulate_world(cloud: DataFrame, attitudes: DataFrame, scan: str = "scan_id", q: tuple[str, str, str, str] = ("qw", "qx", "qy", "qz")) -> DataFrame:
+    """Points with wx, wy, wz: turned by their scan's quaternion; scans without one go."""
+    r = rotation_from_quaternion(tuple(F.col(c) for c in q))
+    world = [r[3 * i] * F.col("x") + r[3 * i + 1] * F.col("y") + r[3 * i + 2] * F.col("z") for i in range(3)]
+    turned = cloud.join(attitudes.where(F.col(q[0]).isNotNull()).select(scan, *q), scan)
+    return turned.withColumns(dict(zip(("wx", "wy", "wz"), world))).drop(*q)

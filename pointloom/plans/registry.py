@@ -2,48 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pointloom.functions import geometry as g
 from pointloom.operators import align, cloud as clouds, fit, folds, ordered
 from pointloom.plans import bridge
+from pointloom.plans.base import ORACLE_SQL, QUERIES, query, r6, rounded, sql_round  # noqa: F401
 from pointloom.sources import packets, serial
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
-
 CAMERA = g.Intrinsics(500.0, 500.0, 320.0, 240.0, 640, 480, (0.1, -0.05, 0.001, -0.002, 0.01))
 
 
-def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    """Register a query, with its SQL where that can express it."""
-
-    def add(f: Query) -> Query:
-        QUERIES[name] = f
-        if sql is not None:
-            ORACLE_SQL[name] = sql
-        return f
-
-    return add
-
-
-def r6(c: Column | str) -> Column:
-    """Six decimals, and no negative zero, for comparison across engines."""
-    return F.round(c, 6) + F.lit(0.0)
-
-
-def rounded(df: DataFrame, *names: str) -> DataFrame:
-    return df.withColumns({n: r6(n) for n in names})
-
-
-def sql_round(*names: str) -> str:
-    return ", ".join(f"round({n.split(' AS ')[0]}, 6) + 0.0::DOUBLE AS {n.split(' AS ')[-1].split('.')[-1]}" for n in names)
-
-
 XYZ = sql_round("x", "y", "z")
 C, I, T, R, D = (f"WITH {x} " for x in (bridge.CLOUD, bridge.IMU, bridge.TRAJECTORY, bridge.RETURNS, bridge.DESCRIPTORS))
 OUT = ("point_id", "scan_id", "intensity")
@@ -356,8 +326,6 @@ def join04(spark, d):
   SELECT a.sensor_id, a.idx AS query, b.idx AS match, round(sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z)), 6) AS distance FROM k a JOIN k b ON a.sensor_id = b.sensor_id AND a.idx - b.idx >= 10
   AND sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z)) <= 0.8""")
 def join06(spark, d):
-    from pyspark.sql import Window
-
     w = Window.partitionBy("sensor_id").orderBy("t", "seq")
     poses = bridge.trajectory(spark, d).withColumn("idx", F.row_number().over(w).cast("long"))
     return rounded(align.loop_candidates(poses, 0.8, 10, ("sensor_id",)), "distance")
@@ -461,8 +429,6 @@ def snk10(spark, d):
 
 def graph(spark, d):
     """Poses and factors of the first sensors' paths: steps between consecutive poses, each a little off."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy("sensor_id").orderBy("t", "seq")
     rows = bridge.trajectory(spark, d)
     poses = rows.select(F.col("seq").alias("id"), "x", "y", "z", "yaw")
@@ -495,3 +461,6 @@ def fit03(spark, d):
 def flagship(spark, d):
     out = ordered.rotation_report(bridge.imu(spark, d), ("sensor_id",), ("t", "seq"))
     return rounded(out, "gyro_rate", "elapsed", "total_turn").withColumn("slope", F.round("slope", 4) + F.lit(0.0)).drop("passed")
+
+
+from pointloom.plans import more_queries  # noqa: E402, F401  registers its own
