@@ -117,10 +117,30 @@ def _link_runs(sig: np.ndarray, fps: np.ndarray, distance: int) -> tuple[np.ndar
     return (np.concatenate(left), np.concatenate(right)) if held else (np.empty(0, np.int64),) * 2
 
 
-def _link_batches(batches: Iterator[pa.RecordBatch], fps: int, most_run: int, distance: int, block: int) -> Iterator[pa.RecordBatch]:
+def _run_forest(fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (node, root) of a spanning star forest of one run, over all its pairs within ``distance`` bits.
+
+    Breadth first: a row is compared with all that are not reached yet, so a run of near copies costs little more than its rows.
+    """
+    left, rest, nodes, roots = np.arange(len(fps)), fps, [], []
+    while len(left) > 1:
+        root, open_rows = int(left[0]), [fps[left[0]]]
+        left, rest = left[1:], rest[1:]
+        while open_rows and len(left):
+            near = np.bitwise_count(rest ^ open_rows.pop()).sum(axis=1) <= distance
+            if near.any():
+                nodes.append(left[near])
+                roots.append(np.full(len(nodes[-1]), root))
+                open_rows.extend(rest[near])
+                left, rest = left[~near], rest[~near]
+    return (np.concatenate(nodes), np.concatenate(roots)) if nodes else (np.empty(0, np.int64),) * 2
+
+
+def _link_batches(batches: Iterator[pa.RecordBatch], fps: int, most_run: int, distance: int, block: int, tiled: bool) -> Iterator[pa.RecordBatch]:
     """Rows (sig, id, fingerprint words, carried words) in, in the order of sig.
 
     Out: rows (a, b) of links with a null sig, and the rows of runs longer than ``most_run`` as they came, to be refined.
+    Runs that are ``tiled`` already are all linked here.
     Memory holds about ``block`` rows; an overlong run streams through.
     """
     names: list[str] = []
@@ -135,6 +155,14 @@ def _link_batches(batches: Iterator[pa.RecordBatch], fps: int, most_run: int, di
         sig = x[:, 0]
         first = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
         size = np.diff(np.append(first, len(sig)))
+        if tiled:
+            words = np.ascontiguousarray(x[:, 2 : 2 + fps]).view(np.uint64)
+            for a, n in zip(first.tolist(), size.tolist()):
+                node, root = _run_forest(words[a : a + n], distance)
+                if len(node):
+                    null = pa.nulls(len(node), pa.int64())
+                    yield table(null, pa.array(x[a + node, 1]), pa.array(x[a + root, 1]), [null] * (len(names) - 2))
+            return
         if (long := np.repeat(size > most_run, size)).any():
             yield overlong(x[long])
         x = x[np.repeat((size > 1) & (size <= most_run), size)]
@@ -166,7 +194,7 @@ def _link_batches(batches: Iterator[pa.RecordBatch], fps: int, most_run: int, di
             continue
         x = np.concatenate(parts)
         cut = int(np.searchsorted(x[:, 0], x[-1, 0], side="left"))
-        if len(x) - cut > most_run:
+        if len(x) - cut > most_run and not tiled:
             streaming, cut = int(x[-1, 0]), len(x)
         if cut:
             yield from emit(x[:cut])
@@ -181,11 +209,11 @@ def variants(value: Column, start: int, width: int, tag: int) -> list[Column]:
     return [segment.bitwiseAND(F.lit(((1 << width) - 1) ^ (1 << p))) + F.lit((tag * width + p) << width) for p in range(width)]
 
 
-def _meet(rows: DataFrame, words: list[str], carried: list[str], distance: int, most_run: int, block: int) -> DataFrame:
+def _meet(rows: DataFrame, words: list[str], carried: list[str], distance: int, most_run: int, block: int, tiled: bool = False) -> DataFrame:
     """Bring equal signatures together; the links and overlong runs, written down."""
     rows = rows.select("sig", "id", *words, *carried).repartition("sig").sortWithinPartitions("sig")
     schema = ", ".join(["sig bigint, id bigint, to bigint", *(f"{c} bigint" for c in (*words, *carried))])
-    found = rows.mapInArrow(partial(_link_batches, fps=len(words), most_run=most_run, distance=distance, block=block), schema)
+    found = rows.mapInArrow(partial(_link_batches, fps=len(words), most_run=most_run, distance=distance, block=block, tiled=tiled), schema)
     return materialise(found, "simhash-links")
 
 
@@ -293,12 +321,19 @@ def _verify_batches(batches: Iterator[pa.RecordBatch], similarity: float) -> Ite
     yield from links()
 
 
+def _tile_pairs(rows: DataFrame, group: str) -> DataFrame:
+    """Rows dealt by ``id`` over the ``tiles`` of their group: each once for every pair of tiles with its own, which is named in ``pair``."""
+    own = F.pmod(F.xxhash64("id"), "tiles")
+    pairs = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
+    return pairs.withColumn("pair", F.xxhash64(group, F.least("own", "other"), F.greatest("own", "other")))
+
+
 def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, shingle_words: int = 5, similarity: float = 0.8, segments: int = 8, width: int = 16, tile: int = 128, most_run: int = 4096, block: int = 300_000) -> DataFrame:
     """The rows of ``docs`` less near copies: of each group linked by texts of shingle similarity ``similarity`` or more, that of the smallest doc_id stays.
 
     Equal texts are found by hash first (null counts as the empty text, null doc_id as larger than all) and only distinct texts go on. Their
     fingerprints of ``segments`` times ``width`` bits are cut into segments, and texts meet where a segment differs by at
-    most one bit. Those within the flips to be expected at the similarity, plus three deviations, form coarse groups. Within these, Jaccard similarity
+    most one bit; runs of over ``most_run`` texts meet in pairs of tiles, so that all their pairs are compared too. Those within the flips to be expected at the similarity, plus three deviations, form coarse groups. Within these, Jaccard similarity
     is computed exactly on the shingle sets of whole texts, tile by tile where a group is large. Texts without words
     are copies only of equal texts. Other columns are kept, whatever their names.
     """
@@ -319,19 +354,17 @@ def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     found = _meet(worded.select(F.explode(F.array(*every)).alias("sig"), "id", *names), names, [], distance, most_run, block)
     links = found.where("sig is null").select(F.col("id").alias("a"), F.col("to").alias("b"))
     hot = found.where("sig is not null")
-    if not hot.isEmpty():  # common segments: a second segment has to agree as well
-        more = hot.select(F.explode(F.array(*every)).alias("other"), "sig", "id", *names).where(F.shiftright("sig", width) != F.shiftright("other", width))
-        more = more.select(F.xxhash64("sig", "other").alias("sig"), "id", *names)
-        links = links.union(_meet(more, names, [], distance, 1 << 30, block).where("sig is null").select(F.col("id").alias("a"), F.col("to").alias("b")))
+    if not hot.isEmpty():  # common segments: tiles of half a run meet pairwise
+        counts = materialise(hot.groupBy("sig").agg(F.ceil(F.count("*") * 2 / most_run).alias("tiles")), "hot-runs")
+        more = _tile_pairs(hot.join(counts, "sig"), "sig").select(F.col("pair").alias("sig"), "id", *names)
+        links = links.union(_meet(more, names, [], distance, most_run, block, tiled=True).where("sig is null").select(F.col("id").alias("a"), F.col("to").alias("b")))
     coarse = materialise(connected_components(links), "coarse-groups").withColumnRenamed("node", "id")
     tiles = coarse.groupBy("component").agg(F.ceil(F.count("*") / tile).alias("tiles"))
     members = materialise(nodes.select("id", "first.uid").join(coarse, "id").join(tiles, "component"), "group-members")
     texts = rows_with(base.select("uid", "text"), members.select("uid"))
     members = texts.hint("merge").join(members, "uid").select("id", "component", "tiles", "text")
     sets = members.mapInArrow(partial(_shingle_sets, n=shingle_words, keep=["id", "component", "tiles"]), "id bigint, component bigint, tiles bigint, shingles binary")
-    own = F.pmod(F.xxhash64("id"), "tiles")
-    pairs = sets.withColumn("own", own).select("id", "component", "shingles", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("other"))
-    pairs = pairs.select(F.xxhash64("component", F.least("own", "other"), F.greatest("own", "other")).alias("tile"), "id", "shingles")
+    pairs = _tile_pairs(sets, "component").select(F.col("pair").alias("tile"), "id", "shingles")
     verified = pairs.repartition("tile").sortWithinPartitions("tile").mapInArrow(partial(_verify_batches, similarity=similarity), "a bigint, b bigint")
     groups = materialise(connected_components(verified), "copy-groups").withColumnRenamed("node", "id")
     named = nodes.select("id", "first").join(groups, "id", "left")
