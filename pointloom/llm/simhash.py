@@ -52,16 +52,21 @@ def majority_bits(hashes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.packbits(over, axis=1, bitorder="little").copy().view(np.uint64).ravel()
 
 
+def _fingerprint_words(hashes: np.ndarray, lengths: np.ndarray, words: int) -> list[pa.Array]:
+    arrays = []
+    for k in range(words):
+        with np.errstate(over="ignore"):
+            own = hashes if k == 0 else mix64(hashes + np.uint64(k * 0x9E3779B97F4A7C15 & (2**64 - 1)))
+        arrays.append(pa.array(majority_bits(own, lengths).view(np.int64)))
+    return arrays
+
+
 def _fingerprint_batches(batches: Iterator[pa.RecordBatch], column: str, n: int, words: int, keep: list[str]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, column, 2 << 20):
         runs = [shingle_hashes(t, n) if t else [] for t in utf8(batch.column(column))]
         lengths = np.fromiter(map(len, runs), np.int64, len(runs))
         hashes = np.fromiter((h for run in runs for h in run), np.uint64, int(lengths.sum()))
-        arrays = []
-        for k in range(words):
-            with np.errstate(over="ignore"):
-                own = hashes if k == 0 else mix64(hashes + np.uint64(k * 0x9E3779B97F4A7C15 & (2**64 - 1)))
-            arrays.append(pa.array(majority_bits(own, lengths).view(np.int64)))
+        arrays = _fingerprint_words(hashes, lengths, words)
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *arrays], names=[*keep, *(f"fp{k}" for k in range(words))])
 
 
@@ -281,6 +286,37 @@ def _shingle_sets(batches: Iterator[pa.RecordBatch], n: int, keep: list[str]) ->
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(sets, pa.binary())], names=[*keep, "shingles"])
 
 
+def _set_marks(batches: Iterator[pa.RecordBatch], n: int, words: int, most: int, keep: list[str]) -> Iterator[pa.RecordBatch]:
+    """Of every text's set of shingles: its fingerprint, its size, its hashes s1 and s2, and the set itself if it has at most ``most`` shingles."""
+    for batch in slices(batches, "text", 2 << 20):
+        sets = [np.unique(np.array(shingle_hashes(t, n) if t else [], dtype=np.uint64)) for t in utf8(batch.column("text"))]
+        lengths = np.array([len(s) for s in sets], dtype=np.int64)
+        raw = [s.tobytes() for s in sets]
+        marks = [np.array([xxhash.xxh64_intdigest(b, k) for b in raw], dtype=np.uint64).view(np.int64) for k in (1, 2)]
+        few = [s.view(np.int64) if len(s) <= most else None for s in sets]
+        arrays = [*_fingerprint_words(np.concatenate(sets), lengths, words), pa.array(lengths), *map(pa.array, marks), pa.array(few, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *arrays], names=[*keep, *(f"fp{k}" for k in range(words)), "size", "s1", "s2", "few"])
+
+
+def _few_links(texts: DataFrame, similarity: float, tile: int) -> DataFrame:
+    """Links (a, b) that connect what all pairs of similar sets connect, of rows (id, few) with distinct sets.
+
+    Two sets of this similarity share one of their first n - ceil(similarity * n) + 1 shingles in any common order, n being
+    the size of each. Shingles of many sets come last in the order, so that few sets meet in them; those that do meet in tiles.
+    """
+    every = materialise(texts.select("id", F.explode("few").alias("shingle")), "few-shingles")
+    common = materialise(every.groupBy("shingle").agg(F.count("*").alias("sets")).where(F.col("sets") > tile), "common-shingles")
+    ranked = every.join(common, "shingle", "left").groupBy("id").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("sets", F.lit(0)).alias("sets"), "shingle"))).alias("ranked"))
+    n = F.size("ranked")
+    first = F.slice("ranked", F.lit(1), (n - F.ceil(n * F.lit(similarity) - F.lit(1e-9)) + 1).cast("int"))
+    rows = ranked.select("id", F.explode(F.transform(first, lambda x: x["shingle"])).alias("shingle"), F.col("ranked.shingle").alias("few"))
+    rows = materialise(rows, "few-prefixes")
+    counts = materialise(rows.groupBy("shingle").agg(F.count("*").alias("sets")).where("sets > 1").select("shingle", F.ceil(F.col("sets") * 2 / tile).alias("tiles")), "few-runs")
+    pairs = _tile_pairs(rows.join(counts, "shingle"), "shingle").select(F.col("pair").alias("tile"), "id", "few")
+    pack = partial(_verify_batches, similarity=similarity)
+    return materialise(pairs.repartition("tile").sortWithinPartitions("tile").mapInArrow(pack, "a bigint, b bigint"), "few-links")
+
+
 def jaccard_links(sets: list[np.ndarray], similarity: float, columns: int = 1 << 14) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (i, j), i < j, of sets whose Jaccard similarity is at least ``similarity``; empty sets have none."""
     sizes = np.array([len(s) for s in sets])
@@ -300,9 +336,12 @@ def jaccard_links(sets: list[np.ndarray], similarity: float, columns: int = 1 <<
 
 
 def _verify_batches(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
-    """Rows (tile, id, shingles) in the order of their tile; links (a, b) that span what the tile's verified pairs connect."""
+    """Rows (tile, id, set of shingles) in the order of their tile; links (a, b) that span what the tile's verified pairs connect."""
     tile, ids, sets = None, [], []
 
+    def as_set(x: pa.Scalar) -> np.ndarray:
+        return np.frombuffer(x.as_buffer(), dtype=np.uint64).copy() if pa.types.is_binary(x.type) else x.values.to_numpy(zero_copy_only=False).view(np.uint64)
+
     def links() -> Iterator[pa.RecordBatch]:
         if len(ids) > 1:
             i, j = jaccard_links(sets, similarity)
@@ -312,12 +351,12 @@ def _verify_batches(batches: Iterator[pa.RecordBatch], similarity: float) -> Ite
                 yield pa.RecordBatch.from_arrays([pa.array(name[node]), pa.array(name[root])], names=["a", "b"])
 
     for batch in batches:
-        for t, i, s in zip(batch.column("tile").to_pylist(), batch.column("id").to_pylist(), batch.column("shingles")):
+        for t, i, s in zip(batch.column("tile").to_pylist(), batch.column("id").to_pylist(), batch.column(2)):
             if t != tile:
                 yield from links()
                 tile, ids, sets = t, [], []
             ids.append(i)
-            sets.append(np.frombuffer(s.as_buffer(), dtype=np.uint64).copy())
+            sets.append(as_set(s))
     yield from links()
 
 
@@ -328,11 +367,12 @@ def _tile_pairs(rows: DataFrame, group: str) -> DataFrame:
     return pairs.withColumn("pair", F.xxhash64(group, F.least("own", "other"), F.greatest("own", "other")))
 
 
-def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, shingle_words: int = 5, similarity: float = 0.8, segments: int = 8, width: int = 16, tile: int = 128, most_run: int = 4096, block: int = 300_000) -> DataFrame:
+def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, shingle_words: int = 5, similarity: float = 0.8, segments: int = 8, width: int = 16, tile: int = 128, most_run: int = 4096, block: int = 300_000, few: int = 32) -> DataFrame:
     """The rows of ``docs`` less near copies: of each group linked by texts of shingle similarity ``similarity`` or more, that of the smallest doc_id stays.
 
-    Equal texts are found by hash first (null counts as the empty text, null doc_id as larger than all) and only distinct texts go on. Their
-    fingerprints of ``segments`` times ``width`` bits are cut into segments, and texts meet where a segment differs by at
+    Equal texts are found by hash first (null counts as the empty text, null doc_id as larger than all) and only distinct texts go on. Texts of equal
+    shingle sets are linked by hash, and one of each goes on. Similar sets of which one has at most ``few`` shingles are found exactly by a prefix filter. The
+    fingerprints of larger sets (each shingle once), of ``segments`` times ``width`` bits are cut into segments, and texts meet where a segment differs by at
     most one bit; runs of over ``most_run`` texts meet in pairs of tiles, so that all their pairs are compared too. Those within the flips to be expected at the similarity, plus three deviations, form coarse groups. Within these, Jaccard similarity
     is computed exactly on the shingle sets of whole texts, tile by tile where a group is large. Texts without words
     are copies only of equal texts. Other columns are kept, whatever their names.
@@ -345,11 +385,18 @@ def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     base = docs.select(F.struct(*docs.columns).alias("row"), F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.monotonically_increasing_id().alias("uid"))
     base = materialise(base, "dedup-rows")
     hashed = base.select("uid", "doc_id", "text", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"))
-    marks = fingerprints(hashed, shingle_words=shingle_words, words=words, keep=("uid", "doc_id", "h1", "h2"))
+    keep = ["uid", "doc_id", "h1", "h2"]
+    schema = ", ".join([*(f"{c} {hashed.schema[c].dataType.simpleString()}" for c in keep), *(f"{c} bigint" for c in (*names, "size", "s1", "s2")), "few array<bigint>"])
+    most = int(few / similarity + 1e-9)
+    marks = hashed.select(*keep, "text").mapInArrow(partial(_set_marks, n=shingle_words, words=words, most=most, keep=keep), schema)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "uid")).alias("first")
-    nodes = marks.groupBy("h1", "h2").agg(*(F.first(c).alias(c) for c in names), first).withColumn("id", F.monotonically_increasing_id())
+    nodes = marks.groupBy("h1", "h2").agg(*(F.first(c).alias(c) for c in (*names, "size", "s1", "s2", "few")), first).withColumn("id", F.monotonically_increasing_id())
     nodes = materialise(nodes, "distinct-texts")
-    worded = nodes.where(" or ".join(f"{c} <> 0" for c in names))
+    alike = nodes.where("size > 0").groupBy("s1", "s2", "size").agg(F.min("id").alias("b"))
+    alike = materialise(nodes.select("id", "s1", "s2", "size").join(alike, ["s1", "s2", "size"]).select(F.col("id").alias("a"), "b").where("a <> b"), "equal-sets")
+    sets = materialise(nodes.where("size > 0").join(alike.select(F.col("a").alias("id")), "id", "left_anti").select("id", "size", "few", *names), "distinct-sets")
+    close = _few_links(sets.where("few is not null").select("id", "few"), similarity, tile)
+    worded = sets.where(F.col("size") > few)
     every = [v for k in range(segments) for v in variants(F.col(names[k // per_word]), width * (k % per_word), width, k)]
     found = _meet(worded.select(F.explode(F.array(*every)).alias("sig"), "id", *names), names, [], distance, most_run, block)
     links = found.where("sig is null").select(F.col("id").alias("a"), F.col("to").alias("b"))
@@ -366,7 +413,7 @@ def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     sets = members.mapInArrow(partial(_shingle_sets, n=shingle_words, keep=["id", "component", "tiles"]), "id bigint, component bigint, tiles bigint, shingles binary")
     pairs = _tile_pairs(sets, "component").select(F.col("pair").alias("tile"), "id", "shingles")
     verified = pairs.repartition("tile").sortWithinPartitions("tile").mapInArrow(partial(_verify_batches, similarity=similarity), "a bigint, b bigint")
-    groups = materialise(connected_components(verified), "copy-groups").withColumnRenamed("node", "id")
+    groups = materialise(connected_components(verified.union(close).union(alike)), "copy-groups").withColumnRenamed("node", "id")
     named = nodes.select("id", "first").join(groups, "id", "left")
     stay = named.groupBy(F.coalesce("component", "id").alias("component")).agg(F.min("first").alias("first")).select("first.uid")
     return rows_with(base, stay).select("row.*")
