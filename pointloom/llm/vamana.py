@@ -4,7 +4,7 @@ Vectors of one label are divided into cells of bounded size. A cell is clustered
 clusters, and each of these overlapping shards gets a robust-pruned graph, built by batches of greedy searches. The
 adjacency lists of a vector are then united over its shards. All vectors search the united graph of every cell that may
 hold a partner: a greedy search from the shards' medoids, which goes on over all that is within range. Pairs are
-verified in double precision, recall is audited against brute force on a sample of the queries.
+verified in double precision, recall is audited for each label against brute force over all its vectors, for a sample of queries.
 """
 
 from __future__ import annotations
@@ -254,8 +254,8 @@ def _build(table: pa.Table, degree: int, beam: int, alpha: float) -> pa.Table:
     return pa.table({"nid": table["nid"], "near": pa.ListArray.from_arrays(pa.array(ends), flat), "medoid": pa.array(np.arange(n) == medoid)})
 
 
-def _search(left: pa.Table, right: pa.Table, threshold: float, slack: float, beam: int, audit: int) -> pa.Table:
-    """One block of queries in one cell: links counted for each query, a forest of the links, and a recall audit."""
+def _search(left: pa.Table, right: pa.Table, threshold: float, slack: float, beam: int) -> pa.Table:
+    """One block of queries in one cell: links counted for each query, a forest of the links, and how many different vectors audited queries found."""
     out = {"nid": [], "to": [], "n": []}
     if left.num_rows and right.num_rows:
         right = right.sort_by("nid")
@@ -282,17 +282,23 @@ def _search(left: pa.Table, right: pa.Table, threshold: float, slack: float, bea
         out["nid"].append(nodes[a])
         out["to"].append(nodes[root])
         out["n"].append(np.zeros(len(a), np.int64))
-        # the audit: a sample of the queries that brute force gives a partner
-        some = np.linspace(0, len(qid) - 1, min(audit, len(qid))).astype(np.int64)
-        true = ((queries[some] @ unit.T >= threshold) & (qid[some][:, None] != ids[None, :])).sum()
-        got = np.isin(row, some).sum()
-        out["nid"].append(np.array([true]))
-        out["to"].append(np.array([-2]))
-        out["n"].append(np.array([got]))
+        some = np.flatnonzero(left["audited"].to_numpy(zero_copy_only=False))
+        out["nid"].append(qid[some])
+        out["to"].append(np.full(len(some), -2))
+        out["n"].append(np.bincount(row, minlength=len(qid))[some])
     return pa.table({c: pa.array(np.concatenate(x).astype(np.int64) if x else np.empty(0, np.int64)) for c, x in out.items()})
 
 
-def embedding_links(vectors: DataFrame, *, threshold: float = 0.93, slack: float = 0.05, degree: int = 32, beam: int = 64, alpha: float = 1.2, shard: int = 1024, overlap: int = 2, cell: int = 8192, margin: float = 0.15, block: int = 2048, audit: int = 64, least_recall: float = 0.9) -> DataFrame:
+def _partners(left: pa.Table, right: pa.Table, threshold: float) -> pa.Table:
+    """Brute force: how many vectors of a block each audited query has as partners."""
+    if not left.num_rows or not right.num_rows:
+        return pa.table({c: pa.array([], pa.int64()) for c in ("nid", "n")})
+    qid, ids = left["nid"].to_numpy(), right["nid"].to_numpy()
+    near = (unit_rows(left) @ unit_rows(right).T >= threshold) & (qid[:, None] != ids[None, :])
+    return pa.table({"nid": pa.array(qid), "n": pa.array(near.sum(axis=1).astype(np.int64))})
+
+
+def embedding_links(vectors: DataFrame, *, threshold: float = 0.93, slack: float = 0.05, degree: int = 32, beam: int = 64, alpha: float = 1.2, shard: int = 1024, overlap: int = 2, cell: int = 8192, margin: float = 0.15, block: int = 2048, audit: int = 512, least_recall: float = 0.9) -> DataFrame:
     """One row (vec_id, n_links, component_id, kept) per row of ``vectors`` (vec_id, embedding, label).
 
     Vectors link if their labels are equal and not null and their cosine is ``threshold`` or more. Vectors that are null,
@@ -302,8 +308,8 @@ def embedding_links(vectors: DataFrame, *, threshold: float = 0.93, slack: float
 
     Nothing depends on the number of rows of a label but the number of cells: a label of more than ``cell`` vectors is
     divided by random pivots, queries also ask the cells of all pivots within ``margin`` of the nearest, and a cell that is still too
-    large is dealt into several that are all asked. If the audited recall is below ``least_recall``, the search is
-    repeated with a wider beam; failing that twice more is an error.
+    large is dealt into several that are all asked. About ``audit`` queries of each label are compared with all vectors of the label; where their
+    recall is below ``least_recall`` for any label, the search is repeated with a wider margin and beam; failing that twice more is an error.
     """
     norm2 = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
     usable = F.when(F.col("label").isNotNull() & finite_vector(F.col("embedding")), norm2 > 0).otherwise(F.lit(False))
@@ -314,19 +320,24 @@ def embedding_links(vectors: DataFrame, *, threshold: float = 0.93, slack: float
     nodes = same.agg(F.first("embedding").alias("embedding"), F.count("*").alias("copies"), F.min("vec_id").alias("least"))
     nodes = materialise(nodes.withColumn("nid", F.monotonically_increasing_id()), "distinct-vectors")
 
-    sizes = nodes.groupBy("label").agg(F.count("*").alias("in_label"))
+    sizes = materialise(nodes.groupBy("label").agg(F.count("*").alias("in_label")), "label-sizes")
     sized = nodes.select("label", "nid", "embedding", "copies").join(sizes, "label")
     many = F.col("in_label") > cell
     pivots = sized.where(many & (share_hash(F.lit("pivot"), "nid") < F.lit(2.0 / cell))).select("label", F.col("nid").alias("pivot"), F.col("embedding").alias("at"))
     large = sized.where(many).withColumn("part", F.pmod(F.xxhash64("nid"), F.ceil(F.col("in_label") / cell)))
     parts = large.select("label", "part").distinct()
     spread = pivots.join(parts, "label").select(F.col("label").alias("of"), F.col("part").alias("to_part"), "pivot", "at")
-    routed = large.groupBy("label", "part").cogroup(spread.groupBy("of", "to_part")).applyInArrow(partial(_route, margin=margin), "nid bigint, cell bigint, home boolean")
-    routed = routed.union(sized.where(~many).select("nid", F.lit(0).cast("long"), F.lit(True)))
-    routed = materialise(routed.join(nodes.select("nid", "label"), "nid"), "cells")
+
+    def route(margin: float) -> DataFrame:
+        routed = large.groupBy("label", "part").cogroup(spread.groupBy("of", "to_part")).applyInArrow(partial(_route, margin=margin), "nid bigint, cell bigint, home boolean")
+        routed = routed.union(sized.where(~many).select("nid", F.lit(0).cast("long"), F.lit(True)))
+        return materialise(routed.join(nodes.select("nid", "label"), "nid"), "cells")
+
+    routed = route(margin)
     cells = routed.where("home").groupBy("label", "cell").agg(F.ceil(F.count("*") / cell).alias("subs"))
-    full = nodes.select("nid", "embedding", "copies")
-    members = routed.where("home").join(cells, ["label", "cell"]).select("label", "cell", F.pmod(F.xxhash64("nid"), "subs").alias("sub"), "nid").join(full, "nid")
+    audited = share_hash(F.lit("audit"), "nid") < F.lit(float(audit)) / F.col("in_label")
+    full = sized.select("nid", "embedding", "copies", audited.alias("audited"))
+    members = routed.where("home").join(cells, ["label", "cell"]).select("label", "cell", F.pmod(F.xxhash64("nid"), "subs").alias("sub"), "nid").join(full.drop("audited"), "nid")
     members = materialise(members, "cell-members")
 
     where = ["label", "cell", "sub"]
@@ -343,21 +354,32 @@ def embedding_links(vectors: DataFrame, *, threshold: float = 0.93, slack: float
     united = edges.groupBy("nid").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"), F.max("medoid").alias("medoid"))
     index = materialise(members.join(united, "nid"), "united-graph")
 
-    asks = routed.join(cells, ["label", "cell"]).select("label", "cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("subs") - 1)).alias("sub"), "nid")
-    load = asks.groupBy(*where).agg(F.ceil(F.count("*") / block).alias("blocks"))
-    asks = asks.join(load, where).withColumn("block", F.pmod(F.xxhash64("nid"), "blocks")).drop("blocks").join(full.drop("copies"), "nid")
-    right = index.join(load, where).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    right = right.select(*(F.col(c).alias(f"at_{c}") for c in (*where, "block")), "nid", "embedding", "copies", "near", "medoid")
-    left = asks.groupBy(*where, "block")
+    # the audit: each block of a label meets all audited queries of the label, whatever the cells
+    blocks = sized.withColumn("of", F.pmod(F.xxhash64("nid"), F.ceil(F.col("in_label") / cell)))
+    sample = sized.where(audited).withColumn("of", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("in_label") / cell) - 1)))
+    sample = materialise(sample.select("label", "of", "nid", "embedding"), "audit-sample")
+    partners = sample.groupBy("label", "of").cogroup(blocks.select(F.col("label").alias("at_label"), F.col("of").alias("at_of"), "nid", "embedding").groupBy("at_label", "at_of"))
+    partners = partners.applyInArrow(partial(_partners, threshold=threshold), "nid bigint, n bigint").groupBy("nid").agg(F.sum("n").alias("partners")).where("partners > 0")
+    partners = materialise(partners.join(nodes.select("nid", "label"), "nid"), "audited-queries")
+
     for wider in (1, 2, 4):
-        search = partial(_search, threshold=threshold, slack=slack, beam=beam * wider, audit=audit)
-        found = left.cogroup(right.groupBy(*(f"at_{c}" for c in (*where, "block")))).applyInArrow(search, "nid bigint, to bigint, n bigint")
+        if wider > 1:
+            routed = route(margin + 0.2 * (wider - 1))
+        asks = routed.join(cells, ["label", "cell"]).select("label", "cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("subs") - 1)).alias("sub"), "nid")
+        load = asks.groupBy(*where).agg(F.ceil(F.count("*") / block).alias("blocks"))
+        asks = asks.join(load, where).withColumn("block", F.pmod(F.xxhash64("nid"), "blocks")).drop("blocks").join(full.drop("copies"), "nid")
+        right = index.join(load, where).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        right = right.select(*(F.col(c).alias(f"at_{c}") for c in (*where, "block")), "nid", "embedding", "copies", "near", "medoid")
+        search = partial(_search, threshold=threshold, slack=slack, beam=beam * wider)
+        found = asks.groupBy(*where, "block").cogroup(right.groupBy(*(f"at_{c}" for c in (*where, "block")))).applyInArrow(search, "nid bigint, to bigint, n bigint")
         found = materialise(found, "embedding-links")
-        true, got = found.where("to = -2").agg(F.sum("nid"), F.sum("n")).first()
-        if not true or got >= least_recall * true:
+        got = found.where("to = -2").groupBy("nid").agg(F.sum("n").alias("got"))
+        recall = partners.join(got, "nid", "left").groupBy("label").agg(F.sum("partners").alias("partners"), F.coalesce(F.sum("got"), F.lit(0)).alias("got"))
+        poor = recall.where(F.col("got") < F.lit(least_recall) * F.col("partners")).first()
+        if poor is None:
             break
     else:
-        raise RuntimeError(f"the graph finds {got} of {true} audited links")
+        raise RuntimeError(f"the graph finds {poor.got} of {poor.partners} audited links of label {poor.label}")
     counts = found.where("to = -1").groupBy("nid").agg(F.sum("n").alias("n"))
     groups = materialise(connected_components(found.where("to >= 0").select(F.col("nid").alias("a"), F.col("to").alias("b"))), "components")
     named = nodes.select("nid", "label", "h1", "h2", "copies", "least").join(counts, "nid", "left").join(groups.withColumnRenamed("node", "nid"), "nid", "left")
