@@ -204,33 +204,39 @@ def normal_equations(poses: DataFrame, factors: DataFrame) -> tuple[DataFrame, D
     return h, sides.select("m.*").groupBy("i").agg(*(F.sum(f"b_{c}").alias(f"b_{c}") for c in DOF))
 
 
-def optimise(poses: DataFrame, factors: DataFrame, sweeps: int = 200, tolerance: float = 1e-9) -> DataFrame:
-    """Poses that fit the factors best, the pose of the smallest id held fixed.
+def optimise(poses: DataFrame, factors: DataFrame, sweeps: int = 200, tolerance: float = 1e-9, by: str | None = None) -> DataFrame:
+    """Poses that fit the factors best, the pose of the smallest id held fixed; with ``by``, a column of ``poses``, that of each of its graphs.
 
     The residuals are linear, so one system is solved, by conjugate gradients whose products are a join and a grouped sum over
-    the factor table; the graph is never gathered anywhere. Poses without a path to the fixed one stay where they are.
+    the factor table; the graph is never gathered anywhere. Factors link poses of one graph, and each graph has its own steps.
+    Poses without a path to a fixed one stay where they are. RuntimeError if a graph is not solved after ``sweeps``.
     """
     h, b = normal_equations(poses, factors)
-    fixed = poses.agg(F.min("id").alias("id")).first()["id"]
-    h = materialise(h.where((F.col("i") != fixed) & (F.col("j") != fixed)), "graph-system")
-    zero = {f"x_{c}": F.lit(0.0) for c in DOF}
-    state = b.where(F.col("i") != fixed).select("i", *(F.col(f"b_{c}").alias(f"r_{c}") for c in DOF), *(F.col(f"b_{c}").alias(f"p_{c}") for c in DOF)).withColumns(zero)
+    named = poses.select(F.col("id").alias("i"), (F.col(by) if by else F.lit(0)).alias("g"))
+    fixed = materialise(named.groupBy("g").agg(F.min("i").alias("fixed")), "graph-anchors")
+    free = materialise(named.join(fixed, named.g.eqNullSafe(fixed.g)).where("i <> fixed").select("i", F.col("fixed").alias("g")), "graph-free")
+    h = materialise(h.join(free.select("i"), "i", "left_semi").join(free.select(F.col("i").alias("j")), "j", "left_semi"), "graph-system")
+    product = lambda u, v: sum(F.col(f"{u}_{c}") * F.col(f"{v}_{c}") for c in DOF)
+    state = b.join(free, "i").select("i", "g", *(F.lit(0.0).alias(f"x_{c}") for c in DOF), *(F.col(f"b_{c}").alias(f"r_{c}") for c in DOF), *(F.col(f"b_{c}").alias(f"p_{c}") for c in DOF))
     state = materialise(state, "graph-state")
-    dot = lambda df, u, v: (df.agg(F.coalesce(sum((F.sum(F.col(f"{u}_{c}") * F.col(f"{v}_{c}")) for c in DOF), F.lit(0.0)), F.lit(0.0))).first()[0])
-    rr = dot(state, "r", "r")
-    first = rr
-    for _ in range(sweeps):
-        if rr is None or rr <= tolerance * tolerance * max(first, 1e-300):
-            break
+    state = materialise(state.join(state.groupBy("g").agg(F.sum(product("r", "r")).alias("rr")), "g").withColumn("first", F.col("rr")), "graph-state")
+    going = F.col("rr") > F.lit(tolerance * tolerance) * F.greatest("first", F.lit(1e-300))
+    for sweep in range(sweeps + 1):
+        if sweep % 8 == 0 or sweep == sweeps:
+            if state.where(going).isEmpty():
+                break
+            if sweep == sweeps:
+                raise RuntimeError(f"a pose graph is not solved after {sweeps} sweeps")
         p = state.select(F.col("i").alias("j"), *(f"p_{c}" for c in DOF))
         q = h.join(p, "j").groupBy("i").agg(*(F.sum(F.col("h") * F.col(f"p_{c}")).alias(f"q_{c}") for c in DOF))
-        state = materialise(state.join(q, "i"), "graph-state")
-        pq = dot(state, "p", "q")
-        if not pq or pq <= 0:
-            break
-        alpha = rr / pq
-        state = state.select("i", *((F.col(f"x_{c}") + alpha * F.col(f"p_{c}")).alias(f"x_{c}") for c in DOF), *((F.col(f"r_{c}") - alpha * F.col(f"q_{c}")).alias(f"r_{c}") for c in DOF), *(f"p_{c}" for c in DOF))
-        before, rr = rr, dot(state, "r", "r")
-        state = state.select("i", *(f"x_{c}" for c in DOF), *(f"r_{c}" for c in DOF), *((F.col(f"r_{c}") + (rr / before) * F.col(f"p_{c}")).alias(f"p_{c}") for c in DOF))
+        both = state.join(q, "i")
+        alpha = both.groupBy("g").agg(F.sum(product("p", "q")).alias("pq"))
+        step = F.when(going & (F.col("pq") > 0), F.col("rr") / F.col("pq")).otherwise(0.0)
+        both = both.join(alpha, "g").withColumn("step", step)
+        moved = both.select("i", "g", *((F.col(f"x_{c}") + F.col("step") * F.col(f"p_{c}")).alias(f"x_{c}") for c in DOF), *((F.col(f"r_{c}") - F.col("step") * F.col(f"q_{c}")).alias(f"r_{c}") for c in DOF), *(f"p_{c}" for c in DOF), F.col("rr").alias("before"), "first")
+        moved = materialise(moved, "graph-state")
+        rr = moved.groupBy("g").agg(F.sum(product("r", "r")).alias("rr"))
+        turn = F.when(F.col("before") > 0, F.col("rr") / F.col("before")).otherwise(0.0)
+        state = moved.join(rr, "g").select("i", "g", *(f"x_{c}" for c in DOF), *(f"r_{c}" for c in DOF), *((F.col(f"r_{c}") + turn * F.col(f"p_{c}")).alias(f"p_{c}") for c in DOF), "rr", "first")
     moved = poses.join(state.select(F.col("i").alias("id"), *(f"x_{c}" for c in DOF)), "id", "left")
     return moved.select("id", *((F.col(c) + F.coalesce(f"x_{c}", F.lit(0.0))).alias(c) for c in DOF))

@@ -293,7 +293,7 @@ def fit05(spark, d):
     from pointloom.operators import fit
 
     w = Window.partitionBy("sensor_id").orderBy("t", "seq")
-    path = bridge.trajectory(spark, d).withColumn("k", F.row_number().over(w)).where("sensor_id = 0 AND k <= 30")
-    poses = path.select(F.col("seq").alias("id"), "x", "y", "z", "yaw")
+    path = bridge.trajectory(spark, d)
+    poses = path.select("sensor_id", F.col("seq").alias("id"), "x", "y", "z", "yaw")
     steps = path.select(F.col("seq").alias("a"), F.lead("seq").over(w).alias("b"), *((F.lead(c).over(w) - F.col(c) + F.col("gx")).alias(c) for c in fit.DOF), F.lit(1.0).alias("weight")).where("b is not null")
-    return rounded(fit.optimise(poses, steps), *fit.DOF)
+    return rounded(fit.optimise(poses, steps, by="sensor_id"), *fit.DOF)
