@@ -150,12 +150,13 @@ def join15(spark, d):
     return rounded(steps.select("seq", F.col("step.tx").alias("fx"), F.col("step.ty").alias("fy")), "fx", "fy")
 
 
-@query("win21_world_accumulation", C + f""", i AS (SELECT user_id, event_id, value * 7.3::DOUBLE % 360 - 180 AS yaw, row_number() OVER (ORDER BY event_id) - 1 AS t FROM events), q AS (SELECT * FROM i WHERE t < 100),
-  m AS (SELECT c.*, (SELECT radians(yaw) FROM q WHERE q.t = least(99, c.scan_id * 7)) AS a FROM cloud c) SELECT point_id, {sql_round('cos(a)*x - sin(a)*y AS wx', 'sin(a)*x + cos(a)*y AS wy', 'z AS wz')} FROM m""")
+@query("win21_world_accumulation", C + f""", i AS (SELECT event_id AS t, value * 7.3::DOUBLE % 360 - 180 AS yaw FROM events), s AS (SELECT DISTINCT scan_id, scan_id * 7 + 0.25::DOUBLE AS t FROM cloud),
+  n AS (SELECT s.scan_id, i.yaw, row_number() OVER (PARTITION BY s.scan_id ORDER BY abs(i.t - s.t), i.t) AS k FROM s CROSS JOIN i), m AS (SELECT c.*, radians(n.yaw) AS a FROM cloud c JOIN n ON n.scan_id = c.scan_id AND n.k = 1)
+  SELECT point_id, {sql_round('cos(a)*x - sin(a)*y AS wx', 'sin(a)*x + cos(a)*y AS wy', 'z AS wz')} FROM m""")
 def win21(spark, d):
-    imu = bridge.imu(spark, d).where("seq < 100").select(F.col("seq").cast("double").alias("t"), *(v.alias(n) for v, n in zip(g.quaternion_from_euler(0, 0, "yaw"), ("qw", "qx", "qy", "qz"))))
-    scans = bridge.cloud(spark, d).select("scan_id").distinct().withColumn("t", F.least(F.lit(99), F.col("scan_id") * 7).cast("double"))
-    world = ordered.accumulate_world(bridge.cloud(spark, d), align.asof_nearest(scans, imu, prefix=""), "scan_id")
+    imu = bridge.imu(spark, d).select(F.col("seq").cast("double").alias("t"), *(v.alias(n) for v, n in zip(g.quaternion_from_euler(0, 0, "yaw"), ("qw", "qx", "qy", "qz"))))
+    scans = bridge.cloud(spark, d).select("scan_id").distinct().withColumn("t", F.col("scan_id") * 7 + 0.25)
+    world = ordered.accumulate_world(bridge.cloud(spark, d), align.asof_nearest(scans, imu, prefix="", bucket=1000.0), "scan_id")
     return named_points(world)
 
 
@@ -264,10 +265,14 @@ def src25(spark, d):
     return rounded(packets.cast_room(spark, 180, (-4, 5, -3, 6, 0, 3), (0, 0, 1)).select("azimuth_index", "channel", "distance_m"), "distance_m")
 
 
-@query("snk05_pose_json")
+@query("snk05_pose_json", T + f"""SELECT seq, {sql_round('x', 'y', 'z')}, round(s * cos(radians(yaw) / 2), 6) + 0.0::DOUBLE AS qw, round(s * sin(radians(yaw) / 2), 6) + 0.0::DOUBLE AS qz, round(yaw, 6) + 0.0::DOUBLE AS yaw
+  FROM (SELECT *, CASE WHEN yaw <= -120 THEN -1 ELSE 1 END AS s FROM trajectory)""")
 def snk05(spark, d):
-    pose = g.Pose.from_euler(0, 0, "yaw", "x", "y", "z")
-    return bridge.trajectory(spark, d).select("seq", reports.pose_json(pose).alias("pose"))
+    """The JSON objects, read back."""
+    pose = reports.pose_json(g.Pose.from_euler(0, 0, "yaw", "x", "y", "z"))
+    kind = "struct<position:struct<x:double,y:double,z:double>,quaternion:struct<w:double,x:double,y:double,z:double>,euler_deg:struct<roll:double,pitch:double,yaw:double>>"
+    rows = bridge.trajectory(spark, d).select("seq", F.from_json(pose, kind).alias("p"))
+    return rows.select("seq", "p.position.*", F.col("p.quaternion.w").alias("qw"), F.col("p.quaternion.z").alias("qz"), "p.euler_deg.yaw")
 
 
 @query("snk18_preview", C + f""", s AS (SELECT *, min(x) OVER w AS lx, max(x) OVER w AS hx, min(y) OVER w AS ly, max(y) OVER w AS hy FROM cloud WINDOW w AS (PARTITION BY scan_id)), f AS (SELECT point_id, x, y, lx, ly, least(312 / (hx - lx), 232 / (hy - ly)) AS k FROM s)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,39 +36,76 @@ def near_pairs(left: DataFrame, right: DataFrame, by: str, ts: str = "ts", toler
     return a.join(b, (F.col(by) == F.col(f"right_{by}")) & (F.col(f"right_{ts}") >= F.col(ts) - gap) & (F.col(f"right_{ts}") <= F.col(ts) + gap))
 
 
-def attitude(stream: DataFrame, by: str, order: str = "seq", rate: float = 100.0, beta: float = 0.1) -> DataFrame:
-    """The attitude after each batch of rows of a group (by, seq of its last row, quaternion); the state is the quaternion and that seq.
+Fold = Callable[[Any, tuple, np.ndarray], tuple[tuple, list[list]]]
 
-    Rows are taken in their order within a batch; a row no newer than the state comes too late and is left out.
-    """
-    kind = stream.schema[by].dataType.simpleString()
-
-    def step(key: tuple[Any, ...], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        q, last = (tuple(state.get[:4]), state.get[4]) if state.exists else (IDENTITY, -1)
-        rows = pd.concat(list(frames)).sort_values(order)
-        names = ["gx", "gy", "gz", "ax", "ay", "az"]
-        for at, *r in rows[[order, *names]].itertuples(index=False):
-            if at > last:
-                q, last = madgwick(q, tuple(r[:3]), tuple(r[3:]), None, beta, 1.0 / rate), int(at)
-        state.update((*q, last))
-        yield pd.DataFrame([[key[0], last, *q]], columns=[by, order, "qw", "qx", "qy", "qz"])
-
-    return stream.groupBy(by).applyInPandasWithState(step, f"{by} {kind}, {order} long, {QUATERNION}", f"{QUATERNION}, last long", "update", GroupStateTimeout.NoTimeout)
 
+def in_event_order(stream: DataFrame, by: str, ts: str, order: str, inputs: list[str], start: tuple, state: str, fold: Fold, out: str, late: str, idle: int | None = None, flush: Callable[[Any, tuple], list[list]] | None = None) -> DataFrame:
+    """Fold the rows of each group in the order of ``ts``, then ``order``, however they arrive.
 
-def sweeps(stream: DataFrame, by: str, order: str = "seq", azimuth: str = "azimuth_deg") -> DataFrame:
-    """Finished sweeps (by, sweep, n) of returns: a sweep ends where the azimuth falls from over 270 to under 90 degrees."""
+    Rows wait in the state until the watermark (``late`` behind the newest row) has passed them, for none older can come
+    then. Rows beyond the watermark are dropped by Spark, which counts them in each progress report as
+    numRowsDroppedByWatermark. ``fold(key, state, rows)`` gets an array (order, inputs) and gives the next state and rows to emit.
+    A group without waiting rows ends ``idle`` milliseconds after its last one, if given: ``flush`` may emit what is left of it.
+    """
     kind = stream.schema[by].dataType.simpleString()
-
-    def step(key: tuple[Any, ...], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        sweep, n, last = state.get if state.exists else (0, 0, -1.0)
+    names = [c.split()[0] for c in f"{by} {kind}, {out}".split(", ")]
+    width = 2 + len(inputs)
+
+    def step(key: tuple[Any, ...], frames: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
+        *own, held, newest = group.get if group.exists else (*start, b"", 0)
+        rows = np.frombuffer(held, dtype=np.float64).reshape(-1, width)
+        for frame in frames:
+            at = frame[ts].to_numpy().astype("datetime64[us]").astype(np.int64)
+            rows = np.concatenate((rows, np.column_stack((at, frame[[order, *inputs]].to_numpy(dtype=np.float64)))))
+        passed = group.getCurrentWatermarkMs() * 1000
+        ready, rest = rows[rows[:, 0] <= passed], rows[rows[:, 0] > passed]
+        newest = max(newest, int(rows[:, 0].max(initial=0)))
+        done: list[list] = []
+        if len(ready):
+            own, done = fold(key[0], tuple(own), ready[np.lexsort((ready[:, 1], ready[:, 0]))][:, 1:])
+        end = newest // 1000 + 1 + (idle or 0)
+        if not len(rest) and idle is not None and passed >= end * 1000:
+            done = done + (flush(key[0], tuple(own)) if flush else [])
+            group.remove()
+        else:
+            group.update((*own, rest.tobytes(), newest))
+            if len(rest):
+                group.setTimeoutTimestamp(int(rest[:, 0].min()) // 1000 + 1)
+            elif idle is not None:
+                group.setTimeoutTimestamp(end)
+        yield pd.DataFrame({c: pd.Series([r[i] for r in done], dtype=None if done else object) for i, c in enumerate(names)})
+
+    rows = stream.withWatermark(ts, late).groupBy(by)
+    return rows.applyInPandasWithState(step, f"{by} {kind}, {out}", f"{state}, held binary, newest long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def attitude(stream: DataFrame, by: str, order: str = "seq", ts: str = "ts", rate: float = 100.0, beta: float = 0.1, late: str = "10 seconds") -> DataFrame:
+    """The six-axis attitude of a group each time the watermark has passed some of its rows: by, seq of the last of them, quaternion; see ``in_event_order``."""
+
+    def fold(key: Any, q: tuple, rows: np.ndarray) -> tuple[tuple, list[list]]:
+        at, none = np.array([q]), np.full((1, 3), np.nan)
+        for i in range(len(rows)):
+            at = madgwick(at, rows[i : i + 1, 1:4], rows[i : i + 1, 4:7], none, beta, 1.0 / rate)
+        q = tuple(at[0].tolist())
+        return q, [[key, int(rows[-1, 0]), *q]]
+
+    return in_event_order(stream, by, ts, order, ["gx", "gy", "gz", "ax", "ay", "az"], IDENTITY, QUATERNION, fold, f"{order} long, {QUATERNION}", late)
+
+
+def sweeps(stream: DataFrame, by: str, order: str = "seq", ts: str = "ts", azimuth: str = "azimuth_deg", late: str = "10 seconds", idle: int = 60_000) -> DataFrame:
+    """Sweeps (by, sweep, n, complete) of returns: a sweep ends where the azimuth falls from over 270 to under 90 degrees, or, incomplete, where a group has no return for ``idle`` milliseconds; see ``in_event_order``."""
+
+    def fold(key: Any, state: tuple, rows: np.ndarray) -> tuple[tuple, list[list]]:
+        sweep, n, last = state
         done = []
-        for az in pd.concat(list(frames)).sort_values(order)[azimuth]:
+        for az in rows[:, 1].tolist():
             if az < last and last > 270 and az < 90:
-                done.append([key[0], sweep, n])
+                done.append([key, sweep, n, True])
                 sweep, n = sweep + 1, 0
-            n, last = n + 1, float(az)
-        state.update((sweep, n, last))
-        yield pd.DataFrame(done, columns=[by, "sweep", "n"]).astype({"sweep": "int64", "n": "int64"})
+            n, last = n + 1, az
+        return (sweep, n, last), done
+
+    def flush(key: Any, state: tuple) -> list[list]:
+        return [[key, state[0], state[1], False]] if state[1] else []
 
-    return stream.groupBy(by).applyInPandasWithState(step, f"{by} {kind}, sweep long, n long", "sweep long, n long, last double", "append", GroupStateTimeout.NoTimeout)
+    return in_event_order(stream, by, ts, order, [azimuth], (0, 0, -1.0), "sweep long, n long, last double", fold, "sweep long, n long, complete boolean", late, idle, flush)
