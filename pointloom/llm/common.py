@@ -7,10 +7,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pointloom.operators.durable import materialise, scratch_path, shared_dir  # noqa: F401
+from pointloom.operators.durable import discard, materialise, scratch_path, shared_dir, temporary_tables  # noqa: F401
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -42,6 +43,8 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 8 <
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:]):
             yield batch.slice(a, b - a)
+        del batch
+    pa.default_memory_pool().release_unused()  # workers outlive their tasks
 
 
 def segment_sums(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -86,19 +89,53 @@ def share_hash(*columns: Column) -> Column:
     return (F.shiftrightunsigned(F.xxhash64(*columns), 11).cast("double") + 0.5) / F.lit(float(2**53))
 
 
-def rows_with(rows: DataFrame, chosen: DataFrame, column: str = "uid", times: int = 1) -> DataFrame:
-    """The rows whose ``column`` (a dense long, as of monotonically_increasing_id) is in ``chosen``, without moving them for it.
+def placed(docs: DataFrame, stored: bool = False) -> DataFrame:
+    """Rows (row, file, at): all columns of ``docs`` as the struct row, and the place of the row: its file, as a hash, and its number in it.
 
-    The ids are packed into the bits of longs first, dozens to a row, so that the side to join is small: Spark broadcasts
-    it as long as its size allows and merges beyond. ``chosen`` has each id once. With ``times`` it also has a column
+    The place names a row from one job to the next, so that decisions can be thin tables and texts need no second copy.
+    ``stored`` says that ``docs`` is a plain read of Parquet files; anything else is written first.
+    """
+    try:
+        if not stored:
+            raise AnalysisException("not a plain read")
+        source = docs.metadataColumn("_metadata")
+        return docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64(source["file_path"]).alias("file"), source["row_index"].alias("at"))
+    except AnalysisException:
+        return placed(materialise(docs, "placed-rows"), stored=True)
+
+
+def rows_with(rows: DataFrame, chosen: DataFrame, times: int = 1) -> DataFrame:
+    """The rows (row, file, at) of ``placed`` that are in ``chosen`` (file, at), without moving them for it.
+
+    Places are packed into the bits of longs first, dozens to a row, so that the side to join is small: Spark broadcasts
+    it as long as its size allows and merges beyond. ``chosen`` has each place once. With ``times`` it also has a column
     copies, from 1 to ``times``, which the result gets.
     """
     width = times.bit_length()
     per = 63 // width
-    at = F.floor(F.col(column) / F.lit(per)).cast("long")
+    word = F.floor(F.col("at") / F.lit(per)).cast("long")
+    shift = (F.col("at") % per * width).cast("int")
     copies = F.col("copies").cast("long") if times > 1 else F.lit(1).cast("long")
-    packed = chosen.select(at.alias("_word"), F.call_function("shiftleft", copies, (F.col(column) % per * width).cast("int")).alias("_bits"))
-    packed = materialise(packed.groupBy("_word").agg(F.bit_or("_bits").alias("_bits")), "packed-ids")
-    digit = F.call_function("shiftright", F.col("_bits"), (F.col(column) % per * width).cast("int")).bitwiseAND(F.lit((1 << width) - 1))
-    found = rows.withColumn("_word", at).join(packed, "_word").withColumn("copies", digit).where("copies > 0").drop("_word", "_bits")
-    return found if times > 1 else found.drop("copies")
+    packed = chosen.select("file", word.alias("word"), F.call_function("shiftleft", copies, shift).alias("bits"))
+    packed = materialise(packed.groupBy("file", "word").agg(F.bit_or("bits").alias("bits")), "packed-places")
+    digit = F.call_function("shiftright", F.col("bits"), shift).bitwiseAND(F.lit((1 << width) - 1))
+    found = rows.withColumn("word", word).join(packed, ["file", "word"]).withColumn("copies", digit).where("copies > 0")
+    return found.select("row", "file", "at", *(["copies"] if times > 1 else []))
+
+
+def running(rows: DataFrame, order: list[Column], sums: dict[str, Column], name: str) -> DataFrame:
+    """The rows in one global order, with their number (``position``, from 1) and running sums over all rows up to each.
+
+    Rows are dealt to partitions by ranges of the order, which Spark finds by sampling, so that no task holds a whole
+    group. What is added up in one place is one row for each partition. Ties are ordered somehow.
+    """
+    cells = rows.orderBy(*order).withColumn("part", F.spark_partition_id()).withColumn("position", F.monotonically_increasing_id())
+    cells = materialise(cells.withColumn("position", F.col("position").bitwiseAND(F.lit((1 << 33) - 1)) + 1), name)
+    totals = cells.groupBy("part").agg(F.max("position").alias("_position"), *(F.sum(v).alias(f"_{k}") for k, v in sums.items()))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    names = ["position", *sums]
+    totals = totals.select(F.col("part").alias("_part"), *(F.coalesce(F.sum(f"_{k}").over(before), F.lit(0)).alias(f"_{k}") for k in names))
+    inside = Window.partitionBy("part").orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
+    out = cells.withColumns({k: F.sum(v).over(inside) for k, v in sums.items()}) if sums else cells
+    out = out.join(F.broadcast(totals), F.col("part") == F.col("_part"))  # one row for each partition of a sort
+    return out.withColumns({k: F.col(k) + F.col(f"_{k}") for k in names}).drop("part", "_part", *(f"_{k}" for k in names))

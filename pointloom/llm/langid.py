@@ -8,8 +8,10 @@ same size for each language, and a softmax temperature is fitted on a part of th
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,16 +21,22 @@ from pyspark.sql import types as T
 
 from pointloom.llm.common import segment_sums, share_hash, slices, sum_vectors
 
-LETTER = re.compile(r"[^\W\d_]")
-OTHER = re.compile(r"[\W\d_]+")
 UNKNOWN = "und"
 
 
+@cache
+def letter_patterns() -> tuple[re.Pattern, re.Pattern]:
+    """A letter (``str.isalpha``: Unicode category L), and a run of anything else. Fractions, exponents and the like are word characters to ``re``, but no letters."""
+    numbers = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+    return re.compile(f"[^\\W\\d_{numbers}]"), re.compile(f"[\\W\\d_{numbers}]+")
+
+
 def gram_counts(text: str | None, bits: int, orders: tuple[int, ...] = (1, 2, 3)) -> tuple[np.ndarray, np.ndarray] | None:
     """Buckets and counts of the hashed character n-grams of a whole text, letters only, in words set off by blanks; None without letters."""
-    if not text or not LETTER.search(text):
+    letter, other = letter_patterns()
+    if not text or not letter.search(text):
         return None
-    folded = f" {OTHER.sub(' ', text.lower()).strip()} "
+    folded = f" {other.sub(' ', text.lower()).strip()} "
     codes = np.frombuffer(folded.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
     buckets = []
     with np.errstate(over="ignore"):
@@ -45,6 +53,11 @@ def gram_counts(text: str | None, bits: int, orders: tuple[int, ...] = (1, 2, 3)
     return used, counts[used]
 
 
+def inverse_frequencies(documents: np.ndarray, of: int) -> np.ndarray:
+    """The smoothed IDF of buckets that occur in so many of ``of`` documents."""
+    return (np.log((1 + of) / (1 + documents)) + 1).astype(np.float32)
+
+
 @dataclass
 class Model:
     languages: list[str]
@@ -114,11 +127,13 @@ def in_held_out_fold(doc_id: Column, folds: int = 3, fold: int = 1) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds == fold
 
 
-def train(docs: DataFrame, *, bits: int = 15, per_language: int = 800, most_languages: int = 200) -> Model:
-    """Learn from the rows (doc_id, text, lang) of ``docs``; rows with a null text or lang teach nothing.
+def train(docs: DataFrame, *, bits: int = 15, per_language: int = 800, sample_bytes: int = 16 << 20, longest: int = 1 << 16, most_languages: int = 1000) -> Model:
+    """Learn from the rows (doc_id, text, lang) of ``docs``; rows with a null text or lang, and texts without letters, teach nothing.
 
-    Document frequencies cover all rows. Weights are learned from about ``per_language`` rows of each language, chosen
-    by hash, and at most twice that many rows in all; languages beyond the ``most_languages`` most frequent are not learned.
+    Document frequencies cover all rows and whole texts. Weights are learned from about ``per_language`` rows of each language, chosen by
+    hash among texts of up to ``longest`` bytes, whose texts hold about ``sample_bytes`` in all: this sample is collected (at most 24 bytes for each of text).
+    Repeated rows count once in the sample. Every language is learned; over ``most_languages`` of them are an
+    error, for the model has a number for each bucket and language. Ties in a prediction go to the language first by code point.
     """
     docs = docs.where("text is not null and lang is not null").select("doc_id", "text", "lang")
     size = 1 << bits
@@ -133,13 +148,17 @@ def train(docs: DataFrame, *, bits: int = 15, per_language: int = 800, most_lang
         yield pa.RecordBatch.from_pydict({"v": pa.array([total.tobytes()], pa.binary())})
 
     total = sum_vectors(docs.mapInArrow(frequencies, "v binary"), "v", size + 1)
-    idf = (np.log((1 + total[size]) / (1 + total[:size])) + 1).astype(np.float32)
-    sizes = docs.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(most_languages).collect()
+    idf = inverse_frequencies(total[:size], total[size])
+    length = F.octet_length("text")
+    sizes = docs.where(length <= longest).groupBy("lang").agg(F.count("*").alias("n"), F.sum(length).alias("bytes")).limit(most_languages + 1).collect()
+    if len(sizes) > most_languages:
+        raise ValueError(f"over {most_languages} languages to learn")
     languages = sorted(r["lang"] for r in sizes)
     if not languages:
         return Model([], bits, idf, np.zeros((size, 0), np.float32), np.zeros(0))
-    share = F.coalesce(*(F.when(F.col("lang") == r["lang"], F.lit(min(1.0, per_language / r["count"]))) for r in sizes))
-    chosen = docs.where(share_hash(F.lit("sample"), "doc_id", F.octet_length("text")) < share).limit(2 * per_language * len(languages))
+    share = F.coalesce(*(F.when(F.col("lang") == r["lang"], F.lit(min(1.0, per_language / r["n"], sample_bytes / len(sizes) / max(1, r["bytes"])))) for r in sizes))
+    chosen = docs.where((length <= longest) & (share_hash(F.lit("sample"), "doc_id", length) < share))
+    chosen = chosen.groupBy("doc_id", "lang", F.xxhash64("text").alias("h")).agg(F.first("text").alias("text")).select("lang", "text")
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -167,10 +186,10 @@ def identify(docs: DataFrame, model: Model, text: str = "text", *, lang_pred: st
     """The rows of ``docs`` with the predicted language and its calibrated probability.
 
     ``und`` and 0 where the text is null or has no letter, or nothing was learned. Whole texts are read; columns that
-    have the names of the new ones already are replaced.
+    have the names of the new ones already are replaced. Repeated rows get the same answer each; an empty table stays empty.
     """
     kept = docs.drop(lang_pred, score)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # buckets times languages (at most 200) floats
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # a float for each bucket and language
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value

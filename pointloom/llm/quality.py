@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,8 @@ from pyspark.sql import types as T
 from pointloom.llm.common import materialise, mix64, segment_sums, share_hash, slices, sum_vectors
 
 TOKEN = re.compile(r"\w+|[^\w\s]+")
+#: What of a document's row goes on once its text is read.
+THIN = ["row", "doc_id", "quality"]
 #: Stands for a token that repeats one of the two tokens before it.
 SAME = np.uint64(0x5851F42D4C957F2D)
 
@@ -28,7 +31,7 @@ class TokenHashes(dict):
     """64-bit hashes of tokens seen so far; forgotten when there are many."""
 
     def __missing__(self, token: str) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         h = self[token] = xxhash.xxh64_intdigest(token.encode("utf-8", "surrogatepass"))
         return h
@@ -68,35 +71,42 @@ class Ratios:
 
 
 def labelled_sample(labels: DataFrame, most_rows: int) -> DataFrame:
-    """About ``most_rows`` / 2 labelled ids (doc_id, quality) of each class, by hash, and ``most_rows`` at most: small enough to broadcast."""
-    labels = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    sizes = {r["quality"]: r["count"] for r in labels.groupBy("quality").count().collect() if r["quality"] in (0, 1)}
-    share = F.when(F.col("quality") == 1, min(1.0, most_rows / 2 / max(1, sizes.get(1, 0)))).when(F.col("quality") == 0, min(1.0, most_rows / 2 / max(1, sizes.get(0, 0))))
-    return labels.where(share_hash(F.lit("labels"), "doc_id") < share).limit(most_rows)
+    """Labelled ids (doc_id, quality 0 or 1): of each class the ``most_rows`` / 2 of least hash, all if there are fewer. Small enough to broadcast.
+
+    Null ids and other labels are left out; of repeated labels the best counts. The same labels give the same sample.
+    """
+    labels = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    labels = labels.withColumn("draw", -F.shiftrightunsigned(F.xxhash64(F.lit("labels"), "doc_id"), 13))
+    labels = materialise(labels, "labelled-ids")
+    drawn = [labels.where(F.col("quality") == q) for q in (0, 1)]
+    least = [kth_largest(rows, "draw", most_rows // 2) for rows in drawn]  # None: there are fewer
+    both = (rows.where(F.col("draw") >= x) if x is not None else rows for rows, x in zip(drawn, least))
+    return reduce(DataFrame.union, both).select("doc_id", "quality")
 
 
-def importance_weights(docs: DataFrame, labels: DataFrame, *, bits: int = 16, label_rows: int = 20_000, prior: float = 0.1) -> DataFrame:
-    """The rows of ``docs`` (doc_id, text and any others) with _quality (sampled label or null), _grams and _weight (mean log ratio, 0 without n-grams).
+def importance_weights(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ("doc_id",), bits: int = 16, label_rows: int = 20_000, prior: float = 0.1) -> DataFrame:
+    """Thin rows, one for each of ``docs``: row (the columns ``keep`` as a struct), doc_id, quality (sampled label or null), n_grams and weight (mean log ratio, 0 without n-grams).
 
     The raw model counts all documents. The target model counts those with label quality 1 among at most ``label_rows``
-    labelled rows chosen by hash; this sample of ids is all that is broadcast, besides a few numbers for each bucket. These
+    labelled ids chosen by hash; this sample of ids is all that is broadcast, besides a few numbers for each bucket. These
     documents are weighed without their own share of the target, so that they compare with all others.
     """
     size = 1 << bits
-    sample = materialise(labelled_sample(labels, label_rows).withColumnRenamed("doc_id", "_labelled"), "label-sample")
-    docs = docs.join(F.broadcast(sample.withColumnRenamed("quality", "_quality")), F.col("doc_id") == F.col("_labelled"), "left").drop("_labelled")
+    sample = materialise(labelled_sample(labels, label_rows).withColumnRenamed("doc_id", "labelled"), "label-sample")
+    rows = docs.select(F.struct(*keep).alias("row"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    rows = rows.join(F.broadcast(sample), F.col("doc_id") == F.col("labelled"), "left").drop("labelled")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, hashes = np.zeros(2 * size, dtype="<i8"), TokenHashes()
         for batch in slices(batches, "text"):
-            for good, text in zip(batch.column("_quality").to_pylist(), batch.column("text").to_pylist()):
+            for good, text in zip(batch.column("quality").to_pylist(), batch.column("text").to_pylist()):
                 n = np.bincount(gram_buckets(text, hashes, bits), minlength=size)
                 total[size:] += n
                 if good == 1:
                     total[:size] += n
         yield pa.RecordBatch.from_pydict({"v": pa.array([total.tobytes()], pa.binary())})
 
-    total = sum_vectors(docs.select("_quality", "text").mapInArrow(count, "v binary"), "v", 2 * size)
+    total = sum_vectors(rows.select("quality", "text").mapInArrow(count, "v binary"), "v", 2 * size)
     shared = docs.sparkSession.sparkContext.broadcast(Ratios(total[:size], total[size:], prior))
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,12 +114,12 @@ def importance_weights(docs: DataFrame, labels: DataFrame, *, bits: int = 16, la
         for batch in slices(batches, "text", 4 << 20):
             grams = [gram_buckets(t, hashes, bits) for t in batch.column("text").to_pylist()]
             n = np.array([len(g) for g in grams], dtype=np.int64)
-            good = batch.column("_quality").to_pylist()
+            good = batch.column("quality").to_pylist()
             total = segment_sums(np.concatenate([ratios.without(g) if q == 1 else ratios.all[g] for g, q in zip(grams, good)]), n)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n), pa.array(total / np.maximum(n, 1))], names=[*batch.schema.names, "_grams", "_weight"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in THIN), pa.array(n), pa.array(total / np.maximum(n, 1))], names=[*THIN, "n_grams", "weight"])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("_grams", T.LongType()), T.StructField("_weight", T.DoubleType())])
-    return docs.mapInArrow(weigh, schema)
+    schema = T.StructType([*(rows.schema[c] for c in THIN), T.StructField("n_grams", T.LongType()), T.StructField("weight", T.DoubleType())])
+    return rows.mapInArrow(weigh, schema)
 
 
 def best_cut(weights: np.ndarray, good: np.ndarray) -> float:
@@ -129,7 +139,7 @@ def best_cut(weights: np.ndarray, good: np.ndarray) -> float:
 
 
 def kth_largest(scores: DataFrame, column: str, k: int, bins: int = 4096) -> int | None:
-    """The k-th largest value of a long column, found by counting in ever finer ranges; None if there are fewer than k rows."""
+    """The k-th largest value of a long column (within 52 bits), found by counting in ever finer ranges; None if there are fewer than k rows."""
     low, high = scores.agg(F.min(column), F.max(column)).first()
     if low is None or k < 1:
         return None
@@ -149,22 +159,28 @@ def kth_largest(scores: DataFrame, column: str, k: int, bins: int = 4096) -> int
             return low
 
 
-def resample(docs: DataFrame, labels: DataFrame, *, temperature: float = 0.02, seed: int = 42, **options) -> DataFrame:
-    """The rows of ``docs`` with log_weight, n_grams, key and kept.
+def resample(docs: DataFrame, labels: DataFrame, *, keep: tuple[str, ...] = ("doc_id",), temperature: float = 0.02, seed: int = 42, **options) -> DataFrame:
+    """Thin rows, one for each of ``docs``: the columns ``keep``, and n_grams, log_weight, key and kept.
 
     As many documents are sampled as have a weight above the cut that best parts the labelled documents by quality, so
-    that all are kept where labels tell nothing apart. key is weight / temperature plus Gumbel noise, which
-    depends on doc_id, n-grams and ``seed`` only, in millionths; documents are kept from the k-th largest key on, ties included.
-    Null texts and texts without tokens have weight 0. Repeated rows each count; columns of the result's names are replaced.
+    that all are kept where labels tell nothing apart. key is weight / temperature plus Gumbel noise, which depends on
+    doc_id, n-grams and ``seed`` only, in millionths; documents are kept from the k-th largest key on, ties included. The
+    odds of a document grow by a factor e for every ``temperature`` of weight: at 0.02 a document 0.1 above the cut is drawn with
+    odds of 150 to 1, one 0.01 above with 1.6 to 1, so that sampling is soft near the cut and sure away from it.
+
+    Null texts and texts without tokens have weight 0. Repeated rows each count and, being alike, have the same key. An
+    empty table gives an empty result. Columns other than ``keep`` are ignored, which may not have the new ones' names.
     """
-    docs = docs.drop("log_weight", "n_grams", "key", "kept", "_quality", "_grams", "_weight")
-    u = share_hash(F.lit(seed), "doc_id", "_grams")
-    scored = importance_weights(docs, labels, **options)
-    key = F.round((F.col("_weight") / temperature - F.log(-F.log(u))) * 1e6).cast("long")
+    if clash := {c.lower() for c in keep} & {"n_grams", "log_weight", "key", "kept"}:
+        raise ValueError(f"the result has columns of its own named {clash}")
+    u = share_hash(F.lit(seed), "doc_id", "n_grams")
+    scored = importance_weights(docs, labels, keep=keep, **options)
+    key = F.round((F.col("weight") / temperature - F.log(-F.log(u))) * 1e6).cast("long")
     scored = materialise(scored.withColumn("key", key), "importance-weights")
-    known = scored.where("_quality is not null").select("_weight", "_quality").toPandas()  # bounded by the sample of labels
-    cut = best_cut(known["_weight"].to_numpy(), known["_quality"].to_numpy() == 1)
-    k = scored.where(F.col("_weight") >= cut).count()
+    # one row for each id of the bounded sample, however often it is repeated
+    known = scored.where("quality is not null").groupBy("doc_id").agg(F.avg("weight").alias("weight"), F.max("quality").alias("quality")).toPandas()
+    cut = best_cut(known["weight"].to_numpy(), known["quality"].to_numpy() == 1)
+    k = scored.where(F.col("weight") >= cut).count()
     least = kth_largest(scored, "key", k)
     kept = F.col("key") >= least if least is not None else F.lit(False)
-    return scored.withColumn("kept", kept).withColumnsRenamed({"_weight": "log_weight", "_grams": "n_grams"}).drop("_quality")
+    return scored.select("row.*", "n_grams", F.col("weight").alias("log_weight"), "key", kept.alias("kept"))

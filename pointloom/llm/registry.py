@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointloom.llm import chat, langid, mixing, packing, quality, topk, vamana, warc
+from pointloom.llm import chat, langid, licenses, mixing, packing, quality, topk, vamana, warc
 from pointloom.llm.common import read_table, scratch_path
 from pointloom.llm.licenses import license_digest, scan_licenses
 from pointloom.llm.simhash import simhash_components
@@ -18,8 +18,7 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    return quality.resample(docs, read_table(spark, sf_dir, "labels")).select("doc_id", "n_grams", "log_weight", "key", "kept")
+    return quality.resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_license_scan": licenses.ORACLE_SQL,
     "op4_chat_formatting": chat.ORACLE_SQL,
     "op5_warc_archives": warc.ORACLE_SQL,
     "op6_embedding_near_dedup": vamana.ORACLE_SQL,

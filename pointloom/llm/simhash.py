@@ -7,7 +7,7 @@ meet, and the full fingerprints decide. Only distinct fingerprints are indexed,
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import numpy as np
@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pointloom.llm.common import materialise, mix64, rows_with, segment_sums, slices, utf8
+from pointloom.llm.common import materialise, mix64, placed, rows_with, segment_sums, slices, utf8
 from pointloom.llm.components import connected_components
 
 SEED = 42
@@ -115,7 +115,7 @@ def _link_runs(sig: np.ndarray, fps: np.ndarray, distance: int) -> tuple[np.ndar
         left.append(hit)
         right.append(hit + step)
         held += len(hit)
-        if held > 2_000_000:
+        if held > 500_000:
             node, root = _local_forest(np.concatenate(left), np.concatenate(right), len(sig))
             left, right, held = [node], [root], len(node)
         step += 1
@@ -141,11 +141,10 @@ def _run_forest(fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]
     return (np.concatenate(nodes), np.concatenate(roots)) if nodes else (np.empty(0, np.int64),) * 2
 
 
-def _link_batches(batches: Iterator[pa.RecordBatch], fps: int, most_run: int, distance: int, block: int, tiled: bool) -> Iterator[pa.RecordBatch]:
+def _link_batches(batches: Iterator[pa.RecordBatch], fps: int, most_run: int, distance: int, block: int) -> Iterator[pa.RecordBatch]:
     """Rows (sig, id, fingerprint words, carried words) in, in the order of sig.
 
     Out: rows (a, b) of links with a null sig, and the rows of runs longer than ``most_run`` as they came, to be refined.
-    Runs that are ``tiled`` already are all linked here.
     Memory holds about ``block`` rows; an overlong run streams through.
     """
     names: list[str] = []
@@ -160,14 +159,6 @@ def _link_batches(batches: Iterator[pa.RecordBatch], fps: int, most_run: int, di
         sig = x[:, 0]
         first = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
         size = np.diff(np.append(first, len(sig)))
-        if tiled:
-            words = np.ascontiguousarray(x[:, 2 : 2 + fps]).view(np.uint64)
-            for a, n in zip(first.tolist(), size.tolist()):
-                node, root = _run_forest(words[a : a + n], distance)
-                if len(node):
-                    null = pa.nulls(len(node), pa.int64())
-                    yield table(null, pa.array(x[a + node, 1]), pa.array(x[a + root, 1]), [null] * (len(names) - 2))
-            return
         if (long := np.repeat(size > most_run, size)).any():
             yield overlong(x[long])
         x = x[np.repeat((size > 1) & (size <= most_run), size)]
@@ -199,7 +190,7 @@ def _link_batches(batches: Iterator[pa.RecordBatch], fps: int, most_run: int, di
             continue
         x = np.concatenate(parts)
         cut = int(np.searchsorted(x[:, 0], x[-1, 0], side="left"))
-        if len(x) - cut > most_run and not tiled:
+        if len(x) - cut > most_run:
             streaming, cut = int(x[-1, 0]), len(x)
         if cut:
             yield from emit(x[:cut])
@@ -208,21 +199,56 @@ def _link_batches(batches: Iterator[pa.RecordBatch], fps: int, most_run: int, di
         yield from emit(np.concatenate(parts))
 
 
-def variants(value: Column, start: int, width: int, tag: int) -> list[Column]:
-    """The signatures of one segment of ``value``: for each bit, the segment with that bit wild, under segment and bit."""
-    segment = F.shiftrightunsigned(value, start).bitwiseAND(F.lit((1 << width) - 1))
-    return [segment.bitwiseAND(F.lit(((1 << width) - 1) ^ (1 << p))) + F.lit((tag * width + p) << width) for p in range(width)]
+#: A segment's bits are divided into so many stretches; all stretches but one are the key that rows are dealt by.
+STRETCHES = 4
+
+
+def _index(nodes: DataFrame, words: list[str], segments: int, width: int) -> DataFrame:
+    """Rows (own, id, words) of every node: ``own`` is one segment of the fingerprint, under the segment's number and a stretch of it.
+
+    Two segments that differ in one bit agree in all stretches but the one with that bit, so four rows for each segment
+    are dealt, in place of one for each bit; the variants are made where the rows arrive.
+    """
+    per_word = 64 // width
+    own = []
+    for k in range(segments):
+        segment = F.shiftrightunsigned(F.col(words[k // per_word]), width * (k % per_word)).bitwiseAND(F.lit((1 << width) - 1))
+        own += [segment + F.lit((STRETCHES * k + q) << width) for q in range(STRETCHES)]
+    return nodes.select(F.explode(F.array(*own)).alias("own"), "id", *words)
+
+
+def _variants(own: Column, width: int) -> Column:
+    """The signatures of a row of ``_index``: the segment with one bit of the stretch wild, under segment, stretch and bit."""
+    per = width // STRETCHES
+    first = F.shiftrightunsigned(own, width).bitwiseAND(F.lit(STRETCHES - 1)) * per
+    wild = lambda j: F.call_function("shiftleft", F.lit(1).cast("long"), (first + j).cast("int"))
+    return F.array(*(own.bitwiseAND(F.bitwise_not(wild(j))) + F.lit(j << 56) for j in range(per)))
+
+
+def _dealt(rows: DataFrame, words: list[str], width: int) -> DataFrame:
+    """Rows (sig, id, words) of all variants of an ``_index``, dealt by what a stretch leaves of its segment."""
+    per = width // STRETCHES
+    first = F.shiftrightunsigned("own", width).bitwiseAND(F.lit(STRETCHES - 1)) * per
+    stretch = F.call_function("shiftleft", F.lit((1 << per) - 1).cast("long"), first.cast("int"))
+    rows = rows.repartition(F.col("own").bitwiseAND(F.bitwise_not(stretch)))
+    return rows.select(F.explode(_variants(F.col("own"), width)).alias("sig"), "id", *words)
 
 
-def _meet(rows: DataFrame, words: list[str], carried: list[str], distance: int, most_run: int, block: int, tiled: bool = False) -> DataFrame:
-    """Bring equal signatures together; the links and overlong runs, written down."""
-    rows = rows.select("sig", "id", *words, *carried).repartition("sig").sortWithinPartitions("sig")
+def _meet(dealt: DataFrame, words: list[str], carried: list[str], distance: int, most_run: int, block: int) -> DataFrame:
+    """Bring equal signatures together, in partitions that hold each of them whole; the links and overlong runs, written down."""
+    rows = dealt.select("sig", "id", *words, *carried).sortWithinPartitions("sig")
     schema = ", ".join(["sig bigint, id bigint, to bigint", *(f"{c} bigint" for c in (*words, *carried))])
-    found = rows.mapInArrow(partial(_link_batches, fps=len(words), most_run=most_run, distance=distance, block=block, tiled=tiled), schema)
+    found = rows.mapInArrow(partial(_link_batches, fps=len(words), most_run=most_run, distance=distance, block=block), schema)
     return materialise(found, "simhash-links")
 
 
-def linked_pairs(nodes: DataFrame, *, distance: int = 3, most_run: int = 4096, block: int = 400_000) -> DataFrame:
+def variants(value: Column, start: int, width: int, tag: int) -> list[Column]:
+    """For each bit of a segment of ``value``: the segment with that bit wild, under segment and bit."""
+    segment = F.shiftrightunsigned(value, start).bitwiseAND(F.lit((1 << width) - 1))
+    return [segment.bitwiseAND(F.lit(((1 << width) - 1) ^ (1 << p))) + F.lit((tag * width + p) << width) for p in range(width)]
+
+
+def linked_pairs(nodes: DataFrame, *, distance: int = 3, most_run: int = 4096, block: int = 200_000) -> DataFrame:
     """Links (a, b) that connect distinct 64-bit fingerprints (column fp0) within ``distance`` (1 to 3) bits of each other.
 
     With two segments of 32 bits one of them differs by at most one bit, so every such pair meets. The result connects
@@ -235,10 +261,9 @@ def linked_pairs(nodes: DataFrame, *, distance: int = 3, most_run: int = 4096, b
     if most_run < 2048:
         raise ValueError("runs of up to 2048 can't be refined further")
     fp = F.col("fp0")
-    rows = nodes.select(F.explode(F.array(*variants(fp, 0, 32, 0), *variants(fp, 32, 32, 1))).alias("sig"), fp.alias("id"), "fp0")
-    found = _meet(rows, ["fp0"], [], distance, most_run, block)
+    found = _meet(_dealt(_index(nodes.select(fp.alias("id"), "fp0"), ["fp0"], 2, 32), ["fp0"], 32), ["fp0"], [], distance, most_run, block)
     links = found.where("sig is null").select(F.col("id").alias("a"), F.col("to").alias("b"))
-    low_segment = F.shiftrightunsigned("sig", 32) < 32
+    low_segment = F.shiftrightunsigned("sig", 32).bitwiseAND(F.lit(2 * STRETCHES - 1)) < STRETCHES
     hot = found.where("sig is not null").withColumn("rest", F.when(low_segment, F.shiftrightunsigned(fp, 32)).otherwise(fp).bitwiseAND(F.lit(0xFFFFFFFF)))
     for width in (16, 8):
         if hot.isEmpty():
@@ -247,7 +272,7 @@ def linked_pairs(nodes: DataFrame, *, distance: int = 3, most_run: int = 4096, b
         other = [F.shiftrightunsigned(rest, width), rest.bitwiseAND(F.lit(mask))]
         finer = F.array(*(F.struct(v.alias("low"), other[tag].alias("rest")) for tag in (0, 1) for v in variants(rest, tag * width, width, tag)))
         rows = hot.select(F.explode(finer).alias("x"), "id", "fp0", "sig").select(F.xxhash64("sig", "x.low").alias("sig"), "id", "fp0", "x.rest")
-        found = _meet(rows, ["fp0"], ["rest"], distance, most_run, block)
+        found = _meet(rows.repartition("sig"), ["fp0"], ["rest"], distance, most_run, block)
         links = links.union(found.where("sig is null").select(F.col("id").alias("a"), F.col("to").alias("b")))
         hot = found.where("sig is not null")
     return links
@@ -302,19 +327,51 @@ def _few_links(texts: DataFrame, similarity: float, tile: int) -> DataFrame:
     """Links (a, b) that connect what all pairs of similar sets connect, of rows (id, few) with distinct sets.
 
     Two sets of this similarity share one of their first n - ceil(similarity * n) + 1 shingles in any common order, n being
-    the size of each. Shingles of many sets come last in the order, so that few sets meet in them; those that do meet in tiles.
+    the size of each. Shingles of many sets come last in the order, so that few sets meet in them.
     """
     every = materialise(texts.select("id", F.explode("few").alias("shingle")), "few-shingles")
     common = materialise(every.groupBy("shingle").agg(F.count("*").alias("sets")).where(F.col("sets") > tile), "common-shingles")
     ranked = every.join(common, "shingle", "left").groupBy("id").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("sets", F.lit(0)).alias("sets"), "shingle"))).alias("ranked"))
     n = F.size("ranked")
     first = F.slice("ranked", F.lit(1), (n - F.ceil(n * F.lit(similarity) - F.lit(1e-9)) + 1).cast("int"))
-    rows = ranked.select("id", F.explode(F.transform(first, lambda x: x["shingle"])).alias("shingle"), F.col("ranked.shingle").alias("few"))
-    rows = materialise(rows, "few-prefixes")
-    counts = materialise(rows.groupBy("shingle").agg(F.count("*").alias("sets")).where("sets > 1").select("shingle", F.ceil(F.col("sets") * 2 / tile).alias("tiles")), "few-runs")
-    pairs = _tile_pairs(rows.join(counts, "shingle"), "shingle").select(F.col("pair").alias("tile"), "id", "few")
-    pack = partial(_verify_batches, similarity=similarity)
-    return materialise(pairs.repartition("tile").sortWithinPartitions("tile").mapInArrow(pack, "a bigint, b bigint"), "few-links")
+    rows = ranked.select("id", F.explode(F.transform(first, lambda x: x["shingle"])).alias("of"), F.col("ranked.shingle").alias("few"))
+    return link_groups(materialise(rows, "few-prefixes"), ["few"], partial(_verify_batches, similarity=similarity), tile)
+
+
+def link_groups(rows: DataFrame, payload: list[str], link: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], tile: int) -> DataFrame:
+    """Links (a, b) that connect what all linked pairs within a group connect; ``rows`` (of, id, payload) is a written table, ``of`` a long, the group.
+
+    ``link`` gets rows (tile, id, payload) in the order of tile and spans the links within each tile. Groups of up to
+    ``tile`` rows are one tile. Larger groups are dealt into tiles at random, twice, which connects most of what belongs together;
+    what a group still has outside its largest connected part is then compared with the whole group, tile by tile. So every pair is
+    either compared or connected already, and a group of m copies costs about m rows, not m squared.
+    """
+    sizes = rows.groupBy("of").agg(F.count("*").alias("n")).where("n > 1")
+    sizes = materialise(sizes.select("of", F.ceil(F.col("n") / tile).alias("tiles")), "group-sizes")
+
+    def linked(tiled: DataFrame) -> DataFrame:
+        return materialise(tiled.select("tile", "id", *payload).repartition("tile").sortWithinPartitions("tile").mapInArrow(link, "a bigint, b bigint"), "tile-links")
+
+    def dealt(groups: DataFrame, turn: int) -> DataFrame:
+        return rows.join(groups, "of").withColumn("tile", F.xxhash64("of", F.pmod(F.xxhash64("id", F.lit(turn)), "tiles"), F.lit(turn)))
+
+    links = linked(dealt(sizes, 0))
+    large = sizes.where("tiles > 1")
+    if large.isEmpty():
+        return links
+    links = links.union(linked(dealt(large, 1)))
+    parts = materialise(connected_components(links).withColumnRenamed("node", "id"), "linked-parts")
+    parted = rows.select("of", "id").join(large, "of").join(parts, "id", "left").withColumn("part", F.coalesce("component", "id"))
+    parted = materialise(parted.select("of", "id", "part"), "parts-of-groups")
+    counted = parted.groupBy("of", "part").agg(F.count("*").alias("n"))
+    main = materialise(counted.groupBy("of").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("most")).where("most < n"), "main-parts")
+    rest = main.select("of", "main", F.ceil((F.col("n") - F.col("most")) * 2 / tile).alias("rest_tiles"), F.ceil(F.col("n") * 2 / tile).alias("tiles"))
+    members = parted.join(rest, "of").withColumn("outside", F.col("part") != F.col("main"))
+    every = members.select("of", "id", F.pmod(F.xxhash64("id", F.lit(2)), "tiles").alias("j"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("rest_tiles") - 1)).alias("i"))
+    outside = members.where("outside").select("of", "id", F.pmod(F.xxhash64("id", F.lit(3)), "rest_tiles").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("j"))
+    again = every.unionByName(outside).select("of", "id", F.xxhash64("of", "i", "j").alias("tile"))
+    known = parts.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))
+    return known.union(linked(again.join(rows, ["of", "id"])))
 
 
 def jaccard_links(sets: list[np.ndarray], similarity: float, columns: int = 1 << 14) -> tuple[np.ndarray, np.ndarray]:
@@ -360,60 +417,74 @@ def _verify_batches(batches: Iterator[pa.RecordBatch], similarity: float) -> Ite
     yield from links()
 
 
-def _tile_pairs(rows: DataFrame, group: str) -> DataFrame:
-    """Rows dealt by ``id`` over the ``tiles`` of their group: each once for every pair of tiles with its own, which is named in ``pair``."""
-    own = F.pmod(F.xxhash64("id"), "tiles")
-    pairs = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
-    return pairs.withColumn("pair", F.xxhash64(group, F.least("own", "other"), F.greatest("own", "other")))
+def _near_batches(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.RecordBatch]:
+    """Rows (tile, id, fingerprint words) in the order of their tile; links (a, b) that span all pairs of a tile within ``distance`` bits."""
+    held: list[np.ndarray] = []
 
+    def links(x: np.ndarray) -> Iterator[pa.RecordBatch]:
+        first = np.flatnonzero(np.concatenate(([True], x[1:, 0] != x[:-1, 0])))
+        words = np.ascontiguousarray(x[:, 2:]).view(np.uint64)
+        for a, b in zip(first.tolist(), [*first[1:].tolist(), len(x)]):
+            node, root = _run_forest(words[a:b], distance)
+            if len(node):
+                yield pa.RecordBatch.from_arrays([pa.array(x[a + node, 1]), pa.array(x[a + root, 1])], names=["a", "b"])
 
-def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, shingle_words: int = 5, similarity: float = 0.8, segments: int = 8, width: int = 16, tile: int = 128, most_run: int = 4096, block: int = 300_000, few: int = 32) -> DataFrame:
+    for batch in batches:
+        if batch.num_rows:
+            held.append(np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1))
+            x = np.concatenate(held)
+            cut = int(np.searchsorted(x[:, 0], x[-1, 0], side="left"))
+            if cut:
+                yield from links(x[:cut])
+            held = [x[cut:]]
+    if held:
+        yield from links(np.concatenate(held))
+
+
+def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, stored: bool = False, shingle_words: int = 5, similarity: float = 0.8, segments: int = 8, width: int = 16, tile: int = 128, most_run: int = 4096, block: int = 100_000, few: int = 32) -> DataFrame:
     """The rows of ``docs`` less near copies: of each group linked by texts of shingle similarity ``similarity`` or more, that of the smallest doc_id stays.
 
-    Equal texts are found by hash first (null counts as the empty text, null doc_id as larger than all) and only distinct texts go on. Texts of equal
-    shingle sets are linked by hash, and one of each goes on. Similar sets of which one has at most ``few`` shingles are found exactly by a prefix filter. The
-    fingerprints of larger sets (each shingle once), of ``segments`` times ``width`` bits are cut into segments, and texts meet where a segment differs by at
-    most one bit; runs of over ``most_run`` texts meet in pairs of tiles, so that all their pairs are compared too. Those within the flips to be expected at the similarity, plus three deviations, form coarse groups. Within these, Jaccard similarity
-    is computed exactly on the shingle sets of whole texts, tile by tile where a group is large. Texts without words
-    are copies only of equal texts. Other columns are kept, whatever their names.
+    Equal texts are found by hash first (null counts as the empty text, null doc_id as larger than all; of equal doc_ids the first row in
+    its file stays) and only distinct texts go on. Texts of equal shingle sets are linked by hash, and one of each goes on. Similar sets of
+    which one has at most ``few`` shingles are found exactly by a prefix filter. The fingerprints of larger sets (each shingle once), of
+    ``segments`` times ``width`` bits, are cut into segments, and texts meet where a segment differs by at most one bit; runs of
+    over ``most_run`` texts are linked by ``link_groups``. Those within the flips to be expected at the similarity, plus three
+    deviations, form coarse groups. Within these, Jaccard similarity is computed exactly on the shingle sets of whole texts.
+    Texts without words are copies only of equal texts. Other columns are kept, whatever their names. An empty table stays empty.
+
+    Texts stay where they are: everything between is thin tables of row places (``stored``: see ``placed``).
     """
     per_word = 64 // width
     words = -(-segments // per_word)
     names = [f"fp{k}" for k in range(words)]
     rate = flip_rate(similarity)
     distance = int(64 * words * rate + 3 * (64 * words * rate * (1 - rate)) ** 0.5)
-    base = docs.select(F.struct(*docs.columns).alias("row"), F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.monotonically_increasing_id().alias("uid"))
-    base = materialise(base, "dedup-rows")
-    hashed = base.select("uid", "doc_id", "text", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"))
-    keep = ["uid", "doc_id", "h1", "h2"]
+    base = placed(docs, stored)
+    hashed = base.select("file", "at", F.col("row")[doc_id].alias("doc_id"), F.coalesce(F.col("row")[text], F.lit("")).alias("text"))
+    hashed = hashed.withColumns({"h1": F.xxhash64("text"), "h2": F.xxhash64(F.lit(1), "text")})
+    keep = ["file", "at", "doc_id", "h1", "h2"]
     schema = ", ".join([*(f"{c} {hashed.schema[c].dataType.simpleString()}" for c in keep), *(f"{c} bigint" for c in (*names, "size", "s1", "s2")), "few array<bigint>"])
     most = int(few / similarity + 1e-9)
     marks = hashed.select(*keep, "text").mapInArrow(partial(_set_marks, n=shingle_words, words=words, most=most, keep=keep), schema)
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "uid")).alias("first")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "file", "at")).alias("first")
     nodes = marks.groupBy("h1", "h2").agg(*(F.first(c).alias(c) for c in (*names, "size", "s1", "s2", "few")), first).withColumn("id", F.monotonically_increasing_id())
     nodes = materialise(nodes, "distinct-texts")
     alike = nodes.where("size > 0").groupBy("s1", "s2", "size").agg(F.min("id").alias("b"))
     alike = materialise(nodes.select("id", "s1", "s2", "size").join(alike, ["s1", "s2", "size"]).select(F.col("id").alias("a"), "b").where("a <> b"), "equal-sets")
     sets = materialise(nodes.where("size > 0").join(alike.select(F.col("a").alias("id")), "id", "left_anti").select("id", "size", "few", *names), "distinct-sets")
     close = _few_links(sets.where("few is not null").select("id", "few"), similarity, tile)
-    worded = sets.where(F.col("size") > few)
-    every = [v for k in range(segments) for v in variants(F.col(names[k // per_word]), width * (k % per_word), width, k)]
-    found = _meet(worded.select(F.explode(F.array(*every)).alias("sig"), "id", *names), names, [], distance, most_run, block)
+    found = _meet(_dealt(_index(sets.where(F.col("size") > few), names, segments, width), names, width), names, [], distance, most_run, block)
     links = found.where("sig is null").select(F.col("id").alias("a"), F.col("to").alias("b"))
-    hot = found.where("sig is not null")
-    if not hot.isEmpty():  # common segments: tiles of half a run meet pairwise
-        counts = materialise(hot.groupBy("sig").agg(F.ceil(F.count("*") * 2 / most_run).alias("tiles")), "hot-runs")
-        more = _tile_pairs(hot.join(counts, "sig"), "sig").select(F.col("pair").alias("sig"), "id", *names)
-        links = links.union(_meet(more, names, [], distance, most_run, block, tiled=True).where("sig is null").select(F.col("id").alias("a"), F.col("to").alias("b")))
-    coarse = materialise(connected_components(links), "coarse-groups").withColumnRenamed("node", "id")
-    tiles = coarse.groupBy("component").agg(F.ceil(F.count("*") / tile).alias("tiles"))
-    members = materialise(nodes.select("id", "first.uid").join(coarse, "id").join(tiles, "component"), "group-members")
-    texts = rows_with(base.select("uid", "text"), members.select("uid"))
-    members = texts.hint("merge").join(members, "uid").select("id", "component", "tiles", "text")
-    sets = members.mapInArrow(partial(_shingle_sets, n=shingle_words, keep=["id", "component", "tiles"]), "id bigint, component bigint, tiles bigint, shingles binary")
-    pairs = _tile_pairs(sets, "component").select(F.col("pair").alias("tile"), "id", "shingles")
-    verified = pairs.repartition("tile").sortWithinPartitions("tile").mapInArrow(partial(_verify_batches, similarity=similarity), "a bigint, b bigint")
+    hot = found.where("sig is not null").select(F.col("sig").alias("of"), "id", *names)
+    if not hot.isEmpty():  # common segments
+        links = links.union(link_groups(hot, names, partial(_near_batches, distance=distance), most_run))
+    coarse = materialise(connected_components(links), "coarse-groups").withColumnsRenamed({"node": "id", "component": "of"})
+    members = materialise(nodes.select("id", "first.file", "first.at").join(coarse, "id"), "group-members")
+    texts = rows_with(base, members.select("file", "at")).select("file", "at", F.col("row")[text].alias("text"))
+    texts = texts.hint("merge").join(members, ["file", "at"]).select("id", "of", "text")
+    sets = materialise(texts.mapInArrow(partial(_shingle_sets, n=shingle_words, keep=["id", "of"]), "id bigint, of bigint, shingles binary"), "shingle-sets")
+    verified = link_groups(sets, ["shingles"], partial(_verify_batches, similarity=similarity), tile)
     groups = materialise(connected_components(verified.union(close).union(alike)), "copy-groups").withColumnRenamed("node", "id")
     named = nodes.select("id", "first").join(groups, "id", "left")
-    stay = named.groupBy(F.coalesce("component", "id").alias("component")).agg(F.min("first").alias("first")).select("first.uid")
+    stay = named.groupBy(F.coalesce("component", "id").alias("component")).agg(F.min("first").alias("first")).select("first.file", "first.at")
     return rows_with(base, stay).select("row.*")
