@@ -12,6 +12,7 @@ import os
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,9 +38,14 @@ def unescape(text: str) -> str:
     return ESCAPED.sub(r"\1", text)
 
 
+@lru_cache(1 << 14)
+def marked_turn(role: str, text: str) -> str:
+    return f"<turn {escape(role)}>\n{escape(text)}</turn>\n"
+
+
 def turn_template(turns: list[Turn]) -> str:
     """Turns between marks, with a backslash before each control string and backslash of a text."""
-    return "".join(f"<turn {escape(role)}>\n{escape(text)}</turn>\n" for role, text in turns)
+    return "".join([marked_turn(role, text) for role, text in turns])
 
 
 def parse_turns(formatted: str) -> list[Turn]:
@@ -63,11 +69,17 @@ class Rendered:
 
 
 def render_incrementally(template: Template, turns: list[Turn], loss_roles: frozenset[str]) -> Rendered:
-    """Spans of all turns in the final output. Spans of turns whose text was rewritten later are cut to what stayed."""
+    """Spans of all turns in the final output. Spans of turns whose text was rewritten later are cut to what stayed.
+
+    Every prefix is rendered, so the cost of n turns grows with n squared; only the last output is kept.
+    """
     before = template([])
     done = Rendered(before)
+    prefix: list[Turn] = []
     for k, (role, text) in enumerate(turns):
-        now = template(turns[: k + 1])
+        marked = template([*prefix, (role, SENTINEL)])
+        prefix.append((role, text))
+        now = template(prefix)
         start = len(before)
         if not now.startswith(before):
             done.rewritten_at.append(k)
@@ -77,10 +89,10 @@ def render_incrementally(template: Template, turns: list[Turn], loss_roles: froz
                 if s["text_end"] is not None and s["text_end"] > start:
                     s["text_start"] = s["text_end"] = None
                     s["loss"] = False
-        marked = template([*turns[:k], (role, SENTINEL)])
         at = marked.rfind(SENTINEL)
         tail = len(marked) - at - 1
-        shown = at >= start and now[:at] == marked[:at] and now.endswith(marked[at + 1 :])
+        same = start if marked.startswith(before) and start == len(before) else 0  # known to be equal
+        shown = at >= start and now[same:at] == marked[same:at] and now.endswith(marked[at + 1 :])
         done.spans.append({"role": role, "start": start, "end": len(now), "text_start": at if shown else None, "text_end": len(now) - tail if shown else None, "loss": shown and role in loss_roles})
         before = now
     done.text = before
@@ -88,83 +100,71 @@ def render_incrementally(template: Template, turns: list[Turn], loss_roles: froz
 
 
 SPAN = [("role", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("text_start", pa.int64()), ("text_end", pa.int64()), ("loss", pa.bool_())]
-PIECE = pa.schema([("conv_id", pa.int64()), ("piece", pa.int64()), ("n_turns", pa.int64()), ("formatted", pa.string()), ("spans", pa.list_(pa.struct(SPAN))), ("rewrites_history", pa.bool_())])
+CONVERSATION = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("formatted", pa.string()), ("spans", pa.list_(pa.struct(SPAN))), ("rewrites_history", pa.bool_())])
 
 
-def format_conversations(rows: DataFrame, template: Template = turn_template, *, loss_roles: tuple[str, ...] = ("assistant",), most_turns: int = 512) -> DataFrame:
-    """Rows (conv_id, piece, n_turns, formatted, spans, rewrites_history) from rows (conv_id, turn, role, text).
+def format_conversations(rows: DataFrame, template: Template = turn_template, *, loss_roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
+    """Rows (conv_id, n_turns, formatted, spans, rewrites_history) from rows (conv_id, turn, role, text).
 
     Turns follow ``turn`` (null first), ties role and text. Null roles and texts are empty; a null conv_id is one conversation of
-    its own; repeated rows are turns of their own; other columns are ignored. A conversation of over ``most_turns`` turns is formatted in
-    consecutive pieces, each rendered by itself, which bounds both memory and the cost of rendering prefixes. Pieces
-    of a conversation follow one another within one partition, so that readers can stream them.
+    its own; repeated rows are turns of their own; other columns are ignored; an empty table gives an empty result.
+    A template may treat a turn by any of those before it, so each conversation is rendered whole, by one task, which
+    holds its turns and its last output.
     """
     roles = frozenset(loss_roles)
 
     def render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, piece, turns = None, 0, []
+        current, turns, done, size = None, [], [], 0
 
-        def flush() -> pa.RecordBatch:
+        def flush() -> int:
             r = render_incrementally(template, turns, roles)
-            row = {"conv_id": current[0], "piece": piece, "n_turns": len(turns), "formatted": r.text, "spans": r.spans, "rewrites_history": bool(r.rewritten_at)}
-            return pa.RecordBatch.from_pylist([row], schema=PIECE)
+            done.append({"conv_id": current[0], "n_turns": len(turns), "formatted": r.text, "spans": r.spans, "rewrites_history": bool(r.rewritten_at)})
+            return len(r.text) + 100 * len(turns)
 
-        held: list[pa.RecordBatch] = []
         for batch in slices(batches, "text"):
             for conv, role, text in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "role", "text"))):
-                if turns and (conv != current[0] or len(turns) >= most_turns):
-                    held.append(flush())
-                    piece, turns = piece + 1 if conv == current[0] else 0, []
+                if turns and conv != current[0]:
+                    size += flush()
+                    turns = []
+                    if size > 4 << 20:
+                        yield pa.RecordBatch.from_pylist(done, schema=CONVERSATION)
+                        done, size = [], 0
                 current = (conv,)
                 turns.append((role or "", text or ""))
-            if held:
-                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-                held = []
         if turns:
-            yield flush()
+            flush()
+            yield pa.RecordBatch.from_pylist(done, schema=CONVERSATION)
 
     ordered = rows.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", "role", "text").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
     spans = "array<struct<role:string,start:bigint,end:bigint,text_start:bigint,text_end:bigint,loss:boolean>>"
-    return ordered.mapInArrow(render, f"conv_id bigint, piece bigint, n_turns bigint, formatted string, spans {spans}, rewrites_history boolean")
+    return ordered.mapInArrow(render, f"conv_id bigint, n_turns bigint, formatted string, spans {spans}, rewrites_history boolean")
 
 
-def read_back(pieces: DataFrame) -> DataFrame:
+def read_back(formatted: DataFrame) -> DataFrame:
     """One row per conversation, read from the formatted texts: turns are parsed and unescaped, loss texts are cut out by their spans.
 
-    ``pieces`` are rows of ``format_conversations`` under ``turn_template``, in their order. Hashes are carried from piece to piece.
+    ``formatted`` are rows of ``format_conversations`` under ``turn_template``.
     """
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state = None
         for batch in slices(batches, "formatted"):
             out = []
-            for conv, piece, text, spans in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "piece", "formatted", "spans"))):
-                if piece == 0:
-                    if state:
-                        out.append(state)
-                    state = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
+            for conv, text, spans in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "formatted", "spans"))):
                 turns = parse_turns(text)
-                state[1] += len(turns)
+                all_turns, loss, chars = hashlib.sha256(), hashlib.sha256(), 0
                 for role, said in turns:
-                    state[2].update(f"{role}\n{said}\n".encode())
+                    all_turns.update(f"{role}\n{said}\n".encode())
                 for s in spans:
                     if s["loss"]:
                         said = unescape(text[s["text_start"] : s["text_end"]])
-                        state[3] += len(said)
-                        state[4].update(said.encode())
-                state[5] += len(text)
-            if out:
-                yield table(out)
-        if state:
-            yield table([state])
-
-    def table(rows: list[list]) -> pa.RecordBatch:
-        rows = [[x.hexdigest() if hasattr(x, "hexdigest") else x for x in r] for r in rows]
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
-
-    return pieces.mapInArrow(read, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
+                        chars += len(said)
+                        loss.update(said.encode())
+                out.append((conv, len(turns), all_turns.hexdigest(), chars, loss.hexdigest(), len(text)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
+
+    return formatted.mapInArrow(read, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
 
 
 ORACLE_SQL = r"""

@@ -83,7 +83,9 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, lengths
 
     Tokens are words. A text longer than the largest length is cut into pieces of that length and a rest. Texts without
     words (and null ones) give one row of 0 tokens outside all bins (bin, bin_offset and bin_length null). Repeated rows are packed as often as they come.
-    Groups hold about ``group_pieces`` pieces whatever the size of the input; all pieces are packed.
+    Groups hold about ``group_pieces`` pieces whatever the size of the input; all pieces are packed. Rows are named by their place
+    in the table, so another split of the input into files may give other bins of as good a fill; pieces of one length are taken in the order of these
+    names. Columns other than ``doc_id`` and ``text`` are ignored, whatever their names; an empty table gives an empty result.
     """
     most = max(lengths)
     rows = docs.select(F.col(doc_id).alias("doc_id"), word_count(F.col(text)).alias("size")).withColumn("uid", F.monotonically_increasing_id())

@@ -119,15 +119,25 @@ def read_frames(data: bytes, step: int = 1 << 14) -> Iterator[bytes]:
         yield b"".join(parts)
 
 
+#: What records have in common at the least: the dictionary where there are too few pages to train one.
+PLAIN_DICTIONARY = record_bytes(0, "http://www.example.com/index.html", b"<!DOCTYPE html><html><head><meta charset=\"utf-8\"><title></title></head><body><div><p><a href=\"</a></p></div></body></html>", None)
+
+
 def train_dictionary(pages: DataFrame, *, rows: int = 200, size: int = 32 << 10, most_bytes: int = 4 << 20) -> bytes:
-    """A dictionary from at most ``rows`` whole pages of moderate length (``most_bytes`` in all), chosen by hash; empty where these are too few."""
+    """A dictionary from the ``rows`` whole pages of least hash among those of moderate length (``most_bytes`` in all).
+
+    Where there are under 20 the dictionary is plain content: a record of no page in particular. The same pages give the same dictionary.
+    """
     per_page = most_bytes // rows
-    share = share_hash(F.lit("dictionary"), "page_id", F.octet_length("html")) < 4.0 * rows / max(1, pages.count())
-    fit = pages.where(share & F.octet_length("html").between(8, per_page)).limit(rows)
-    samples = [r.html.encode() for r in fit.select("html").collect()]
+    draw = share_hash(F.lit("dictionary"), "page_id", F.octet_length("html"))
+    fit = pages.where(F.octet_length("html").between(8, per_page) & (draw < 4.0 * rows / max(1, pages.count())))
+    samples = sorted(r.html.encode() for r in fit.orderBy(draw, "page_id", F.xxhash64("html")).limit(rows).select("html").collect())
     if len(samples) < 20:
-        return b""
-    return zstandard.train_dictionary(size, samples).as_bytes()
+        return PLAIN_DICTIONARY
+    try:
+        return zstandard.train_dictionary(size, samples).as_bytes()
+    except zstandard.ZstdError:  # they have too little content
+        return PLAIN_DICTIONARY
 
 
 def write_archives(pages: DataFrame, folder: str, *, min_bytes: int = 0, roll_bytes: int = 8 << 20, level: int = 3, dictionary: bytes | None = None) -> DataFrame:
@@ -135,7 +145,8 @@ def write_archives(pages: DataFrame, folder: str, *, min_bytes: int = 0, roll_by
 
     Payloads are the html in UTF-8, null being empty. Of rows with equal payloads of at least ``min_bytes`` bytes those of
     the largest page_id are responses, the others revisit it; a null page_id counts as smaller than all, and a group
-    of nothing but null ids is all responses, as are all smaller payloads. Files are rolled near ``roll_bytes``, so a reader holds little at a time. A task writes
+    of nothing but null ids is all responses, as are all smaller payloads. Repeated rows get a record each; columns other than these
+    three are ignored; an empty table makes no file. Every file begins with the dictionary, in a skippable frame. Files are rolled near ``roll_bytes``, so a reader holds little at a time. A task writes
     beside the folder and moves its files in at its end, under names given by its partition: a task that is run again
     replaces its own files.
     """
@@ -147,14 +158,14 @@ def write_archives(pages: DataFrame, folder: str, *, min_bytes: int = 0, roll_by
     repeated = materialise(repeated, "repeated-payloads")
     refers = F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
     rows = pages.join(repeated, "digest", "left").select("page_id", "url", "html", refers.alias("refers_to"))
-    leading = struct.pack("<II", DICTIONARY_FRAME, len(dictionary)) + dictionary if dictionary else b""
+    leading = struct.pack("<II", DICTIONARY_FRAME, len(dictionary)) + dictionary
     shared = spark.sparkContext.broadcast(leading)  # a few dozen kB
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pafs.FileSystem.from_uri(folder)
         part, staged, files = TaskContext.get().partitionId(), f"{root}/_staged-{uuid.uuid4().hex}", []
         lead = shared.value
-        packer = zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(lead[8:]) if lead else None)
+        packer = zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(lead[8:]))
         out, size, records = None, 0, 0
         for batch in slices(batches, "html"):
             for row in zip(*(batch.column(k).to_pylist() for k in range(4))):
