@@ -205,6 +205,13 @@ class Intrinsics:
         if len(self.distortion) != 5:
             raise ValueError("distortion is k1, k2, p1, p2, k3")
 
+    @staticmethod
+    def from_matrix(k, width: int, height: int, distortion: tuple[float, ...] = (0.0,) * 5) -> Intrinsics:
+        """From a 3x3 camera matrix without skew."""
+        if len(k) != 3 or any(len(row) != 3 for row in k):
+            raise ValueError("a camera matrix is 3x3")
+        return Intrinsics(float(k[0][0]), float(k[1][1]), float(k[0][2]), float(k[1][2]), width, height, tuple(map(float, distortion)))
+
     @staticmethod
     def from_fov(width: int, height: int, degrees: float) -> Intrinsics:
         f = width / 2 / math.tan(math.radians(degrees) / 2)
@@ -231,6 +238,19 @@ def project(x, y, z, camera: Intrinsics) -> tuple[Column, Column, Column]:
     return u, v, F.coalesce(front & (u >= 0) & (u < camera.width) & (v >= 0) & (v < camera.height), F.lit(False))
 
 
+def in_depth_band(x, y, z, camera: Intrinsics, near: float = 0.3, far: float = 60.0) -> tuple[Column, Column, Column]:
+    """(u, v, valid) like ``project``; valid are points strictly between ``near`` and ``far`` that fall into the image."""
+    u, v, valid = project(x, y, z, camera)
+    return u, v, valid & (col(z) > near) & (col(z) < far)
+
+
+def centre_band(width: int, fraction: float) -> tuple[int, int]:
+    """First and end column of the middle ``fraction`` (from 0.05 to 1) of an image."""
+    band = round(width * min(1.0, max(0.05, fraction)))
+    first = (width - band) // 2
+    return first, first + band
+
+
 def back_project(u, v, depth, camera: Intrinsics) -> Vector:
     u, v, d = cols(u, v, depth)
     return (u - camera.cx) * d / camera.fx, (v - camera.cy) * d / camera.fy, d

@@ -144,11 +144,11 @@ def lookup_pixels(points: DataFrame, pixels: DataFrame, width: int, height: int,
     return hit.groupBy(*keys).agg(*(F.sum(F.col("_w") * F.col(c)).cast("int").alias(c) for c in channels))
 
 
-def correct_poses(dense: DataFrame, keyframes: DataFrame, idx: str = "idx", bucket: float = 100_000) -> DataFrame:
+def correct_poses(dense: DataFrame, keyframes: DataFrame, idx: str = "idx", bucket: float = 100_000, by: tuple[str, ...] = ()) -> DataFrame:
     """Dense rows with the last keyframe row at or before their index (columns key_*); rows before the first take the first."""
-    both = _neighbours(dense, keyframes, (), idx, bucket, True)
+    both = _neighbours(dense, keyframes, by, idx, bucket, True)
     pick = F.coalesce("_before", "_after")
-    return both.withColumn("_key", pick).select(*dense.columns, *(F.col(f"_key.{c}").alias(f"key_{c}") for c in keyframes.columns))
+    return both.withColumn("_key", pick).select(*dense.columns, *(F.col(f"_key.{c}").alias(f"key_{c}") for c in keyframes.columns if c not in by))
 
 
 def visual_candidates(descriptors: DataFrame, bits: tuple[str, ...], recent: int = 3, least: int = 20, ratio: float = 0.75) -> DataFrame:

@@ -1,20 +1,22 @@
-"""Fits: rigid alignment, hand-eye calibration, scan registration and pose graphs.
+"""Fits: rigid alignment, hand-eye calibration and pose graphs.
 
-Spark reduces the rows to sums of fixed size (or, for registration, deals independent pairs of scans); only these reach a
-solver.
+Spark reduces the rows to sums of fixed size, or deals small graphs to tasks; only these reach a solver.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pointloom.functions.geometry import Pose, axis_angle
 from pointloom.operators.durable import materialise
 
+POSE = (*(f"r{i}{j}" for i in range(3) for j in range(3)), "tx", "ty", "tz")
+
 
 def pair_moments(pairs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Per group the centroids (s_x .., d_x ..) and the cross covariance sums (h_xx ..) of pairs (sx, sy, sz, dx, dy, dz), in one pass."""
@@ -41,136 +43,36 @@ def rigid_fit(pairs: DataFrame) -> np.ndarray:
     return out
 
 
-def hand_eye(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
-    """X with A X = X B for relative motions A and B (4x4); rotation from the rotation vectors, translation by least squares."""
-    if len(a) != len(b) or len(a) < 2:
-        raise ValueError("hand-eye calibration needs two motions of each")
-
-    def vector(r: np.ndarray) -> np.ndarray:
-        angle = np.arccos(np.clip((np.trace(r) - 1) / 2, -1, 1))
-        if angle < 1e-9:
-            return np.zeros(3)
-        return angle / (2 * np.sin(angle)) * np.array([r[2, 1] - r[1, 2], r[0, 2] - r[2, 0], r[1, 0] - r[0, 1]])
-
-    r = _turn(sum(np.outer(vector(y[:3, :3]), vector(x[:3, :3])) for x, y in zip(a, b)))
-    left = np.vstack([x[:3, :3] - np.eye(3) for x in a])
-    right = np.concatenate([r @ y[:3, 3] - x[:3, 3] for x, y in zip(a, b)])
-    out = np.eye(4)
-    out[:3, :3], out[:3, 3] = r, np.linalg.lstsq(left, right, rcond=None)[0]
-    return out
-
-
-# --- registration of scan pairs -----------------------------------------------------------------------------------
-
-
-def _cells(points: np.ndarray, size: float) -> dict[tuple[int, int, int], np.ndarray]:
-    keys = np.floor(points / size).astype(np.int64)
-    order = np.lexsort(keys.T)
-    keys = keys[order]
-    cut = np.flatnonzero(np.any(keys[1:] != keys[:-1], axis=1)) + 1
-    return {tuple(keys[g[0]].tolist()): order[g] for g in np.split(np.arange(len(order)), cut)} if len(points) else {}
-
-
-def _closest(points: np.ndarray, target: np.ndarray, cells: dict, size: float) -> tuple[np.ndarray, np.ndarray]:
-    """For each point the nearest target within ``size`` (index and distance; -1 and inf without one)."""
-    index, best = np.full(len(points), -1), np.full(len(points), np.inf)
-    for key, members in _cells(points, size).items():
-        near = [cells[k] for dx in (-1, 0, 1) for dy in (-1, 0, 1) for dz in (-1, 0, 1) if (k := (key[0] + dx, key[1] + dy, key[2] + dz)) in cells]
-        if near:
-            near = np.concatenate(near)
-            d = np.linalg.norm(points[members][:, None] - target[near][None], axis=2)
-            i = d.argmin(axis=1)
-            ok = d[np.arange(len(members)), i] <= size
-            index[members[ok]], best[members[ok]] = near[i[ok]], d[np.arange(len(members)), i][ok]
-    return index, best
-
-
-def _voxels(points: np.ndarray, size: float) -> np.ndarray:
-    _, at = np.unique(np.floor(points / size).astype(np.int64), axis=0, return_inverse=True)
-    at = at.ravel()
-    return np.stack([np.bincount(at, weights=points[:, k]) for k in range(3)], axis=1) / np.bincount(at)[:, None] if len(points) else points
-
-
-def _spreads(points: np.ndarray, size: float) -> np.ndarray:
-    """The covariance of each point's surroundings."""
-    cells, out = _cells(points, size), np.tile(np.eye(3), (len(points), 1, 1))
-    for key, members in cells.items():
-        near = points[np.concatenate([cells[k] for dx in (-1, 0, 1) for dy in (-1, 0, 1) for dz in (-1, 0, 1) if (k := (key[0] + dx, key[1] + dy, key[2] + dz)) in cells])]
-        for i in members:
-            local = near[np.linalg.norm(near - points[i], axis=1) <= size]
-            if len(local) >= 3:
-                out[i] = np.cov(local.T, bias=True)
-    return out
+def hand_eye(motions: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Rows (by, x) with X of A X = X B, as a pose, from rows (by, a, b) of relative motions of two rigidly joined sensors.
 
-
-def _exp(x: np.ndarray) -> np.ndarray:
-    """The transform of a small rotation vector and translation."""
-    angle, out = np.linalg.norm(x[:3]), np.eye(4)
-    k = np.array([[0, -x[2], x[1]], [x[2], 0, -x[0]], [-x[1], x[0], 0]])
-    out[:3, :3] += (np.sin(angle) / angle) * k + ((1 - np.cos(angle)) / angle**2) * k @ k if angle > 1e-12 else k
-    out[:3, 3] = x[3:]
-    return out
-
-
-@dataclass
-class Registration:
-    transform: np.ndarray
-    fitness: float = 0.0
-    rmse: float = float("inf")
-    converged: bool = False
-
-
-def register(source: np.ndarray, target: np.ndarray, start: np.ndarray | None = None, voxel: float = 0.2, reach: float | None = None, most: int = 50, generalised: bool = False) -> Registration:
-    """Point-to-plane (or plane-to-plane) alignment of two scans by repeated closest points; damped where planes leave a direction free."""
-    at = np.eye(4) if start is None else np.array(start, dtype=float)
-    source, target = _voxels(source, voxel), _voxels(target, voxel)
-    if len(source) < 3 or len(target) < 3:
-        return Registration(at)
-    reach = reach or 3 * voxel
-    cells = _cells(target, reach)
-    spread = _spreads(target, 3 * voxel)
-    values, vectors = np.linalg.eigh(spread)
-    normal = vectors[:, :, 0]
-    flat = lambda v: v @ np.diag([1e-3, 1.0, 1.0]) @ v.transpose(0, 2, 1)
-    target_shape = flat(vectors)
-    source_shape = flat(np.linalg.eigh(_spreads(source, 3 * voxel))[1]) if generalised else None
-    score = (0.0, float("inf"))
-    for _ in range(most):
-        moved = source @ at[:3, :3].T + at[:3, 3]
-        index, d = _closest(moved, target, cells, reach)
-        ok = index >= 0
-        if ok.sum() < 3:
-            return Registration(at)
-        last, score = score, (float(ok.mean()), float(np.sqrt((d[ok] ** 2).mean())))
-        p, e = moved[ok], moved[ok] - target[index[ok]]
-        if generalised:
-            weight = np.linalg.inv(target_shape[index[ok]] + at[:3, :3] @ source_shape[ok] @ at[:3, :3].T)
-        else:
-            n = normal[index[ok]]
-            weight = n[:, :, None] * n[:, None, :]
-        j = np.zeros((len(p), 3, 6))
-        j[:, 0, 1], j[:, 0, 2], j[:, 1, 0], j[:, 1, 2], j[:, 2, 0], j[:, 2, 1] = p[:, 2], -p[:, 1], -p[:, 2], p[:, 0], p[:, 1], -p[:, 0]
-        j[:, :, 3:] = np.eye(3)
-        jw = np.einsum("nki,nkl->nil", j, weight)
-        h = np.einsum("nil,nlj->ij", jw, j)
-        g = np.einsum("nil,nl->i", jw, e)
-        at = _exp(np.linalg.solve(h + 1e-6 * (np.trace(h) / 6 + 1e-9) * np.eye(6), -g)) @ at
-        if abs(score[0] - last[0]) < 1e-6 and abs(score[1] - last[1]) < 1e-6:
-            break
-    return Registration(at, *score, converged=score[0] > 0)
-
-
-def register_pairs(sources: DataFrame, targets: DataFrame, by: str = "pair_id", **options) -> DataFrame:
-    """Rows (by, t00 .. t23, fitness, rmse, converged): each pair of scans (by, x, y, z) aligned in a task of its own."""
-    names = [f"t{i}{j}" for i in range(3) for j in range(4)]
-
-    def align(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        key = (a if len(a) else b)[by].iloc[0]
-        r = register(a[["x", "y", "z"]].to_numpy(dtype=float), b[["x", "y", "z"]].to_numpy(dtype=float), **options)
-        return pd.DataFrame([[key, *r.transform[:3].ravel(), r.fitness, r.rmse, r.converged]], columns=[by, *names, "fitness", "rmse", "converged"])
-
-    schema = f"{by} {sources.schema[by].dataType.simpleString()}, " + ", ".join(f"{n} double" for n in names) + ", fitness double, rmse double, converged boolean"
-    return sources.select(by, "x", "y", "z").groupBy(by).cogroup(targets.select(by, "x", "y", "z").groupBy(by)).applyInPandas(align, schema)
+    The rotation fits the rotation vectors, the translation (R_A - I) t = R t_B - t_A, both by least squares over sums that Spark
+    makes in one pass. Groups of fewer than two motions have no row.
+    """
+    a, b = Pose.from_struct("a"), Pose.from_struct("b")
+    left = tuple(v - (1.0 if i % 4 == 0 else 0.0) for i, v in enumerate(a.r))
+    va, vb = axis_angle(a.r), axis_angle(b.r)
+    column = lambda j: tuple(left[3 * k + j] for k in range(3))
+    dot = lambda u, v: u[0] * v[0] + u[1] * v[1] + u[2] * v[2]
+    sums = {f"m{i}{j}": vb[i] * va[j] for i in range(3) for j in range(3)}
+    sums |= {f"l{i}{j}": dot(column(i), column(j)) for i in range(3) for j in range(i, 3)}
+    sums |= {f"a{i}": dot(column(i), a.t) for i in range(3)}
+    sums |= {f"b{i}{r}{c}": left[3 * r + i] * b.t[c] for i in range(3) for r in range(3) for c in range(3)}
+    rows = motions.groupBy(*by).agg(F.count("*").alias("n"), *(F.sum(v).alias(k) for k, v in sums.items())).where("n >= 2")
+
+    def solve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for k in range(len(frame)):
+                x = frame.iloc[k]
+                r = _turn(np.array([[x[f"m{i}{j}"] for j in range(3)] for i in range(3)]))
+                h = np.array([[x[f"l{min(i, j)}{max(i, j)}"] for j in range(3)] for i in range(3)])
+                g = np.array([sum(r[p, q] * x[f"b{i}{p}{q}"] for p in range(3) for q in range(3)) - x[f"a{i}"] for i in range(3)])
+                out.append([*(x[c] for c in by), *r.ravel(), *np.linalg.lstsq(h, g, rcond=None)[0]])
+            yield pd.DataFrame(out, columns=[*by, *POSE])
+
+    kinds = [f"{c} {motions.schema[c].dataType.simpleString()}" for c in by] + [f"{c} double" for c in POSE]
+    return rows.mapInPandas(solve, ", ".join(kinds)).select(*by, F.struct(*POSE).alias("x"))
 
 
 # --- pose graphs of x, y, z and yaw ---------------------------------------------------------------------------------
@@ -204,17 +106,93 @@ def normal_equations(poses: DataFrame, factors: DataFrame) -> tuple[DataFrame, D
     return h, sides.select("m.*").groupBy("i").agg(*(F.sum(f"b_{c}").alias(f"b_{c}") for c in DOF))
 
 
-def optimise(poses: DataFrame, factors: DataFrame, sweeps: int = 200, tolerance: float = 1e-9, by: str | None = None) -> DataFrame:
+def _descend(size: int, product: Callable[[np.ndarray], np.ndarray], side: np.ndarray, tolerance: float) -> np.ndarray:
+    """Conjugate gradients from zero, for all columns of ``side`` at once, each with its own steps."""
+    x, r = np.zeros_like(side), side.copy()
+    p, rr = r.copy(), (r * r).sum(axis=0)
+    limit = tolerance * tolerance * np.maximum(rr, 1e-300)
+    for _ in range(2 * size + 50):
+        if not (rr > limit).any():
+            break
+        q = product(p)
+        pq = (p * q).sum(axis=0)
+        step = np.where((rr > limit) & (pq > 0), rr / np.where(pq > 0, pq, 1.0), 0.0)
+        x += step * p
+        r -= step * q
+        new = (r * r).sum(axis=0)
+        p, rr = r + np.where(rr > 0, new / np.where(rr > 0, rr, 1.0), 0.0) * p, new
+    return x
+
+
+def solve_graph(poses: pd.DataFrame, factors: pd.DataFrame, tolerance: float) -> pd.DataFrame:
+    """The poses of one graph that fit its factors best, that of the smallest id held fixed."""
+    poses = poses.sort_values("id")
+    ids, x = poses["id"].to_numpy(), poses[list(DOF)].to_numpy(dtype=float)
+    a, b = (np.searchsorted(ids, factors[c].to_numpy(dtype=ids.dtype)) for c in "ab")
+    w = factors["weight"].to_numpy(dtype=float)[:, None]
+
+    def spread(v: np.ndarray) -> np.ndarray:
+        out = np.stack([np.bincount(b, weights=v[:, k], minlength=len(ids)) - np.bincount(a, weights=v[:, k], minlength=len(ids)) for k in range(v.shape[1])], axis=1)
+        out[0] = 0
+        return out
+
+    e = factors[list(DOF)].to_numpy(dtype=float) - (x[b] - x[a])
+    moved = x + _descend(len(ids), lambda p: spread(w * (p[b] - p[a])), spread(w * e), tolerance) if len(w) else x
+    return pd.DataFrame({"id": ids, **{c: moved[:, k] for k, c in enumerate(DOF)}})
+
+
+def optimise(poses: DataFrame, factors: DataFrame, sweeps: int = 200, tolerance: float = 1e-9, by: str | None = None, small: int = 20_000) -> DataFrame:
     """Poses that fit the factors best, the pose of the smallest id held fixed; with ``by``, a column of ``poses``, that of each of its graphs.
 
-    The residuals are linear, so one system is solved, by conjugate gradients whose products are a join and a grouped sum over
-    the factor table; the graph is never gathered anywhere. Factors link poses of one graph, and each graph has its own steps.
-    Poses without a path to a fixed one stay where they are. RuntimeError if a graph is not solved after ``sweeps``.
+    The residuals are linear, so one system is solved, by conjugate gradients. Graphs of up to ``small`` poses and factors are solved
+    each by one task. In larger ones products are a join and a grouped sum over the factor table, and the graph is never gathered
+    anywhere; both give the same poses. Factors link poses of one graph, and each graph has its own steps.
+    Poses without a path to a fixed one stay where they are if they have no factors. RuntimeError if a large graph is not solved after ``sweeps``.
+    """
+    names = materialise(poses.select("id", (F.col(by) if by else F.lit(0)).alias("of")), "graph-poses")
+    for end in "ab":
+        if not factors.join(names, factors[end] == names["id"], "left_anti").isEmpty():
+            raise ValueError("a factor names a pose that is not there")
+    graphs = names.groupBy("of").agg(F.min("id").alias("g"), F.count("*").alias("n"))
+    named = names.join(graphs, names["of"].eqNullSafe(graphs["of"])).select("id", "g", "n")
+    dealt = factors.join(named.select(F.col("id").alias("a"), "g", "n"), "a")
+    sizes = materialise(dealt.groupBy("g").agg(F.count("*").alias("m")), "graph-sizes")
+    named = materialise(named.join(sizes, "g", "left").select("id", "g", ((F.col("n") <= small) & (F.coalesce("m", F.lit(0)) <= small)).alias("small")), "graph-names")
+    rows = poses.select("id", *DOF).join(named, "id")
+    kind = f"id {poses.schema['id'].dataType.simpleString()}, " + ", ".join(f"{c} double" for c in DOF)
+
+    def solve(some: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
+        return solve_graph(some, links, tolerance)
+
+    links = factors.join(named.where("small").select(F.col("id").alias("a"), F.col("g").alias("graph")), "a").select("graph", "a", "b", *DOF, "weight")
+    done = rows.where("small").drop("small").groupBy("g").cogroup(links.groupBy("graph")).applyInPandas(solve, kind)
+    large = named.where("not small").select("id")
+    if large.isEmpty():
+        return done
+    ends = large.select(F.col("id").alias("a"))
+    far = _optimise_large(rows.where("not small").select("id", "g", *DOF), factors.join(ends, "a", "left_semi"), sweeps, tolerance)
+    return done.unionByName(far)
+
+
+def graph_report(before: DataFrame, after: DataFrame, factors: DataFrame, by: str | None = None) -> DataFrame:
+    """Rows (by, poses, factors, initial, final, reason) of an optimisation: roots of the weighted squared residuals, and why it ended.
+
+    reason is no_factors or converged; an empty table of poses has no row.
     """
+    own = before.select(F.col("id").alias("a"), (F.col(by) if by else F.lit(0)).alias("of"))
+    norm = lambda poses, name: residuals(poses.select("id", *DOF), factors).join(own, "a").groupBy("of").agg(F.count("*").alias("factors"), F.sqrt(F.sum(F.col("weight") * sum(F.col(f"e_{c}") * F.col(f"e_{c}") for c in DOF))).alias(name))
+    counts = own.groupBy("of").agg(F.count("*").alias("poses"))
+    one, two = norm(before, "initial"), norm(after, "final").drop("factors").withColumnRenamed("of", "of2")
+    both = one.join(two, one["of"].eqNullSafe(two["of2"])).drop("of2").withColumnRenamed("of", "of1")
+    out = counts.join(both, counts["of"].eqNullSafe(both["of1"]), "left")
+    out = out.select(F.col("of").alias(by or "graph"), "poses", F.coalesce("factors", F.lit(0)).alias("factors"), F.coalesce("initial", F.lit(0.0)).alias("initial"), F.coalesce("final", F.lit(0.0)).alias("final"))
+    return out.withColumn("reason", F.when(F.col("factors") == 0, "no_factors").otherwise("converged"))
+
+
+def _optimise_large(poses: DataFrame, factors: DataFrame, sweeps: int, tolerance: float) -> DataFrame:
+    """``optimise`` for graphs of any size: poses (id, g, x ..), g being the smallest id of its graph."""
     h, b = normal_equations(poses, factors)
-    named = poses.select(F.col("id").alias("i"), (F.col(by) if by else F.lit(0)).alias("g"))
-    fixed = materialise(named.groupBy("g").agg(F.min("i").alias("fixed")), "graph-anchors")
-    free = materialise(named.join(fixed, named.g.eqNullSafe(fixed.g)).where("i <> fixed").select("i", F.col("fixed").alias("g")), "graph-free")
+    free = materialise(poses.where("id <> g").select(F.col("id").alias("i"), "g"), "graph-free")
     h = materialise(h.join(free.select("i"), "i", "left_semi").join(free.select(F.col("i").alias("j")), "j", "left_semi"), "graph-system")
     product = lambda u, v: sum(F.col(f"{u}_{c}") * F.col(f"{v}_{c}") for c in DOF)
     state = b.join(free, "i").select("i", "g", *(F.lit(0.0).alias(f"x_{c}") for c in DOF), *(F.col(f"b_{c}").alias(f"r_{c}") for c in DOF), *(F.col(f"b_{c}").alias(f"p_{c}") for c in DOF))

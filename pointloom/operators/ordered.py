@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pointloom.functions.geometry import Pose, matmul, rotation_from_quaternion, transpose
+from pointloom.functions.geometry import Pose, matmul, quaternion_from_rotation, rotation_from_quaternion, slerp, transpose
 
 
 def sweep_ids(returns: DataFrame, by: tuple[str, ...], order: tuple[str, ...], azimuth: str = "azimuth_deg") -> DataFrame:
@@ -57,6 +57,20 @@ def odometry(poses: DataFrame, by: tuple[str, ...], order: tuple[str, ...], pose
     return both.withColumn("step", step.struct()).drop("_next")
 
 
+def poses_between(rows: DataFrame, t0: str, a: str, t1: str, b: str, t: str, out: str = "pose") -> DataFrame:
+    """Rows with the pose at time t of a motion from pose a at t0 to pose b at t1: the translation goes on beyond both ends, the rotation does not; a where the times are equal.
+
+    The steps are columns of their own, for a single expression would repeat each of them in the next.
+    """
+    quaternion = lambda q: F.struct(*(v.alias(c) for v, c in zip(q, "wxyz")))
+    of = lambda name: tuple(F.col(f"{name}.{c}") for c in "wxyz")
+    span = F.col(t1) - F.col(t0)
+    staged = rows.withColumns({"_alpha": F.when(span == 0, 0.0).otherwise((F.col(t) - F.col(t0)) / F.when(span == 0, 1.0).otherwise(span)), "_qa": quaternion(quaternion_from_rotation(Pose.from_struct(a).r)), "_qb": quaternion(quaternion_from_rotation(Pose.from_struct(b).r))})
+    staged = staged.withColumn("_q", quaternion(slerp(of("_qa"), of("_qb"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("_alpha"))))))
+    place = tuple(F.col(f"{a}.t{c}") + F.col("_alpha") * (F.col(f"{b}.t{c}") - F.col(f"{a}.t{c}")) for c in "xyz")
+    return staged.withColumn(out, Pose(rotation_from_quaternion(of("_q"), unit=True), place).struct()).drop("_alpha", "_qa", "_qb", "_q")
+
+
 def segments(rows: DataFrame, by: tuple[str, ...], order: tuple[str, ...], columns: tuple[str, ...] = ("x", "y")) -> DataFrame:
     """Rows with to_*: the next row's position; a group's last row has no segment."""
     w = Window.partitionBy(*by).orderBy(*order)

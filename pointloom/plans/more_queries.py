@@ -114,12 +114,6 @@ def join09(spark, d):
     return align.synchronised([a, b], ("sensor_id",), tolerance=0.3, bucket=5.0).select("sensor_id", "seq", F.col("s1_seq").alias("other"))
 
 
-@query("join11_correct_poses", I + ", k AS (SELECT seq FROM imu WHERE seq % 37 = 5) SELECT i.seq, coalesce((SELECT max(seq) FROM k WHERE k.seq <= i.seq), (SELECT min(seq) FROM k)) AS key_seq FROM imu i")
-def join11(spark, d):
-    rows = bridge.imu(spark, d).select("seq")
-    return align.correct_poses(rows, rows.where("seq % 37 = 5"), "seq", bucket=1000)
-
-
 @query("join14_exact_time", I + ", y AS (SELECT seq AS t, yaw FROM imu WHERE seq % 2 = 0), g AS (SELECT seq AS t, gz FROM imu WHERE seq % 3 = 0) SELECT y.t, round(yaw, 6) + 0.0::DOUBLE AS yaw, round(gz, 6) + 0.0::DOUBLE AS gz FROM y LEFT JOIN g ON y.t = g.t")
 def join14(spark, d):
     rows = bridge.imu(spark, d)

@@ -498,4 +498,4 @@ def flagship(spark, d):
     return rounded(out, "gyro_rate", "elapsed", "total_turn").withColumn("slope", F.round("slope", 4) + F.lit(0.0))
 
 
-from pointloom.plans import more_queries  # noqa: E402, F401  registers its own
+from pointloom.plans import mapping_queries, more_queries  # noqa: E402, F401  they register their own

@@ -3,17 +3,16 @@
 from __future__ import annotations
 
 import io
-import json
-import tomllib
 from collections.abc import Iterator
 from dataclasses import fields, is_dataclass
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pointloom.sources.calibration import read_mapping
+
 IMU_COLUMNS = ("t", "ax", "ay", "az", "gx", "gy", "gz", "mx", "my", "mz", "temp_c", "qw", "qx", "qy", "qz", "roll", "pitch", "yaw")
 
 
@@ -123,19 +122,8 @@ def ply_bytes(xyz: np.ndarray) -> bytes:
 
 
 def load_config(path: str, kind: type):
-    """A dataclass (nested ones too) from a JSON or TOML file: missing keys keep their defaults, unknown ones are ignored."""
-    file = Path(path)
-    if not file.exists():
-        raise FileNotFoundError(path)
-    if file.suffix == ".json":
-        data = json.loads(file.read_text())
-    elif file.suffix == ".toml":
-        data = tomllib.loads(file.read_text())
-    else:
-        raise ValueError(f"unknown kind of configuration: {file.suffix}")
-    if not isinstance(data, dict):
-        raise ValueError("a configuration is a mapping")
-    return _fill(kind, data)
+    """A dataclass (nested ones too) from a JSON, TOML or YAML file: missing keys keep their defaults, unknown ones are ignored."""
+    return _fill(kind, read_mapping(path))
 
 
 def _fill(kind: type, data: dict):

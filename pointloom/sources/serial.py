@@ -10,8 +10,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pointloom.functions.binary import byte_at, checksum, signed
+from pointloom.functions.binary import byte_at, checksum, crc8, signed, unsigned
 from pointloom.functions.geometry import quaternion_from_euler
+from pointloom.operators.reports import capture_stats
 
 # Fixed values of the sensors' protocols.
 STANDARD_GRAVITY = 9.80665
@@ -155,6 +156,61 @@ def bus_frames(captures: DataFrame, data: str = "data", lengths: dict[int, int]
     return _framed(captures, data, lambda c: frame_bus(c, lengths), "position bigint, frame binary", ["position", "frame"])
 
 
+# Fixed values of the mount's bus: frame lengths and fields by frame id.
+BUS_LENGTHS = {0x11: 5, 0x13: 7, 0x15: 9, 0x16: 10, 0x21: 5, 0x23: 7, 0x25: 9, 0x26: 10, 0x41: 5, 0x65: 9}
+BUS_FIELDS = {0x16: "azimuth_raw", 0x26: "tilt_raw", 0x13: "remote_axis_a", 0x23: "remote_axis_b", 0x15: "remote_state_a", 0x25: "remote_state_b", 0x65: "remote_state_c"}
+#: Length of frames with a field -> where it begins and its bytes.
+BUS_PLACES = {10: (5, 4), 7: (4, 2), 9: (4, 4)}
+BUS_MARK = b"\xfd\xfe"
+
+
+def bus_fields(frames: DataFrame, frame: str = "frame") -> DataFrame:
+    """Rows with frame_id, field and value (unsigned, little-endian); field and value are null for frames of other ids or lengths."""
+    data, kind, n = F.col(frame), byte_at(F.col(frame), 2), F.length(frame)
+    name = F.lit(None).cast("string")
+    value = F.lit(None).cast("long")
+    for i, label in BUS_FIELDS.items():
+        fits = (kind == i) & (n == BUS_LENGTHS[i])
+        name = F.when(fits, label).otherwise(name)
+        value = F.when(fits, unsigned(data, *BUS_PLACES[BUS_LENGTHS[i]])).otherwise(value)
+    return frames.withColumns({"frame_id": kind, "field": name, "value": value})
+
+
+def bus_packet(frame_id, mode, value) -> Column:
+    """FD FE, id, mode, the value in two little-endian bytes, and the CRC over all before it."""
+    byte = lambda c: F.lpad(F.hex((F.lit(c) if isinstance(c, int) else c).bitwiseAND(F.lit(255))), 2, "0")
+    v = F.lit(value) if isinstance(value, int) else value
+    head = F.unhex(F.concat(F.lit(BUS_MARK.hex()), byte(frame_id), byte(mode), byte(v), byte(F.shiftright(v, 8))))
+    return F.concat(head, F.unhex(F.lpad(F.hex(crc8(head)), 2, "0")))
+
+
+def bus_report(captures: DataFrame, by: tuple[str, ...], data: str = "data", t: str = "t") -> DataFrame:
+    """Rows (by, chunks, bytes, printable, bytes_per_second, frames, fields, crc_valid, crc_invalid) over all captures.
+
+    The last byte of every frame of 5 bytes is its CRC; frames of other lengths carry none.
+    """
+    frames = bus_fields(bus_frames(captures.select(*by, data), data, BUS_LENGTHS))
+    short = F.length("frame") == 5
+    right = crc8(F.expr("substring(frame, 1, length(frame) - 1)")) == byte_at(F.col("frame"), F.length("frame") - 1)
+    counts = frames.groupBy(*by).agg(F.count("*").alias("frames"), F.count("field").alias("fields"), F.count_if(short & right).alias("crc_valid"), F.count_if(short & ~right).alias("crc_invalid"))
+    out = capture_stats(captures, by, data, t).join(counts, list(by), "left")
+    return out.fillna(0, ["frames", "fields", "crc_valid", "crc_invalid"])
+
+
+def sensor_counts(rows: DataFrame, by: tuple[str, ...], data: str | None = None) -> DataFrame:
+    """Rows (by, n, bytes, ok): how many rows, and bytes of ``data``, each sensor gave; ok if there are any of both."""
+    size = F.coalesce(F.sum(F.octet_length(data)), F.lit(0)) if data else F.lit(0).cast("long")
+    out = rows.groupBy(*by).agg(F.count("*").alias("n"), size.cast("long").alias("bytes"))
+    return out.withColumn("ok", (F.col("n") > 0) & (F.col("bytes") > 0 if data else F.lit(True)))
+
+
+def probe_table(replies: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """Rows (by, opened, responses, replies) from rows (by, command, reply): a map of the commands that were answered; a port that gave no reply at all was not opened."""
+    answered = F.filter(F.collect_list(F.struct("command", "reply")), lambda x: x["reply"].isNotNull() & (x["reply"] != ""))
+    out = replies.groupBy(*by).agg(F.array_sort(answered).alias("_a"), F.max(F.col("reply").isNotNull()).alias("opened"))
+    return out.select(*by, "opened", F.size("_a").alias("responses"), F.map_from_entries(F.array_distinct("_a")).alias("replies"))
+
+
 def gap_histogram(positions: DataFrame, by: tuple[str, ...], most: int = 6) -> DataFrame:
     """The most frequent distances between successive positions; ties to the one seen first."""
     w = Window.partitionBy(*by).orderBy("position")
