@@ -113,19 +113,6 @@ def read_recordings(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(split, "file string, packet_id bigint, ts double, payload binary")
 
 
-def recording_bytes(packets: DataFrame, by: tuple[str, ...] = (), order: str = "packet_id") -> DataFrame:
-    """Rows (by, part, content) whose contents follow one another as a recording; built from hex expressions of the format's header."""
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                p = batch.slice(at, 1024)
-                content = b"".join(struct.pack(HEADER, t, len(b)) + b for t, b in zip(p.column("ts").to_pylist(), p.column("payload").to_pylist()))
-                yield pa.RecordBatch.from_pylist([{"first": p.column("first")[0].as_py(), "content": content}])
-
-    return packets.select(F.col(order).alias("first"), "ts", "payload").repartitionByRange("first").sortWithinPartitions("first").mapInArrow(pack, "first bigint, content binary")
-
-
 def build_packet(azimuths: list[float], distances: np.ndarray, intensities: np.ndarray, timestamp_us: int = 0) -> bytes:
     """A packet of 12 blocks from azimuths (degrees) and arrays (12, 32) of metres and intensities; for tests and simulation."""
     blocks = np.zeros(12, dtype=BLOCK)
