@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pointloom.operators.durable import discard, materialise
+
 #: State and inputs of some groups (rows), to their next state, outputs, and which of them give a row (None: all).
 Step = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray | None]]
 IDENTITY = (1.0, 0.0, 0.0, 0.0)
@@ -285,13 +287,17 @@ def pose_chain(rows: DataFrame, by: tuple[str, ...], order: tuple[str, ...], car
     return ordered_fold(rows, by, order, names, (1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0), step, names, carry)
 
 
-def farthest_points(cloud: DataFrame, by: tuple[str, ...], n: int, key: str = "point_id", seed: int = 0) -> DataFrame:
+def farthest_points(cloud: DataFrame, by: tuple[str, ...], n: int, key: str = "point_id", seed: int = 0, small: int = 1_000_000) -> DataFrame:
     """Rows (by, key, rank): from the point number seed mod count of each group on, the point farthest from all chosen so far, ties to the smaller key.
 
-    A group (a scan) is held in one task.
+    Groups of up to ``small`` points are held by one task each; larger ones are never gathered: each choice is a grouped maximum over
+    the distances, which are a table. Both give the same points.
     """
     import pandas as pd
 
+    sizes = materialise(cloud.groupBy(*by).agg(F.count("*").alias("_size")), "group-sizes")
+    rows = cloud.select(*by, key, "x", "y", "z")
+
     def pick(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(key)
         xyz = group[["x", "y", "z"]].to_numpy()
@@ -302,4 +308,21 @@ def farthest_points(cloud: DataFrame, by: tuple[str, ...], n: int, key: str = "p
         return group.iloc[chosen][[*by, key]].assign(rank=np.arange(1, len(chosen) + 1))
 
     schema = ", ".join([*(f"{c} {cloud.schema[c].dataType.simpleString()}" for c in (*by, key)), "rank long"])
-    return cloud.select(*by, key, "x", "y", "z").groupBy(*by).applyInPandas(pick, schema)
+    few = sizes.where(F.col("_size") <= small).drop("_size")
+    out = rows.join(few, list(by), "left_semi").groupBy(*by).applyInPandas(pick, schema)
+    many = sizes.where(F.col("_size") > small)
+    if many.isEmpty():
+        return out
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(key)) - 1
+    state = rows.join(many, list(by)).withColumn("_first", place == F.lit(seed) % F.col("_size"))
+    state = materialise(state.withColumn("_d", F.when(F.col("_first"), float("inf")).otherwise(-1.0)).drop("_first", "_size"), "farthest-distances")
+    for rank in range(1, n + 1):
+        best = materialise(state.groupBy(*by).agg(F.min_by(F.struct(key, "x", "y", "z", "_d"), F.struct(-F.col("_d"), key)).alias("_c")), "farthest-choice")
+        out = out.unionByName(best.where("_c._d <> 0 or {} = 1".format(rank)).select(*by, f"_c.{key}", F.lit(rank).cast("long").alias("rank")))
+        if rank == n:
+            break
+        d = sum((F.col(c) - F.col(f"_c.{c}")) * (F.col(c) - F.col(f"_c.{c}")) for c in "xyz")
+        near = F.when(F.col("_d") < 0, d).otherwise(F.least("_d", d)) if rank == 1 else F.least("_d", d)
+        old, state = state, materialise(state.join(best, list(by)).withColumn("_d", near).drop("_c"), "farthest-distances")
+        discard(old)
+    return out
