@@ -287,8 +287,10 @@ def agg22(spark, d):
     return rounded(bridge.trajectory(spark, d).agg(F.count("*").alias("poses"), F.countDistinct("sensor_id").alias("sensors"), (F.max("t") - F.min("t")).alias("elapsed")), "elapsed")
 
 
-@query("fit05_pose_graph")
+@query("fit05_pose_graph", T + f""", s AS (SELECT *, coalesce(sum(gx) OVER (PARTITION BY sensor_id ORDER BY t, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM trajectory),
+  f AS (SELECT *, off - arg_min(off, seq) OVER (PARTITION BY sensor_id) AS e FROM s) SELECT seq AS id, {sql_round('x + e AS x', 'y + e AS y', 'z + e AS z', 'yaw + e AS yaw')} FROM f""")
 def fit05(spark, d):
+    """Each sensor's steps, each a little off, make a chain: the fit is the sum of its steps from the fixed pose on."""
     from pointloom.operators import fit
 
     w = Window.partitionBy("sensor_id").orderBy("t", "seq")

@@ -383,12 +383,57 @@ def nine_axes(spark, d):
     return bridge.imu(spark, d).withColumns({"mx": F.when(F.col("seq") % 2 == 0, F.lit(25.0)), "my": F.when(F.col("seq") % 2 == 0, F.col("gx") * 10), "mz": F.when(F.col("seq") % 2 == 0, F.lit(-40.0))})
 
 
-@query("win03_madgwick")
+def filter_sql(extra: list[str], steps: list[str], rate: tuple[str, str, str]) -> str:
+    """A recursion over each sensor's rows: ``steps`` name values in turn, then the gyro step at ``rate`` or, without it, the named w1 .. z1."""
+    gx, gy, gz = rate or ("", "", "")
+    gyro = [f"w + 0.005::DOUBLE * (-x*({gx}) - y*({gy}) - z*({gz})) AS w1", f"x + 0.005::DOUBLE * (w1*({gx}) + y*({gz}) - z*({gy})) AS x1", f"y + 0.005::DOUBLE * (w1*({gy}) - x1*({gz}) + z*({gx})) AS y1", f"z + 0.005::DOUBLE * (w1*({gz}) + x1*({gy}) - y1*({gx})) AS z1"] if rate else []
+    rows = "SELECT k.sensor_id, k.i, k.seq, gx, gy, gz, ax, ay, az, mx, my, mz, w, x, y, z" + "".join(f", {c}" for c in extra) + " FROM f JOIN k ON k.sensor_id = f.sensor_id AND k.i = f.i + 1"
+    for step in [*steps, *gyro, "sqrt(w1*w1 + x1*x1 + y1*y1 + z1*z1) AS n1"]:
+        rows = f"SELECT *, {step} FROM ({rows})"
+    kept = "".join(f", {c}1" for c in extra)
+    start = "".join(f", 0.0::DOUBLE AS {c}" for c in extra)
+    return f"""WITH RECURSIVE {bridge.IMU}, k AS (SELECT *, row_number() OVER (PARTITION BY sensor_id ORDER BY t, seq) AS i, CASE WHEN seq % 2 = 0 THEN 25.0::DOUBLE END AS mx, CASE WHEN seq % 2 = 0 THEN gx * 10 END AS my, CASE WHEN seq % 2 = 0 THEN -40.0::DOUBLE END AS mz FROM imu),
+  f AS (SELECT sensor_id, 0::BIGINT AS i, -1::BIGINT AS seq, 1.0::DOUBLE AS w, 0.0::DOUBLE AS x, 0.0::DOUBLE AS y, 0.0::DOUBLE AS z{start} FROM k WHERE i = 1 UNION ALL SELECT sensor_id, i, seq, w1 / n1, x1 / n1, y1 / n1, z1 / n1{kept} FROM ({rows}))
+  SELECT sensor_id, seq, {QUATERNION} FROM f WHERE i > 0"""
+
+
+#: Unit gravity (a, b, c) and field (d, e, g), the field in the world's frame, and its image bx, bz as the sensor should see it.
+DIRECTIONS = [
+    "sqrt(ax*ax + ay*ay + az*az) AS an, sqrt(mx*mx + my*my + mz*mz) AS mn",
+    "ax/an AS a, ay/an AS b, az/an AS c, mx/mn AS d, my/mn AS e, mz/mn AS g",
+    "2*d*(0.5 - y*y - z*z) + 2*e*(x*y - w*z) + 2*g*(x*z + w*y) AS hx, 2*d*(x*y + w*z) + 2*e*(0.5 - x*x - z*z) + 2*g*(y*z - w*x) AS hy, 2*d*(x*z - w*y) + 2*e*(y*z + w*x) + 2*g*(0.5 - x*x - y*y) AS bz",
+    "sqrt(hx*hx + hy*hy) AS bx",
+    "2*bx*(0.5 - y*y - z*z) + 2*bz*(x*z - w*y) AS fx, 2*bx*(x*y - w*z) + 2*bz*(w*x + y*z) AS fy, 2*bx*(w*y + x*z) + 2*bz*(0.5 - x*x - y*y) AS fz",
+]
+# the gradient of half the squared differences, over six rows, or the six-axis form where there is no field
+JACOBIAN = (
+    ("-2*y", "2*z", "-2*w", "2*x"), ("2*x", "2*w", "2*z", "2*y"), ("0", "-4*x", "-4*y", "0"), ("-2*bz*y", "2*bz*z", "-4*bx*y - 2*bz*w", "-4*bx*z + 2*bz*x"),
+    ("-2*bx*z + 2*bz*x", "2*bx*y + 2*bz*w", "2*bx*x + 2*bz*z", "-2*bx*w + 2*bz*y"), ("2*bx*y", "2*bx*z - 4*bz*x", "2*bx*w - 4*bz*y", "2*bx*x"),
+)
+NINE = [" + ".join(f"({row[i]})*d{k}" for k, row in enumerate(JACOBIAN)) for i in range(4)]
+SIX = [" + ".join(f"({row[i]})*d{k}" for k, row in enumerate(JACOBIAN[:3])) for i in range(4)]
+MADGWICK = [
+    *DIRECTIONS,
+    "2*(x*z - w*y) - a AS d0, 2*(w*x + y*z) - b AS d1, 1 - 2*(x*x + y*y) - c AS d2, fx - d AS d3, fy - e AS d4, fz - g AS d5",
+    "4*(x*x + y*y - 0.5) AS pull",
+    f"CASE WHEN d IS NULL THEN pull*w - ({SIX[0]}) ELSE {NINE[0]} END AS s0, CASE WHEN d IS NULL THEN pull*x - ({SIX[1]}) ELSE {NINE[1]} END AS s1, CASE WHEN d IS NULL THEN pull*y - ({SIX[2]}) ELSE {NINE[2]} END AS s2, CASE WHEN d IS NULL THEN {SIX[3]} ELSE {NINE[3]} END AS s3",
+    "greatest(sqrt(s0*s0 + s1*s1 + s2*s2 + s3*s3), 1e-300::DOUBLE) AS sn",
+    "w + 0.01::DOUBLE * (0.5*(-x*gx - y*gy - z*gz) - 0.1::DOUBLE*s0/sn) AS w1, x + 0.01::DOUBLE * (0.5*(w*gx + y*gz - z*gy) - 0.1::DOUBLE*s1/sn) AS x1, y + 0.01::DOUBLE * (0.5*(w*gy - x*gz + z*gx) - 0.1::DOUBLE*s2/sn) AS y1, z + 0.01::DOUBLE * (0.5*(w*gz + x*gy - y*gx) - 0.1::DOUBLE*s3/sn) AS z1",
+]
+MAHONY = [
+    *DIRECTIONS,
+    "2*(x*z - w*y) AS vx, 2*(w*x + y*z) AS vy, w*w - x*x - y*y + z*z AS vz",
+    "b*vz - c*vy + coalesce(e*fz - g*fy, 0) AS e0, c*vx - a*vz + coalesce(g*fx - d*fz, 0) AS e1, a*vy - b*vx + coalesce(d*fy - e*fx, 0) AS e2",
+    "i0 + 0.01::DOUBLE*e0 AS i01, i1 + 0.01::DOUBLE*e1 AS i11, i2 + 0.01::DOUBLE*e2 AS i21",
+]
+
+
+@query("win03_madgwick", filter_sql([], MADGWICK, ()))
 def win03(spark, d):
     return rounded(folds.attitude(nine_axes(spark, d), ("sensor_id",), ("t", "seq"), carry=("seq",)), "qw", "qx", "qy", "qz")
 
 
-@query("win06_mahony")
+@query("win06_mahony", filter_sql(["i0", "i1", "i2"], MAHONY, tuple(f"g{c} + 0.1::DOUBLE*i{k}1 + 0.5::DOUBLE*e{k}" for k, c in enumerate("xyz"))))
 def win06(spark, d):
     return rounded(folds.attitude(nine_axes(spark, d), ("sensor_id",), ("t", "seq"), "mahony", ki=0.1, carry=("seq",)), "qw", "qx", "qy", "qz")
 
