@@ -151,6 +151,11 @@ class Pose:
     def from_struct(name: str) -> Pose:
         return Pose(tuple(F.col(f"{name}.r{i}{j}") for i in range(3) for j in range(3)), tuple(F.col(f"{name}.t{c}") for c in "xyz"))
 
+    @staticmethod
+    def from_columns(*names: str) -> Pose:
+        """From twelve columns: the rotation by rows, then the translation."""
+        return Pose(tuple(F.col(c) for c in names[:9]), tuple(F.col(c) for c in names[9:]))
+
     def struct(self) -> Column:
         return F.struct(*(self.r[3 * i + j].alias(f"r{i}{j}") for i in range(3) for j in range(3)), *(v.alias(f"t{c}") for v, c in zip(self.t, "xyz")))
 

@@ -224,6 +224,22 @@ def preintegrate(rows: DataFrame, by: tuple[str, ...], order: tuple[str, ...], s
     return ordered_fold(rows, by, order, ("t", "gx", "gy", "gz"), (*IDENTITY, np.nan), step, QUATERNION, carry)
 
 
+def skew_matrices(v: np.ndarray) -> np.ndarray:
+    """The matrices (n, 3, 3) whose product with a vector is the cross product of each row of v with it."""
+    k = np.zeros((len(v), 3, 3))
+    k[:, 2, 1], k[:, 0, 2], k[:, 1, 0] = v.T
+    return k - k.transpose(0, 2, 1)
+
+
+def rotations(v: np.ndarray) -> np.ndarray:
+    """The rotation matrices (n, 3, 3) of rotation vectors."""
+    angle = np.sqrt((v * v).sum(axis=1))
+    safe, k = np.where(angle > 1e-12, angle, 1.0), skew_matrices(v)
+    a = np.where(angle > 1e-12, np.sin(safe) / safe, 1.0)[:, None, None]
+    b = np.where(angle > 1e-12, (1 - np.cos(safe)) / safe**2, 0.5)[:, None, None]
+    return np.eye(3) + a * k + b * (k @ k)
+
+
 ROTATION = tuple(f"r{i}{j}" for i in range(3) for j in range(3))
 
 
@@ -236,14 +252,7 @@ def preintegrate_matrix(rows: DataFrame, by: tuple[str, ...], order: tuple[str,
     def step(s, x):
         ok, dt = _valid(s, x, 9, 0.0, most_dt)
         v = np.where(ok[:, None], x[:, 1:] * dt[:, None], 0.0)
-        angle = np.sqrt((v * v).sum(axis=1))
-        safe = np.where(angle > 1e-12, angle, 1.0)
-        k = np.zeros((len(v), 3, 3))
-        k[:, 2, 1], k[:, 0, 2], k[:, 1, 0] = v.T
-        k -= k.transpose(0, 2, 1)
-        a = np.where(angle > 1e-12, np.sin(safe) / safe, 1.0)[:, None, None]
-        b = np.where(angle > 1e-12, (1 - np.cos(safe)) / safe**2, 0.5)[:, None, None]
-        u, _, vt = np.linalg.svd(s[:, :9].reshape(-1, 3, 3) @ (np.eye(3) + a * k + b * (k @ k)))  # back to the nearest rotation
+        u, _, vt = np.linalg.svd(s[:, :9].reshape(-1, 3, 3) @ rotations(v))  # back to the nearest rotation
         r = (u @ vt).reshape(-1, 9)
         return np.concatenate((r, x[:, :1]), axis=1), r, None
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from pointloom.functions.geometry import Pose
 from pointloom.operators.fit import POSE, _descend
+from pointloom.operators.folds import rotations, skew_matrices
 from pointloom.operators.mapping import POSE_KIND, chain
 
 
@@ -29,20 +30,6 @@ def _split(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return flat[:, :9].reshape(-1, 3, 3), flat[:, 9:]
 
 
-def _skew(v: np.ndarray) -> np.ndarray:
-    k = np.zeros((len(v), 3, 3))
-    k[:, 2, 1], k[:, 0, 2], k[:, 1, 0] = v.T
-    return k - k.transpose(0, 2, 1)
-
-
-def _exp(v: np.ndarray) -> np.ndarray:
-    angle = np.linalg.norm(v, axis=1)
-    safe, k = np.where(angle > 1e-12, angle, 1.0), _skew(v)
-    a = np.where(angle > 1e-12, np.sin(safe) / safe, 1.0)[:, None, None]
-    b = np.where(angle > 1e-12, (1 - np.cos(safe)) / safe**2, 0.5)[:, None, None]
-    return np.eye(3) + a * k + b * (k @ k)
-
-
 def _log(r: np.ndarray) -> np.ndarray:
     cosine = np.clip((np.trace(r, axis1=1, axis2=2) - 1) / 2, -1, 1)
     angle = np.arccos(cosine)
@@ -80,7 +67,7 @@ class Graph:
             back = rab.transpose(0, 2, 1)
             adjoint = np.zeros((m, 6, 6))  # of T_b to T_a
             adjoint[:, :3, :3] = adjoint[:, 3:, 3:] = back
-            adjoint[:, 3:, :3] = _skew(-(back @ tab[:, :, None])[:, :, 0]) @ back
+            adjoint[:, 3:, :3] = skew_matrices(-(back @ tab[:, :, None])[:, :, 0]) @ back
             ja = -jb @ adjoint
 
             def spread(v: np.ndarray, ja=ja, jb=jb) -> np.ndarray:
@@ -96,7 +83,7 @@ class Graph:
                 return (spread(self.weight * v) + damping * p).reshape(-1, 1)
 
             step = _descend(6 * n, product, -spread(self.weight * e).reshape(-1, 1), 1e-10).reshape(n, 6)
-            r, t = self.r @ _exp(step[:, :3]), self.t + (self.r @ step[:, 3:, None])[:, :, 0]
+            r, t = self.r @ rotations(step[:, :3]), self.t + (self.r @ step[:, 3:, None])[:, :, 0]
             new, *rest = self.errors(r, t)
             gain = self.cost(e) - self.cost(new)
             if gain < 0:

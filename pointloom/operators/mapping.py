@@ -13,8 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pointloom.functions.geometry import Matrix, Pose, matmul, rotate, skew, transpose
-from pointloom.operators import align, cloud as clouds, folds
+from pointloom.functions.geometry import Intrinsics, Matrix, Pose, back_project, matmul, rotate, skew, transpose
+from pointloom.operators import align, cloud as clouds, folds, vision
 from pointloom.operators.durable import discard, materialise
 
 ROTATION = folds.ROTATION
@@ -49,14 +49,7 @@ def solve_step(rows: pd.DataFrame, damping: float = 1e-6) -> pd.DataFrame:
             h[:, i, j] = h[:, j, i] = rows[f"h{i}{j}"]
     weak = damping * (np.trace(h, axis1=1, axis2=2) / 6 + 1e-9)
     x = np.linalg.solve(h + weak[:, None, None] * np.eye(6), -g[:, :, None])[:, :, 0] if n else np.zeros((0, 6))
-    angle = np.linalg.norm(x[:, :3], axis=1)
-    safe = np.where(angle > 1e-12, angle, 1.0)
-    k = np.zeros((n, 3, 3))
-    k[:, 2, 1], k[:, 0, 2], k[:, 1, 0] = x[:, :3].T
-    k -= k.transpose(0, 2, 1)
-    a = np.where(angle > 1e-12, np.sin(safe) / safe, 1.0)[:, None, None]
-    b = np.where(angle > 1e-12, (1 - np.cos(safe)) / safe**2, 0.5)[:, None, None]
-    r = np.eye(3) + a * k + b * (k @ k)
+    r = folds.rotations(x[:, :3])
     return pd.DataFrame(np.concatenate((r.reshape(-1, 9), x[:, 3:]), axis=1), columns=list(POSE))
 
 
@@ -184,6 +177,26 @@ def map_scans(scans: DataFrame, by: str = "session", order: str = "scan", voxel:
     return poses, clouds.voxel_downsample(placed, voxel, by=(by,)).select(by, "x", "y", "z")
 
 
+def visual_odometry(keypoints: DataFrame, bits: tuple[str, ...], camera: Intrinsics, by: str = "session", order: str = "frame", ratio: float = 0.75, **options) -> DataFrame:
+    """Rows (by, order, pose, matches, inliers, accepted): the camera's path from keypoints (by, order, id, u, v, depth, bits) of its frames.
+
+    Each frame is matched to the one before it; matched keypoints with a depth there are points of that frame, from which the camera's
+    motion is found. A frame whose motion is not accepted stays where the one before it is. Frames are numbered by order, gaps do no harm.
+    """
+    w = Window.partitionBy(by).orderBy(order)
+    frames = materialise(keypoints.select(by, order).distinct().withColumn("before", F.lag(order).over(w)), "odometry-frames")
+    later = frames.where("before is not null")
+    old = later.join(keypoints.withColumnRenamed(order, "before"), [by, "before"])
+    new = later.select(by, order).join(keypoints, [by, order])
+    pairs = align.descriptor_matches(old, new, bits, ratio, (by, order))
+    at = old.select(by, order, F.col("id").alias("query"), *(v.alias(c) for v, c in zip(back_project("u", "v", "depth", camera), "xyz"))).where("z is not null")
+    points = pairs.join(at, [by, order, "query"]).join(new.select(by, order, F.col("id").alias("train"), "u", "v"), [by, order, "train"])
+    found = vision.camera_poses(points, (by, order), camera, **options)
+    steps = frames.join(found, [by, order], "left").withColumn("step", F.when(F.col("accepted"), Pose.from_columns(*POSE).inverse().struct()))
+    steps = materialise(steps.select(by, order, "step", F.coalesce("n", F.lit(0)).alias("matches"), F.coalesce("inliers", F.lit(0)).alias("inliers"), F.coalesce("accepted", F.lit(False)).alias("accepted")), "odometry-steps")
+    return chain(steps, (by,), (order,), (order, "matches", "inliers", "accepted"))
+
+
 def cap_map(points: DataFrame, most: int = 2_000_000, voxel: float = 0.2, by: str = "session") -> DataFrame:
     """The map, thinned to voxels where a session has over ``most`` points."""
     large = points.groupBy(by).agg(F.count("*").alias("n")).where(F.col("n") > most).select(by)

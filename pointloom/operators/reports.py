@@ -57,6 +57,14 @@ def pose_json(pose: Pose, digits: int = 6) -> Column:
     return F.to_json(F.struct(F.struct(*(r(v).alias(c) for v, c in zip(pose.t, "xyz"))).alias("position"), F.struct(*(r(v).alias(c) for v, c in zip(q, "wxyz"))).alias("quaternion"), F.struct(*(r(v).alias(c) for v, c in zip(euler_from_rotation(pose.r), ("roll", "pitch", "yaw")))).alias("euler_deg")))
 
 
+def calibration_json(trials: DataFrame, by: tuple[str, ...], rate: str) -> DataFrame:
+    """One row (report): all trials and their ``trial_summary`` as a JSON object; for the trials of one calibration, which are few."""
+    rows = trials.agg(F.array_sort(F.collect_list(F.struct(*by, *(c for c in trials.columns if c not in by)))).alias("trials"))
+    summary = trial_summary(trials, by, rate)
+    short = summary.agg(F.array_sort(F.collect_list(F.struct(*summary.columns))).alias("summary"))
+    return rows.crossJoin(F.broadcast(short)).select(F.to_json(F.struct("trials", "summary")).alias("report"))  # a row each
+
+
 def fit_to_canvas(cloud: DataFrame, width: int, height: int, by: tuple[str, ...] = (), margin: int = 4) -> DataFrame:
     """Rows with px, py: x and y scaled alike to fill a canvas less its margin, y upwards; a single place goes to the corner of the margin."""
     span = cloud.groupBy(*by).agg(*(f(c).alias(f"_{n}{c}") for c in "xy" for f, n in ((F.min, "lo"), (F.max, "hi"))))

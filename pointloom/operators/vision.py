@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 
 from pointloom.functions.geometry import Intrinsics
 from pointloom.operators.fit import POSE
-from pointloom.operators.graph6 import _exp
+from pointloom.operators.folds import rotations
 
 
 def _samples(n: int, size: int, tries: int, seed: int) -> np.ndarray:
@@ -137,7 +137,7 @@ def camera_poses(points: DataFrame, by: tuple[str, ...], camera: Intrinsics, pix
             j[:, :, 2] = j[:, :, 4] * c[:, :1] - j[:, :, 3] * c[:, 1:2]
             flat = j.reshape(-1, 6)
             step = np.linalg.lstsq(flat, -e.ravel(), rcond=None)[0]
-            turn = _exp(step[None, :3])[0]
+            turn = rotations(step[None, :3])[0]
             m = np.concatenate((turn @ m[:, :3], (turn @ m[:, 3] + step[3:])[:, None]), axis=1)
             inside = (_reproject(m, xyz, rays)[0] ** 2).sum(axis=-1) <= limit
             if np.abs(step).max() < 1e-10:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from pointloom.functions import geometry as g
-from pointloom.operators import align, mapping, ordered
+from pointloom.functions import geometry as g, text
+from pointloom.operators import align, mapping, ordered, reports
 from pointloom.plans import bridge
 from pointloom.plans.base import query, r6, rounded, sql_round
 from pointloom.sources import serial
@@ -114,6 +114,35 @@ def snk16(spark, d):
     return bridge.table(spark, d, "events").select("event_id", F.hex(packet).alias("packet"))
 
 
+@query("flt14_option_lists", """WITH t AS (SELECT c_custkey, [NULL, '0, 1,-1', ' 2.5 ', '', '1,2,3,4', '-1,,video0'][c_custkey % 6 + 1] AS s FROM customer),
+  p AS (SELECT *, list_filter(list_transform(string_split(coalesce(s, ''), ','), lambda x: trim(x)), lambda x: x <> '') AS p FROM t)
+  SELECT c_custkey, array_to_string(list_filter(p, lambda x: x <> '-1'), '|') AS devices, CASE WHEN len(list_filter(p, lambda x: try_cast(x AS DOUBLE) IS NULL)) = 0 THEN list_sum((list_transform(p, lambda x: x::DOUBLE) || [0.5, 0.5, 0.5])[1:3]) END AS total FROM p""")
+def flt14(spark, d):
+    options = F.get(F.array(*(F.lit(x) for x in (None, "0, 1,-1", " 2.5 ", "", "1,2,3,4", "-1,,video0"))), (F.col("c_custkey") % 6).cast("int"))
+    numbers = text.float_list(F.col("s"), 3, 0.5)
+    total = F.when(numbers.isNotNull(), F.aggregate(numbers, F.lit(0.0), lambda a, b: a + b))
+    return bridge.table(spark, d, "customer").withColumn("s", options).select("c_custkey", F.array_join(text.device_list(F.col("s")), "|").alias("devices"), total.alias("total"))
+
+
+@query("snk17_reply_problems", """WITH t AS (SELECT c_custkey, [':GLS#', ':mn#', ':V#'][c_custkey % 3 + 1] AS c, ['', '1', '0', 'x', '12#', '12', NULL][c_custkey % 7 + 1] AS r FROM customer)
+  SELECT c_custkey, CASE WHEN r IS NULL OR r = '' THEN 'none' WHEN c <> ':mn#' AND NOT ends_with(r, '#') THEN 'incomplete' WHEN c = ':mn#' AND r = 'x' THEN 'unexpected' END AS problem FROM t""")
+def snk17(spark, d):
+    k = F.col("c_custkey")
+    pick = lambda values: F.get(F.array(*(F.lit(v) for v in values)), (k % len(values)).cast("int"))
+    problem = serial.reply_problem(pick((":GLS#", ":mn#", ":V#")), pick(("", "1", "0", "x", "12#", "12", None)))
+    return bridge.table(spark, d, "customer").select("c_custkey", problem.alias("problem"))
+
+
+@query("snk15_calibration_json", """WITH t AS (SELECT l_returnflag AS axis, l_linenumber AS trial, round(sum(l_quantity), 2) AS rate FROM lineitem GROUP BY 1, 2) SELECT axis, count(*) AS n, median(rate) AS median_rate, sum(rate) AS total FROM t GROUP BY axis""")
+def snk15(spark, d):
+    """The report, read back."""
+    trials = bridge.table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("axis"), F.col("l_linenumber").alias("trial")).agg(F.round(F.sum("l_quantity"), 2).alias("rate"))
+    kind = "struct<trials:array<struct<axis:string,trial:int,rate:double>>,summary:array<struct<axis:string,n:long,median_rate:double>>>"
+    report = reports.calibration_json(trials, ("axis",), "rate").select(F.from_json("report", kind).alias("r"))
+    totals = report.select(F.explode("r.trials").alias("t")).groupBy("t.axis").agg(F.sum("t.rate").alias("total"))
+    return report.select(F.explode("r.summary").alias("s")).select("s.axis", "s.n", "s.median_rate").join(totals, "axis")
+
+
 @query("agg23_sensor_counts", I + "SELECT i.sensor_id, count(*) AS n, sum(octet_length(encode(e.props)))::BIGINT AS bytes, sum(octet_length(encode(e.props))) > 0 AS ok FROM imu i JOIN events e ON e.event_id = i.seq GROUP BY i.sensor_id")
 def agg23(spark, d):
     rows = bridge.table(spark, d, "events").select(F.col("user_id").alias("sensor_id"), "props")

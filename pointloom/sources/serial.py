@@ -62,6 +62,13 @@ def expects_terminator(command: Column) -> Column:
     return F.coalesce(command.rlike("^:[GVF]") | (command == ":MountInfo#"), F.lit(False))
 
 
+def reply_problem(command: Column, reply: Column) -> Column:
+    """Why a mount's reply is not to be trusted: none, incomplete or unexpected; null if it is."""
+    short = (F.length(F.trim(reply)) == 1) & ~F.trim(reply).isin("0", "1")
+    ends = expects_terminator(F.trim(command))
+    return F.when(F.coalesce(F.length(reply), F.lit(0)) == 0, "none").when(ends & ~reply.endswith("#"), "incomplete").when(~ends & short, "unexpected")
+
+
 def mpu9250(registers: DataFrame, accel_g: int = 2, gyro_dps: int = 250) -> DataFrame:
     """Rows with ax .. gz and temp_c from 14 big-endian bytes in ``data``; ValueError for an unknown range."""
     if accel_g not in ACCEL_LSB_PER_G or gyro_dps not in GYRO_LSB_PER_DPS:
