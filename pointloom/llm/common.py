@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,7 +46,14 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 8 <
         for a, b in zip(cuts, cuts[1:]):
             yield batch.slice(a, b - a)
         del batch
-    pa.default_memory_pool().release_unused()  # workers outlive their tasks
+    release_memory()
+
+
+def release_memory() -> None:
+    """Give memory that a task has freed back to the system: Python workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # a C library without it keeps its memory
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def segment_sums(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:

@@ -24,14 +24,15 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", most_roun
     for _ in range(most_rounds):
         if before[0] == 0:
             break
-        # one plan for each round, which reuses the shuffle of its middle table
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = materialise(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = materialise(large.where("u <> v").distinct(), "large")
+        discard(edges, least)
+        least = materialise(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        old, edges = edges, materialise(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "links")
-        discard(old)
+        edges = materialise(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "links")
+        discard(large, least)
         after = _digest(edges)
         if after == before:
             break

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pointloom.llm.common import materialise, mix64, placed, rows_with, segment_sums, slices, utf8
+from pointloom.llm.common import materialise, mix64, placed, release_memory, rows_with, segment_sums, slices, utf8
 from pointloom.llm.components import connected_components
 
 SEED = 42
@@ -197,6 +197,7 @@ def _link_batches(batches: Iterator[pa.RecordBatch], fps: int, most_run: int, di
         parts, held = ([x[cut:]], len(x) - cut) if cut < len(x) else ([], 0)
     if parts:
         yield from emit(np.concatenate(parts))
+    release_memory()
 
 
 #: A segment's bits are divided into so many stretches; all stretches but one are the key that rows are dealt by.
@@ -415,6 +416,7 @@ def _verify_batches(batches: Iterator[pa.RecordBatch], similarity: float) -> Ite
             ids.append(i)
             sets.append(as_set(s))
     yield from links()
+    release_memory()
 
 
 def _near_batches(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.RecordBatch]:
@@ -441,7 +443,7 @@ def _near_batches(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[
         yield from links(np.concatenate(held))
 
 
-def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, stored: bool = False, shingle_words: int = 5, similarity: float = 0.8, segments: int = 8, width: int = 16, tile: int = 128, most_run: int = 4096, block: int = 100_000, few: int = 32) -> DataFrame:
+def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, stored: bool = False, shingle_words: int = 5, similarity: float = 0.8, segments: int = 12, width: int = 16, tile: int = 128, most_run: int = 4096, block: int = 100_000, few: int = 32) -> DataFrame:
     """The rows of ``docs`` less near copies: of each group linked by texts of shingle similarity ``similarity`` or more, that of the smallest doc_id stays.
 
     Equal texts are found by hash first (null counts as the empty text, null doc_id as larger than all; of equal doc_ids the first row in
