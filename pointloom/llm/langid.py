@@ -24,19 +24,25 @@ from pointloom.llm.common import segment_sums, share_hash, slices, sum_vectors
 UNKNOWN = "und"
 
 
+LETTER = re.compile(r"[^\W\d_]")
+OTHER = re.compile(r"[\W\d_]+")
+
+
 @cache
-def letter_patterns() -> tuple[re.Pattern, re.Pattern]:
-    """A letter (``str.isalpha``: Unicode category L), and a run of anything else. Fractions, exponents and the like are word characters to ``re``, but no letters."""
-    numbers = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-    return re.compile(f"[^\\W\\d_{numbers}]"), re.compile(f"[\\W\\d_{numbers}]+")
+def other_numbers() -> frozenset[str]:
+    """Fractions, exponents and the like: word characters to ``re``, but neither digits nor letters (``str.isalpha``, Unicode category L)."""
+    return frozenset(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
 
 
 def gram_counts(text: str | None, bits: int, orders: tuple[int, ...] = (1, 2, 3)) -> tuple[np.ndarray, np.ndarray] | None:
     """Buckets and counts of the hashed character n-grams of a whole text, letters only, in words set off by blanks; None without letters."""
-    letter, other = letter_patterns()
-    if not text or not letter.search(text):
+    if not text:
+        return None
+    if not text.isascii() and (found := other_numbers().intersection(text)):
+        text = text.translate(dict.fromkeys(map(ord, found), " "))
+    if not LETTER.search(text):
         return None
-    folded = f" {other.sub(' ', text.lower()).strip()} "
+    folded = f" {OTHER.sub(' ', text.lower()).strip()} "
     codes = np.frombuffer(folded.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
     buckets = []
     with np.errstate(over="ignore"):
