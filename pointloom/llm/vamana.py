@@ -255,10 +255,19 @@ def _build(table: pa.Table, degree: int, beam: int, alpha: float) -> pa.Table:
 
 
 def _search(left: pa.Table, right: pa.Table, threshold: float, slack: float, beam: int) -> pa.Table:
-    """One block of queries in one cell: links counted for each query, a forest of the links, and how many different vectors audited queries found."""
+    """One block of queries in one cell: links counted for each query, a forest of the links, and how many different vectors audited queries have.
+
+    Where the block is the cell itself, a link that either end's search has found counts for both.
+    """
     out = {"nid": [], "to": [], "n": []}
+
+    def emit(nid: np.ndarray, to: np.ndarray | int, n: np.ndarray) -> None:
+        out["nid"].append(nid)
+        out["to"].append(np.full(len(nid), to) if isinstance(to, int) else to)
+        out["n"].append(n)
+
     if left.num_rows and right.num_rows:
-        right = right.sort_by("nid")
+        left, right = left.sort_by("nid"), right.sort_by("nid")
         ids, weight, unit, n = right["nid"].to_numpy(), right["copies"].to_numpy(), unit_rows(right), right.num_rows
         near = right["near"].combine_chunks() if isinstance(right["near"], pa.ChunkedArray) else right["near"]
         lengths = np.diff(near.offsets.to_numpy())
@@ -267,25 +276,28 @@ def _search(left: pa.Table, right: pa.Table, threshold: float, slack: float, bea
         graph[np.repeat(np.arange(n), lengths), np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)] = flat
         starts = np.flatnonzero(right["medoid"].to_numpy(zero_copy_only=False))
         qid, queries = left["nid"].to_numpy(), unit_rows(left)
-        pairs = [search_range(unit, graph, starts, queries[a : a + 512], threshold, slack, beam) for a in range(0, len(qid), 512)]
-        row = np.concatenate([r + 512 * k for k, (r, _) in enumerate(pairs)])
-        node = np.concatenate([c for _, c in pairs])
-        other = qid[row] != ids[node]
-        row, node = row[other], node[other]
-        count = np.bincount(row, weights=weight[node], minlength=len(qid)).astype(np.int64)
-        linked = np.flatnonzero(count)
-        out["nid"].append(qid[linked])
-        out["to"].append(np.full(len(linked), -1))
-        out["n"].append(count[linked])
-        nodes, ends = np.unique(np.concatenate((qid[row], ids[node])), return_inverse=True)
-        a, root = _local_forest(ends[: len(row)], ends[len(row) :], len(nodes))
-        out["nid"].append(nodes[a])
-        out["to"].append(nodes[root])
-        out["n"].append(np.zeros(len(a), np.int64))
+        linked = np.zeros((len(qid), n), dtype=bool)  # a byte for each pair of a block and a cell, both of bounded size
+        for a in range(0, len(qid), 512):
+            row, node = search_range(unit, graph, starts, queries[a : a + 512], threshold, slack, beam)
+            linked[row + a, node] = True
+        own = bool(left["own"][0].as_py())
+        if own:  # queries are the cell's vectors, in the same order
+            linked |= linked.T
+            np.fill_diagonal(linked, False)
+        count = np.concatenate([linked[a : a + 512] @ weight for a in range(0, len(qid), 512)]).astype(np.int64)
+        some = np.flatnonzero(count)
+        emit(qid[some], -1, count[some])
+        names, place = np.unique(np.concatenate((qid, ids)), return_inverse=True)
+        nodes, roots = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for a in range(0, len(qid), 512):
+            row, node = np.nonzero(linked[a : a + 512])
+            forest = _local_forest(place[row + a], place[len(qid) + node], len(names))
+            nodes.append(forest[0])
+            roots.append(forest[1])
+        node, root = _local_forest(np.concatenate(nodes), np.concatenate(roots), len(names))
+        emit(names[node], names[root], np.zeros(len(node), np.int64))
         some = np.flatnonzero(left["audited"].to_numpy(zero_copy_only=False))
-        out["nid"].append(qid[some])
-        out["to"].append(np.full(len(some), -2))
-        out["n"].append(np.bincount(row, minlength=len(qid))[some])
+        emit(qid[some], -2, linked[some].sum(axis=1))
     return pa.table({c: pa.array(np.concatenate(x).astype(np.int64) if x else np.empty(0, np.int64)) for c, x in out.items()})
 
 
@@ -306,6 +318,7 @@ def embedding_links(vectors: DataFrame, *, threshold: float = 0.93, slack: float
     indexed once and counted as often as they occur. component_id is the smallest vec_id reachable (null if there is none);
     kept tells whether it is the row's own. Vectors of different dimensions do not link.
 
+    A link within a cell counts for both ends if either one's search finds it; across cells each vector counts what its own search finds.
     Nothing depends on the number of rows of a label but the number of cells: a label of more than ``cell`` vectors is
     divided by random pivots, queries also ask the cells of all pivots within ``margin`` of the nearest, and a cell that is still too
     large is dealt into several that are all asked. About ``audit`` queries of each label are compared with all vectors of the label; where their
@@ -365,10 +378,13 @@ def embedding_links(vectors: DataFrame, *, threshold: float = 0.93, slack: float
     for wider in (1, 2, 4):
         if wider > 1:
             routed = route(margin + 0.2 * (wider - 1))
-        asks = routed.join(cells, ["label", "cell"]).select("label", "cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("subs") - 1)).alias("sub"), "nid")
-        load = asks.groupBy(*where).agg(F.ceil(F.count("*") / block).alias("blocks"))
-        asks = asks.join(load, where).withColumn("block", F.pmod(F.xxhash64("nid"), "blocks")).drop("blocks").join(full.drop("copies"), "nid")
-        right = index.join(load, where).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        asks = routed.join(cells, ["label", "cell"]).select("label", "cell", "home", "subs", F.explode(F.sequence(F.lit(0).cast("long"), F.col("subs") - 1)).alias("sub"), "nid")
+        asks = asks.withColumn("own", F.col("home") & (F.col("sub") == F.pmod(F.xxhash64("nid"), "subs"))).drop("home", "subs")
+        # block 0 is the cell's own vectors, the others ask from outside
+        load = asks.where("not own").groupBy(*where).agg(F.ceil(F.count("*") / block).alias("blocks"))
+        dealt = F.when(F.col("own"), F.lit(0).cast("long")).otherwise(F.pmod(F.xxhash64("nid"), "blocks") + 1)
+        asks = asks.join(load, where, "left").withColumn("block", dealt).drop("blocks").join(full.drop("copies"), "nid")
+        right = index.join(load, where, "left").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("blocks", F.lit(0)))))
         right = right.select(*(F.col(c).alias(f"at_{c}") for c in (*where, "block")), "nid", "embedding", "copies", "near", "medoid")
         search = partial(_search, threshold=threshold, slack=slack, beam=beam * wider)
         found = asks.groupBy(*where, "block").cogroup(right.groupBy(*(f"at_{c}" for c in (*where, "block")))).applyInArrow(search, "nid bigint, to bigint, n bigint")
