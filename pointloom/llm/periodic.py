@@ -130,7 +130,7 @@ def periodic_runs(docs: DataFrame, text: str = "text", *, runs: str = "runs", wo
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text):
-            parts = pc.ascii_split_whitespace(pc.fill_null(batch.column(text).cast(pa.large_string()), ""))
+            parts = pc.ascii_split_whitespace(pc.fill_null(batch.column(text).cast(pa.string()), ""))
             bounds, flat = parts.offsets.to_numpy(), parts.flatten()
             full = pc.not_equal(pc.binary_length(flat), 0)  # blanks at the ends leave empty pieces
             before = np.concatenate(([0], np.cumsum(full.to_numpy(zero_copy_only=False))))
@@ -140,11 +140,11 @@ def periodic_runs(docs: DataFrame, text: str = "text", *, runs: str = "runs", wo
             keep = [collapsed(b - a, r) if r else np.ones(b - a, bool) for a, b, r in zip(bounds, bounds[1:], found)]
             mask = np.concatenate(keep) if len(flat) else np.zeros(0, bool)
             ends = np.concatenate(([0], np.cumsum(mask)))[bounds]
-            left = pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), flat.filter(pa.array(mask)))
+            left = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat.filter(pa.array(mask)))
             columns = {
                 words: pa.array(np.diff(bounds), pa.int64()),
                 runs: pa.array([[dict(zip(("start", "length", "period"), r)) for r in rs] for rs in found], arrow),
-                collapsed_text: pc.binary_join(left, " ").cast(pa.string()),
+                collapsed_text: pc.binary_join(left, " "),
             }
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns.values()], names=[*batch.schema.names, *columns])
 
