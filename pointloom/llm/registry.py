@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointloom.llm import chat, langid, licenses, mixing, packing, periodic, quality, repair, topk, vamana, warc
+from pointloom.llm import chat, langid, licenses, mixing, packing, periodic, personal, quality, repair, topk, vamana, warc
 from pointloom.llm.common import read_table, scratch_path
 from pointloom.llm.licenses import license_digest, scan_licenses
 from pointloom.llm.simhash import simhash_components
@@ -62,6 +62,10 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.where(F.col("vec_id") % 100 == 0))
 
 
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.personal_digest(personal.find_personal_data(read_table(spark, sf_dir, "documents")))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = periodic.with_planted_runs(read_table(spark, sf_dir, "documents"))
     return periodic.run_digest(periodic.periodic_runs(docs))
@@ -82,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_source_mixing": op9_source_mixing,
     "op10_exact_top_k": op10_exact_top_k,
+    "op11_personal_data": op11_personal_data,
     "op12_periodic_runs": op12_periodic_runs,
     "op13_conversation_repair": op13_conversation_repair,
 }
