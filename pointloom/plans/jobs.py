@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pointloom.operators import mapping, ordered
-from pointloom.sources import packets, writers
+from pointloom.sources import packets, recordings, writers
 
 
 def replay_frames(spark: SparkSession, path: str) -> DataFrame:
@@ -14,17 +14,13 @@ def replay_frames(spark: SparkSession, path: str) -> DataFrame:
 
     A frame is one sweep; the last one of a file is there even if it is not complete. Packets of a wrong length are left out.
     """
-    recorded = packets.read_recordings(spark, path)
-    # the name of a packet is its file and number: decoding takes one integer, which is unique for both
-    named = recorded.withColumn("key", F.xxhash64("file", "packet_id"))
-    decoded = packets.decode_packets(named, key="key").withColumnRenamed("packet_id", "key")
-    returns = decoded.join(named.select("key", "file", "packet_id", "ts"), "key").drop("key")
+    returns = packets.decode_packets(recordings.read_recordings(spark, path), keep=("file", "ts"))
     return ordered.sweep_ids(returns, ("file",), ("packet_id", "block", "seq", "channel")).withColumnRenamed("sweep", "frame")
 
 
 def recording_counts(spark: SparkSession, path: str) -> DataFrame:
     """Rows (file, packets, bytes, frames, seconds) of each recording."""
-    recorded = packets.read_recordings(spark, path)
+    recorded = recordings.read_recordings(spark, path)
     sizes = recorded.groupBy("file").agg(F.count("*").alias("packets"), F.sum(F.octet_length("payload")).cast("long").alias("bytes"), (F.max("ts") - F.min("ts")).alias("seconds"))
     frames = replay_frames(spark, path).groupBy("file").agg((F.max("frame") + 1).alias("frames"))
     return sizes.join(frames, "file", "left").fillna(0, ["frames"])

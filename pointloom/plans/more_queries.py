@@ -250,13 +250,15 @@ def src11(spark, d):
     return serial.bno055(rows.select("event_id", *raw)).select("event_id", "ax", "gx", "qw")
 
 
-@query("src25_room", """WITH r AS (SELECT a.range AS azimuth_index, c.range::INT AS channel, radians(a.range * 2.0::DOUBLE) AS az, radians(CASE WHEN c.range % 2 = 0 THEN c.range - 15 ELSE c.range END) AS el FROM range(180) a, range(16) c),
-  v AS (SELECT *, cos(el) * sin(az) AS x, cos(el) * cos(az) AS y, sin(el) AS z FROM r),
+@query("src25_room", """WITH r AS (SELECT event_id, (event_id % 16)::INT AS channel, radians((event_id * 37 % 3600) / 10.0::DOUBLE) AS az FROM events),
+  e AS (SELECT *, radians(CASE WHEN channel % 2 = 0 THEN channel - 15 ELSE channel END) AS el FROM r),
+  v AS (SELECT *, cos(el) * sin(az) AS x, cos(el) * cos(az) AS y, sin(el) AS z FROM e),
   h AS (SELECT *, least(CASE WHEN abs(x) > 1e-9 AND -4 / x > 0 THEN -4 / x END, CASE WHEN abs(x) > 1e-9 AND 5 / x > 0 THEN 5 / x END, CASE WHEN abs(y) > 1e-9 AND -3 / y > 0 THEN -3 / y END, CASE WHEN abs(y) > 1e-9 AND 6 / y > 0 THEN 6 / y END,
     CASE WHEN abs(z) > 1e-9 AND -1 / z > 0 THEN -1 / z END, CASE WHEN abs(z) > 1e-9 AND 2 / z > 0 THEN 2 / z END) AS d FROM v)
-  SELECT azimuth_index, channel, round(CASE WHEN d < 100 THEN d ELSE 0 END, 6) AS distance_m FROM h""")
+  SELECT event_id, channel, round(CASE WHEN d < 100 THEN d ELSE 0 END, 6) AS distance_m FROM h""")
 def src25(spark, d):
-    return rounded(packets.cast_room(spark, 180, (-4, 5, -3, 6, 0, 3), (0, 0, 1)).select("azimuth_index", "channel", "distance_m"), "distance_m")
+    rays = bridge.table(spark, d, "events").select("event_id", (F.col("event_id") % 16).cast("int").alias("channel"), (F.col("event_id") * 37 % 3600 / 10.0).alias("azimuth_deg"))
+    return rounded(packets.distance_to_walls(rays, (-4, 5, -3, 6, 0, 3), (0, 0, 1)).select("event_id", "channel", "distance_m"), "distance_m")
 
 
 @query("snk05_pose_json", T + f"""SELECT seq, {sql_round('x', 'y', 'z')}, round(s * cos(radians(yaw) / 2), 6) + 0.0::DOUBLE AS qw, round(s * sin(radians(yaw) / 2), 6) + 0.0::DOUBLE AS qz, round(yaw, 6) + 0.0::DOUBLE AS yaw

@@ -1,4 +1,4 @@
-"""LiDAR packets: recorded files, decoding to returns, synthesis for tests and simulation."""
+"""LiDAR packets: decoding to returns."""
 
 from __future__ import annotations
 
@@ -7,8 +7,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Fixed values of the packet format.
 PACKET_BYTES = 1206
@@ -21,7 +22,6 @@ LEAST_RANGE_M = 0.1
 
 BLOCK = np.dtype([("flag", "<u2"), ("azimuth", "<u2"), ("channels", [("distance", "<u2"), ("intensity", "u1")], 32)])
 RETURNS = "packet_id bigint, block int, seq int, channel int, azimuth_deg double, distance_m double, intensity double, timestamp_us double, x double, y double, z double"
-HEADER, HEADER_BYTES = ">dH", 10
 
 
 def elevation(channel: np.ndarray) -> np.ndarray:
@@ -57,24 +57,26 @@ def decode_packet(payload: bytes) -> dict[str, np.ndarray]:
     return out | {"x": flat * np.sin(a), "y": flat * np.cos(a), "z": out["distance_m"] * np.sin(el)}
 
 
-def decode_packets(packets: DataFrame, payload: str = "payload", key: str = "packet_id") -> DataFrame:
-    """Rows of returns from rows (packet_id, payload); payloads of another length give none."""
+def decode_packets(packets: DataFrame, payload: str = "payload", key: str = "packet_id", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Rows of returns from rows (packet_id, payload), with the columns ``keep`` of their packet; payloads of another length give none."""
+    names = [f.split()[0] for f in RETURNS.split(", ")]
+    whole = ("block", "seq", "channel")
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                ids, columns = [], []
-                for i, p in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    if p is not None and len(p) == PACKET_BYTES:
-                        columns.append(decode_packet(p))
-                        ids.append(np.full(len(columns[-1]["x"]), i))
-                if columns:
-                    merged = {k: np.concatenate([c[k] for c in columns]) for k in columns[0]}
-                    arrays = [pa.array(np.concatenate(ids), pa.int64())] + [pa.array(merged[k].astype(np.int32) if k in ("block", "seq", "channel") else merged[k]) for k in ("block", "seq", "channel", "azimuth_deg", "distance_m", "intensity", "timestamp_us", "x", "y", "z")]
-                    yield pa.RecordBatch.from_arrays(arrays, names=[f.split()[0] for f in RETURNS.split(", ")])
+                found = [(i, decode_packet(p)) for i, p in enumerate(part.column(1).to_pylist()) if p is not None and len(p) == PACKET_BYTES]
+                if found:
+                    row = pa.array(np.repeat([i for i, _ in found], [len(c["x"]) for _, c in found]))
+                    columns = [np.concatenate([c[k] for _, c in found]) for k in names[1:]]
+                    arrays = [pa.array(v.astype(np.int32) if k in whole else v) for k, v in zip(names[1:], columns)]
+                    carried = [part.column(2 + i).take(row) for i in range(len(keep))]
+                    yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()).take(row), *arrays, *carried], names=[*names, *keep])
 
-    return packets.select(key, payload).mapInArrow(decode, RETURNS)
+    kept = packets.select(key, payload, *keep)
+    schema = T.StructType([*T._parse_datatype_string(RETURNS).fields, *kept.schema.fields[2:]])
+    return kept.mapInArrow(decode, schema)
 
 
 def polar_to_xyz(df: DataFrame, distance: str = "distance_m", azimuth: str = "azimuth_deg", channel: str = "channel") -> DataFrame:
@@ -84,54 +86,13 @@ def polar_to_xyz(df: DataFrame, distance: str = "distance_m", azimuth: str = "az
     return df.withColumns({"x": flat * F.sin(az), "y": flat * F.cos(az), "z": F.col(distance) * F.sin(el)})
 
 
-def split_records(content: bytes) -> Iterator[tuple[float, bytes]]:
-    """(time, payload) of a recording; a record that is cut short ends it."""
-    at = 0
-    while at + HEADER_BYTES <= len(content):
-        t, n = struct.unpack_from(HEADER, content, at)
-        if at + HEADER_BYTES + n > len(content):
-            return
-        yield t, content[at + HEADER_BYTES : at + HEADER_BYTES + n]
-        at += HEADER_BYTES + n
-
-
-def read_recordings(spark: SparkSession, path: str) -> DataFrame:
-    """Rows (file, packet_id, ts, payload) of recorded packet files; packets are numbered within their file."""
-
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, content in zip(batch.column("path"), batch.column("content")):
-                rows = []
-                for i, (t, p) in enumerate(split_records(content.as_py())):
-                    rows.append({"file": name.as_py(), "packet_id": i, "ts": t, "payload": p})
-                    if len(rows) == 2048:
-                        yield pa.RecordBatch.from_pylist(rows)
-                        rows = []
-                if rows:
-                    yield pa.RecordBatch.from_pylist(rows)
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(split, "file string, packet_id bigint, ts double, payload binary")
-
-
-def build_packet(azimuths: list[float], distances: np.ndarray, intensities: np.ndarray, timestamp_us: int = 0) -> bytes:
-    """A packet of 12 blocks from azimuths (degrees) and arrays (12, 32) of metres and intensities; for tests and simulation."""
-    blocks = np.zeros(12, dtype=BLOCK)
-    blocks["flag"] = BLOCK_FLAG
-    blocks["azimuth"] = np.round(np.asarray(azimuths) * 100).astype(int) % 36000
-    blocks["channels"]["distance"] = np.round(np.asarray(distances) / DISTANCE_M)
-    blocks["channels"]["intensity"] = intensities
-    return blocks.tobytes() + struct.pack("<I", timestamp_us) + b"\x37\x22"
-
-
-def cast_room(spark: SparkSession, azimuths: int, room: tuple[float, float, float, float, float, float], sensor: tuple[float, float, float] = (0.0, 0.0, 0.0), most: float = 100.0) -> DataFrame:
-    """Rows (azimuth_index, channel, azimuth_deg, distance_m): rays from a sensor to the walls of a box (x0, x1, y0, y1, z0, z1); 0 without a hit."""
-    rays = spark.range(azimuths).select(F.col("id").alias("azimuth_index"), (F.col("id") * (360.0 / azimuths)).alias("azimuth_deg"))
-    rays = rays.withColumn("channel", F.explode(F.sequence(F.lit(0), F.lit(15))))
-    rays = polar_to_xyz(rays.withColumn("one", F.lit(1.0)), "one")
+def distance_to_walls(rays: DataFrame, room: tuple[float, float, float, float, float, float], sensor: tuple[float, float, float] = (0.0, 0.0, 0.0), most: float = 100.0) -> DataFrame:
+    """Rays (azimuth_deg, channel, ..) with distance_m from a sensor to the walls of a box (x0, x1, y0, y1, z0, z1); 0 without a hit."""
+    rays = polar_to_xyz(rays.withColumn("_one", F.lit(1.0)), "_one")
     hits = []
     for c, (low, high), s in zip("xyz", (room[:2], room[2:4], room[4:]), sensor):
         for wall in (low, high):
             t = F.when(F.abs(c) > 1e-9, (F.lit(wall) - s) / F.col(c))
             hits.append(F.when(t > 0, t))
     d = F.least(*hits)
-    return rays.select("azimuth_index", "channel", "azimuth_deg", F.when(d < most, d).otherwise(0.0).alias("distance_m"))
+    return rays.withColumn("distance_m", F.when(d < most, d).otherwise(0.0)).drop("_one", "x", "y", "z")

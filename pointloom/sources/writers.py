@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pointloom.sources.files import IMU_COLUMNS, imu_archive
-from pointloom.sources.packets import HEADER
+from pointloom.sources.recordings import HEADER
 
 Head, Body = Callable[[pa.RecordBatch], bytes], Callable[[pa.RecordBatch], bytes]
 
