@@ -12,7 +12,6 @@ import os
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,8 +25,6 @@ Template = Callable[[list[Turn]], str]
 CONTROL = re.compile(r"\\|</?turn|###|>(?=\n)")
 ESCAPED = re.compile(r"\\(.)", re.S)
 MARKED = re.compile(r"<turn ((?:[^\\>]++|\\.|>(?!\n))*+)>\n((?:[^\\<]++|\\.|<(?!/turn>))*+)</turn>\n", re.S)
-#: Stands for a turn's text while its place is looked up.
-SENTINEL = "\x01"
 
 
 def escape(text: str) -> str:
@@ -38,14 +35,34 @@ def unescape(text: str) -> str:
     return ESCAPED.sub(r"\1", text)
 
 
-@lru_cache(1 << 14)
-def marked_turn(role: str, text: str) -> str:
-    return f"<turn {escape(role)}>\n{escape(text)}</turn>\n"
+class TurnTemplate:
+    """Turns between marks, with a backslash before each control string and backslash of a text.
+
+    Turns that were marked once are kept until ``forget``, which is called at the end of each conversation: what is held is the conversation.
+    """
+
+    def __init__(self) -> None:
+        self.marked: dict[Turn, str] = {}
+
+    def __call__(self, turns: list[Turn]) -> str:
+        return "".join([self.marked.get(t) or self.mark(t) for t in turns])
+
+    def mark(self, turn: Turn) -> str:
+        role, text = turn
+        self.marked[turn] = out = f"<turn {escape(role)}>\n{escape(text)}</turn>\n"
+        return out
+
+    def forget(self) -> None:
+        self.marked.clear()
+
+
+turn_template = TurnTemplate()
 
 
-def turn_template(turns: list[Turn]) -> str:
-    """Turns between marks, with a backslash before each control string and backslash of a text."""
-    return "".join([marked_turn(role, text) for role, text in turns])
+def unused(turns: list[Turn]) -> str:
+    """A character that stands in none of the turns, to take the place of a text while that is looked for."""
+    said = [x for turn in turns for x in turn]
+    return next(c for c in map(chr, range(1, 0xD800)) if not any(c in x for x in said))
 
 
 def parse_turns(formatted: str) -> list[Turn]:
@@ -76,8 +93,9 @@ def render_incrementally(template: Template, turns: list[Turn], loss_roles: froz
     before = template([])
     done = Rendered(before)
     prefix: list[Turn] = []
+    sentinel = unused(turns)
     for k, (role, text) in enumerate(turns):
-        marked = template([*prefix, (role, SENTINEL)])
+        marked = template([*prefix, (role, sentinel)])
         prefix.append((role, text))
         now = template(prefix)
         start = len(before)
@@ -89,7 +107,7 @@ def render_incrementally(template: Template, turns: list[Turn], loss_roles: froz
                 if s["text_end"] is not None and s["text_end"] > start:
                     s["text_start"] = s["text_end"] = None
                     s["loss"] = False
-        at = marked.rfind(SENTINEL)
+        at = marked.rfind(sentinel)
         tail = len(marked) - at - 1
         same = start if marked.startswith(before) and start == len(before) else 0  # known to be equal
         shown = at >= start and now[same:at] == marked[same:at] and now.endswith(marked[at + 1 :])
@@ -108,10 +126,12 @@ def format_conversations(rows: DataFrame, template: Template = turn_template, *,
 
     Turns follow ``turn`` (null first), ties role and text. Null roles and texts are empty; a null conv_id is one conversation of
     its own; repeated rows are turns of their own; other columns are ignored; an empty table gives an empty result.
+    A template that keeps something between calls has a method ``forget``, which is called after each conversation.
     A template may treat a turn by any of those before it, so each conversation is rendered whole, by one task, which
     holds its turns and its last output.
     """
     roles = frozenset(loss_roles)
+    forget = getattr(template, "forget", None)
 
     def render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, turns, done, size = None, [], [], 0
@@ -119,6 +139,8 @@ def format_conversations(rows: DataFrame, template: Template = turn_template, *,
         def flush() -> int:
             r = render_incrementally(template, turns, roles)
             done.append({"conv_id": current[0], "n_turns": len(turns), "formatted": r.text, "spans": r.spans, "rewrites_history": bool(r.rewritten_at)})
+            if forget:
+                forget()
             return len(r.text) + 100 * len(turns)
 
         for batch in slices(batches, "text"):

@@ -137,8 +137,9 @@ def train(docs: DataFrame, *, bits: int = 15, per_language: int = 800, sample_by
     """Learn from the rows (doc_id, text, lang) of ``docs``; rows with a null text or lang, and texts without letters, teach nothing.
 
     Document frequencies cover all rows and whole texts. Weights are learned from about ``per_language`` rows of each language, chosen by
-    hash among texts of up to ``longest`` bytes, whose texts hold about ``sample_bytes`` in all: this sample is collected (at most 24 bytes for each of text).
-    Repeated rows count once in the sample. Every language is learned; over ``most_languages`` of them are an
+    hash, whose texts hold about ``sample_bytes`` in all: this sample is collected (at most 24 bytes for each of text). Of a text of over
+    ``longest`` characters the weights are learned from so many in a row, from a place that a hash names. Repeated rows count once in the sample.
+    Every language that any row has is learned, from one row at least; over ``most_languages`` of them are an
     error, for the model has a number for each bucket and language. Ties in a prediction go to the language first by code point.
     """
     docs = docs.where("text is not null and lang is not null").select("doc_id", "text", "lang")
@@ -155,15 +156,21 @@ def train(docs: DataFrame, *, bits: int = 15, per_language: int = 800, sample_by
 
     total = sum_vectors(docs.mapInArrow(frequencies, "v binary"), "v", size + 1)
     idf = inverse_frequencies(total[:size], total[size])
-    length = F.octet_length("text")
-    sizes = docs.where(length <= longest).groupBy("lang").agg(F.count("*").alias("n"), F.sum(length).alias("bytes")).limit(most_languages + 1).collect()
+    # lengths take the place of texts that are too long
+    length = F.least(F.octet_length("text"), F.lit(longest))
+    draw = share_hash(F.lit("sample"), "doc_id", F.octet_length("text"))
+    lettered = docs.where(F.rlike("text", F.lit(r"\p{L}")))
+    sizes = lettered.groupBy("lang").agg(F.count("*").alias("n"), F.sum(length).alias("bytes"), F.min(draw).alias("least")).limit(most_languages + 1).collect()
     if len(sizes) > most_languages:
         raise ValueError(f"over {most_languages} languages to learn")
     languages = sorted(r["lang"] for r in sizes)
     if not languages:
         return Model([], bits, idf, np.zeros((size, 0), np.float32), np.zeros(0))
-    share = F.coalesce(*(F.when(F.col("lang") == r["lang"], F.lit(min(1.0, per_language / r["n"], sample_bytes / len(sizes) / max(1, r["bytes"])))) for r in sizes))
-    chosen = docs.where((length <= longest) & (share_hash(F.lit("sample"), "doc_id", length) < share))
+    shares = [(r["lang"], max(r["least"], min(1.0, per_language / r["n"], sample_bytes / len(sizes) / max(1, r["bytes"])))) for r in sizes]
+    shares = docs.sparkSession.createDataFrame(shares, "of string, share double")  # a row for each language
+    chosen = lettered.join(F.broadcast(shares), F.col("lang") == F.col("of")).where(draw <= F.col("share"))
+    place = F.pmod(F.xxhash64(F.lit("place"), "doc_id"), F.greatest(F.length("text") - longest + 1, F.lit(1))).cast("int") + 1
+    chosen = chosen.withColumn("text", F.when(F.length("text") > longest, F.substring(F.col("text"), place, F.lit(longest))).otherwise(F.col("text")))
     chosen = chosen.groupBy("doc_id", "lang", F.xxhash64("text").alias("h")).agg(F.first("text").alias("text")).select("lang", "text")
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,7 +186,10 @@ def train(docs: DataFrame, *, bits: int = 15, per_language: int = 800, sample_by
     for r in sample:
         used = np.frombuffer(bytes(r["used"]), "<i4")
         rows.append((used, model.features(used, np.frombuffer(bytes(r["counts"]), "<i4"))))
-    back = np.arange(len(rows)) % 5 == 4  # held back for the temperature
+    number = np.zeros(len(rows), dtype=np.int64)  # within the language, so that none is held back whole
+    for k in range(len(languages)):
+        number[y == k] = np.arange((y == k).sum())
+    back = number % 5 == 4  # held back for the temperature
     fit = np.flatnonzero(~back)
     w, model.bias = fit_ftrl([rows[i] for i in fit], y[fit], len(languages), size)
     model.weights = w.astype(np.float32)

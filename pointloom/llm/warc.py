@@ -14,13 +14,13 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-import pyarrow.fs as pafs
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pointloom.llm.common import materialise, share_hash, slices
+from pointloom.sources.recordings import file_system
 
 DICTIONARY_FRAME = 0x184D2A5D
 ZSTD_MAGIC = b"\x28\xb5\x2f\xfd"
@@ -147,8 +147,8 @@ def write_archives(pages: DataFrame, folder: str, *, min_bytes: int = 0, roll_by
     the largest page_id are responses, the others revisit it; a null page_id counts as smaller than all, and a group
     of nothing but null ids is all responses, as are all smaller payloads. Repeated rows get a record each; columns other than these
     three are ignored; an empty table makes no file. Every file begins with the dictionary, in a skippable frame. Files are rolled near ``roll_bytes``, so a reader holds little at a time. A task writes
-    beside the folder and moves its files in at its end, under names given by its partition: a task that is run again
-    replaces its own files.
+    files under names of its attempt; those of the attempts that count are in the manifest, which is also written into the folder and which
+    readers go by. What an attempt that was lost has left there, or an earlier writing, is not read any more.
     """
     spark = pages.sparkSession
     pages = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
@@ -162,8 +162,8 @@ def write_archives(pages: DataFrame, folder: str, *, min_bytes: int = 0, roll_by
     shared = spark.sparkContext.broadcast(leading)  # a few dozen kB
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, root = pafs.FileSystem.from_uri(folder)
-        part, staged, files = TaskContext.get().partitionId(), f"{root}/_staged-{uuid.uuid4().hex}", []
+        fs, root = file_system(folder)
+        name, files = f"part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}", []
         lead = shared.value
         packer = zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(lead[8:]))
         out, size, records = None, 0, 0
@@ -171,9 +171,9 @@ def write_archives(pages: DataFrame, folder: str, *, min_bytes: int = 0, roll_by
             for row in zip(*(batch.column(k).to_pylist() for k in range(4))):
                 if out is None:
                     if not files:
-                        fs.create_dir(staged, recursive=True)
-                    files.append([f"part-{part:06d}-{len(files):04d}.warc.zst", 0, 0])
-                    out, size, records = fs.open_output_stream(f"{staged}/{files[-1][0]}", compression=None), len(lead), 0
+                        fs.create_dir(root, recursive=True)
+                    files.append([f"{name}-{len(files):04d}.warc.zst", 0, 0])
+                    out, size, records = fs.open_output_stream(f"{root}/{files[-1][0]}", compression=None), len(lead), 0
                     out.write(lead)
                 frame = packer.compress(record_bytes(row[0], row[1], row[2].encode(), row[3]))
                 out.write(frame)
@@ -184,22 +184,21 @@ def write_archives(pages: DataFrame, folder: str, *, min_bytes: int = 0, roll_by
                     out = None
         if out is not None:
             out.close()
-        for name, _, _ in files:
-            fs.move(f"{staged}/{name}", f"{root}/{name}")
-        if files:
-            fs.delete_dir(staged)
         yield pa.RecordBatch.from_pydict({"file": pa.array([f[0] for f in files], pa.string()), "records": pa.array([f[1] for f in files], pa.int64()), "bytes": pa.array([f[2] for f in files], pa.int64())})
 
-    return materialise(rows.mapInArrow(write, "file string, records bigint, bytes bigint"), "archive-manifest")
+    rows.mapInArrow(write, MANIFEST).write.mode("overwrite").parquet(f"{folder}/{MANIFEST_FOLDER}")
+    return spark.read.schema(MANIFEST).parquet(f"{folder}/{MANIFEST_FOLDER}")
 
 
+MANIFEST, MANIFEST_FOLDER = "file string, records bigint, bytes bigint", "_manifest"
 FIELDS = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
 
 
 def read_archives(spark: SparkSession, folder: str, *, payloads: bool = False) -> DataFrame:
     """A row for every record of the archives in ``folder``: page_id, url, payload_bytes, payload_digest, record_type, refers_to, and payload if asked for.
 
-    A revisit's payload is null. Archives with a malformed record fail the job with its reason.
+    A revisit's payload is null. Archives with a malformed record fail the job with its reason. Of a folder that ``write_archives`` wrote the
+    archives of its manifest are read, of another one all whose names end in .warc.zst, each of up to 2 GiB.
     """
     fields = FIELDS.append(pa.field("payload", pa.binary())) if payloads else FIELDS
 
@@ -219,7 +218,13 @@ def read_archives(spark: SparkSession, folder: str, *, payloads: bool = False) -
                 yield pa.RecordBatch.from_pylist(rows, schema=fields)
 
     schema = "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint" + ", payload binary" * payloads
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder).select("content").mapInArrow(read, schema)
+    archives = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder)
+    manifest = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{MANIFEST_FOLDER}")
+    if manifest.getFileSystem(spark._jsc.hadoopConfiguration()).exists(manifest):
+        attempt = lambda name: F.regexp_extract(name, r"([^/]+)-[0-9]+\.warc\.zst$", 1)
+        named = spark.read.schema(MANIFEST).parquet(f"{folder}/{MANIFEST_FOLDER}").select(attempt("file").alias("_attempt")).distinct()
+        archives = archives.join(F.broadcast(named), attempt("path") == F.col("_attempt"), "left_semi")  # a row for each task that wrote
+    return archives.select("content").mapInArrow(read, schema)
 
 
 ORACLE_SQL = """
