@@ -9,7 +9,8 @@ from pointloom.functions import binary, geometry as g
 from pointloom.operators import align, cloud as clouds, folds, ordered, reports
 from pointloom.plans import bridge
 from pointloom.plans.base import query, r6, rounded, sql_round
-from pointloom.sources import packets, serial
+from pointloom.operators.durable import scratch_path
+from pointloom.sources import packets, recordings, serial, writers
 
 C, I, T, D = (f"WITH {x} " for x in (bridge.CLOUD, bridge.IMU, bridge.TRAJECTORY, bridge.DESCRIPTORS))
 DEG = "0.017453292519943295::DOUBLE"
@@ -250,6 +251,19 @@ def src11(spark, d):
     return serial.bno055(rows.select("event_id", *raw)).select("event_id", "ax", "gx", "qw")
 
 
+@query("src02_recordings", """SELECT 's/' || (l_suppkey % 5) AS sensor, round(l_orderkey + l_linenumber / 10.0::DOUBLE, 6) AS ts, md5(concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_returnflag)) AS payload,
+  count(*) OVER (PARTITION BY l_suppkey % 5) AS of_sensor FROM lineitem""")
+def src02(spark, d):
+    """A recording of each sensor is written, of packets made of whole rows, and read back by ranges of a megabyte."""
+    rows = bridge.table(spark, d, "lineitem")
+    body = F.concat_ws("|", "l_orderkey", "l_linenumber", "l_partkey", "l_returnflag").cast("binary")
+    rows = rows.select(F.concat(F.lit("s/"), F.col("l_suppkey") % 5).alias("sensor_id"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("packet_id"), (F.col("l_orderkey") + F.col("l_linenumber") / 10.0).alias("ts"), body.alias("payload"))
+    folder = scratch_path(spark, "recordings")
+    written = writers.write_recordings(rows, folder).select(F.regexp_extract("file", "(.*)[.]vlp16", 1).alias("name"), F.col("rows").alias("of_sensor"))
+    read = recordings.read_recordings(spark, folder, 1 << 20).withColumn("name", F.regexp_extract("file", "([^/]+)[.]vlp16$", 1))
+    return rounded(read.join(written, "name").select(F.url_decode("name").alias("sensor"), "ts", F.md5("payload").alias("payload"), "of_sensor"), "ts")
+
+
 @query("src25_room", """WITH r AS (SELECT event_id, (event_id % 16)::INT AS channel, radians((event_id * 37 % 3600) / 10.0::DOUBLE) AS az FROM events),
   e AS (SELECT *, radians(CASE WHEN channel % 2 = 0 THEN channel - 15 ELSE channel END) AS el FROM r),
   v AS (SELECT *, cos(el) * sin(az) AS x, cos(el) * cos(az) AS y, sin(el) AS z FROM e),

@@ -36,9 +36,9 @@ def read_imu_archives(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumns({**{c: F.when(~none, F.col(c)) for c in ("mx", "my", "mz")}, "temp_c": F.when(~F.isnan("temp_c"), F.col("temp_c"))})
 
 
-def imu_archive(rows: list[dict]) -> bytes:
+def imu_archive(rows: pa.Table) -> bytes:
     """An npz archive of rows with the columns above; nulls become NaN."""
-    at = lambda *names: np.array([[np.nan if r[n] is None else r[n] for n in names] for r in rows], dtype=float).reshape(len(rows), len(names))
+    at = lambda *names: np.stack([rows[n].cast(pa.float64()).to_numpy() for n in names], axis=1)
     out = io.BytesIO()
     np.savez(out, timestamp=at("t").ravel(), accel=at("ax", "ay", "az"), gyro=at("gx", "gy", "gz"), mag=at("mx", "my", "mz"), temperature=at("temp_c").ravel(), quaternion=at("qw", "qx", "qy", "qz"), roll=at("roll").ravel(), pitch=at("pitch").ravel(), yaw=at("yaw").ravel())
     return out.getvalue()
