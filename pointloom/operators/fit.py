@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pointloom.functions.geometry import Pose, axis_angle
+from pointloom.operators import blocks
 from pointloom.operators.durable import materialise
 
 POSE = (*(f"r{i}{j}" for i in range(3) for j in range(3)), "tx", "ty", "tz")
@@ -97,12 +98,24 @@ def residual_norm(poses: DataFrame, factors: DataFrame) -> DataFrame:
 
 
 def normal_equations(poses: DataFrame, factors: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The sparse system of one Gauss-Newton step: H as (i, j, h) blocks of weight times identity, and b as (i, b_x ..)."""
+    """The sparse system of one Gauss-Newton step: H as (i, j, h) blocks of weight times identity, and b as (i, b_x ..).
+
+    Factors with a column information, 16 numbers by rows, are weighed by this matrix times weight: h is then an array of 16.
+    """
     e = residuals(poses, factors)
     w = F.col("weight")
-    blocks = e.select(F.explode(F.array(*(F.struct(F.col(i).alias("i"), F.col(j).alias("j"), (s * w).alias("h")) for i, j, s in (("a", "a", 1), ("b", "b", 1), ("a", "b", -1), ("b", "a", -1))))).alias("m"))
-    h = blocks.select("m.*").groupBy("i", "j").agg(F.sum("h").alias("h"))
-    sides = e.select(F.explode(F.array(*(F.struct(F.col(i).alias("i"), *((s * w * F.col(f"e_{c}")).alias(f"b_{c}") for c in DOF)) for i, s in (("a", -1), ("b", 1))))).alias("m"))
+    signs = (("a", "a", 1), ("b", "b", 1), ("a", "b", -1), ("b", "a", -1))
+    if "information" in factors.columns:
+        scaled = F.transform("information", lambda x: x * w)
+        error = F.array(*(F.col(f"e_{c}") for c in DOF))
+        pulled = {c: F.aggregate(F.zip_with(F.slice(scaled, 4 * i + 1, 4), error, lambda s, t: s * t), F.lit(0.0), lambda s, t: s + t) for i, c in enumerate(DOF)}
+        blocks_ = e.select(F.explode(F.array(*(F.struct(F.col(i).alias("i"), F.col(j).alias("j"), F.zip_with(scaled, F.array_repeat(F.lit(float(s)), 16), lambda x, y: x * y).alias("h")) for i, j, s in signs))).alias("m"))
+        h = blocks.summed(blocks_.select("m.*"), ("i", "j"), {"h": 16})
+    else:
+        pulled = {c: w * F.col(f"e_{c}") for c in DOF}
+        blocks_ = e.select(F.explode(F.array(*(F.struct(F.col(i).alias("i"), F.col(j).alias("j"), (s * w).alias("h")) for i, j, s in signs))).alias("m"))
+        h = blocks_.select("m.*").groupBy("i", "j").agg(F.sum("h").alias("h"))
+    sides = e.select(F.explode(F.array(*(F.struct(F.col(i).alias("i"), *((s * pulled[c]).alias(f"b_{c}") for c in DOF)) for i, s in (("a", -1), ("b", 1))))).alias("m"))
     return h, sides.select("m.*").groupBy("i").agg(*(F.sum(f"b_{c}").alias(f"b_{c}") for c in DOF))
 
 
@@ -141,13 +154,15 @@ def solve_graph(poses: pd.DataFrame, factors: pd.DataFrame, tolerance: float) ->
     return pd.DataFrame({"id": ids, **{c: moved[:, k] for k, c in enumerate(DOF)}})
 
 
-def optimise(poses: DataFrame, factors: DataFrame, sweeps: int = 200, tolerance: float = 1e-9, by: str | None = None, small: int = 20_000) -> DataFrame:
+def optimise(poses: DataFrame, factors: DataFrame, sweeps: int = 1000, tolerance: float = 1e-9, by: str | None = None, small: int = 20_000) -> DataFrame:
     """Poses that fit the factors best, the pose of the smallest id held fixed; with ``by``, a column of ``poses``, that of each of its graphs.
 
-    The residuals are linear, so one system is solved, by conjugate gradients. Graphs of up to ``small`` poses and factors are solved
-    each by one task. In larger ones products are a join and a grouped sum over the factor table, and the graph is never gathered
-    anywhere; both give the same poses. Factors link poses of one graph, and each graph has its own steps.
-    Poses without a path to a fixed one stay where they are if they have no factors. RuntimeError if a large graph is not solved after ``sweeps``.
+    Factors (a, b, x, y, z, yaw, weight) may have a column information: 16 numbers, by rows, the matrix that weighs their residual.
+    The residuals are linear, so one system is solved. Graphs of up to ``small`` poses and factors with plain weights are solved
+    each by one task, by conjugate gradients. Others are eliminated in rounds over the factor table (``blocks.solve``), so that a path of
+    n poses takes O(log n) of them and is never gathered anywhere; only graphs with so many loops that most poses have three
+    neighbours go on by ``sweeps`` conjugate gradients. All give the same poses. Factors link poses of one graph; ids are whole numbers.
+    Poses that have no factors stay where they are, and so does what hangs on none of the fixed poses, as a whole. RuntimeError if a large graph is not solved.
     """
     names = materialise(poses.select("id", (F.col(by) if by else F.lit(0)).alias("of")), "graph-poses")
     for end in "ab":
@@ -157,7 +172,8 @@ def optimise(poses: DataFrame, factors: DataFrame, sweeps: int = 200, tolerance:
     named = names.join(graphs, names["of"].eqNullSafe(graphs["of"])).select("id", "g", "n")
     dealt = factors.join(named.select(F.col("id").alias("a"), "g", "n"), "a")
     sizes = materialise(dealt.groupBy("g").agg(F.count("*").alias("m")), "graph-sizes")
-    named = materialise(named.join(sizes, "g", "left").select("id", "g", ((F.col("n") <= small) & (F.coalesce("m", F.lit(0)) <= small)).alias("small")), "graph-names")
+    plain = F.lit("information" not in factors.columns)
+    named = materialise(named.join(sizes, "g", "left").select("id", "g", (plain & (F.col("n") <= small) & (F.coalesce("m", F.lit(0)) <= small)).alias("small")), "graph-names")
     rows = poses.select("id", *DOF).join(named, "id")
     kind = f"id {poses.schema['id'].dataType.simpleString()}, " + ", ".join(f"{c} double" for c in DOF)
 
@@ -170,51 +186,52 @@ def optimise(poses: DataFrame, factors: DataFrame, sweeps: int = 200, tolerance:
     if large.isEmpty():
         return done
     ends = large.select(F.col("id").alias("a"))
-    far = _optimise_large(rows.where("not small").select("id", "g", *DOF), factors.join(ends, "a", "left_semi"), sweeps, tolerance)
+    far = _optimise_large(rows.where("not small").select("id", "g", *DOF), factors.join(ends, "a", "left_semi"), min(small, 2000), sweeps, tolerance)
     return done.unionByName(far)
 
 
-def graph_report(before: DataFrame, after: DataFrame, factors: DataFrame, by: str | None = None) -> DataFrame:
-    """Rows (by, poses, factors, initial, final, reason) of an optimisation: roots of the weighted squared residuals, and why it ended.
-
-    reason is no_factors or converged; an empty table of poses has no row.
+def _optimise_large(poses: DataFrame, factors: DataFrame, small: int, sweeps: int, tolerance: float) -> DataFrame:
+    """``optimise`` by elimination: poses (id, g, x ..), g being the smallest id of their graph."""
+    links = factors.where("a <> b")
+    if "information" not in factors.columns:
+        links = links.withColumn("information", F.array(*(F.lit(1.0 if i % 5 == 0 else 0.0) for i in range(16))))
+    h, b = normal_equations(poses, links)
+    free = materialise(poses.where("id <> g").select(F.col("id").alias("i"), "g"), "graph-free")
+    own = h.where("i = j").select("i", F.col("h").alias("d"))
+    side = b.select("i", F.array(*(F.col(f"b_{c}") for c in DOF)).alias("b"))
+    size = sum((F.get("d", F.lit(5 * i)) for i in range(1, 4)), F.get("d", F.lit(0)))
+    nodes = own.join(side, "i").join(free, "i").select(F.col("g").cast("long").alias("g"), F.col("i").cast("long").alias("v"), "d", "b", size.alias("s"))
+    edges = h.where("i < j").join(free, "i").join(free.select(F.col("i").alias("j")), "j", "left_semi")
+    edges = edges.select(F.col("g").cast("long").alias("g"), F.col("i").cast("long").alias("p"), F.col("j").cast("long").alias("q"), "h")
+    moves = blocks.solve(nodes, edges, 4, small=small, sweeps=sweeps, tolerance=tolerance).select(F.col("v").alias("_v"), F.col("x").alias("_x"))
+    moved = poses.join(moves, F.col("id").cast("long") == F.col("_v"), "left")
+    return moved.select("id", *((F.col(c) + F.coalesce(F.get("_x", F.lit(i)), F.lit(0.0))).alias(c) for i, c in enumerate(DOF)))
+
+
+def graph_report(before: DataFrame, after: DataFrame, factors: DataFrame, by: str | None = None, tolerance: float = 1e-6) -> DataFrame:
+    """Rows (by, poses, factors, initial, final, gradient, reason) of an optimisation: roots of the weighted squared residuals, and why it ended.
+
+    gradient is the greatest pull that is left on a pose that may move, as a share of the sum of all weighted residuals' sizes before. reason is
+    no_factors, converged (a gradient of up to ``tolerance``), worse (the residuals have grown) or stopped; an empty table of poses has no row.
     """
     own = before.select(F.col("id").alias("a"), (F.col(by) if by else F.lit(0)).alias("of"))
-    norm = lambda poses, name: residuals(poses.select("id", *DOF), factors).join(own, "a").groupBy("of").agg(F.count("*").alias("factors"), F.sqrt(F.sum(F.col("weight") * sum(F.col(f"e_{c}") * F.col(f"e_{c}") for c in DOF))).alias(name))
-    counts = own.groupBy("of").agg(F.count("*").alias("poses"))
-    one, two = norm(before, "initial"), norm(after, "final").drop("factors").withColumnRenamed("of", "of2")
-    both = one.join(two, one["of"].eqNullSafe(two["of2"])).drop("of2").withColumnRenamed("of", "of1")
-    out = counts.join(both, counts["of"].eqNullSafe(both["of1"]), "left")
-    out = out.select(F.col("of").alias(by or "graph"), "poses", F.coalesce("factors", F.lit(0)).alias("factors"), F.coalesce("initial", F.lit(0.0)).alias("initial"), F.coalesce("final", F.lit(0.0)).alias("final"))
-    return out.withColumn("reason", F.when(F.col("factors") == 0, "no_factors").otherwise("converged"))
-
-
-def _optimise_large(poses: DataFrame, factors: DataFrame, sweeps: int, tolerance: float) -> DataFrame:
-    """``optimise`` for graphs of any size: poses (id, g, x ..), g being the smallest id of its graph."""
-    h, b = normal_equations(poses, factors)
-    free = materialise(poses.where("id <> g").select(F.col("id").alias("i"), "g"), "graph-free")
-    h = materialise(h.join(free.select("i"), "i", "left_semi").join(free.select(F.col("i").alias("j")), "j", "left_semi"), "graph-system")
-    product = lambda u, v: sum(F.col(f"{u}_{c}") * F.col(f"{v}_{c}") for c in DOF)
-    state = b.join(free, "i").select("i", "g", *(F.lit(0.0).alias(f"x_{c}") for c in DOF), *(F.col(f"b_{c}").alias(f"r_{c}") for c in DOF), *(F.col(f"b_{c}").alias(f"p_{c}") for c in DOF))
-    state = materialise(state, "graph-state")
-    state = materialise(state.join(state.groupBy("g").agg(F.sum(product("r", "r")).alias("rr")), "g").withColumn("first", F.col("rr")), "graph-state")
-    going = F.col("rr") > F.lit(tolerance * tolerance) * F.greatest("first", F.lit(1e-300))
-    for sweep in range(sweeps + 1):
-        if sweep % 8 == 0 or sweep == sweeps:
-            if state.where(going).isEmpty():
-                break
-            if sweep == sweeps:
-                raise RuntimeError(f"a pose graph is not solved after {sweeps} sweeps")
-        p = state.select(F.col("i").alias("j"), *(f"p_{c}" for c in DOF))
-        q = h.join(p, "j").groupBy("i").agg(*(F.sum(F.col("h") * F.col(f"p_{c}")).alias(f"q_{c}") for c in DOF))
-        both = state.join(q, "i")
-        alpha = both.groupBy("g").agg(F.sum(product("p", "q")).alias("pq"))
-        step = F.when(going & (F.col("pq") > 0), F.col("rr") / F.col("pq")).otherwise(0.0)
-        both = both.join(alpha, "g").withColumn("step", step)
-        moved = both.select("i", "g", *((F.col(f"x_{c}") + F.col("step") * F.col(f"p_{c}")).alias(f"x_{c}") for c in DOF), *((F.col(f"r_{c}") - F.col("step") * F.col(f"q_{c}")).alias(f"r_{c}") for c in DOF), *(f"p_{c}" for c in DOF), F.col("rr").alias("before"), "first")
-        moved = materialise(moved, "graph-state")
-        rr = moved.groupBy("g").agg(F.sum(product("r", "r")).alias("rr"))
-        turn = F.when(F.col("before") > 0, F.col("rr") / F.col("before")).otherwise(0.0)
-        state = moved.join(rr, "g").select("i", "g", *(f"x_{c}" for c in DOF), *(f"r_{c}" for c in DOF), *((F.col(f"r_{c}") + turn * F.col(f"p_{c}")).alias(f"p_{c}") for c in DOF), "rr", "first")
-    moved = poses.join(state.select(F.col("i").alias("id"), *(f"x_{c}" for c in DOF)), "id", "left")
-    return moved.select("id", *((F.col(c) + F.coalesce(f"x_{c}", F.lit(0.0))).alias(c) for c in DOF))
+    error = F.array(*(F.col(f"e_{c}") for c in DOF))
+    square = sum((F.col(f"e_{c}") * F.col(f"e_{c}") for c in DOF[1:]), F.col(f"e_{DOF[0]}") * F.col(f"e_{DOF[0]}"))
+    if "information" in factors.columns:
+        row = lambda i: F.aggregate(F.zip_with(F.slice("information", 4 * i + 1, 4), error, lambda s, t: s * t), F.lit(0.0), lambda s, t: s + t)
+        square = sum((F.col(f"e_{c}") * row(i) for i, c in enumerate(DOF)), F.lit(0.0))
+
+    def norm(poses: DataFrame, name: str) -> DataFrame:
+        rows = residuals(poses.select("id", *DOF), factors).join(own, "a").withColumn("square", F.col("weight") * square)
+        return rows.groupBy("of").agg(F.count("*").alias("factors"), F.sqrt(F.sum("square")).alias(name), F.sum(F.sqrt(F.col("weight") * F.greatest("square", F.lit(0.0)))).alias("pull"))
+
+    counts = own.groupBy("of").agg(F.count("*").alias("poses"), F.min("a").alias("fixed"))
+    beside = lambda left, right: left.join(right.withColumnRenamed("of", "_of"), F.col("of").eqNullSafe(F.col("_of")), "left").drop("_of")
+    _, left = normal_equations(after.select("id", *DOF), factors.where("a <> b"))
+    left = beside(left.join(own.withColumnRenamed("a", "i"), "i"), counts.select("of", "fixed")).where("i <> fixed")
+    left = left.groupBy("of").agg(F.max(F.greatest(*(F.abs(f"b_{c}") for c in DOF))).alias("left"))
+    out = beside(beside(beside(counts, norm(before, "initial")), norm(after, "final").drop("factors", "pull")), left)
+    zero = F.lit(0.0)
+    out = out.select(F.col("of").alias(by or "graph"), "poses", F.coalesce("factors", F.lit(0)).alias("factors"), F.coalesce("initial", zero).alias("initial"), F.coalesce("final", zero).alias("final"), (F.coalesce("left", zero) / F.greatest(F.coalesce("pull", zero), F.lit(1e-300))).alias("gradient"))
+    worse = F.col("final") > F.col("initial") * (1 + tolerance)
+    return out.withColumn("reason", F.when(F.col("factors") == 0, "no_factors").when(worse, "worse").when((F.col("gradient") <= tolerance) | (F.col("final") <= 1e-12), "converged").otherwise("stopped"))

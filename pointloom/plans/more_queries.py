@@ -6,9 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pointloom.functions import binary, geometry as g
-from pointloom.operators import align, cloud as clouds, folds, ordered, reports
+from pointloom.operators import align, cloud as clouds, folds, ordered, reports, scans
 from pointloom.plans import bridge
 from pointloom.plans.base import query, r6, rounded, sql_round
+from pointloom.operators import durable
 from pointloom.operators.durable import scratch_path
 from pointloom.sources import packets, recordings, serial, writers
 
@@ -303,6 +304,26 @@ def agg22(spark, d):
     return rounded(bridge.trajectory(spark, d).agg(F.count("*").alias("poses"), F.countDistinct("sensor_id").alias("sensors"), (F.max("t") - F.min("t")).alias("elapsed")), "elapsed")
 
 
+@query("fit05_long_path", T + f""", n AS (SELECT *, row_number() OVER (ORDER BY t, seq) AS id FROM trajectory), s AS (SELECT *, coalesce(sum(gx) OVER (ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS e FROM n)
+  SELECT id, {", ".join(f"round({c} + e, 4) + 0.0::DOUBLE AS {c}" for c in ("x", "y", "z", "yaw"))} FROM s""")
+def fit05_long(spark, d):
+    """All rows as one path in order of time, with a loop over every hundredth pose that agrees with the steps between: the fit is their sum."""
+    from pointloom.operators import fit
+
+    path = scans.running(bridge.trajectory(spark, d).select("t", "seq", "gx", *fit.DOF), [F.col("t"), F.col("seq")], {"up_to": F.col("gx")}, "path-in-order")
+    path = durable.materialise(path.withColumnRenamed("position", "id"), "path")
+    off = F.col("up_to") - F.col("gx")
+    ends = path.select(F.col("id").alias("to"), *(F.col(c).alias(f"to_{c}") for c in fit.DOF), off.alias("to_off"))
+
+    def factors(rows, ahead, weight):
+        both = rows.join(ends, F.col("id") + ahead == F.col("to"))
+        return both.select(F.col("id").alias("a"), F.col("to").alias("b"), *((F.col(f"to_{c}") - F.col(c) + F.col("to_off") - off).alias(c) for c in fit.DOF), F.lit(weight).alias("weight"))
+
+    links = factors(path, 1, 1.0).unionByName(factors(path.where("id % 100 = 0"), 1000, 5.0))
+    poses = fit.optimise(path.select("id", *fit.DOF), links, small=2000, tolerance=1e-13)
+    return poses.select("id", *((F.round(c, 4) + 0.0).alias(c) for c in fit.DOF))
+
+
 @query("fit05_pose_graph", T + f""", s AS (SELECT *, coalesce(sum(gx) OVER (PARTITION BY sensor_id ORDER BY t, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM trajectory),
   f AS (SELECT *, off - arg_min(off, seq) OVER (PARTITION BY sensor_id) AS e FROM s) SELECT seq AS id, {sql_round('x + e AS x', 'y + e AS y', 'z + e AS z', 'yaw + e AS yaw')} FROM f""")
 def fit05(spark, d):
