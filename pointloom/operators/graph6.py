@@ -269,7 +269,7 @@ def optimise(poses: DataFrame, factors: DataFrame, by: str, prune: float = 0.25,
     place = lambda c: (F.col(c) - F.col("first")).cast("long")
     rows = materialise(poses.join(named, own).select("_of", "id", "_g", place("id").alias("_v"), "pose.*"), "large-poses")
     far = links.join(named, own).select(F.col("_g").alias("g"), place("a").alias("a"), place("b").alias("b"), "weight", "uncertain", *extra, *POSE)
-    best = _solve_tables(rows.select(F.col("_g").alias("g"), F.col("_v").alias("v"), *POSE), far, prune, scale, min(small, 1000))
+    best = _solve_tables(rows.select(F.col("_g").alias("g"), F.col("_v").alias("v"), *POSE), far, prune, scale, 1000)
     best = best.withColumnsRenamed({"g": "_g", "v": "_v"})
     best = rows.select("_of", "id", "_g", "_v").join(best, ["_g", "_v"]).select(F.col("_of").alias(by), "id", *POSE)
     return done.unionByName(best).select(by, "id", F.struct(*POSE).alias("pose"))
