@@ -206,7 +206,7 @@ def _optimise_tables(poses: DataFrame, factors: DataFrame, most: int, tolerance:
         poses, rows = materialise(pick(poses, tried), "graph6-poses"), materialise(pick(rows, new), "graph6-blocks")
         gain = F.col("cost") - F.col("new")
         shorter = F.greatest(F.col("damping") * 100, F.lit(1e-6))
-        ended = F.when(F.col("better"), gain <= tolerance * F.greatest(F.lit(1.0), F.col("new"))).otherwise(shorter > 1e6)
+        ended = (F.abs(gain) <= tolerance * F.greatest(F.lit(1.0), F.col("new"))) | (~F.col("better") & (shorter > 1e6))
         state = judged.where(~ended).select("g", F.when(F.col("better"), F.col("new")).otherwise(F.col("cost")).alias("cost"), F.when(F.col("better"), F.col("damping") / 10).otherwise(shorter).alias("damping"))
         state = materialise(state, "graph6-state")
     return poses
@@ -216,15 +216,13 @@ def _solve_tables(poses: DataFrame, factors: DataFrame, prune: float, scale: flo
     """``solve`` for graphs of any size."""
     factors = materialise(factors.where("a <> b").withColumn("f", F.monotonically_increasing_id()), "graph6-factors")
     poses = materialise(poses, "graph6-poses")
-    best = _optimise_tables(poses, factors, 50, 1e-12, small)
-    doubted = _linear_table(best, factors.where("uncertain")).where("q is not null").where(F.pow(F.lit(scale) / (F.lit(scale) + F.col("cost")), F.lit(2.0)) < prune).select("f", "g")
-    doubted = materialise(doubted, "graph6-doubted")
-    if doubted.isEmpty():
-        return best
-    again = doubted.select("g").distinct()
-    rest = factors.join(doubted.select("f"), "f", "left_anti").join(again, "g", "left_semi")
-    second = _optimise_tables(poses.join(again, "g", "left_semi"), materialise(rest, "graph6-factors"), 50, 1e-12, small)
-    return best.join(again, "g", "left_anti").unionByName(second)
+    if factors.where("uncertain").isEmpty():
+        return _optimise_tables(poses, factors, 50, 1e-12, small)
+    # whom to doubt shows long before the last digits, and false loops are slow to fit
+    best = _optimise_tables(poses, factors, 50, 1e-4, small)
+    doubted = _linear_table(best, factors.where("uncertain")).where("q is not null").where(F.pow(F.lit(scale) / (F.lit(scale) + F.col("cost")), F.lit(2.0)) < prune).select("f")
+    rest = factors.join(materialise(doubted, "graph6-doubted"), "f", "left_anti")
+    return _optimise_tables(best, materialise(rest, "graph6-factors"), 50, 1e-12, small)
 
 
 def optimise(poses: DataFrame, factors: DataFrame, by: str, prune: float = 0.25, scale: float = 1.0, small: int = 5000) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pointloom.functions import geometry as g, text
-from pointloom.operators import align, mapping, ordered, reports
+from pointloom.operators import align, mapping, ordered, reports, scans
 from pointloom.plans import bridge
 from pointloom.plans.base import query, r6, rounded, sql_round
 from pointloom.sources import serial
@@ -26,6 +26,17 @@ def win15(spark, d):
     return out.select("seq", *(r6(f"pose.t{c}").alias(c) for c in "xyz"), r6("pose.r00").alias("r00"), r6("pose.r10").alias("r10"))
 
 
+@query("win15_long_session", I + f""", a AS (SELECT *, radians(sum(gz * 20) OVER w) AS h, radians(sum(gz * 20) OVER w - gz * 20) AS b FROM imu WINDOW w AS (ORDER BY t, seq ROWS UNBOUNDED PRECEDING)),
+  p AS (SELECT seq, h, sum(cos(b)*(1 + gx) - sin(b)*gy) OVER w AS x, sum(sin(b)*(1 + gx) + cos(b)*gy) OVER w AS y, sum(az - 9.8::DOUBLE) OVER w AS z FROM a WINDOW w AS (ORDER BY t, seq ROWS UNBOUNDED PRECEDING))
+  SELECT seq, {", ".join(f"round({v}, 4) + 0.0::DOUBLE AS {c}" for v, c in (("x", "x"), ("y", "y"), ("z", "z"), ("cos(h)", "r00"), ("sin(h)", "r10")))} FROM p""")
+def win15_long(spark, d):
+    """All rows as one path."""
+    step = g.Pose.from_euler(0, 0, F.col("gz") * 20, 1 + F.col("gx"), "gy", F.col("az") - 9.8)
+    rows = bridge.imu(spark, d).select("t", "seq", *(v.alias(c) for c, v in zip(scans.POSE, (*step.r, *step.t))))
+    out = scans.pose_chain(rows, (), ("t", "seq"), ("seq",))
+    return out.select("seq", *((F.round(v, 4) + 0.0).alias(c) for v, c in (("tx", "x"), ("ty", "y"), ("tz", "z"), ("r00", "r00"), ("r10", "r10"))))
+
+
 @query("join11_correct_poses", T + f""", n AS (SELECT *, row_number() OVER (PARTITION BY sensor_id ORDER BY t, seq) AS idx FROM trajectory), k AS (SELECT sensor_id, idx, x, y, z, yaw FROM n WHERE idx % 10 = 4),
   m AS (SELECT n.*, coalesce((SELECT max(idx) FROM k WHERE k.sensor_id = n.sensor_id AND k.idx <= n.idx), (SELECT min(idx) FROM k WHERE k.sensor_id = n.sensor_id)) AS ki FROM n),
   b AS (SELECT m.seq, m.x - k.x AS dx, m.y - k.y AS dy, m.z - k.z AS dz, m.yaw, k.x AS kx, k.y AS ky, k.z AS kz FROM m JOIN k ON k.sensor_id = m.sensor_id AND k.idx = m.ki)

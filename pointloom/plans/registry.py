@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pointloom.functions import geometry as g
-from pointloom.operators import align, cloud as clouds, fit, folds, ordered
+from pointloom.operators import align, cloud as clouds, fit, folds, ordered, scans
 from pointloom.plans import bridge
 from pointloom.plans.base import ORACLE_SQL, QUERIES, query, r6, rounded, sql_round  # noqa: F401
 from pointloom.sources import packets, serial
@@ -361,6 +361,20 @@ def win01(spark, d):
 UNWRAP = I + """, k AS (SELECT *, yaw - lag(yaw) OVER (PARTITION BY sensor_id ORDER BY t, seq) AS step FROM imu), u AS (SELECT *, yaw + sum(CASE WHEN step > 180 THEN -360 WHEN step < -180 THEN 360 ELSE 0 END) OVER (PARTITION BY sensor_id ORDER BY t, seq ROWS UNBOUNDED PRECEDING) AS yaw_unwrapped FROM k) """
 
 
+@query("win01_long_session", R + """, n AS (SELECT *, row_number() OVER (ORDER BY packet_id, seq, channel, azimuth_deg, distance_m, intensity) AS i FROM returns), k AS (SELECT *, lag(azimuth_deg) OVER (ORDER BY i) AS last FROM n)
+  SELECT packet_id, seq, channel, azimuth_deg, sum(coalesce(azimuth_deg < last AND last > 270 AND azimuth_deg < 90, false)::INT) OVER (ORDER BY i ROWS UNBOUNDED PRECEDING)::BIGINT AS sweep FROM k""")
+def win01_long(spark, d):
+    """All returns as those of one sensor."""
+    rows = scans.sweep_ids(bridge.returns(spark, d), (), ("packet_id", "seq", "channel", "azimuth_deg", "distance_m", "intensity"))
+    return rows.select("packet_id", "seq", "channel", "azimuth_deg", "sweep")
+
+
+@query("win14_long_session", UNWRAP.replace("PARTITION BY sensor_id ", "") + "SELECT seq, round(yaw_unwrapped, 6) + 0.0::DOUBLE AS yaw_unwrapped FROM u")
+def win14_long(spark, d):
+    """All rows as those of one sensor."""
+    return rounded(scans.unwrap_yaw(bridge.imu(spark, d).select("t", "seq", "yaw"), (), ("t", "seq")).select("seq", "yaw_unwrapped"), "yaw_unwrapped")
+
+
 @query("win14_unwrap_yaw", UNWRAP + "SELECT seq, round(yaw_unwrapped, 6) + 0.0::DOUBLE AS yaw_unwrapped FROM u")
 def win14(spark, d):
     return rounded(ordered.unwrap_yaw(bridge.imu(spark, d), ("sensor_id",), ("t", "seq")).select("seq", "yaw_unwrapped"), "yaw_unwrapped")
