@@ -144,8 +144,11 @@ def solve(poses: pd.DataFrame, factors: pd.DataFrame, prune: float, scale: float
 FLAT = ", ".join(f"{c} double" for c in POSE)
 
 
-def _linear_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """From factors with the poses of both ends (a_.., b_..): rows of their blocks (g, p, q, d, b, h, cost, f); f is the factor's number."""
+def _linear_rows(frames: Iterator[pd.DataFrame], scale: float | None) -> Iterator[pd.DataFrame]:
+    """From factors with the poses of both ends (a_.., b_..): rows of their blocks (g, p, q, d, b, h, cost, f); f is the factor's number.
+
+    With ``scale`` uncertain factors are weighed by their line process as well, and cost is what this minimises: scale * cost / (scale + cost).
+    """
     for f in frames:
         if not len(f):
             continue
@@ -153,6 +156,11 @@ def _linear_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ends = np.concatenate([f[[f"{s}_{c}" for c in POSE]].to_numpy(dtype=float) for s in "ab"])
         e, ja, jb = linearise(*_split(ends), m, m + len(f), *_split(f[list(POSE)].to_numpy(dtype=float)))
         w = _weights(f)
+        cost = (np.einsum("mij,mj->mi", w, e) * e).sum(axis=1)
+        if scale is not None:
+            loose = f["uncertain"].to_numpy(dtype=bool)
+            w = w * np.where(loose, line_process(cost, scale), 1.0)[:, None, None]
+            cost = np.where(loose, scale * cost / (scale + cost), cost)
         we = np.einsum("mij,mj->mi", w, e)
         block = lambda x, y: np.einsum("mji,mjk,mkl->mil", x, w, y).reshape(len(f), 36)  # noqa: E731, B023
         pull = lambda x: -np.einsum("mji,mj->mi", x, we)  # noqa: E731, B023
@@ -160,7 +168,6 @@ def _linear_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         h = block(ja, jb)
         h = np.where((a > b)[:, None], h.reshape(-1, 6, 6).transpose(0, 2, 1).reshape(-1, 36), h)
         none = [None] * len(f)
-        cost = (we * e).sum(axis=1)
         for p, q, d, side, link in ((a, none, list(block(ja, ja)), list(pull(ja)), none), (b, none, list(block(jb, jb)), list(pull(jb)), none), (np.minimum(a, b), np.maximum(a, b), none, none, list(h))):
             yield pd.DataFrame({"g": f["g"].to_numpy(), "p": p, "q": pd.array(q, dtype="Int64"), "d": d, "b": side, "h": link, "cost": cost if link is not none else np.full(len(f), np.nan), "f": f["f"].to_numpy()})
 
@@ -173,16 +180,16 @@ def _moved(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"g": f["g"], "v": f["v"], **{c: flat[:, k] for k, c in enumerate(POSE)}})
 
 
-def _linear_table(poses: DataFrame, factors: DataFrame) -> DataFrame:
+def _linear_table(poses: DataFrame, factors: DataFrame, scale: float | None = None) -> DataFrame:
     for end in "ab":
         own = poses.select("g", F.col("v").alias(end), *(F.col(c).alias(f"{end}_{c}") for c in POSE))
         factors = factors.join(own, ["g", end])
-    return factors.mapInPandas(_linear_rows, "g bigint, p bigint, q bigint, d array<double>, b array<double>, h array<double>, cost double, f bigint")
+    return factors.mapInPandas(lambda frames: _linear_rows(frames, scale), "g bigint, p bigint, q bigint, d array<double>, b array<double>, h array<double>, cost double, f bigint")
 
 
-def _optimise_tables(poses: DataFrame, factors: DataFrame, most: int, tolerance: float, small: int) -> DataFrame:
-    """Gauss-Newton rounds with damping over poses (g, v, r00 ..) and factors (g, a, b, f, weight, .., r00 ..) of all graphs at once; v 0 of each is fixed."""
-    rows = materialise(_linear_table(poses, factors), "graph6-blocks")
+def _optimise_tables(poses: DataFrame, factors: DataFrame, most: int, tolerance: float, small: int, scale: float | None = None) -> DataFrame:
+    """Gauss-Newton rounds with damping, and with ``scale`` uncertain factors reweighed in each, over poses (g, v, r00 ..) and factors (g, a, b, f, weight, .., r00 ..) of all graphs at once; v 0 of each is fixed."""
+    rows = materialise(_linear_table(poses, factors, scale), "graph6-blocks")
     totals = rows.where("q is not null").groupBy("g").agg(F.sum("cost").alias("cost"))
     state = materialise(totals.select("g", "cost", F.lit(1e-9).alias("damping")), "graph6-state")
     for _ in range(most):
@@ -197,7 +204,7 @@ def _optimise_tables(poses: DataFrame, factors: DataFrame, most: int, tolerance:
         steps = blocks.solve(nodes, edges, 6, small=small).withColumnsRenamed({"g": "_g", "v": "_v"})
         tried = poses.join(steps, (F.col("g") == F.col("_g")) & (F.col("v") == F.col("_v")), "left").drop("_g", "_v")
         tried = materialise(tried.mapInPandas(_moved, f"g bigint, v bigint, {FLAT}"), "graph6-poses")
-        new = materialise(_linear_table(tried, factors), "graph6-blocks")
+        new = materialise(_linear_table(tried, factors, scale), "graph6-blocks")
         after = new.where("q is not null").groupBy("g").agg(F.sum("cost").alias("new"))
         judged = materialise(state.join(after, "g").withColumn("better", F.col("new") <= F.col("cost")), "graph6-state")
         # graphs whose step is no better keep their poses, and try a shorter one
@@ -218,8 +225,8 @@ def _solve_tables(poses: DataFrame, factors: DataFrame, prune: float, scale: flo
     poses = materialise(poses, "graph6-poses")
     if factors.where("uncertain").isEmpty():
         return _optimise_tables(poses, factors, 50, 1e-12, small)
-    # whom to doubt shows long before the last digits, and false loops are slow to fit
-    best = _optimise_tables(poses, factors, 50, 1e-4, small)
+    # false loops would be slow to fit: reweighed in every round they soon count for nothing, and whom to doubt shows before the last digits
+    best = _optimise_tables(poses, factors, 50, 1e-4, small, scale)
     doubted = _linear_table(best, factors.where("uncertain")).where("q is not null").where(F.pow(F.lit(scale) / (F.lit(scale) + F.col("cost")), F.lit(2.0)) < prune).select("f")
     rest = factors.join(materialise(doubted, "graph6-doubted"), "f", "left_anti")
     return _optimise_tables(best, materialise(rest, "graph6-factors"), 50, 1e-12, small)
@@ -229,8 +236,9 @@ def optimise(poses: DataFrame, factors: DataFrame, by: str, prune: float = 0.25,
     """Rows (by, id, pose): poses (by, id, pose) that fit the factors (by, a, b, pose, weight, uncertain) best, each group's smallest id fixed.
 
     Factors may have a column information, the 36 numbers, by rows, of the matrix that weighs (rotation vector, translation); null is the identity.
-    Uncertain factors that a first solution doubts (see ``solve``) go, and their graphs are solved again. Graphs of up to ``small`` poses
-    and factors are solved each by one task; larger ones, of any size, as tables in rounds of jobs, to the same poses.
+    Uncertain factors that a first solution doubts (see ``solve``) go, and their graphs are solved again; in large graphs the first solution
+    weighs them by their line process in every round. Graphs of up to ``small`` poses
+    and factors are solved each by one task; larger ones, of any size, as tables in rounds of jobs, to the same poses where both doubt the same factors.
     Factors from a pose to itself are skipped; poses without factors, and groups of fewer than two, stay. IndexError if a factor
     names a pose that is not there.
     """
