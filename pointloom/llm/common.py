@@ -10,10 +10,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pointloom.operators.durable import discard, materialise, scratch_path, shared_dir, temporary_tables  # noqa: F401
+from pointloom.operators.scans import running  # noqa: F401
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -130,21 +131,3 @@ def rows_with(rows: DataFrame, chosen: DataFrame, times: int = 1) -> DataFrame:
     digit = F.call_function("shiftright", F.col("bits"), shift).bitwiseAND(F.lit((1 << width) - 1))
     found = rows.withColumn("word", word).join(packed, ["file", "word"]).withColumn("copies", digit).where("copies > 0")
     return found.select("row", "file", "at", *(["copies"] if times > 1 else []))
-
-
-def running(rows: DataFrame, order: list[Column], sums: dict[str, Column], name: str) -> DataFrame:
-    """The rows in one global order, with their number (``position``, from 1) and running sums over all rows up to each.
-
-    Rows are dealt to partitions by ranges of the order, which Spark finds by sampling, so that no task holds a whole
-    group. What is added up in one place is one row for each partition. Ties are ordered somehow.
-    """
-    cells = rows.orderBy(*order).withColumn("part", F.spark_partition_id()).withColumn("position", F.monotonically_increasing_id())
-    cells = materialise(cells.withColumn("position", F.col("position").bitwiseAND(F.lit((1 << 33) - 1)) + 1), name)
-    totals = cells.groupBy("part").agg(F.max("position").alias("_position"), *(F.sum(v).alias(f"_{k}") for k, v in sums.items()))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    names = ["position", *sums]
-    totals = totals.select(F.col("part").alias("_part"), *(F.coalesce(F.sum(f"_{k}").over(before), F.lit(0)).alias(f"_{k}") for k in names))
-    inside = Window.partitionBy("part").orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
-    out = cells.withColumns({k: F.sum(v).over(inside) for k, v in sums.items()}) if sums else cells
-    out = out.join(F.broadcast(totals), F.col("part") == F.col("_part"))  # one row for each partition of a sort
-    return out.withColumns({k: F.col(k) + F.col(f"_{k}") for k in names}).drop("part", "_part", *(f"_{k}" for k in names))
