@@ -110,17 +110,27 @@ def frame_witmotion(content: bytes) -> list[tuple[int, int, bytes]]:
     return found
 
 
-def _framed(rows: DataFrame, data: str, split, schema: str, names: list[str]) -> DataFrame:
+def _framed(rows: DataFrame, data: str, split, schema: str, names: list[str], most: int = 65_536) -> DataFrame:
+    """A row for each frame that ``split`` finds in ``data``, with the other columns of its row; about ``most`` frames an Arrow batch."""
     keys = [c for c in rows.columns if c != data]
 
+    def table(batch: pa.RecordBatch, owners: list[int], frames: list[tuple]) -> pa.RecordBatch:
+        at = pa.array(owners, pa.int64())
+        return pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in keys), *(pa.array(x) for x in zip(*frames))], names=[*keys, *names])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                frames = split(batch.column(data)[i].as_py() or b"")
-                if frames:
-                    whole = pa.Table.from_batches([batch.slice(i, 1)]).select(keys).take(pa.array([0] * len(frames)))
-                    columns = [c.combine_chunks() for c in whole.columns] + [pa.array(x) for x in zip(*frames)]
-                    yield pa.RecordBatch.from_arrays(columns, names=[*keys, *names])
+            owners: list[int] = []
+            frames: list[tuple] = []
+            for i, content in enumerate(batch.column(data)):
+                found = split(content.as_py() or b"")
+                owners += [i] * len(found)
+                frames += found
+                while len(frames) >= most:
+                    yield table(batch, owners[:most], frames[:most])
+                    owners, frames = owners[most:], frames[most:]
+            if frames:
+                yield table(batch, owners, frames)
 
     prefix = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keys)
     return rows.select(*keys, data).mapInArrow(run, f"{prefix}, {schema}" if prefix else schema)
