@@ -1,10 +1,11 @@
 """Exact inner-product search over norm buckets.
 
-Vectors are grouped by length; a bucket is cut into pieces of bounded size. A first pass scores each query against one
-long piece, which bounds its k-th best score from below. A second pass visits the other pieces that may still hold a
-better score: the bound divided by the lengths is the cosine a candidate must reach there. If it exceeds 1 the piece is
-skipped; if it is low only the length of candidates is tested; if it is high, candidates must also lie in the feasible
-range of the query's largest coordinates. What remains is verified by exact integer products.
+Vectors are grouped by length; a bucket is cut into pieces of bounded size. Pieces are visited from the longest on, in
+sets of 1, 2, 4 .. pieces. What is found so far bounds a query's k-th best score from below: the bound divided by the
+lengths is the cosine a candidate must reach in the next set. If it exceeds 1 the piece is skipped; if it is low only the
+length of candidates is tested; if it is high, candidates must also lie in the feasible range of the query's largest
+coordinates. What remains is verified by exact integer products. As a set is as large as all before it, it gives about k
+answers a query in rows without order, so all sets together give about k log2(pieces).
 """
 
 from __future__ import annotations
@@ -111,26 +112,35 @@ def top_k(vectors: DataFrame, queries: DataFrame, *, k: int = 10, scale: int = 1
     length2 = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
     bucket = F.when(length2 > 0, F.floor(F.log2(length2) / 2 * per_octave)).otherwise(-1)
     rows = ready(vectors).select("vec_id", "v", F.size("v").alias("dim"), bucket.alias("bucket"), F.sqrt(length2).alias("length"))
-    sizes = rows.groupBy("dim", "bucket").agg(F.ceil(F.count("*") / piece).alias("cuts"))
+    sizes = rows.groupBy("dim", "bucket").agg(F.ceil(F.count("*") / piece).alias("cuts"))  # a row for each eighth of an octave
+    ahead = Window.partitionBy("dim").orderBy(F.col("bucket").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("ahead", F.coalesce(F.sum("cuts").over(ahead), F.lit(0)))
     rows = rows.join(sizes, ["dim", "bucket"]).withColumn("cut", F.pmod(F.xxhash64("vec_id"), F.col("cuts")))
-    rows = materialise(rows.drop("cuts"), "norm-buckets")
-    pieces = materialise(rows.groupBy("dim", "bucket", "cut").agg(F.max("length").alias("longest")), "norm-pieces")
+    rows = rows.withColumn("level", F.floor(F.log2(F.col("ahead") + F.col("cut") + 1)).cast("int"))
+    rows = materialise(rows.drop("cuts", "ahead"), "norm-buckets")
+    pieces = materialise(rows.groupBy("level", "dim", "bucket", "cut").agg(F.max("length").alias("longest")), "norm-pieces")
     asked = ready(queries).groupBy("vec_id").agg(F.min("v").alias("v")).select(F.col("vec_id").alias("query_id"), "v", F.size("v").alias("dim"), F.sqrt(length2).alias("length"))
     asked = materialise(asked, "queries")
     blocks = max(1, -(-asked.count() // block))
     asked = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-    # the first pass: the piece of greatest length of each dimension
-    first = pieces.groupBy("dim").agg(F.max_by(F.struct("bucket", "cut"), F.struct("longest", "bucket", "cut")).alias("first"))
-    first = first.select("dim", "first.bucket", "first.cut")
-    one = asked.withColumn("bound", F.lit(None).cast("double")).join(first, "dim")
-    found = materialise(_tiles(one, rows.join(first, ["dim", "bucket", "cut"], "left_semi"), k), "first-scores")
-    bound = found.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score").cast("double")).alias("bound"))
-    rest = pieces.join(first, ["dim", "bucket", "cut"], "left_anti")
-    reach = F.col("bound").isNull() | (F.col("bound") <= F.col("length") * F.col("longest") * (1 + 1e-9))
-    more = asked.join(bound, "query_id", "left").join(rest, "dim").where(reach).drop("longest")
-    every = found.unionByName(_tiles(more, rows, k))
+    last = pieces.agg(F.max("level")).first()[0] or 0
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return every.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best = lambda df: df.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    found = None
+    for level in range(last + 1):
+        now, todo = asked.withColumn("bound", F.lit(None).cast("double")), pieces.where(F.col("level") == level).drop("level")
+        if found is not None:
+            bound = found.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score").cast("double")).alias("bound"))
+            now = asked.join(bound, "query_id", "left")
+        salts = min(2**level, 64)  # a dimension may hold all rows, so its pieces and queries meet by salts
+        now = now.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        todo = todo.withColumn("salt", F.pmod(F.xxhash64("bucket", "cut"), F.lit(salts)).cast("int"))
+        reach = F.col("bound").isNull() | (F.col("bound") <= F.col("length") * F.col("longest") * (1 + 1e-9))
+        new = _tiles(now.join(todo, ["dim", "salt"]).where(reach).drop("longest", "salt"), rows.where(F.col("level") == level).drop("level"), k)
+        every = best(new if found is None else found.unionByName(new)).select("query_id", "rank", "vec_id", "score")
+        if level == last:
+            return every
+        found = materialise(every.drop("rank"), f"scores-{level}")
 
 
 def _tiles(asked: DataFrame, rows: DataFrame, k: int) -> DataFrame:
