@@ -135,31 +135,46 @@ def estimate_normals(cloud: DataFrame, radius: float = 0.1, most: int = 30, key:
     return got.select(*by, key, "v.nx", "v.ny", "v.nz")
 
 
-def ground_plane(cloud: DataFrame, distance: float = 0.15, tries: int = 200, key: str = "point_id", seed: int = 0) -> DataFrame:
-    """One row (a, b, c, d, inliers): of ``tries`` planes through three sampled points each, that with most points within ``distance``.
+def ground_plane(cloud: DataFrame, distance: float = 0.15, tries: int = 200, key: str = "point_id", seed: int = 0, by: tuple[str, ...] = ()) -> DataFrame:
+    """A row (by, a, b, c, d, inliers) for each group: of ``tries`` planes through three sampled points each, that with most points within ``distance``.
 
-    The sample of 3 * tries points is bounded and is joined to the cloud by broadcast; ties go to the earlier plane.
+    The sample of 3 * tries points is bounded; without groups it is joined to the cloud by broadcast. Ties go to the earlier
+    plane. A group of fewer than 3 points, or of points on one line, has no row.
     """
     order = F.pmod((F.col(key) + seed) * F.lit(2654435761), F.lit(4294967296))
-    some = cloud.select("x", "y", "z", order.alias("h"), F.col(key).alias("k")).orderBy("h", "k").limit(3 * tries)
-    i = F.row_number().over(Window.orderBy("h", "k")) - 1
-    some = some.withColumn("i", i).select(F.floor(F.col("i") / 3).alias("plane"), (F.col("i") % 3).alias("corner"), "x", "y", "z")
+    some = cloud.select(*by, "x", "y", "z", order.alias("h"), F.col(key).alias("k"))
+    some = some if by else some.orderBy("h", "k").limit(3 * tries)
+    i = F.row_number().over(Window.partitionBy(*by).orderBy("h", "k")) - 1
+    some = some.withColumn("i", i).where(F.col("i") < 3 * tries).select(*by, F.floor(F.col("i") / 3).alias("plane"), (F.col("i") % 3).alias("corner"), "x", "y", "z")
     at = lambda c, n: F.max(F.when(F.col("corner") == n, F.col(c)))
-    p = some.groupBy("plane").agg(*(at(c, n).alias(f"{c}{n}") for c in "xyz" for n in range(3)))
+    p = some.groupBy(*by, "plane").agg(*(at(c, n).alias(f"{c}{n}") for c in "xyz" for n in range(3)))
     u, v = ([F.col(f"{c}{n}") - F.col(f"{c}0") for c in "xyz"] for n in (1, 2))
     n = (u[1] * v[2] - u[2] * v[1], u[2] * v[0] - u[0] * v[2], u[0] * v[1] - u[1] * v[0])
-    p = p.select("plane", "x0", "y0", "z0", *(c.alias(f"n{i}") for i, c in enumerate(n))).withColumn("len", norm("n0", "n1", "n2")).where("len > 1e-12")
-    p = p.select("plane", *((F.col(f"n{i}") / F.col("len")).alias(c) for i, c in enumerate("abc")), "x0", "y0", "z0")
-    p = p.withColumn("d", -(F.col("a") * F.col("x0") + F.col("b") * F.col("y0") + F.col("c") * F.col("z0"))).select("plane", "a", "b", "c", "d")
+    p = p.select(*by, "plane", "x0", "y0", "z0", *(c.alias(f"n{i}") for i, c in enumerate(n))).withColumn("len", norm("n0", "n1", "n2")).where("len > 1e-12")
+    p = p.select(*by, "plane", *((F.col(f"n{i}") / F.col("len")).alias(c) for i, c in enumerate("abc")), "x0", "y0", "z0")
+    p = p.withColumn("d", -(F.col("a") * F.col("x0") + F.col("b") * F.col("y0") + F.col("c") * F.col("z0"))).select(*by, "plane", "a", "b", "c", "d")
     off = F.abs(F.col("a") * F.col("x") + F.col("b") * F.col("y") + F.col("c") * F.col("z") + F.col("d"))
-    votes = cloud.select("x", "y", "z").join(F.broadcast(p), off <= distance).groupBy("plane", "a", "b", "c", "d").agg(F.count("*").alias("inliers"))
-    return votes.orderBy(F.col("inliers").desc(), "plane").limit(1).select("a", "b", "c", "d", "inliers")
+    points = cloud.select(*by, "x", "y", "z")
+    met = points.join(p, list(by)).where(off <= distance) if by else points.join(F.broadcast(p), off <= distance)
+    votes = met.groupBy(*by, "plane", "a", "b", "c", "d").agg(F.count("*").alias("inliers"))
+    best = votes.groupBy(*by).agg(F.max_by(F.struct("a", "b", "c", "d", "inliers"), F.struct("inliers", -F.col("plane"))).alias("best"))
+    return best.where("best is not null").select(*by, "best.*")
 
 
-def split_ground(cloud: DataFrame, plane: DataFrame, distance: float = 0.15) -> DataFrame:
-    """The cloud with a column ground (within ``distance`` of the one-row plane)."""
+def split_ground(cloud: DataFrame, plane: DataFrame, distance: float = 0.15, by: tuple[str, ...] = ()) -> DataFrame:
+    """The cloud with a column ground (within ``distance`` of the plane of its group, or of the one-row plane); false in groups without a plane."""
     off = F.abs(F.col("a") * F.col("x") + F.col("b") * F.col("y") + F.col("c") * F.col("z") + F.col("d"))
-    return cloud.join(F.broadcast(plane.select("a", "b", "c", "d")), how="cross").withColumn("ground", off <= distance).drop("a", "b", "c", "d")
+    planes = plane.select(*by, "a", "b", "c", "d")
+    both = cloud.join(planes, list(by), "left") if by else cloud.join(F.broadcast(planes), how="cross")
+    return both.withColumn("ground", F.coalesce(off <= distance, F.lit(False))).drop("a", "b", "c", "d")
+
+
+def remove_ground(cloud: DataFrame, by: tuple[str, ...], distance: float = 0.15, tries: int = 200, over: int = 100) -> DataFrame:
+    """The cloud (by, x, y, z) without the points of the largest plane of each group; groups of at most ``over`` points stay whole."""
+    rows = cloud.withColumn("_key", F.pmod(F.xxhash64("x", "y", "z"), F.lit(2**31)))
+    large = cloud.groupBy(*by).agg(F.count("*").alias("_n")).where(F.col("_n") > over).drop("_n")
+    planes = ground_plane(rows.join(large, list(by), "left_semi"), distance, tries, "_key", by=by)
+    return split_ground(cloud, planes, distance, by).where(~F.col("ground")).drop("ground")
 
 
 def depth_image(cloud: DataFrame, camera: Intrinsics) -> DataFrame:

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pointloom.functions.geometry import Intrinsics, Matrix, Pose, back_project, matmul, rotate, skew, transpose
+from pointloom.functions.geometry import Intrinsics, Matrix, Pose, back_project, matmul, rotate, rotation_from_quaternion, skew, transpose
 from pointloom.operators import align, cloud as clouds, folds, vision
 from pointloom.operators.durable import discard, materialise
 
@@ -154,14 +154,36 @@ def chain(steps: DataFrame, by: tuple[str, ...], order: tuple[str, ...], carry:
     return out.select(*names, F.struct(*POSE).alias("pose"))
 
 
-def map_scans(scans: DataFrame, by: str = "session", order: str = "scan", voxel: float = 0.2, near: float = 0.5, far: float = 100.0, hints: DataFrame | None = None, **options) -> tuple[DataFrame, DataFrame]:
-    """Poses (by, order, pose, converged) and the map (by, x, y, z) of the scans (by, order, x, y, z) of each session.
+def inertial_hints(readings: DataFrame, times: DataFrame, by: str = "session", order: str = "scan", explicit: DataFrame | None = None, least: int = 2, most: int = 5000, bucket: float | None = None, **options) -> DataFrame:
+    """Rows (by, order, pose): the rotation that ``readings`` (by, t, gx, gy, gz) give from one scan of ``times`` (by, order, t) to the next.
 
-    Every scan is registered to the one before it in its session, all pairs at once, from the identity or ``hints`` (by, order,
-    pose); a session's first scan has the identity. A scan that does not register keeps the pose before it and adds nothing to the map,
-    but the next one is registered to it. Points nearer than ``near`` or beyond ``far`` are left out, the map is thinned to voxels.
+    A reading counts for the first scan at or after it. Scans with an ``explicit`` hint (by, order) take no readings, these stay
+    for the next scan. Each interval is integrated from the identity, over its newest ``most`` readings. An interval of fewer than
+    ``least`` readings, or that turns nothing, gives no hint.
     """
-    kept = materialise(clouds.range_filter(scans, near, far).select(by, order, "x", "y", "z"), "mapping-scans")
+    marks = times.select(by, order, "t")
+    if explicit is not None:
+        marks = marks.join(explicit.select(by, order), [by, order], "left_anti")
+    met = align._neighbours(readings.select(by, "t", "gx", "gy", "gz"), marks, (by,), "t", bucket, False)
+    inside = met.where("_after is not null").select(by, F.col(f"_after.{order}").alias(order), "t", "gx", "gy", "gz")
+    newest = F.row_number().over(Window.partitionBy(by, order).orderBy(F.desc("t"), "gx", "gy", "gz"))
+    inside = inside.withColumn("_rank", newest).where(F.col("_rank") <= most).drop("_rank")
+    turned = folds.preintegrate(inside, (by, order), ("t", "gx", "gy", "gz"), carry=("t",), **options)
+    last = turned.groupBy(by, order).agg(F.count("*").alias("n"), F.max_by(F.struct("qw", "qx", "qy", "qz"), "t").alias("q")).where(F.col("n") >= least)
+    r = rotation_from_quaternion(tuple(F.col(f"q.q{c}") for c in "wxyz"))
+    turns = [F.abs(v - (1.0 if i % 4 == 0 else 0.0)) > (1.001e-5 if i % 4 == 0 else 1e-8) for i, v in enumerate(r)]
+    return last.where(F.greatest(*turns)).select(by, order, Pose(r, tuple(F.lit(0.0) for _ in "xyz")).struct().alias("pose"))
+
+
+def scan_poses(scans: DataFrame, by: str = "session", order: str = "scan", voxel: float = 0.2, near: float = 0.5, far: float = 100.0, hints: DataFrame | None = None, heights: tuple[float, float] | None = None, ground: float | None = None, readings: DataFrame | None = None, times: DataFrame | None = None, **options) -> tuple[DataFrame, DataFrame]:
+    """Poses and the prepared points of the scans; the parameters are those of ``map_scans``."""
+    kept = clouds.range_filter(scans, near, far).select(by, order, "x", "y", "z")
+    kept = materialise(clouds.passthrough_filter(kept, "z", *heights) if heights else kept, "mapping-scans")
+    if ground is not None:
+        kept = materialise(clouds.remove_ground(kept, (by, order), ground), "mapping-above-ground")
+    if readings is not None:
+        turned = inertial_hints(readings, times, by, order, hints)
+        hints = turned if hints is None else hints.select(by, order, "pose").unionByName(turned)
     w = Window.partitionBy(by).orderBy(order)
     pairs = scans.select(by, order).distinct().withColumn("before", F.lag(order).over(w)).withColumn("pair_id", F.concat_ws("/", by, order))
     pairs = materialise(pairs, "mapping-pairs")
@@ -172,9 +194,27 @@ def map_scans(scans: DataFrame, by: str = "session", order: str = "scan", voxel:
     found = register_pairs(source, target, "pair_id", start, voxel=voxel, **options)
     steps = pairs.join(found, "pair_id", "left").withColumn("converged", F.coalesce("converged", F.col("before").isNull()))
     steps = materialise(steps.select(by, order, "converged", F.when(F.col("converged"), F.col("pose")).alias("step")), "mapping-steps")
-    poses = materialise(chain(steps, (by,), (order,), (order, "converged")), "mapping-poses")
-    placed = kept.join(poses.where("converged"), [by, order]).withColumns(dict(zip(("x", "y", "z"), Pose.from_struct("pose").apply("x", "y", "z"))))
-    return poses, clouds.voxel_downsample(placed, voxel, by=(by,)).select(by, "x", "y", "z")
+    return materialise(chain(steps, (by,), (order,), (order, "converged")), "mapping-poses"), kept
+
+
+def placed(kept: DataFrame, poses: DataFrame, by: str = "session", order: str = "scan") -> DataFrame:
+    """The points (by, order, x, y, z) of converged scans in the frame of their session."""
+    rows = kept.join(poses.where("converged"), [by, order])
+    return rows.withColumns(dict(zip(("x", "y", "z"), Pose.from_struct("pose").apply("x", "y", "z")))).select(by, order, "x", "y", "z")
+
+
+def map_scans(scans: DataFrame, by: str = "session", order: str = "scan", voxel: float = 0.2, **options) -> tuple[DataFrame, DataFrame]:
+    """Poses (by, order, pose, converged) and the map (by, x, y, z) of the scans (by, order, x, y, z) of each session.
+
+    Every scan is registered to the one before it in its session, all pairs at once, from the identity or ``hints`` (by, order,
+    pose); a session's first scan has the identity. With inertial ``readings`` and the scans' ``times``, scans without such a
+    hint start from the rotation in between (``inertial_hints``). A scan that does not register keeps the pose before it and
+    adds nothing to the map, but the next one is registered to it. Points nearer than ``near`` or beyond ``far`` are left out,
+    as are those outside of ``heights`` on z and, with ``ground`` (a distance), those of the largest plane of a scan of over 100
+    points. The map is thinned to voxels.
+    """
+    poses, kept = scan_poses(scans, by, order, voxel, **options)
+    return poses, clouds.voxel_downsample(placed(kept, poses, by, order), voxel, by=(by,)).select(by, "x", "y", "z")
 
 
 def visual_odometry(keypoints: DataFrame, bits: tuple[str, ...], camera: Intrinsics, by: str = "session", order: str = "frame", ratio: float = 0.75, **options) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pointloom.operators import mapping, ordered
-from pointloom.sources import packets, recordings, writers
+from pointloom.sources import files, packets, recordings, writers
 
 
 def replay_frames(spark: SparkSession, path: str) -> DataFrame:
@@ -26,13 +26,21 @@ def recording_counts(spark: SparkSession, path: str) -> DataFrame:
     return sizes.join(frames, "file", "left").fillna(0, ["frames"])
 
 
-def map_recordings(spark: SparkSession, path: str, folder: str, most_frames: int | None = None, voxel: float = 0.2, **options) -> tuple[DataFrame, DataFrame]:
+def map_recordings(spark: SparkSession, path: str, folder: str, most_frames: int | None = None, voxel: float = 0.2, archives: str | None = None, **options) -> tuple[DataFrame, DataFrame]:
     """Poses (session, scan, pose, converged) and the written maps (file, rows, bytes): each recording is a session whose frames are its scans.
 
-    Frames without returns do not occur; with ``most_frames`` only the first ones of each recording are used.
+    Frames without returns do not occur; with ``most_frames`` only the first ones of each recording are used. ``archives`` is a
+    folder or pattern of inertial archives named as their recordings (but for what follows the last dot); frames then start from
+    the rotation up to their last packet.
     """
-    frames = replay_frames(spark, path).select(F.regexp_extract("file", r"([^/]+)$", 1).alias("session"), F.col("frame").alias("scan"), "x", "y", "z")
+    frames = replay_frames(spark, path).withColumn("session", F.regexp_extract("file", r"([^/]+)$", 1)).withColumnRenamed("frame", "scan")
     if most_frames is not None:
         frames = frames.where(F.col("scan") < most_frames)
-    poses, cloud = mapping.map_scans(frames, voxel=voxel, **options)
+    if archives is not None:
+        stem = lambda c, end: F.regexp_replace(F.regexp_extract(c, r"([^/]+)$", 1), r"\.[^.]*$", "").alias(end)
+        times = frames.groupBy("session", "scan").agg(F.max("ts").alias("t")).withColumn("stem", stem("session", "stem"))
+        readings = files.read_imu_archives(spark, archives).select(stem("file", "stem"), "t", "gx", "gy", "gz")
+        readings = readings.join(times.select("stem", "session").distinct(), "stem")
+        options |= {"readings": readings, "times": times}
+    poses, cloud = mapping.map_scans(frames.select("session", "scan", "x", "y", "z"), voxel=voxel, **options)
     return poses, writers.write_maps(cloud, folder)
