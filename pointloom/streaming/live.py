@@ -36,6 +36,59 @@ def near_pairs(left: DataFrame, right: DataFrame, by: str, ts: str = "ts", toler
     return a.join(b, (F.col(by) == F.col(f"right_{by}")) & (F.col(f"right_{ts}") >= F.col(ts) - gap) & (F.col(f"right_{ts}") <= F.col(ts) + gap))
 
 
+def nearest(left: DataFrame, right: DataFrame, by: str, order: str = "seq", ts: str = "ts", values: tuple[str, ...] = (), late: str = "10 seconds", idle: int = 60_000) -> DataFrame:
+    """Rows (by, order, ts, right_order, right_ts, right_values ..): each left row with the right row nearest in time, as ``asof_nearest`` over whole tables.
+
+    A left row is emitted once, when the watermark shows that no nearer row can come: it has passed a right row after it, or is
+    farther from the left row than the last right row before it. Ties go to the earlier row; of right rows of one time the
+    greatest ``order`` counts for rows at or after them, the least for rows before. State holds what the watermark has
+    not passed, left rows that wait, and the last right row. ``idle`` milliseconds after its newest row a group gives what it
+    has (nulls where no right row came) and is forgotten. ``order`` and ``values`` are numbers.
+    """
+    kind = left.schema[by].dataType.simpleString()
+    nothing = [F.lit(None).cast("double").alias(v) for v in values]
+    side = lambda df, flag, cols: df.withWatermark(ts, late).select(by, ts, F.col(order).cast("double").alias("_order"), F.lit(flag).alias("_left"), *cols)
+    both = side(left, 1.0, nothing).unionByName(side(right, 0.0, [F.col(v).cast("double").alias(v) for v in values]))
+    width = 3 + len(values)
+    names = [by, order, ts, f"right_{order}", f"right_{ts}", *(f"right_{v}" for v in values)]
+
+    def step(key: tuple[Any, ...], frames: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
+        held, newest = group.get if group.exists else (b"", 0)
+        rows = np.frombuffer(held, dtype=np.float64).reshape(-1, width)
+        for frame in frames:
+            at = frame[ts].to_numpy().astype("datetime64[us]").astype(np.int64)
+            rows = np.concatenate((rows, np.column_stack((at, frame[["_left", "_order", *values]].to_numpy(dtype=np.float64)))))
+        newest = max(newest, int(rows[:, 0].max(initial=0)))
+        passed = group.getCurrentWatermarkMs() * 1000
+        over = passed >= (newest // 1000 + 1 + idle) * 1000
+        rows = rows[np.lexsort((rows[:, 2], rows[:, 0]))]
+        asked, there = rows[rows[:, 1] == 1], rows[rows[:, 1] == 0]
+        t = asked[:, 0]
+        last, first = np.searchsorted(there[:, 0], t, "right") - 1, np.searchsorted(there[:, 0], t, "right")
+        time = np.concatenate((there[:, 0], [np.inf]))  # -1 and len(there) both fall on the end
+        before, after = np.where(last >= 0, t - time[last], np.inf), time[first] - t
+        known = over | ((t <= passed) & ((time[first] <= passed) | (t + before <= passed)))
+        pick = np.where(before <= after, last, first)
+        have = np.isfinite(np.minimum(before, after))
+        got = np.concatenate((there, np.full((1, width), np.nan)))[np.where(have, pick, len(there))][known]
+        done, wait = asked[known], asked[~known]
+        if over:
+            group.remove()
+        else:
+            keep = there[max(0, np.searchsorted(there[:, 0], passed, "right") - 1) :]
+            group.update((np.concatenate((wait, keep)).tobytes(), newest))
+            need = np.where(np.isfinite(before[~known]), np.maximum(t[~known], np.minimum(t[~known] + before[~known], time[first[~known]])), np.inf)
+            next_ = min([newest // 1000 + 1 + idle, *(int(x) // 1000 + 1 for x in need if np.isfinite(x))])
+            group.setTimeoutTimestamp(max(next_, group.getCurrentWatermarkMs() + 1))
+        stamp = lambda x: pd.Series(pd.to_datetime(pd.Series(x), unit="us"))
+        number = lambda x: pd.Series(x).astype("Int64")
+        columns = [pd.Series([key[0]] * len(done), dtype=object), number(done[:, 2]), stamp(done[:, 0]), number(got[:, 2]), stamp(got[:, 0]), *(pd.Series(got[:, 3 + i]) for i in range(len(values)))]
+        yield pd.DataFrame(dict(zip(names, columns)))
+
+    out = f"{by} {kind}, {order} long, {ts} timestamp, right_{order} long, right_{ts} timestamp" + "".join(f", right_{v} double" for v in values)
+    return both.groupBy(by).applyInPandasWithState(step, out, "held binary, newest long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 Fold = Callable[[Any, tuple, np.ndarray], tuple[tuple, list[list]]]
 
 
