@@ -31,10 +31,13 @@ def crop_box(cloud: DataFrame, x: tuple[float, float], y: tuple[float, float], z
     return cloud.where(F.col("x").between(*x) & F.col("y").between(*y) & F.col("z").between(*z))
 
 
-def sample_exactly(cloud: DataFrame, n: int, key: str = "point_id", seed: int = 0) -> DataFrame:
-    """n points without replacement, by a multiplicative hash of an integer key; all if there are no more."""
+def sample_exactly(cloud: DataFrame, n: int, key: str = "point_id", seed: int = 0, by: tuple[str, ...] = ()) -> DataFrame:
+    """n points (of each group) without replacement, by a multiplicative hash of an integer key; all if there are no more."""
     order = F.pmod((F.col(key) + seed) * F.lit(2654435761), F.lit(4294967296))
-    return cloud.orderBy(order, key).limit(n)
+    if not by:
+        return cloud.orderBy(order, key).limit(n)
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy(order, key))
+    return cloud.withColumn("_rank", rank).where(F.col("_rank") <= n).drop("_rank")
 
 
 def cell(size: float, *columns: str) -> list[Column]:

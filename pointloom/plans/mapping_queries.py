@@ -6,7 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pointloom.functions import geometry as g, text
-from pointloom.operators import align, mapping, ordered, reports, scans
+from pointloom.functions.binary import crc8
+from pointloom.operators import align, cloud as clouds, mapping, ordered, reports, scans
 from pointloom.plans import bridge
 from pointloom.plans.base import query, r6, rounded, sql_round
 from pointloom.sources import serial
@@ -168,6 +169,63 @@ def pipe10(spark, d):
     return out.select("user_id", "chunks", "bytes", "frames", "fields", (F.col("crc_valid") + F.col("crc_invalid")).alias("crc_checked"))
 
 
+@query("agg16_crc_counts", "SELECT user_id, count(*) AS frames, count(*) FILTER (event_id % 3 <> 0) AS crc_valid, count(*) FILTER (event_id % 3 = 0) AS crc_invalid FROM events GROUP BY user_id")
+def agg16(spark, d):
+    """Short frames, of which every third has a wrong CRC."""
+    e = F.col("event_id")
+    head = F.unhex(F.concat(F.lit("FDFE41"), F.lpad(F.hex(e % 256), 2, "0")))
+    last = crc8(head).bitwiseXOR(F.when(e % 3 == 0, 1).otherwise(0))
+    captures = bridge.table(spark, d, "events").select("user_id", e.cast("double").alias("t"), F.concat(head, F.unhex(F.lpad(F.hex(last), 2, "0"))).alias("data"))
+    return serial.bus_report(captures, ("user_id",)).select("user_id", "frames", "crc_valid", "crc_invalid")
+
+
+CRC_SQL = "list_reduce(list_prepend(0, p), lambda c, x: list_reduce([xor(c::BIGINT, x::BIGINT), 0, 0, 0, 0, 0, 0, 0, 0], lambda a, z: CASE WHEN a >= 128 THEN xor((a * 2) & 255, 7) ELSE a * 2 END))"
+
+
+@query("snk16_command_packets", f"""WITH c AS (SELECT event_id, event_id % 2 AS tilt, event_id // 2 % 2 AS negative, event_id % 3 AS n FROM events),
+  s AS (SELECT *, unnest(range(3 * n + 3)) AS step FROM c), k AS (SELECT *, CASE WHEN step < 3 * n THEN [1, 2, 3][step % 3 + 1] ELSE [4, 1, 2][step - 3 * n + 1] END AS kind FROM s),
+  b AS (SELECT event_id, step, CASE kind WHEN 1 THEN [253, 254, 17, 1, 0, 0] WHEN 2 THEN [253, 254, 33, 1, 0, 0] WHEN 3 THEN [253, 254, 19 + 16 * tilt, 4] || CASE WHEN negative = 1 THEN [16, 224] ELSE [20, 188] END ELSE [253, 254, 19 + 16 * tilt, 2, 0, 0] END AS p FROM k)
+  SELECT event_id, step::INT AS step, list_reduce(list_transform(list_append(p, {CRC_SQL}), lambda x: printf('%02X', x::INT)), lambda a, z: a || z) AS packet FROM b""")
+def snk16_commands(spark, d):
+    e = F.col("event_id")
+    commands = bridge.table(spark, d, "events").select("event_id", F.when(e % 2 == 1, "tilt").otherwise("azimuth").alias("axis"), F.when(F.floor(e / 2) % 2 == 1, "negative").otherwise("positive").alias("direction"), (e % 3).alias("repeats"))
+    return serial.command_packets(commands).select("event_id", "step", F.hex("packet").alias("packet"))
+
+
+@query("agg06_ground_by_scan", "WITH " + bridge.CLOUD + """, s AS (SELECT scan_id, x, y, z, row_number() OVER (PARTITION BY scan_id ORDER BY (point_id * 2654435761) % 4294967296, point_id) - 1 AS i FROM cloud),
+  t AS (SELECT scan_id, i // 3 AS plane, i % 3 AS corner, x, y, z FROM s WHERE i < 60),
+  c AS (SELECT scan_id, plane, max(x) FILTER (corner = 0) AS x0, max(y) FILTER (corner = 0) AS y0, max(z) FILTER (corner = 0) AS z0, max(x) FILTER (corner = 1) AS x1, max(y) FILTER (corner = 1) AS y1,
+    max(z) FILTER (corner = 1) AS z1, max(x) FILTER (corner = 2) AS x2, max(y) FILTER (corner = 2) AS y2, max(z) FILTER (corner = 2) AS z2 FROM t GROUP BY scan_id, plane),
+  n AS (SELECT scan_id, plane, x0, y0, z0, (y1-y0)*(z2-z0) - (z1-z0)*(y2-y0) AS n0, (z1-z0)*(x2-x0) - (x1-x0)*(z2-z0) AS n1, (x1-x0)*(y2-y0) - (y1-y0)*(x2-x0) AS n2 FROM c),
+  p AS (SELECT scan_id, plane, n0/l AS a, n1/l AS b, n2/l AS c, -(n0*x0 + n1*y0 + n2*z0)/l AS d FROM (SELECT *, sqrt(n0*n0 + n1*n1 + n2*n2) AS l FROM n) WHERE l > 1e-12),
+  v AS (SELECT p.scan_id, plane, a, b, c, d, count(*) AS inliers FROM p JOIN cloud ON p.scan_id = cloud.scan_id AND abs(a*x + b*y + c*z + d) <= 0.5 GROUP BY ALL)
+  SELECT scan_id, round(a, 6) + 0.0::DOUBLE AS a, round(b, 6) + 0.0::DOUBLE AS b, round(c, 6) + 0.0::DOUBLE AS c, round(d, 6) + 0.0::DOUBLE AS d, inliers FROM v QUALIFY row_number() OVER (PARTITION BY scan_id ORDER BY inliers DESC, plane) = 1""")
+def agg06_by_scan(spark, d):
+    return rounded(clouds.ground_plane(bridge.cloud(spark, d), 0.5, 20, by=("scan_id",)), "a", "b", "c", "d")
+
+
+@query("pipe03_inertial_hints", "WITH " + bridge.IMU + """, s AS (SELECT sensor_id, min(seq) AS scan, t FROM imu WHERE kind = 'view' GROUP BY sensor_id, t),
+  m AS (SELECT i.sensor_id, s.scan, i.t, i.gz FROM imu i ASOF JOIN s ON i.sensor_id = s.sensor_id AND i.t <= s.t),
+  d AS (SELECT sensor_id, scan, gz, t - lag(t) OVER (PARTITION BY sensor_id, scan ORDER BY t, gz) AS dt FROM m),
+  a AS (SELECT sensor_id, scan, count(*) AS n, sum(CASE WHEN dt > 0 AND dt <= 1 AND abs(gz) >= 0.005 THEN 2 * atan(gz * dt / 2) ELSE 0 END) AS a FROM d GROUP BY ALL)
+  SELECT sensor_id, scan, round(cos(a), 6) + 0.0::DOUBLE AS r00, round(sin(a), 6) + 0.0::DOUBLE AS r10 FROM a WHERE n >= 2 AND (abs(cos(a) - 1) > 1.001e-5 OR abs(sin(a)) > 1e-8)""")
+def pipe03_hints(spark, d):
+    """Turns about the vertical between the views of each sensor."""
+    rows = bridge.imu(spark, d).withColumns({"gx": F.lit(0.0), "gy": F.lit(0.0)})
+    times = rows.where("kind = 'view'").groupBy("sensor_id", "t").agg(F.min("seq").alias("scan"))
+    hints = mapping.inertial_hints(rows, times, "sensor_id", "scan", bucket=5.0)
+    return rounded(hints.select("sensor_id", "scan", "pose.r00", "pose.r10"), "r00", "r10")
+
+
+@query("snk18_preview_sample", "WITH " + bridge.CLOUD + """, r AS (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY (point_id * 2654435761) % 4294967296, point_id) AS i FROM cloud),
+  s AS (SELECT *, min(x) OVER w AS lx, max(x) OVER w AS hx, min(y) OVER w AS ly, max(y) OVER w AS hy FROM r WHERE i <= 12 WINDOW w AS (PARTITION BY scan_id)),
+  f AS (SELECT point_id, x, y, lx, ly, least(312 / greatest(hx - lx, 1e-9), 232 / greatest(hy - ly, 1e-9)) AS k FROM s)
+  SELECT point_id, round(4 + (x - lx) * k, 6) + 0.0::DOUBLE AS px, round(236 - (y - ly) * k, 6) + 0.0::DOUBLE AS py FROM f""")
+def snk18_sample(spark, d):
+    some = clouds.sample_exactly(bridge.cloud(spark, d), 12, by=("scan_id",))
+    return rounded(reports.fit_to_canvas(some, 320, 240, ("scan_id",)).select("point_id", "px", "py"), "px", "py")
+
+
 @query("pipe01_scan_poses")
 def pipe01(spark, d):
     """Every frame of the descriptor table as a scan of one session, each registered to the one before."""

@@ -160,18 +160,19 @@ def named_points(df):
     return df.select("point_id", r6("wx").alias("wx"), r6("wy").alias("wy"), r6("wz").alias("wz"))
 
 
-@query("fn08_slerp", I + f""", h AS (SELECT seq, radians(CASE WHEN abs(yaw) > 175 THEN 90 ELSE yaw END) / 2 AS a FROM imu) SELECT seq, {sql_round('cos(0.3::DOUBLE * a) AS w', 'sin(0.3::DOUBLE * a) AS z')} FROM h WHERE abs(cos(a)) < 0.999""")
+@query("fn08_slerp", I + f""", q AS (SELECT seq, cos(radians(yaw)) AS w, sin(radians(yaw)) AS z FROM imu), h AS (SELECT *, abs(w) AS d, acos(least(1, abs(w))) AS a, CASE WHEN w < 0 THEN -1 ELSE 1 END AS s FROM q),
+  k AS (SELECT seq, w, z, CASE WHEN d > 0.9995 THEN 0.7::DOUBLE ELSE sin(0.7::DOUBLE * a) / sin(a) END AS u, s * CASE WHEN d > 0.9995 THEN 0.3::DOUBLE ELSE sin(0.3::DOUBLE * a) / sin(a) END AS v FROM h),
+  m AS (SELECT seq, u + v * w AS w, v * z AS z FROM k) SELECT seq, {sql_round('w / sqrt(w*w + z*z) AS w', 'z / sqrt(w*w + z*z) AS z')} FROM m""")
 def fn08(spark, d):
-    yaw = F.when(F.abs(F.col("yaw")) > 175, 90.0).otherwise(F.col("yaw"))
-    rows = bridge.imu(spark, d).select("seq", *(v.alias(n) for n, v in zip("wxyz", g.quaternion_from_euler(0, 0, yaw))))
+    """Turns of up to a whole circle to either side, so that all branches are taken."""
+    rows = bridge.imu(spark, d).select("seq", *(v.alias(n) for n, v in zip("wxyz", g.quaternion_from_euler(0, 0, F.col("yaw") * 2))))
     q = g.slerp(g.cols(1, 0, 0, 0), tuple(F.col(c) for c in "wxyz"), 0.3)
-    return rows.where(F.abs("w") < 0.999).select("seq", r6(q[0]).alias("w"), r6(q[3]).alias("z"))
+    return rows.select("seq", r6(q[0]).alias("w"), r6(q[3]).alias("z"))
 
 
-@query("fn16_axis_angle", I + f"SELECT seq, {sql_round('radians(yaw) AS rz')} FROM imu WHERE abs(yaw) BETWEEN 1 AND 170")
+@query("fn16_axis_angle", I + f", a AS (SELECT seq, CASE WHEN abs(radians(yaw)) > pi() - 1e-6 THEN abs(radians(yaw)) WHEN abs(radians(yaw)) < 1e-9 THEN 0 ELSE radians(yaw) END AS rz FROM imu) SELECT seq, {sql_round('rz')} FROM a")
 def fn16(spark, d):
-    rows = bridge.imu(spark, d).where("abs(yaw) BETWEEN 1 AND 170")
-    return rows.select("seq", r6(g.axis_angle(g.rotation_from_euler(0, 0, "yaw"))[2]).alias("rz"))
+    return bridge.imu(spark, d).select("seq", r6(g.axis_angle(g.rotation_from_euler(0, 0, "yaw"))[2]).alias("rz"))
 
 
 @query("fn22_four_dof", I + f"SELECT seq, {sql_round('ax AS x', 'radians(yaw) AS yaw')} FROM imu")

@@ -201,6 +201,30 @@ def bus_packet(frame_id, mode, value) -> Column:
     return F.concat(head, F.unhex(F.lpad(F.hex(crc8(head)), 2, "0")))
 
 
+# Fixed values of the mount's commands: heartbeats (frame id, mode, value), axes, directions, and the modes that move and release.
+HEARTBEATS = ((0x11, 0x01, 0), (0x21, 0x01, 0))
+AXES = {"azimuth": 0x13, "tilt": 0x23}
+DIRECTIONS = {"positive": 0xBC14, "negative": 0xE010}
+MOVE_MODE, RELEASE_MODE = 0x04, 0x02
+
+
+def command_packets(commands: DataFrame) -> DataFrame:
+    """Rows (columns of ``commands``, step, packet): the packets that move an ``axis`` in a ``direction`` for ``repeats`` periods.
+
+    Each period sends both heartbeats and the command; at the end come the release and both heartbeats. Other axes and directions are an
+    error, no or negative repeats send the end only.
+    """
+    known = lambda c, table: F.coalesce(*(F.when(F.col(c) == k, F.lit(v)) for k, v in table.items()), F.raise_error(F.concat(F.lit(f"unknown {c} "), F.coalesce(c, F.lit("null")))).cast("int"))
+    periods = F.greatest(F.coalesce(F.col("repeats"), F.lit(0)), F.lit(0)).cast("int")
+    rows = commands.withColumns({"_axis": known("axis", AXES), "_value": known("direction", DIRECTIONS)}).withColumn("step", F.explode(F.sequence(F.lit(0), periods * 3 + 2)))
+    after = F.col("step") - periods * 3  # from 0 on: release, heartbeat, heartbeat
+    beat = F.when(after >= 0, after - 1).otherwise(F.col("step") % 3)
+    one, two, moving = beat == 0, beat == 1, after < 0
+    pick = lambda i, move, end: F.when(one, HEARTBEATS[0][i]).when(two, HEARTBEATS[1][i]).when(moving, move).otherwise(end).cast("int")
+    packet = bus_packet(pick(0, F.col("_axis"), F.col("_axis")), pick(1, F.lit(MOVE_MODE), F.lit(RELEASE_MODE)), pick(2, F.col("_value"), F.lit(0)))
+    return rows.withColumn("packet", packet).drop("_axis", "_value")
+
+
 def bus_report(captures: DataFrame, by: tuple[str, ...], data: str = "data", t: str = "t") -> DataFrame:
     """Rows (by, chunks, bytes, printable, bytes_per_second, frames, fields, crc_valid, crc_invalid) over all captures.
 
