@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pointloom.functions import geometry as g, text
 from pointloom.functions.binary import crc8
-from pointloom.operators import align, cloud as clouds, mapping, ordered, reports, scans
+from pointloom.operators import align, cloud as clouds, fit, mapping, ordered, reports, scans, vision
 from pointloom.plans import bridge
 from pointloom.plans.base import query, r6, rounded, sql_round
 from pointloom.sources import serial
@@ -226,6 +226,45 @@ def snk18_sample(spark, d):
     return rounded(reports.fit_to_canvas(some, 320, 240, ("scan_id",)).select("point_id", "px", "py"), "px", "py")
 
 
+@query("fit04_hand_eye", I + """, k AS (SELECT sensor_id, radians(10 + sensor_id % 7 * 5) AS a FROM imu GROUP BY sensor_id HAVING count(*) >= 2)
+  SELECT sensor_id, round(cos(a), 4) + 0.0::DOUBLE AS r00, round(sin(a), 4) + 0.0::DOUBLE AS r10, 0.5::DOUBLE AS tx, -0.25::DOUBLE AS ty, (sensor_id % 3)::DOUBLE AS tz FROM k""")
+def fit04(spark, d):
+    """The readings of each sensor as motions, seen by a second sensor whose place on it is known."""
+    own = g.Pose.from_euler(F.col("gx") * 60, F.col("gy") * 60, F.col("yaw") / 3, "ax", "ay", F.col("az") - 9.8)
+    mount = g.Pose.from_euler(0, 0, 10 + F.col("sensor_id") % 7 * 5, 0.5, -0.25, (F.col("sensor_id") % 3).cast("double"))
+    motions = bridge.imu(spark, d).select("sensor_id", (mount @ own @ mount.inverse()).struct().alias("a"), own.struct().alias("b"))
+    out = fit.hand_eye(motions, ("sensor_id",)).select("sensor_id", "x.r00", "x.r10", "x.tx", "x.ty", "x.tz")
+    return out.withColumns({c: F.round(c, 4) + F.lit(0.0) for c in ("r00", "r10", "tx", "ty", "tz")})
+
+
+CAMERA = g.Intrinsics(500.0, 500.0, 320.0, 240.0, 640, 480)
+
+
+def seen(pose: g.Pose, *at) -> tuple:
+    """Pixel of a point under a pose, without clipping to the image."""
+    x, y, z = pose.apply(*at)
+    return CAMERA.fx * x / z + CAMERA.cx, CAMERA.fy * y / z + CAMERA.cy
+
+
+@query("fit13_camera_poses", C + """, n AS (SELECT scan_id, count(*) AS n, radians(scan_id % 10 * 4) AS a FROM cloud GROUP BY scan_id)
+  SELECT scan_id, n, n AS inliers, n >= 12 AS accepted, round(cos(a), 4) + 0.0::DOUBLE AS r00, round(sin(a), 4) + 0.0::DOUBLE AS r10, round(scan_id % 5 / 10.0::DOUBLE, 4) AS tx, 0.25::DOUBLE AS ty, 30.0::DOUBLE AS tz FROM n WHERE n >= 6""")
+def fit13(spark, d):
+    """Every scan seen by a camera whose pose is known."""
+    pose = g.Pose.from_euler(0, 0, F.col("scan_id") % 10 * 4, F.col("scan_id") % 5 / 10, 0.25, 30.0)
+    u, v = seen(pose, "x", "y", "z")
+    found = vision.camera_poses(bridge.cloud(spark, d).withColumns({"u": u, "v": v}), ("scan_id",), CAMERA).where("n >= 6")
+    out = found.select("scan_id", "n", "inliers", "accepted", "r00", "r10", "tx", "ty", "tz")
+    return out.withColumns({c: F.round(c, 4) + F.lit(0.0) for c in ("r00", "r10", "tx", "ty", "tz")})
+
+
+@query("fit11_verified_matches", C + "SELECT scan_id, count(*) AS n, count(*) AS inliers, true AS accepted FROM cloud GROUP BY scan_id HAVING count(*) >= 8")
+def fit11(spark, d):
+    """Every scan seen by two cameras, all of whose matches agree with one motion."""
+    one, two = g.Pose.from_euler(z=30.0), g.Pose.from_euler(0, 4.0, F.col("scan_id") % 10, 1.0, 0.5, 30.0)
+    views = dict(zip(("u1", "v1", "u2", "v2"), (*seen(one, "x", "y", "z"), *seen(two, "x", "y", "z"))))
+    return vision.verify_matches(bridge.cloud(spark, d).withColumns(views), ("scan_id",), CAMERA).where("n >= 8").select("scan_id", "n", "inliers", "accepted")
+
+
 @query("pipe01_scan_poses")
 def pipe01(spark, d):
     """Every frame of the descriptor table as a scan of one session, each registered to the one before."""
