@@ -32,7 +32,10 @@ def crop_box(cloud: DataFrame, x: tuple[float, float], y: tuple[float, float], z
 
 
 def sample_exactly(cloud: DataFrame, n: int, key: str = "point_id", seed: int = 0, by: tuple[str, ...] = ()) -> DataFrame:
-    """n points (of each group) without replacement, by a multiplicative hash of an integer key; all if there are no more."""
+    """n points (of each group) without replacement, by a multiplicative hash of an integer key; all if there are no more.
+
+    With groups n should be small: one task ranks up to n rows of a group from every partition.
+    """
     order = F.pmod((F.col(key) + seed) * F.lit(2654435761), F.lit(4294967296))
     if not by:
         return cloud.orderBy(order, key).limit(n)

@@ -155,17 +155,22 @@ def witmotion_readings(frames: DataFrame, by: tuple[str, ...] = (), order: str =
 
 
 def frame_bus(content: bytes, lengths: dict[int, int] | None = None) -> list[tuple[int, bytes]]:
-    """(position, frame) of frames that begin with FD FE: of their id's fixed length, or else up to the next such mark, if that gives 4 bytes."""
+    """(position, frame) of frames that begin with FD FE, of their id's fixed length.
+
+    Where the id has none, or the content ends before it, a frame goes up to the next such mark, if that gives 4 bytes; without a
+    next mark it is unfinished and left out.
+    """
     marks = [m.start() for m in re.finditer(b"(?=\xfd\xfe)", content)]
     found, until = [], 0
-    for k, at in enumerate(marks):
+    for at, following in zip(marks, [*marks[1:], None]):
         if at < until:
             continue
-        known = (lengths or {}).get(content[at + 2]) if at + 2 < len(content) else None
-        end = at + known if known else marks[k + 1] if k + 1 < len(marks) else len(content)
-        if end <= len(content) and (known or end - at >= 4):
-            found.append((at, content[at:end]))
-            until = end if known else until
+        fixed = (lengths or {}).get(content[at + 2]) if at + 2 < len(content) else None
+        if fixed and at + fixed <= len(content):
+            until = at + fixed
+            found.append((at, content[at:until]))
+        elif following is not None and following - at >= 4:
+            found.append((at, content[at:following]))
     return found
 
 
