@@ -86,8 +86,8 @@ def nearest_neighbours(cloud: DataFrame, k: int, start: float, key: str = "point
     radius. Points with fewer than k others in their group end with all of them.
     """
     targets = cloud.select(*by, *(F.col(c).alias(f"t{c}") for c in "xyz"), F.col(key).alias("other"))
-    extent = cloud.agg(*(F.max(c) - F.min(c) for c in "xyz")).first()
-    across = sum(v * v for v in extent if v is not None) ** 0.5
+    spans = cloud.groupBy(*by).agg(*((F.max(c) - F.min(c)).alias(f"_{c}") for c in "xyz"))
+    across = spans.agg(F.max(norm("_x", "_y", "_z"))).first()[0] or 0.0  # of the widest group
     left = cloud.select(*by, key, "x", "y", "z")
     done, radius = None, start
     order = Window.partitionBy(*by, key).orderBy("d2", "other")
