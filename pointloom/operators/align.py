@@ -83,15 +83,20 @@ def synchronised(streams: list[DataFrame], by: tuple[str, ...] = (), t: str = "t
 
 
 def loop_candidates(poses: DataFrame, radius: float, gap: int, by: tuple[str, ...] = (), index: str = "idx") -> DataFrame:
-    """Pairs (query, match, distance) of poses within ``radius`` whose query comes at least ``gap`` later; by an equality join on grid cells."""
-    cells = [F.floor(F.col(c) / radius).cast("long") for c in "xyz"]
-    old = poses.select(*by, F.col(index).alias("match"), *(F.col(c).alias(f"m{c}") for c in "xyz"), *(k.alias(f"c{c}") for k, c in zip(cells, "xyz")))
+    """Pairs (query, match, distance) of poses within ``radius`` whose query comes at least ``gap`` later; by an equality join on grid cells.
+
+    Cells are four radii wide, so that most queries visit one or two along an axis. Spark sizes a table before its rows are multiplied, so it is
+    told to sort both sides: it would else send the visits of a small table to everyone.
+    """
+    size = 4 * radius
+    cell = lambda v: F.floor(v / size).cast("long")
+    old = poses.select(*by, F.col(index).alias("match"), *(F.col(c).alias(f"m{c}") for c in "xyz"), *(cell(F.col(c)).alias(f"c{c}") for c in "xyz"))
     new = poses.select(*by, F.col(index).alias("query"), "x", "y", "z")
     for c in "xyz":
-        at = F.floor(F.col(c) / radius).cast("long")
-        new = new.withColumn(f"c{c}", F.explode(F.array(at - 1, at, at + 1)))
+        reach = F.lit(radius * (1 + 1e-6)) + F.abs(c) * 1e-12  # no pair is lost by rounding
+        new = new.withColumn(f"c{c}", F.explode(F.sequence(cell(F.col(c) - reach), cell(F.col(c) + reach))))
     d = F.sqrt(sum(((F.col(c) - F.col(f"m{c}")) * (F.col(c) - F.col(f"m{c}")) for c in "xyz"), F.lit(0.0)))
-    pairs = new.join(old, [*by, "cx", "cy", "cz"]).withColumn("distance", d)
+    pairs = new.hint("merge").join(old, [*by, "cx", "cy", "cz"]).withColumn("distance", d)
     return pairs.where((F.col("distance") <= radius) & (F.col("query") - F.col("match") >= gap)).select(*by, "query", "match", "distance")
 
 
