@@ -4,8 +4,10 @@ A system has a row for each node (g, v, d, b, s) - its graph, its number, the d
 are measured by - and one for each pair of linked nodes (g, p, q, h) with p < q. Poses of a path have two neighbours, and
 loop closures add a few: nodes of up to two neighbours are eliminated in rounds, in each an independent set of them chosen by hash. Their
 neighbours inherit a block and a side each and are linked to one another, so the system never grows, and a path of n nodes is gone
-after O(log n) rounds. What is left of a graph is solved by one task if it is small, and by conjugate gradients over the tables if
-not. Then the rounds are gone through backwards, each node following from its neighbours.
+after O(log n) rounds. Before that, nodes are cut into stretches by their number: where most are linked within their stretch only, as poses
+numbered by time are, all of these are eliminated at once, each stretch densely by itself, and few rounds do for any length. What is left of a
+graph is solved by one task if it is small, and by conjugate gradients over the tables if nothing else helps. Then the rounds are gone
+through backwards, each node following from its neighbours.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pointloom.operators import scans
 from pointloom.operators.durable import materialise
 
 NUMBERS = "array<double>"
@@ -120,6 +123,91 @@ def _followed(n: int):
     return work
 
 
+def _stretches(nodes: DataFrame, edges: DataFrame, size: int) -> DataFrame:
+    """Rows (g, v, part) of the nodes that are linked to nodes of their own stretch only: so many nodes that follow one another by number."""
+    numbered = scans.running(nodes.select("g", "v"), [F.col("g"), F.col("v")], {}, "block-numbers")
+    cells = materialise(numbered.select("g", "v", F.floor((F.col("position") - 1) / size).alias("part")), "block-parts")
+    at = lambda end: cells.select("g", F.col("v").alias(end), F.col("part").alias(f"part_{end}"))
+    far = edges.select("g", "p", "q").join(at("p"), ["g", "p"]).join(at("q"), ["g", "q"]).where("part_p <> part_q")
+    far = far.select("g", F.explode(F.array("p", "q")).alias("v")).distinct()
+    return materialise(cells.join(far, ["g", "v"], "left_anti"), "block-inside")
+
+
+def _dense_inverse(a: np.ndarray, s: float) -> np.ndarray:
+    """``_inverse`` of one matrix, by factors where no pivot comes near to nothing."""
+    try:
+        lower = np.linalg.cholesky((a + a.T) / 2)
+        if (np.diagonal(lower) ** 2).min() > 1e-7 * s:
+            half = np.linalg.solve(lower, np.eye(len(a)))
+            return half.T @ half
+    except np.linalg.LinAlgError:
+        pass
+    return _inverse(a[None], np.array([s]))[0]
+
+
+STRETCH = f"g bigint, part bigint, vs array<bigint>, us array<bigint>, x0 {NUMBERS}, k {NUMBERS}, d {NUMBERS}, b {NUMBERS}"
+
+
+def _stretch(nodes: pd.DataFrame, edges: pd.DataFrame, n: int) -> pd.DataFrame:
+    """Eliminates the inner nodes of a stretch: their values are x0 less k times those of the nodes ``us`` around, which inherit the matrix d and the side b."""
+    if not len(nodes):
+        return pd.DataFrame({c.split()[0]: [] for c in STRETCH.split(", ")})
+    nodes = nodes.sort_values("v")
+    v = nodes["v"].to_numpy()
+    p, q = edges["p"].to_numpy(dtype=v.dtype), edges["q"].to_numpy(dtype=v.dtype)
+    h = np.stack(edges["h"].to_list()).reshape(-1, n, n) if len(edges) else np.zeros((0, n, n))
+    u = np.setdiff1d(np.concatenate((p, q)), v)
+    inside_p, inside_q = np.isin(p, v), np.isin(q, v)
+    own, side = np.zeros((len(v), n, len(v), n)), np.zeros((len(v), n, len(u), n))
+    own[np.arange(len(v)), :, np.arange(len(v)), :] = np.stack(nodes["d"].to_list()).reshape(-1, n, n)
+    both, one, other = inside_p & inside_q, inside_p & ~inside_q, ~inside_p & inside_q
+    i, j = np.searchsorted(v, p[both]), np.searchsorted(v, q[both])
+    own[i, :, j, :], own[j, :, i, :] = h[both], h[both].transpose(0, 2, 1)
+    side[np.searchsorted(v, p[one]), :, np.searchsorted(u, q[one]), :] = h[one]
+    side[np.searchsorted(v, q[other]), :, np.searchsorted(u, p[other]), :] = h[other].transpose(0, 2, 1)
+    side = side.reshape(len(v) * n, -1)
+    inverse = _dense_inverse(own.reshape(len(v) * n, -1), float(nodes["s"].max()))
+    x0, k = inverse @ np.concatenate(nodes["b"].to_list()), inverse @ side
+    row = [nodes["g"].iloc[0], nodes["part"].iloc[0], v, u, x0, k.ravel(), -(side.T @ k).ravel(), -(side.T @ x0)]
+    return pd.DataFrame([row], columns=[c.split()[0] for c in STRETCH.split(", ")])
+
+
+def _stretch_left(n: int):
+    """What stretches leave to the nodes around: rows as of ``_inherited``."""
+
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for g, us, d, b in zip(frame["g"], frame["us"], frame["d"], frame["b"]):
+                m = len(us)
+                d = np.asarray(d).reshape(m, n, m, n)
+                for i in range(m):
+                    rows.append((g, us[i], None, d[i, :, i].ravel(), b[n * i : n * i + n], None))
+                    rows.extend((g, us[i], us[j], None, None, d[i, :, j].ravel()) for j in range(i + 1, m) if d[i, :, j].any())
+            out = pd.DataFrame(rows, columns=["g", "p", "q", "d", "b", "h"])
+            yield out.astype({"g": "int64", "p": "int64", "q": "Int64"})
+
+    return work
+
+
+def _stretch_values(n: int):
+    """The values of the inner nodes of stretches from those of the nodes around."""
+
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            parts = []
+            for g, vs, us, x0, k, near in zip(frame["g"], frame["vs"], frame["us"], frame["x0"], frame["k"], frame["near"]):
+                x = np.asarray(x0)
+                if len(us):
+                    known = {e["u"]: e["x"] for e in near}
+                    x = x - np.asarray(k).reshape(len(x), -1) @ np.concatenate([known[u] for u in us])
+                parts.append(pd.DataFrame({"g": g, "v": np.asarray(vs), "x": list(x.reshape(-1, n))}))
+            if parts:
+                yield pd.concat(parts)
+
+    return work
+
+
 def descend(product, side: np.ndarray, most: int, tolerance: float) -> np.ndarray:
     """Conjugate gradients from zero."""
     x, r = np.zeros_like(side), side.copy()
@@ -195,12 +283,12 @@ def _descend_far(nodes: DataFrame, edges: DataFrame, n: int, sweeps: int, tolera
 def solve(nodes: DataFrame, edges: DataFrame, n: int, *, small: int = 2000, sweeps: int = 1000, tolerance: float = 1e-10) -> DataFrame:
     """Rows (g, v, x) with the solution of every graph's system; see the module.
 
-    Graphs of up to ``small`` nodes and links are solved by one task each. In larger ones nodes are eliminated for as long as a round
-    takes a fiftieth of them; what is then still larger is left to ``sweeps`` conjugate gradients, and RuntimeError if they
-    don't end. Empty tables give an empty result.
+    Graphs of up to ``small`` nodes and links are solved by one task each. In larger ones nodes are eliminated, by stretches while these take
+    half of them, else by independent sets for as long as a round takes a fiftieth of them, else by stretches that take a quarter; what is
+    then still larger is left to ``sweeps`` conjugate gradients, and RuntimeError if they don't end. Empty tables give an empty result.
     """
     nodes, edges = materialise(nodes.select("g", "v", "d", "b", "s"), "block-nodes"), materialise(edges.select("g", "p", "q", "h"), "block-edges")
-    done, stars, turn = [], [], 0
+    done, rounds, turn = [], [], 0
     kind = f"g bigint, v bigint, x {NUMBERS}"
 
     def small_ones(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -218,14 +306,27 @@ def solve(nodes: DataFrame, edges: DataFrame, n: int, *, small: int = 2000, swee
         if ready:
             many = sizes.where("large").select("g")
             nodes, edges = nodes.join(many, "g", "left_semi"), edges.join(many, "g", "left_semi")
-        star = materialise(_stars(nodes, edges, n, turn), "block-stars")
-        if star.count() < left / 50:
+        inner = _stretches(nodes, edges, (32 if left > 50_000 else 256) * 4 // n)
+        within = inner.count()
+        star = None if within >= left / 2 else materialise(_stars(nodes, edges, n, turn), "block-stars")
+        stretches = star is None or star.count() < left / 50
+        if stretches and within < left / 4:
             done.append(_descend_far(nodes, edges, n, sweeps, tolerance))
             break
-        stars.append(star)
-        gone = star.select("g", F.col("v").alias("gone"))
-        passed = materialise(star.mapInArrow(_inherited(n), f"g bigint, p bigint, q bigint, d {NUMBERS}, b {NUMBERS}, h {NUMBERS}"), "block-inherited")
-        kept = nodes.join(star.select("g", "v"), ["g", "v"], "left_anti")
+        kind_left = f"g bigint, p bigint, q bigint, d {NUMBERS}, b {NUMBERS}, h {NUMBERS}"
+        if stretches:
+            at = lambda end: inner.select("g", F.col("v").alias(end), F.col("part").alias(f"part_{end}"))
+            links = edges.join(at("p"), ["g", "p"], "left").join(at("q"), ["g", "q"], "left").withColumn("part", F.coalesce("part_p", "part_q")).where("part is not null")
+            own = nodes.join(inner, ["g", "v"]).groupBy("g", "part")
+            star = materialise(own.cogroup(links.select("g", "part", "p", "q", "h").groupBy("g", "part")).applyInPandas(lambda a, b: _stretch(a, b, n), STRETCH), "block-stretches")
+            taken = inner.select("g", "v")
+            passed = materialise(star.select("g", "us", "d", "b").mapInPandas(_stretch_left(n), kind_left), "block-inherited")
+        else:
+            taken = star.select("g", "v")
+            passed = materialise(star.mapInArrow(_inherited(n), kind_left), "block-inherited")
+        rounds.append((star, stretches))
+        gone = taken.select("g", F.col("v").alias("gone"))
+        kept = nodes.join(taken, ["g", "v"], "left_anti")
         more = passed.where("q is null").select("g", F.col("p").alias("v"), "d", "b", F.lit(0.0).alias("s"))
         nodes = materialise(summed(kept.unionByName(more), ("g", "v"), {"d": n * n, "b": n}, ("s",)), "block-nodes")
         for end in "pq":
@@ -236,7 +337,13 @@ def solve(nodes: DataFrame, edges: DataFrame, n: int, *, small: int = 2000, swee
     for more in done[1:]:
         x = x.unionByName(more)
     x = materialise(x, "block-solution")
-    for star in reversed(stars):
+    for star, stretches in reversed(rounds):
+        if stretches:
+            near = star.select("g", "part", F.explode("us").alias("u")).join(x.select("g", F.col("v").alias("u"), "x"), ["g", "u"])
+            near = near.groupBy("g", "part").agg(F.collect_list(F.struct("u", "x")).alias("near"))
+            rows = star.select("g", "part", "vs", "us", "x0", "k").join(near, ["g", "part"], "left").mapInPandas(_stretch_values(n), kind)
+            x = materialise(x.unionByName(rows), "block-solution")
+            continue
         near = star.select("g", "v", F.explode_outer("near").alias("e")).select("g", "v", F.col("e.u").alias("u"), F.col("e.h").alias("h"))
         near = near.where("u is not null").join(x.select("g", F.col("v").alias("u"), "x"), ["g", "u"]).groupBy("g", "v").agg(F.collect_list(F.struct("h", "x")).alias("near"))
         rows = star.drop("near").join(near, ["g", "v"], "left").withColumn("near", F.coalesce("near", F.expr(f"cast(array() as array<struct<h: {NUMBERS}, x: {NUMBERS}>>)")))
