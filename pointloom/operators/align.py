@@ -9,6 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pointloom.operators import pieces
+
+#: Descriptors that meet as many others at a time in a task.
+PIECE = 2048
+
 
 def _neighbours(left: DataFrame, right: DataFrame, by: tuple[str, ...], t: str, bucket: float | None, closed_before: bool) -> DataFrame:
     """``left`` with _before and _after: structs of the right rows last before and first after t. An equal time counts as
@@ -121,15 +126,27 @@ def hamming(a: list[Column], b: list[Column]) -> Column:
 def descriptor_matches(queries: DataFrame, trains: DataFrame, bits: tuple[str, ...], ratio: float = 0.75, by: tuple[str, ...] = ()) -> DataFrame:
     """Ratio-tested matches (by, query, train, distance): the nearest descriptor, where it is less than ``ratio`` times as far as the second.
 
-    Queries of a group (a frame pair, say) meet the descriptors of the same group; without groups ``trains`` is one frame and is broadcast by its size.
+    Queries of a group (a frame pair, say) meet the descriptors of the same group, piece by piece, so a task's share is bounded however large a
+    group is. Descriptors with nulls are left out.
     """
-    a = queries.select(*by, F.col("id").alias("query"), *(F.col(b).alias(f"q{b}") for b in bits))
-    b = trains.select(*by, F.col("id").alias("train"), *(F.col(c).alias(f"t{c}") for c in bits))
-    pairs = a.join(b, list(by)) if by else a.crossJoin(b)
-    pairs = pairs.withColumn("distance", hamming([F.col(f"q{c}") for c in bits], [F.col(f"t{c}") for c in bits]))
-    order = Window.partitionBy(*by, "query").orderBy("distance", "train")
-    two = pairs.withColumn("rank", F.row_number().over(order)).withColumn("second", F.lead("distance").over(order))
-    return two.where((F.col("rank") == 1) & (F.col("distance") < ratio * F.col("second"))).select(*by, "query", "train", "distance")
+    one, two = _pieces(queries, bits, by, "query-descriptors"), _pieces(trains, bits, by, "train-descriptors")
+    q, t = one.select(*by, F.col("piece").alias("q")), two.select(*by, F.col("piece").alias("t"))
+    return _best(q.join(t, list(by)) if by else q.crossJoin(t), one, two, bits, ratio, by, queries.schema["id"].dataType, trains.schema["id"].dataType)
+
+
+def _pieces(rows: DataFrame, bits: tuple[str, ...], by: tuple[str, ...], name: str) -> DataFrame:
+    longs = rows.select(*by, *(F.col(c).cast("long").alias(c) for c in ("id", *bits))).dropna()
+    return pieces.packed(longs, by, ("id",), ("id", *bits), PIECE, name)
+
+
+def _best(links: DataFrame, queries: DataFrame, trains: DataFrame, bits: tuple[str, ...], ratio: float, by: tuple[str, ...], *kinds) -> DataFrame:
+    """Ratio-tested matches of the pairs of pieces (by, q, t)."""
+    side = lambda rows, end: rows.select(F.col("piece").alias(end), *(F.col(c).alias(f"{end}_{c}") for c in ("id", *bits)))
+    found = pieces.nearest_two(pieces.dealt(links, side(queries, "q"), side(trains, "t"), ("q", "t")), bits, by)
+    nearest = F.sort_array(F.array_compact(F.flatten(F.collect_list(F.array("one", "two")))))  # two for each piece that the query met
+    best = found.groupBy(*by, "query").agg(F.min(F.struct("one", "train")).alias("m"), F.get(nearest, F.lit(1)).alias("second"))
+    best = best.where(F.col("m.one") < ratio * F.col("second"))
+    return best.select(*by, F.col("query").cast(kinds[0]).alias("query"), F.col("m.train").cast(kinds[1]).alias("train"), F.col("m.one").alias("distance"))
 
 
 def lookup_pixels(points: DataFrame, pixels: DataFrame, width: int, height: int, channels: tuple[str, ...] = ("b", "g", "r"), bilinear: bool = False) -> DataFrame:
@@ -161,10 +178,9 @@ def visual_candidates(descriptors: DataFrame, bits: tuple[str, ...], recent: int
 
     ``descriptors`` has (frame, id, bits). Every frame is a query against those before it, a stated set of comparisons.
     """
-    frames = descriptors.select("frame").distinct()
-    pairs = frames.select(F.col("frame").alias("query_frame")).join(frames.select(F.col("frame").alias("match_frame")), F.col("match_frame") <= F.col("query_frame") - recent)
-    a = descriptors.withColumnRenamed("frame", "query_frame").join(pairs, "query_frame")
-    b = descriptors.withColumnRenamed("frame", "match_frame").join(pairs, "match_frame")
-    found = descriptor_matches(a, b, bits, ratio, ("query_frame", "match_frame"))
+    packed = _pieces(descriptors, bits, ("frame",), "frame-descriptors")
+    q, t = packed.select(F.col("frame").alias("query_frame"), F.col("piece").alias("q")), packed.select(F.col("frame").alias("match_frame"), F.col("piece").alias("t"))
+    kind = descriptors.schema["id"].dataType
+    found = _best(q.join(t, F.col("match_frame") <= F.col("query_frame") - recent), packed, packed, bits, ratio, ("query_frame", "match_frame"), kind, kind)
     counts = found.groupBy(F.col("query_frame").alias("query"), F.col("match_frame").alias("match")).agg(F.count("*").alias("n"))
     return counts.where(F.col("n") >= least)
