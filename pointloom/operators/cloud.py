@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pointloom.functions.geometry import Intrinsics, jet, norm, project
+from pointloom.operators import pieces
 from pointloom.operators.durable import materialise
 
 
@@ -67,10 +68,27 @@ def _within(points: DataFrame, targets: DataFrame, radius: float, by: tuple[str,
 
 
 def point_density(cloud: DataFrame, radius: float = 1.0, key: str = "point_id", by: tuple[str, ...] = ()) -> DataFrame:
-    """Rows (by, key, density): how many other points lie within the radius. Coincident points are counted by their place's weight."""
+    """Rows (by, key, density): how many other points lie within the radius. Coincident points are counted by their place's weight.
+
+    Places are packed by cell into pieces, and a task compares two pieces at a time; pieces wholly within or beyond the radius are not compared.
+    """
+    at = lambda size, c: F.floor(F.col(c) / size).cast("long")
     places = cloud.groupBy(*by, "x", "y", "z").agg(F.count("*").alias("weight"))
-    targets = places.select(*by, *(F.col(c).alias(f"t{c}") for c in "xyz"), "weight")
-    near = _within(places.drop("weight"), targets, radius, by).groupBy(*by, "x", "y", "z").agg((F.sum("weight") - 1).alias("density"))
+    places = places.where(reduce(lambda s, c: s & (F.abs(c) < float("inf")), "xyz", F.lit(True)))  # others are near nothing
+    places = places.withColumns({f"cell_{c}": at(radius, c) for c in "xyz"} | {f"fine_{c}": at(radius / 4, c) for c in "xyz"})
+    cells = [f"cell_{c}" for c in "xyz"]
+    packed = pieces.packed(places, (*by, *cells), tuple(f"fine_{c}" for c in "xyz"), ("x", "y", "z", "weight"), 1024, "place-pieces", ("x", "y", "z"))
+    bounds = [f"{e}_{c}" for c in "xyz" for e in ("lo", "hi")]
+    here = packed.select(*by, F.col("piece").alias("a"), *cells, *(F.col(c).alias(f"a_{c}") for c in bounds))
+    for c in cells:
+        here = here.withColumn(c, F.explode(F.array(F.col(c) - 1, F.col(c), F.col(c) + 1)))
+    there = packed.select(*by, F.col("piece").alias("b"), *cells, *(F.col(c).alias(f"b_{c}") for c in bounds))
+    gap = lambda c: F.greatest(F.lit(0.0), F.col(f"a_lo_{c}") - F.col(f"b_hi_{c}"), F.col(f"b_lo_{c}") - F.col(f"a_hi_{c}"))
+    apart = sum((gap(c) * gap(c) for c in "xyz"), F.lit(0.0))
+    links = here.hint("merge").join(there, [*by, *cells]).where(apart <= radius * radius * (1 + 1e-9)).select(*by, "a", "b")
+    side = lambda end: packed.select(F.col("piece").alias(end), *(F.col(c).alias(f"{end}_{c}") for c in ("x", "y", "z", "weight")))
+    near = pieces.weights_within(pieces.dealt(links, side("a"), side("b"), ("a", "b")), radius, by)
+    near = near.groupBy(*by, "x", "y", "z").agg((F.sum("near") - 1).alias("density"))
     return cloud.select(*by, key, "x", "y", "z").join(near, [*by, "x", "y", "z"]).select(*by, key, "density")
 
 
@@ -82,30 +100,71 @@ def remove_radius_outliers(cloud: DataFrame, least: int = 16, radius: float = 0.
 def nearest_neighbours(cloud: DataFrame, k: int, start: float, key: str = "point_id", by: tuple[str, ...] = (), most_rounds: int = 40) -> DataFrame:
     """Rows (by, key, rank, other, distance): each point's k nearest others, ties to the smaller key.
 
-    Points are asked within a radius; those with k neighbours inside it are done, the others ask again within twice the
-    radius. Points with fewer than k others in their group end with all of them.
+    Points are asked within a radius of their own, ``start`` or less where the points around are dense; those with k neighbours inside it are
+    done, the others ask again within twice the radius. Points with fewer than k others in their group end with all of them.
     """
-    targets = cloud.select(*by, *(F.col(c).alias(f"t{c}") for c in "xyz"), F.col(key).alias("other"))
+    targets = _first_of_places(cloud, k + 1, key, by)
     spans = cloud.groupBy(*by).agg(*((F.max(c) - F.min(c)).alias(f"_{c}") for c in "xyz"))
     across = spans.agg(F.max(norm("_x", "_y", "_z"))).first()[0] or 0.0  # of the widest group
-    left = cloud.select(*by, key, "x", "y", "z")
-    done, radius = None, start
+    left = materialise(_with_level(cloud.select(*by, key, "x", "y", "z"), k, start, by), "points-by-level")
+    done = None
     order = Window.partitionBy(*by, key).orderBy("d2", "other")
-    for _ in range(most_rounds):
-        pairs = _within(left, targets, radius, by).where(F.col(key) != F.col("other"))
+    for _ in range(most_rounds + LEVELS // 2):
+        pairs = _within_own(left, targets, start, by).where(F.col(key) != F.col("other"))
         ranked = pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
         ranked = materialise(ranked.select(*by, key, "rank", "other", F.sqrt("d2").alias("distance")), "neighbours")
-        final = radius > across
-        full = ranked.groupBy(*by, key).agg(F.count("*").alias("found")).where(F.lit(final) | (F.col("found") == k)).select(*by, key)
+        final = F.lit(start) * F.pow(F.lit(2.0), -F.col("level") / 2) > across
+        found = ranked.groupBy(*by, key).agg(F.count("*").alias("found"))
+        full = left.join(found, [*by, key], "left").where(final | (F.col("found") == k)).select(*by, key)
         part = ranked.join(full, [*by, key], "left_semi")
         done = part if done is None else done.union(part)
-        left = materialise(left.join(full, [*by, key], "left_anti"), "lonely-points")
-        if final or left.isEmpty():
+        left = materialise(left.join(full, [*by, key], "left_anti").withColumn("level", F.col("level") - 2), "lonely-points")
+        if left.isEmpty():
             return done
-        radius *= 2
     raise ValueError("the first radius is too small for this cloud")
 
 
+def _first_of_places(cloud: DataFrame, most: int, key: str, by: tuple[str, ...]) -> DataFrame:
+    """Targets (by, tx, ty, tz, other): of points at one place the ``most`` of smallest key; the others are no one's nearest."""
+    rank = F.row_number().over(Window.partitionBy(*by, "x", "y", "z").orderBy(key))
+    rows = cloud.select(*by, "x", "y", "z", key).withColumn("_rank", rank).where(F.col("_rank") <= most)
+    return rows.select(*by, *(F.col(c).alias(f"t{c}") for c in "xyz"), F.col(key).alias("other"))
+
+
+#: Radii are divided by the root of 2 so many times at most.
+LEVELS = 24
+
+
+def _with_level(points: DataFrame, k: int, start: float, by: tuple[str, ...]) -> DataFrame:
+    """Points with level: by how many roots of 2 ``start`` is divided, so that a cell of that size around the point still has k / 2 points."""
+    at = lambda size: [F.floor(F.col(c) / size).cast("long").alias(f"c{c}") for c in "xyz"]
+    levels = F.explode(F.array(*(F.struct(F.lit(n).alias("level"), *at(start * 2 ** (-n / 2))) for n in range(1, LEVELS + 1))))
+    cells = points.select(*by, levels.alias("m")).groupBy(*by, "m").agg(F.count("*").alias("n")).where(F.col("n") >= max(2.0, k / 2))
+    dense = cells.select(*by, "m.*")
+    out = points.withColumn("level", F.lit(0))
+    top = dense.agg(F.max("level")).first()[0] or 0
+    for n in range(1, top + 1):
+        here = dense.where(F.col("level") == n).select(*by, "cx", "cy", "cz", F.lit(n).alias("_found"))
+        out = out.select("*", *at(start * 2 ** (-n / 2))).join(here, [*by, "cx", "cy", "cz"], "left")
+        out = out.withColumn("level", F.coalesce("_found", "level")).drop("_found", "cx", "cy", "cz")
+    return out
+
+
+def _within_own(points: DataFrame, targets: DataFrame, start: float, by: tuple[str, ...]) -> DataFrame:
+    """``_within`` for points that have radii of their own, by ``level``."""
+    radius = F.lit(start) * F.pow(F.lit(2.0), -F.col("level") / 2)
+    used = points.select("level").distinct().select(F.col("level").alias("_level"))  # a few
+    there = targets.crossJoin(F.broadcast(used)).withColumn("_radius", F.lit(start) * F.pow(F.lit(2.0), -F.col("_level") / 2))
+    there = there.select("*", *(F.floor(F.col(f"t{c}") / F.col("_radius")).cast("long").alias(f"cell_{c}") for c in "xyz")).drop("_radius")
+    around = points.withColumn("_radius", radius).withColumn("_level", F.col("level"))
+    around = around.select("*", *(F.floor(F.col(c) / F.col("_radius")).cast("long").alias(f"cell_{c}") for c in "xyz"))
+    for c in "xyz":
+        around = around.withColumn(f"cell_{c}", F.explode(F.array(F.col(f"cell_{c}") - 1, F.col(f"cell_{c}"), F.col(f"cell_{c}") + 1)))
+    d2 = reduce(lambda s, c: s + (F.col(c) - F.col(f"t{c}")) * (F.col(c) - F.col(f"t{c}")), "xyz", F.lit(0.0))
+    near = around.hint("merge").join(there, [*by, "_level", "cell_x", "cell_y", "cell_z"]).withColumn("d2", d2)
+    return near.where(F.col("d2") <= F.col("_radius") * F.col("_radius")).drop("_level", "_radius", "cell_x", "cell_y", "cell_z")
+
+
 def remove_statistical_outliers(cloud: DataFrame, k: int = 20, ratio: float = 2.0, start: float = 0.1, key: str = "point_id") -> DataFrame:
     """Points whose mean distance to k neighbours is at most the cloud's mean of that plus ``ratio`` deviations."""
     mean = nearest_neighbours(cloud, k, start, key).groupBy(key).agg(F.avg("distance").alias("mean_distance"))
@@ -126,10 +185,20 @@ def _normals(moments: pd.DataFrame) -> pd.DataFrame:
 
 def estimate_normals(cloud: DataFrame, radius: float = 0.1, most: int = 30, key: str = "point_id", by: tuple[str, ...] = ()) -> DataFrame:
     """Rows (by, key, nx, ny, nz): the direction of least spread among the nearest points within the radius, towards the origin; null with fewer than 3."""
-    targets = cloud.select(*by, *(F.col(c).alias(f"t{c}") for c in "xyz"), F.col(key).alias("other"))
-    pairs = _within(cloud.select(*by, key, "x", "y", "z"), targets, radius, by)
+    targets = _first_of_places(cloud, most, key, by)
+    left = materialise(_with_level(cloud.select(*by, key, "x", "y", "z"), most, radius, by), "points-by-level")
     rank = F.row_number().over(Window.partitionBy(*by, key).orderBy("d2", "other"))
-    near = pairs.withColumn("rank", rank).where(F.col("rank") <= most)
+    parts = []
+    while True:  # from a small radius where points are dense to ``radius`` for those that have too few in it
+        pairs = _within_own(left, targets, radius, by)
+        ranked = materialise(pairs.withColumn("rank", rank).where(F.col("rank") <= most), "normal-neighbours")
+        found = ranked.groupBy(*by, key).agg(F.count("*").alias("found")).where(F.col("found") == most).select(*by, key)
+        full = left.where("level = 0").select(*by, key).unionByName(found).distinct()
+        parts.append(ranked.join(full, [*by, key], "left_semi").drop("level"))
+        left = materialise(left.join(full, [*by, key], "left_anti").withColumn("level", F.greatest(F.lit(0), F.col("level") - 2)), "lonely-points")
+        if left.isEmpty():
+            break
+    near = reduce(DataFrame.unionByName, parts)
     spread = [F.covar_pop(f"t{a}", f"t{b}").alias(a + b) for a, b in ("xx", "xy", "xz", "yy", "yz", "zz")]
     moments = near.groupBy(*by, key).agg(*spread, *(F.first(c).alias(c) for c in "xyz"), F.count("*").alias("n"))
 
