@@ -18,8 +18,27 @@ from pointloom.operators.folds import rotations
 
 
 def _samples(n: int, size: int, tries: int, seed: int) -> np.ndarray:
+    """The places of the ``size`` least of n random numbers for each try, so many tries at a time that a few million numbers are held."""
     rng = np.random.default_rng(seed)
-    return np.argsort(rng.random((tries, n)), axis=1)[:, :size]
+    some = max(1, CHUNK // max(n, 1))
+    return np.concatenate([np.argsort(rng.random((min(some, tries - at), n)), axis=1)[:, :size].copy() for at in range(0, tries, some)])
+
+
+#: Numbers that a step over all tries and points holds at a time.
+CHUNK = 1 << 21
+
+
+def _best(score: Callable[[slice], np.ndarray], tries: int, n: int) -> tuple[int, np.ndarray]:
+    """The first of the tries that most points agree with, and which these are; ``score`` tells it for some tries and all points."""
+    best, most, inside = 0, -1, np.zeros(n, bool)
+    some = max(1, CHUNK // (4 * max(n, 1)))
+    for at in range(0, tries, some):
+        good = score(slice(at, at + some))
+        count = good.sum(axis=1)
+        if count.max() > most:
+            best, most = at + int(count.argmax()), count.max()
+            inside = good[best - at].copy()
+    return best, inside
 
 
 def _essential(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -67,9 +86,8 @@ def verify_matches(matches: DataFrame, by: tuple[str, ...], camera: Intrinsics,
         limit = (pixels / f) ** 2
         at = _samples(n, 8, tries, seed)
         e = _essential(a[at], b[at])
-        good = _sampson(e, a, b) <= limit
-        best = int(good.sum(axis=1).argmax())
-        inside, e = good[best], e[best]
+        best, inside = _best(lambda some: _sampson(e[some], a, b) <= limit, len(e), n)
+        e = e[best]
         for _ in range(5):
             if inside.sum() < 8:
                 break
@@ -122,9 +140,8 @@ def camera_poses(points: DataFrame, by: tuple[str, ...], camera: Intrinsics, pix
         limit = (pixels / f) ** 2
         at = _samples(n, 6, tries, seed)
         m = _resection(xyz[at], rays[at])
-        good = (_reproject(m, xyz, rays)[0] ** 2).sum(axis=-1) <= limit
-        best = int(good.sum(axis=1).argmax())
-        m, inside = m[best], good[best]
+        best, inside = _best(lambda some: (_reproject(m[some], xyz, rays)[0] ** 2).sum(axis=-1) <= limit, len(m), n)
+        m = m[best]
         for _ in range(20):
             if inside.sum() < 6:
                 break
