@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 def byte_at(data, position) -> Column:
     """The unsigned byte at a position from 0; null beyond the end."""
     one = F.substring(data, F.lit(position) + 1 if not isinstance(position, Column) else position + 1, F.lit(1))
-    return F.conv(F.hex(F.when(F.length(one) > 0, one)), 16, 10).cast("int")
+    return F.ascii(F.decode(F.when(F.length(one) > 0, one), "ISO-8859-1"))
 
 
 def byte_array(data: Column) -> Column:
-    return F.when(F.length(data) > 0, F.transform(F.sequence(F.lit(0), F.length(data) - 1), lambda i: byte_at(data, i))).otherwise(F.array().cast("array<int>"))
+    """All bytes; what makes ``data`` is worked out once, not for each byte."""
+    of = lambda d: F.when(F.length(d) > 0, F.transform(F.sequence(F.lit(0), F.length(d) - 1), lambda i: byte_at(d, i))).otherwise(F.array().cast("array<int>"))
+    return F.get(F.transform(F.array(data), of), F.lit(0))
 
 
 def unsigned(data: Column, position: int, size: int, little: bool = True) -> Column:
@@ -31,17 +33,24 @@ def checksum(data: Column) -> Column:
     return F.aggregate(byte_array(data), F.lit(0), lambda s, b: s + b) % 256
 
 
-def crc8(data: Column) -> Column:
-    """CRC with the polynomial 0x07, most significant bit first, from 0."""
+def _crc8_table() -> list[int]:
+    table = list(range(256))
+    for _ in range(8):
+        table = [(c << 1 ^ (c >> 7) * 7) & 255 for c in table]
+    return table
+
+
+CRC8 = _crc8_table()
 
-    # each byte, marked by 256, enters with its first shift; seven shifts follow
-    bits = F.flatten(F.transform(byte_array(data), lambda b: F.array(b.bitwiseOR(F.lit(256)), *([F.lit(0)] * 7))))
 
-    def bit(crc: Column, x: Column) -> Column:
-        c = F.when(x >= 256, crc.bitwiseXOR(x.bitwiseAND(F.lit(255)))).otherwise(crc)
-        return F.shiftleft(c, 1).bitwiseXOR(F.shiftright(c, 7) * 7).bitwiseAND(F.lit(255))
+def crc8(data: Column) -> Column:
+    """CRC with the polynomial 0x07, most significant bit first, from 0; by a table, a step for each byte."""
+    return crc8_of(byte_array(data))
+
 
-    return F.aggregate(bits, F.lit(0), bit)
+def crc8_of(values: Column) -> Column:
+    """``crc8`` of an array of bytes."""
+    return F.aggregate(values, F.lit(0), lambda crc, b: F.get(F.array(*map(F.lit, CRC8)), crc.bitwiseXOR(b)))
 
 
 def hex_preview(data: Column) -> Column:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pointloom.functions.binary import byte_at, checksum, crc8, signed, unsigned
+from pointloom.functions.binary import byte_at, checksum, crc8, crc8_of, signed, unsigned
 from pointloom.functions.geometry import quaternion_from_euler
 from pointloom.operators.reports import capture_stats
 
@@ -186,6 +186,35 @@ BUS_PLACES = {10: (5, 4), 7: (4, 2), 9: (4, 4)}
 BUS_MARK = b"\xfd\xfe"
 
 
+def bus_fields(frames: DataFrame, frame: str = "frame") -> DataFrame:
+    """Rows with frame_id, field and value (unsigned, little-endian); field and value are null for frames of other ids or lengths."""
+    data, kind, n = F.col(frame), byte_at(F.col(frame), 2), F.length(frame)
+    name = F.lit(None).cast("string")
+    value = F.lit(None).cast("long")
+    for i, label in BUS_FIELDS.items():
+        fits = (kind == i) & (n == BUS_LENGTHS[i])
+        name = F.when(fits, label).otherwise(name)
+        value = F.when(fits, unsigned(data, *BUS_PLACES[BUS_LENGTHS[i]])).otherwise(value)
+    return frames.withColumns({"frame_id": kind, "field": name, "value": value})
+
+
+def bus_packet(frame_id, mode, value) -> Column:
+    """FD FE, id, mode, the value in two little-endian bytes, and the CRC over all before it."""
+    low = lambda c: (F.lit(c) if isinstance(c, int) else c).bitwiseAND(F.lit(255)).cast("int")
+    v = F.lit(value) if isinstance(value, int) else value
+    head = F.array(*map(F.lit, BUS_MARK), low(frame_id), low(mode), low(v), low(F.shiftright(v, 8)))
+    hexed = F.transform(F.array(head), lambda h: F.transform(F.concat(h, F.array(crc8_of(h))), lambda b: F.lpad(F.hex(b), 2, "0")))
+    return F.unhex(F.array_join(F.get(hexed, F.lit(0)), ""))
+
+
+# Fixed values of the mount's bus: frame lengths and fields by frame id.
+BUS_LENGTHS = {0x11: 5, 0x13: 7, 0x15: 9, 0x16: 10, 0x21: 5, 0x23: 7, 0x25: 9, 0x26: 10, 0x41: 5, 0x65: 9}
+BUS_FIELDS = {0x16: "azimuth_raw", 0x26: "tilt_raw", 0x13: "remote_axis_a", 0x23: "remote_axis_b", 0x15: "remote_state_a", 0x25: "remote_state_b", 0x65: "remote_state_c"}
+#: Length of frames with a field -> where it begins and its bytes.
+BUS_PLACES = {10: (5, 4), 7: (4, 2), 9: (4, 4)}
+BUS_MARK = b"\xfd\xfe"
+
+
 def bus_fields(frames: DataFrame, frame: str = "frame") -> DataFrame:
     """Rows with frame_id, field and value (unsigned, little-endian); field and value are null for frames of other ids or lengths."""
     data, kind, n = F.col(frame), byte_at(F.col(frame), 2), F.length(frame)
