@@ -15,6 +15,7 @@ import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
@@ -113,12 +114,22 @@ def plausible(data: Bytes, at: int) -> bool:
     return True
 
 
+def _likely(data: Bytes, at: int, end: int) -> list[int]:
+    """The places from ``at`` to ``end`` whose next eight bytes are a time that ``plausible`` takes: few, and found all at once."""
+    raw = np.frombuffer(data(at, min(end + 7, data.size) - at), np.uint8)
+    if len(raw) < 8:
+        return []
+    with np.errstate(invalid="ignore"):
+        t = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(raw, 8)).view(">f8")[:, 0].astype(float)
+        return (at + np.flatnonzero((t >= 1e-3) & (t < 1e11))).tolist()
+
+
 def seam(data: Bytes, at: int) -> int | None:
     """Where the first record from a place on starts, if that can be told: there is one plausible start, and no other but those that follow it."""
     if at == 0:
         return 0
     found, follow = None, set()
-    for o in range(at, min(at + MOST_BYTES, data.size)):
+    for o in _likely(data, at, min(at + MOST_BYTES, data.size)):
         if o in follow:
             head = data.header(o)
             if head:

@@ -8,7 +8,6 @@ that was lost has written goes with the folder.
 from __future__ import annotations
 
 import json
-import struct
 import uuid
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
@@ -22,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 from pointloom.sources.files import IMU_COLUMNS, imu_archive
-from pointloom.sources.recordings import HEADER, file_system
+from pointloom.sources.recordings import HEADER_BYTES, file_system
 
 WRITTEN = "file string, rows bigint, bytes bigint"
 
@@ -39,7 +38,23 @@ def _xyz(part: pa.RecordBatch) -> bytes:
 
 
 def _records(part: pa.RecordBatch) -> bytes:
-    return b"".join(struct.pack(HEADER, t, len(p)) + p for t, p in zip(part.column("ts").to_pylist(), part.column("payload").to_pylist()))
+    """Headers and payloads of all rows, laid out at once."""
+    payload = part.column("payload").cast(pa.large_binary())
+    body = pa.concat_arrays([payload])  # offsets from the slice's own
+    ends = np.frombuffer(body.buffers()[1], np.int64)[body.offset : body.offset + len(body) + 1]
+    sizes = np.diff(ends)
+    if (sizes > 0xFFFF).any():
+        raise ValueError("a payload is longer than its length can tell")
+    out = np.empty(len(body) * HEADER_BYTES + int(sizes.sum()), np.uint8)
+    starts = np.arange(len(body)) * HEADER_BYTES + ends[:-1] - ends[0]
+    heads = np.empty(len(body), np.dtype([("t", ">f8"), ("n", ">u2")]))
+    heads["t"], heads["n"] = part.column("ts").to_numpy(zero_copy_only=False), sizes
+    head = (starts[:, None] + np.arange(HEADER_BYTES)).ravel()
+    out[head] = heads.view(np.uint8)
+    rest = np.ones(len(out), bool)
+    rest[head] = False
+    out[rest] = np.frombuffer(body.buffers()[2], np.uint8)[ends[0] : ends[-1]] if sizes.sum() else np.empty(0, np.uint8)
+    return out.tobytes()
 
 
 def _ply_head(part: pa.RecordBatch) -> bytes:
