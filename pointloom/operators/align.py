@@ -25,14 +25,14 @@ def _neighbours(left: DataFrame, right: DataFrame, by: tuple[str, ...], t: str,
     b = right.select(*by, F.col(t).alias("_t"), F.lit(None).cast(a.schema["_left"].dataType).alias("_left"), value.alias("_right"), F.lit(0).alias("_side"), part.alias("_part"))
     both = a.unionByName(b)
     side = F.col("_side") if closed_before else -F.col("_side")
-    order = Window.partitionBy(*by, "_part").orderBy("_t", side)
-    back, ahead = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(0, Window.unboundedFollowing)
-    found = both.select(*by, "_part", "_left", F.last("_right", True).over(back).alias("_before"), F.first("_right", True).over(ahead).alias("_after")).where("_left is not null")
+    # what comes after is the last row in the order turned round: a frame up to the end of its group would be summed anew for each row
+    order, turned = (Window.partitionBy(*by, "_part").orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0) for keys in (("_t", side), (F.desc("_t"), side.desc())))
+    found = both.select(*by, "_part", "_left", F.last("_right", True).over(order).alias("_before"), F.last("_right", True).over(turned).alias("_after")).where("_left is not null")
     if bucket:
         ends = b.groupBy(*by, "_part").agg(F.min_by("_right", "_t").alias("_first"), F.max_by("_right", "_t").alias("_last"))
         parts = found.select(*by, "_part").distinct().join(ends, [*by, "_part"], "full")
-        over = Window.partitionBy(*by).orderBy("_part")
-        parts = parts.select(*by, "_part", F.last("_last", True).over(over.rowsBetween(Window.unboundedPreceding, -1)).alias("_prior"), F.first("_first", True).over(over.rowsBetween(1, Window.unboundedFollowing)).alias("_next"))
+        order, turned = (Window.partitionBy(*by).orderBy(key).rowsBetween(Window.unboundedPreceding, -1) for key in (F.asc("_part"), F.desc("_part")))
+        parts = parts.select(*by, "_part", F.last("_last", True).over(order).alias("_prior"), F.last("_first", True).over(turned).alias("_next"))
         found = found.join(parts, [*by, "_part"], "left").withColumns({"_before": F.coalesce("_before", "_prior"), "_after": F.coalesce("_after", "_next")})
     return found.select("_left.*", "_before", "_after")
 

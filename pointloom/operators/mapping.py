@@ -249,9 +249,11 @@ def apply_corrections(dense: DataFrame, keyframes: DataFrame, by: tuple[str, ...
 
     ``keyframes`` has (by, idx, pose, corrected); rows before the first keyframe follow the first. Null without keyframes.
     """
-    both = align.correct_poses(dense, keyframes.select(*by, idx, "pose", "corrected"), idx, bucket, by)
-    moved = Pose.from_struct("key_corrected") @ Pose.from_struct("key_pose").inverse() @ Pose.from_struct("pose")
-    return both.withColumn("corrected", F.when(F.col("key_pose").isNotNull(), moved.struct())).select(*dense.columns, "corrected")
+    # the move is worked out once for each keyframe, and only it goes along with the rows
+    move = F.when(F.col("pose").isNotNull(), (Pose.from_struct("corrected") @ Pose.from_struct("pose").inverse()).struct())
+    both = align.correct_poses(dense, keyframes.select(*by, idx, move.alias("move")), idx, bucket, by)
+    moved = Pose.from_struct("key_move") @ Pose.from_struct("pose")
+    return both.withColumn("corrected", F.when(F.col("key_move").isNotNull(), moved.struct())).select(*dense.columns, "corrected")
 
 
 def ranked_candidates(pairs: DataFrame, query: str = "query", order: tuple[Column | str, ...] = ("distance", "match"), most: int | None = None) -> DataFrame:
