@@ -9,8 +9,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from pointloom.functions.geometry import Pose, axis_angle
 from pointloom.operators import blocks
@@ -119,21 +122,23 @@ def normal_equations(poses: DataFrame, factors: DataFrame) -> tuple[DataFrame, D
     return h, sides.select("m.*").groupBy("i").agg(*(F.sum(f"b_{c}").alias(f"b_{c}") for c in DOF))
 
 
-def _descend(size: int, product: Callable[[np.ndarray], np.ndarray], side: np.ndarray, tolerance: float) -> np.ndarray:
-    """Conjugate gradients from zero, for all columns of ``side`` at once, each with its own steps."""
+def _descend(size: int, product: Callable[[np.ndarray], np.ndarray], side: np.ndarray, tolerance: float, of: np.ndarray | None = None) -> np.ndarray:
+    """Conjugate gradients from zero, for all columns of ``side`` at once, each with its own steps; ``of`` numbers the systems that the rows belong to."""
+    of = np.zeros(len(side), int) if of is None else of
+    dot = lambda u, v: np.stack([np.bincount(of, u[:, k] * v[:, k]) for k in range(side.shape[1])], axis=1)
     x, r = np.zeros_like(side), side.copy()
-    p, rr = r.copy(), (r * r).sum(axis=0)
+    p, rr = r.copy(), dot(r, r)
     limit = tolerance * tolerance * np.maximum(rr, 1e-300)
     for _ in range(2 * size + 50):
         if not (rr > limit).any():
             break
         q = product(p)
-        pq = (p * q).sum(axis=0)
+        pq = dot(p, q)
         step = np.where((rr > limit) & (pq > 0), rr / np.where(pq > 0, pq, 1.0), 0.0)
-        x += step * p
-        r -= step * q
-        new = (r * r).sum(axis=0)
-        p, rr = r + np.where(rr > 0, new / np.where(rr > 0, rr, 1.0), 0.0) * p, new
+        x += step[of] * p
+        r -= step[of] * q
+        new = dot(r, r)
+        p, rr = r + np.where(rr > 0, new / np.where(rr > 0, rr, 1.0), 0.0)[of] * p, new
     return x
 
 
@@ -154,12 +159,133 @@ def solve_graph(poses: pd.DataFrame, factors: pd.DataFrame, tolerance: float) ->
     return pd.DataFrame({"id": ids, **{c: moved[:, k] for k, c in enumerate(DOF)}})
 
 
+def _merged(p: np.ndarray, q: np.ndarray, w: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Links of two ends, each pair once, with the sum of its weights."""
+    keys, where = np.unique(np.minimum(p, q) * n + np.maximum(p, q), return_inverse=True)
+    return keys // n, keys % n, np.bincount(where, w, len(keys))
+
+
+def _parts(p: np.ndarray, q: np.ndarray, n: int) -> np.ndarray:
+    """For each node the smallest one of its connected part, parts being hooked to smaller ones until all links are within one."""
+    part = np.arange(n)
+    while (part[p] != part[q]).any():
+        np.minimum.at(part, np.maximum(part[p], part[q]), np.minimum(part[p], part[q]))
+        while (part[part] != part).any():
+            part = part[part]
+    return part
+
+
+def _eliminate(fixed: np.ndarray, of: np.ndarray, p: np.ndarray, q: np.ndarray, w: np.ndarray, side: np.ndarray, tolerance: float) -> np.ndarray:
+    """Moves of the nodes of many graphs (``of``) whose links pull by weight times the difference of their moves, against the pulls ``side``.
+
+    Nodes of up to two neighbours are eliminated in rounds, in each those of a random independent set, which leave a share of what pulls at them
+    to their neighbours and link these; so the cost is proportional to the rows. What has three neighbours everywhere goes on by conjugate gradients.
+    """
+    n, random = len(fixed), np.random.default_rng(0)
+    side, part = side.astype(float), _parts(p, q, n)  # without links sums are whole numbers
+    free = ~fixed[p] & ~fixed[q]
+    ground = np.bincount(p, w * fixed[q], n) + np.bincount(q, w * fixed[p], n)
+    p, q, w = _merged(p[free], q[free], w[free], n)
+    spread = lambda at, v: np.stack([np.bincount(at, v[:, k], n) for k in range(v.shape[1])], axis=1)
+    live, rounds, x = np.flatnonzero(~fixed), [], np.zeros_like(side)
+    while len(live):
+        few = live[(np.bincount(p, minlength=n) + np.bincount(q, minlength=n))[live] <= 2]
+        draw = np.full(n, -1)
+        draw[few] = random.permutation(len(few))
+        rivals = (draw[p] >= 0) & (draw[q] >= 0)
+        draw[np.where(draw[p] < draw[q], p, q)[rivals]] = -1
+        gone = few[draw[few] >= 0]
+        if len(gone) < len(live) / 50:
+            break
+        out = np.zeros(n, bool)
+        out[gone] = True
+        mine = out[p] | out[q]
+        v, u, pull = np.where(out[p], p, q)[mine], np.where(out[p], q, p)[mine], w[mine]
+        order = np.argsort(v, kind="stable")
+        v, u, pull = v[order], u[order], pull[order]
+        total = ground + np.bincount(v, pull, n)
+        share = pull / total[v]
+        side += spread(u, share[:, None] * side[v])
+        ground = ground + np.bincount(u, share * ground[v], n)
+        first = np.flatnonzero(v[1:] == v[:-1])  # the first of two neighbours
+        p, q, w = _merged(np.concatenate((p[~mine], u[first])), np.concatenate((q[~mine], u[first + 1])), np.concatenate((w[~mine], pull[first] * share[first + 1])), n)
+        rounds.append((gone, total[gone], v, u, share))
+        live = live[~out[live]]
+    if len(live):
+        scale = (ground + np.bincount(p, w, n) + np.bincount(q, w, n))[live]
+        scale = np.where(scale > 0, 1 / np.sqrt(np.where(scale > 0, scale, 1.0)), 0.0)
+        i, j = np.searchsorted(live, p), np.searchsorted(live, q)
+        own = np.unique(of[live], return_inverse=True)[1]
+        linked = (w * scale[i] * scale[j])[:, None]
+        column = lambda at, v: np.stack([np.bincount(at, v[:, k], len(live)) for k in range(v.shape[1])], axis=1)
+        product = lambda x: x - column(i, linked * x[j]) - column(j, linked * x[i])
+        x[live] = scale[:, None] * _descend(int(np.bincount(own).max()), product, scale[:, None] * side[live], tolerance, own)
+    for gone, total, v, u, share in reversed(rounds):
+        x[gone] = np.where(total > 0, 1 / np.where(total > 0, total, 1.0), 0.0)[:, None] * side[gone]
+        x += spread(v, share[:, None] * x[u])
+    held = np.zeros(n, bool)
+    held[part[fixed]] = True
+    loose = ~held[part]  # stays as a whole
+    x[loose] -= (spread(part, x) / np.maximum(np.bincount(part, minlength=n), 1)[:, None])[part[loose]]
+    return x
+
+
+def solve_graphs(poses: pd.DataFrame, factors: pd.DataFrame, tolerance: float) -> pd.DataFrame:
+    """``solve_graph`` for many graphs at once: poses (g, id, x ..), g being the smallest id of their graph, and factors (g, a, b, x ..)."""
+    poses = poses.sort_values("id")
+    factors = factors[factors["a"] != factors["b"]]
+    ids, g, x = poses["id"].to_numpy(), poses["g"].to_numpy(), poses[list(DOF)].to_numpy(dtype=float)
+    a, b = (np.searchsorted(ids, factors[c].to_numpy(dtype=ids.dtype)) for c in "ab")
+    w, e = factors["weight"].to_numpy(dtype=float), factors[list(DOF)].to_numpy(dtype=float) - (x[b] - x[a])
+    odd = np.unique(g[a[~((w >= 0) & np.isfinite(w) & np.isfinite(e).all(axis=1))]])  # no plain weights or numbers
+    used = (w > 0) & ~np.isin(g[a], odd)
+    a, b, w, pull = a[used], b[used], w[used], w[used, None] * e[used]
+    side = np.stack([np.bincount(b, pull[:, k], len(ids)) - np.bincount(a, pull[:, k], len(ids)) for k in range(len(DOF))], axis=1)
+    moved = x + _eliminate(ids == g, g, a, b, w, side, tolerance)
+    plain = ~np.isin(g, odd)
+    out = pd.DataFrame({"id": ids, **{c: moved[:, k] for k, c in enumerate(DOF)}})[plain]
+    return pd.concat([out, *(solve_graph(poses[g == one], factors[factors["g"] == one], tolerance) for one in odd)])
+
+
+#: Graphs are solved together until they have so many poses and factors.
+TOGETHER = 50_000
+
+
+def _whole_graphs(tolerance: float, schema: pa.Schema):
+    """Rows in order of their graph - poses, and factors with a link (a, b, weight) - to poses, some whole graphs at a time."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def solved(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+            poses, factors = rows.filter(pc.is_valid(rows["id"])), rows.filter(pc.is_null(rows["id"]))
+            if poses.num_rows:
+                out = solve_graphs(poses.select(["g", "id", *DOF]).to_pandas(), factors.select(["g", "a", "b", *DOF, "weight"]).to_pandas(), tolerance)
+                yield from pa.Table.from_pandas(out, schema, preserve_index=False).to_batches()
+
+        held, size = [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            size += batch.num_rows
+            last = batch.column("g")[-1]
+            if size >= TOGETHER and held[0].column("g")[0] != last:  # the last graph may go on
+                rows = pa.Table.from_batches(held)
+                at = pc.index(rows["g"], last).as_py()
+                yield from solved(rows.slice(0, at))
+                held = rows.slice(at).combine_chunks().to_batches()
+                size = rows.num_rows - at
+        if held:
+            yield from solved(pa.Table.from_batches(held))
+
+    return work
+
+
 def optimise(poses: DataFrame, factors: DataFrame, sweeps: int = 1000, tolerance: float = 1e-9, by: str | None = None, small: int = 20_000) -> DataFrame:
     """Poses that fit the factors best, the pose of the smallest id held fixed; with ``by``, a column of ``poses``, that of each of its graphs.
 
     Factors (a, b, x, y, z, yaw, weight) may have a column information: 16 numbers, by rows, the matrix that weighs their residual.
     The residuals are linear, so one system is solved. Graphs of up to ``small`` poses and factors with plain weights are solved
-    each by one task, by conjugate gradients. Others are eliminated in rounds over the factor table (``blocks.solve``), so that a path of
+    by one task each, many of them together. Others are eliminated in rounds over the factor table (``blocks.solve``), so that a path of
     n poses takes O(log n) of them and is never gathered anywhere; only graphs with so many loops that most poses have three
     neighbours go on by ``sweeps`` conjugate gradients. All give the same poses. Factors link poses of one graph; ids are whole numbers.
     Poses that have no factors stay where they are, and so does what hangs on none of the fixed poses, as a whole. RuntimeError if a large graph is not solved.
@@ -175,13 +301,10 @@ def optimise(poses: DataFrame, factors: DataFrame, sweeps: int = 1000, tolerance
     plain = F.lit("information" not in factors.columns)
     named = materialise(named.join(sizes, "g", "left").select("id", "g", (plain & (F.col("n") <= small) & (F.coalesce("m", F.lit(0)) <= small)).alias("small")), "graph-names")
     rows = poses.select("id", *DOF).join(named, "id")
-    kind = f"id {poses.schema['id'].dataType.simpleString()}, " + ", ".join(f"{c} double" for c in DOF)
-
-    def solve(some: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
-        return solve_graph(some, links, tolerance)
-
-    links = factors.join(named.where("small").select(F.col("id").alias("a"), F.col("g").alias("graph")), "a").select("graph", "a", "b", *DOF, "weight")
-    done = rows.where("small").drop("small").groupBy("g").cogroup(links.groupBy("graph")).applyInPandas(solve, kind)
+    links = factors.join(named.where("small").select(F.col("id").alias("a"), "g"), "a").select("g", "a", "b", *DOF, "weight")
+    both = rows.where("small").select("g", "id", *DOF).unionByName(links, allowMissingColumns=True)
+    kind = rows.select("id", *(F.col(c).cast("double") for c in DOF)).schema
+    done = both.repartition("g").sortWithinPartitions("g").mapInArrow(_whole_graphs(tolerance, to_arrow_schema(kind)), kind)
     large = named.where("not small").select("id")
     if large.isEmpty():
         return done
