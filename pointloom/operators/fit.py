@@ -11,12 +11,12 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from pointloom.functions.geometry import Pose, axis_angle
-from pointloom.operators import blocks
+from pointloom.operators import blocks, chunks
 from pointloom.operators.durable import materialise
 
 POSE = (*(f"r{i}{j}" for i in range(3) for j in range(3)), "tx", "ty", "tz")
@@ -81,7 +81,7 @@ def hand_eye(motions: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 
 # --- pose graphs of x, y, z and yaw ---------------------------------------------------------------------------------
 
-DOF = ("x", "y", "z", "yaw")
+DOF = chunks.DOF
 
 
 def residuals(poses: DataFrame, factors: DataFrame) -> DataFrame:
@@ -159,58 +159,18 @@ def solve_graph(poses: pd.DataFrame, factors: pd.DataFrame, tolerance: float) ->
     return pd.DataFrame({"id": ids, **{c: moved[:, k] for k, c in enumerate(DOF)}})
 
 
-def _merged(p: np.ndarray, q: np.ndarray, w: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Links of two ends, each pair once, with the sum of its weights."""
-    keys, where = np.unique(np.minimum(p, q) * n + np.maximum(p, q), return_inverse=True)
-    return keys // n, keys % n, np.bincount(where, w, len(keys))
-
-
-def _parts(p: np.ndarray, q: np.ndarray, n: int) -> np.ndarray:
-    """For each node the smallest one of its connected part, parts being hooked to smaller ones until all links are within one."""
-    part = np.arange(n)
-    while (part[p] != part[q]).any():
-        np.minimum.at(part, np.maximum(part[p], part[q]), np.minimum(part[p], part[q]))
-        while (part[part] != part).any():
-            part = part[part]
-    return part
-
-
 def _eliminate(fixed: np.ndarray, of: np.ndarray, p: np.ndarray, q: np.ndarray, w: np.ndarray, side: np.ndarray, tolerance: float) -> np.ndarray:
     """Moves of the nodes of many graphs (``of``) whose links pull by weight times the difference of their moves, against the pulls ``side``.
 
-    Nodes of up to two neighbours are eliminated in rounds, in each those of a random independent set, which leave a share of what pulls at them
-    to their neighbours and link these; so the cost is proportional to the rows. What has three neighbours everywhere goes on by conjugate gradients.
+    Nodes of up to two neighbours are eliminated in rounds; what has three neighbours everywhere goes on by conjugate gradients.
     """
-    n, random = len(fixed), np.random.default_rng(0)
-    side, part = side.astype(float), _parts(p, q, n)  # without links sums are whole numbers
+    n = len(fixed)
+    side, part = side.astype(float), chunks.parts(p, q, n)  # without links sums are whole numbers
     free = ~fixed[p] & ~fixed[q]
     ground = np.bincount(p, w * fixed[q], n) + np.bincount(q, w * fixed[p], n)
-    p, q, w = _merged(p[free], q[free], w[free], n)
     spread = lambda at, v: np.stack([np.bincount(at, v[:, k], n) for k in range(v.shape[1])], axis=1)
-    live, rounds, x = np.flatnonzero(~fixed), [], np.zeros_like(side)
-    while len(live):
-        few = live[(np.bincount(p, minlength=n) + np.bincount(q, minlength=n))[live] <= 2]
-        draw = np.full(n, -1)
-        draw[few] = random.permutation(len(few))
-        rivals = (draw[p] >= 0) & (draw[q] >= 0)
-        draw[np.where(draw[p] < draw[q], p, q)[rivals]] = -1
-        gone = few[draw[few] >= 0]
-        if len(gone) < len(live) / 50:
-            break
-        out = np.zeros(n, bool)
-        out[gone] = True
-        mine = out[p] | out[q]
-        v, u, pull = np.where(out[p], p, q)[mine], np.where(out[p], q, p)[mine], w[mine]
-        order = np.argsort(v, kind="stable")
-        v, u, pull = v[order], u[order], pull[order]
-        total = ground + np.bincount(v, pull, n)
-        share = pull / total[v]
-        side += spread(u, share[:, None] * side[v])
-        ground = ground + np.bincount(u, share * ground[v], n)
-        first = np.flatnonzero(v[1:] == v[:-1])  # the first of two neighbours
-        p, q, w = _merged(np.concatenate((p[~mine], u[first])), np.concatenate((q[~mine], u[first + 1])), np.concatenate((w[~mine], pull[first] * share[first + 1])), n)
-        rounds.append((gone, total[gone], v, u, share))
-        live = live[~out[live]]
+    live, p, q, w, ground, rounds = chunks.in_rounds(np.flatnonzero(~fixed), *chunks.merged(p[free], q[free], w[free], n), ground, side)
+    x = np.zeros_like(side)
     if len(live):
         scale = (ground + np.bincount(p, w, n) + np.bincount(q, w, n))[live]
         scale = np.where(scale > 0, 1 / np.sqrt(np.where(scale > 0, scale, 1.0)), 0.0)
@@ -220,9 +180,7 @@ def _eliminate(fixed: np.ndarray, of: np.ndarray, p: np.ndarray, q: np.ndarray,
         column = lambda at, v: np.stack([np.bincount(at, v[:, k], len(live)) for k in range(v.shape[1])], axis=1)
         product = lambda x: x - column(i, linked * x[j]) - column(j, linked * x[i])
         x[live] = scale[:, None] * _descend(int(np.bincount(own).max()), product, scale[:, None] * side[live], tolerance, own)
-    for gone, total, v, u, share in reversed(rounds):
-        x[gone] = np.where(total > 0, 1 / np.where(total > 0, total, 1.0), 0.0)[:, None] * side[gone]
-        x += spread(v, share[:, None] * x[u])
+    chunks.follow(rounds, side, x)
     held = np.zeros(n, bool)
     held[part[fixed]] = True
     loose = ~held[part]  # stays as a whole
@@ -285,32 +243,52 @@ def optimise(poses: DataFrame, factors: DataFrame, sweeps: int = 1000, tolerance
 
     Factors (a, b, x, y, z, yaw, weight) may have a column information: 16 numbers, by rows, the matrix that weighs their residual.
     The residuals are linear, so one system is solved. Graphs of up to ``small`` poses and factors with plain weights are solved
-    by one task each, many of them together. Others are eliminated in rounds over the factor table (``blocks.solve``), so that a path of
-    n poses takes O(log n) of them and is never gathered anywhere; only graphs with so many loops that most poses have three
-    neighbours go on by ``sweeps`` conjugate gradients. All give the same poses. Factors link poses of one graph; ids are whole numbers.
+    by one task each, many of them together. Larger ones are eliminated chunk by chunk (``chunks.solve``), those with matrices or weights below
+    zero in rounds over the factor table (``blocks.solve``), so that a path of n poses is never gathered anywhere; only graphs with so many loops
+    that most poses have three neighbours go on by ``sweeps`` conjugate gradients. All give the same poses. Factors link poses of one graph; ids are whole numbers.
     Poses that have no factors stay where they are, and so does what hangs on none of the fixed poses, as a whole. RuntimeError if a large graph is not solved.
     """
-    names = materialise(poses.select("id", (F.col(by) if by else F.lit(0)).alias("of")), "graph-poses")
+    plain = "information" not in factors.columns
+    odd_pose = ~_finite(*DOF)
+    odd = ~(_finite(*DOF, "weight") & (F.col("weight") >= 0))
+    if plain and not by:  # one graph
+        g, n, odd_poses = poses.agg(F.min("id"), F.count("*"), F.count_if(odd_pose)).first()
+        m, odd_factors, nowhere = factors.agg(F.count("*"), F.count_if(odd), F.count_if(F.expr("a is null or b is null"))).first()
+        if nowhere:
+            raise ValueError("a factor names a pose that is not there")
+        if n and max(n, m) > small and not odd_poses + odd_factors:
+            return chunks.solve(poses.withColumn("g", F.lit(g)), factors.withColumn("g", F.lit(g)), n, m, small=min(small, 2000), sweeps=sweeps, tolerance=tolerance)
+    names = materialise(poses.select("id", (F.col(by) if by else F.lit(0)).alias("of"), odd_pose.alias("odd")), "graph-poses")
     for end in "ab":
         if not factors.join(names, factors[end] == names["id"], "left_anti").isEmpty():
             raise ValueError("a factor names a pose that is not there")
-    graphs = names.groupBy("of").agg(F.min("id").alias("g"), F.count("*").alias("n"))
-    named = names.join(graphs, names["of"].eqNullSafe(graphs["of"])).select("id", "g", "n")
-    dealt = factors.join(named.select(F.col("id").alias("a"), "g", "n"), "a")
-    sizes = materialise(dealt.groupBy("g").agg(F.count("*").alias("m")), "graph-sizes")
-    plain = F.lit("information" not in factors.columns)
-    named = materialise(named.join(sizes, "g", "left").select("id", "g", (plain & (F.col("n") <= small) & (F.coalesce("m", F.lit(0)) <= small)).alias("small")), "graph-names")
+    graphs = names.groupBy("of").agg(F.min("id").alias("g"), F.count("*").alias("n"), F.max("odd").alias("odd"))
+    named = names.drop("odd").join(graphs, names["of"].eqNullSafe(graphs["of"])).select("id", "g", "n", "odd")
+    dealt = factors.withColumn("odd_factor", odd).join(named.select(F.col("id").alias("a"), "g"), "a")
+    sizes = materialise(dealt.groupBy("g").agg(F.count("*").alias("m"), F.max("odd_factor").alias("odd_factors")), "graph-sizes")
+    large = (F.col("n") > small) | (F.coalesce("m", F.lit(0)) > small)
+    way = F.when(F.lit(plain) & ~large, "small").when(F.lit(plain) & ~F.col("odd") & ~F.coalesce("odd_factors", F.lit(False)), "chunks").otherwise("blocks")
+    named = materialise(named.join(sizes, "g", "left").select("id", "g", way.alias("way")), "graph-names")
     rows = poses.select("id", *DOF).join(named, "id")
-    links = factors.join(named.where("small").select(F.col("id").alias("a"), "g"), "a").select("g", "a", "b", *DOF, "weight")
-    both = rows.where("small").select("g", "id", *DOF).unionByName(links, allowMissingColumns=True)
+    of = lambda way: factors.join(named.where(F.col("way") == way).select(F.col("id").alias("a"), "g"), "a")
+    links = of("small").select("g", "a", "b", *DOF, "weight")
+    both = rows.where("way = 'small'").select("g", "id", *DOF).unionByName(links, allowMissingColumns=True)
     kind = rows.select("id", *(F.col(c).cast("double") for c in DOF)).schema
     done = both.repartition("g").sortWithinPartitions("g").mapInArrow(_whole_graphs(tolerance, to_arrow_schema(kind)), kind)
-    large = named.where("not small").select("id")
-    if large.isEmpty():
-        return done
-    ends = large.select(F.col("id").alias("a"))
-    far = _optimise_large(rows.where("not small").select("id", "g", *DOF), factors.join(ends, "a", "left_semi"), min(small, 2000), sweeps, tolerance)
-    return done.unionByName(far)
+    counts = {r.way: r.n for r in named.groupBy("way").agg(F.count("*").alias("n")).collect()}
+    options = {"small": min(small, 2000), "sweeps": sweeps, "tolerance": tolerance}
+    if "chunks" in counts:
+        links = materialise(of("chunks"), "graph-links")
+        done = done.unionByName(chunks.solve(rows.where("way = 'chunks'"), links, counts["chunks"], links.count(), **options))
+    if "blocks" in counts:
+        ends = named.where("way = 'blocks'").select(F.col("id").alias("a"))
+        done = done.unionByName(_optimise_large(rows.where("way = 'blocks'").select("id", "g", *DOF), factors.join(ends, "a", "left_semi"), **options))
+    return done
+
+
+def _finite(*columns: str) -> Column:
+    """Whether all columns are numbers, neither null nor infinite."""
+    return F.forall(F.array(*(F.col(c).cast("double") for c in columns)), lambda v: F.coalesce(F.abs(v) < float("inf"), F.lit(False)))
 
 
 def _optimise_large(poses: DataFrame, factors: DataFrame, small: int, sweeps: int, tolerance: float) -> DataFrame:

@@ -320,7 +320,7 @@ def fit05_long(spark, d):
         both = rows.join(ends, F.col("id") + ahead == F.col("to"))
         return both.select(F.col("id").alias("a"), F.col("to").alias("b"), *((F.col(f"to_{c}") - F.col(c) + F.col("to_off") - off).alias(c) for c in fit.DOF), F.lit(weight).alias("weight"))
 
-    links = factors(path, 1, 1.0).unionByName(factors(path.where("id % 100 = 0"), 1000, 5.0))
+    links = durable.materialise(factors(path, 1, 1.0).unionByName(factors(path.where("id % 100 = 0"), 1000, 5.0)), "path-links")
     poses = fit.optimise(path.select("id", *fit.DOF), links, small=2000, tolerance=1e-13)
     return poses.select("id", *((F.round(c, 4) + 0.0).alias(c) for c in fit.DOF))
 
