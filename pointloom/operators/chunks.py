@@ -4,7 +4,8 @@ Links pull by weight times the difference of what their ends move, so a system h
 numbers and a ground, the weight by which it hangs on the fixed pose. Poses are cut into chunks by their number. A task eliminates those of a chunk
 that are linked within it only and leaves to the others sides, grounds and links, by adding products of positive numbers only, so that
 no digits of weights are lost on a path of any length. What is left, some poses on both sides of each cut, is cut into larger chunks and so on; then
-each chunk is solved once more, between the poses that are known by then. Nothing is joined: a link goes to the chunks of its ends.
+each chunk is solved once more, between the poses that are known by then. Nothing is joined: a link goes to the chunks of its ends. All of it is
+done twice, the second time from the poses found, which leaves errors of some units in the last place.
 """
 
 from __future__ import annotations
@@ -236,7 +237,8 @@ def _each_chunk(work: Callable[[pa.Table], dict[str, np.ndarray]], kind: pa.Sche
 
 
 class _Chunk:
-    """The poses of a chunk in order of their number, and what pulls at them. Poses of the first level have places, later ones sides."""
+    """The poses of a chunk in order of their number, and what pulls at them. Poses of the first level have places, later ones sides; links of the
+    first level have what was measured, later ones how they pull q, and p the other way."""
 
     def __init__(self, rows: pa.Table, first: bool):
         what, g, p, q, w, *values = _numpy(rows, "what", "g", "p", "q", "w", *DOF)
@@ -251,7 +253,7 @@ class _Chunk:
             return
         _, p, q, w, z = self.rows[INSIDE]
         self.p, self.q, self.w = self.at(p), self.at(q), w
-        pull = w[:, None] * (z - (self.x[self.q] - self.x[self.p]))
+        pull = w[:, None] * (z - (self.x[self.q] - self.x[self.p])) if first else z
         _, v, _, w, z = self.rows[TO_FIXED]
         v = self.at(v)
         self.ground = self.ground + np.bincount(v, w, n)
@@ -265,7 +267,7 @@ class _Chunk:
 
 
 def _reduce(first: bool):
-    """What a chunk leaves: rows of poses (p = q) with grounds and sides, and of links; both are to be summed."""
+    """What a chunk leaves: rows of poses (p = q) with grounds and sides, and of links with weights and pulls; both are to be summed."""
 
     def work(rows: pa.Table) -> dict[str, np.ndarray]:
         chunk = _Chunk(rows, first)
@@ -273,16 +275,16 @@ def _reduce(first: bool):
         if not len(chunk.missing):
             n = len(chunk.ids)
             kept = np.zeros(n, bool)
-            for what, mine, other in ((FROM_HERE, 1, 2), (TO_HERE, 2, 1)):
-                half = chunk.rows[what]
-                g, w, z, v = half[0], half[3], half[4], chunk.at(half[mine])
+            for what in (FROM_HERE, TO_HERE):
+                g, p, q, w, z = chunk.rows[what]
+                v, sign = chunk.at(p if what == FROM_HERE else q), 1.0 if what == FROM_HERE else -1.0
                 kept[v] = True
-                if first:  # of what the link pulls, the share that is known here: the place of this end, and once what was measured
-                    pull = w[:, None] * (chunk.x[v] + (z if what == FROM_HERE else 0.0))
-                    chunk.side = chunk.side - _spread(v, pull, n)
-                    out.append((g, half[other], half[other], np.zeros(len(g)), pull))
-                if what == FROM_HERE:
-                    out.append((g, np.minimum(half[1], half[2]), np.maximum(half[1], half[2]), w, np.zeros((len(g), 4))))
+                if first:  # the share of its pull that is known here goes with the link, for both ends have to feel the very same one
+                    pull = w[:, None] * (chunk.x[v] + (z if what == FROM_HERE else 0.0)) * (sign * np.where(p < q, 1.0, -1.0))[:, None]
+                else:
+                    chunk.side = chunk.side - sign * _spread(v, z, n)
+                    pull = np.zeros((len(g), 4))
+                out.append((g, np.minimum(p, q), np.maximum(p, q), w * (what == FROM_HERE), pull))
             p, q, w = merged(chunk.p, chunk.q, chunk.w, n)
             live, p, q, w, ground, _ = in_rounds(np.flatnonzero(~kept), p, q, w, chunk.ground, chunk.side)
             live, p, q, w, _ = one_by_one(live, p, q, w, ground, chunk.side, rows.num_rows)
@@ -362,8 +364,8 @@ def _schema(spark_kind: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(spark_kind))
 
 
-def _level(poses: DataFrame, links: DataFrame, n: int, m: int, first: bool, origins: dict[int, list[float]], **options) -> DataFrame:
-    """Rows ``SOLVED`` of all poses (g, p, q = p, w, values) with links (g, p, q, w, values), n and m of them."""
+def _level(poses: DataFrame, links: DataFrame, n: int, m: int, first: bool, origins: dict[int, list[float]], **options) -> tuple[DataFrame, bool]:
+    """Rows ``SOLVED`` of all poses (g, p, q = p, w, values) with links (g, p, q, w, values), n and m of them; and whether by elimination only."""
     place = _places(_cuts(poses, n, -(-(n + m) // ROWS)))
     own = poses.mapInArrow(_deal_poses(place, POSE), DEALT)
     together = lambda rows: rows.repartition("chunk").sortWithinPartitions("chunk")
@@ -374,32 +376,35 @@ def _level(poses: DataFrame, links: DataFrame, n: int, m: int, first: bool, orig
     if missing:
         raise ValueError("a factor names a pose that is not there")
     own = own.unionByName(links.mapInArrow(_deal_links(place, origins, False), DEALT))
-    loose = False
+    loose, direct = False, True
     if nodes:
         left = left.drop("missing")
         solve = _by_blocks if nodes > n / 2 else _level
-        known = materialise(solve(left.where("p = q"), left.where("p <> q"), nodes, edges, False, {}, **options), "chunk-known")
+        known, direct = solve(left.where("p = q"), left.where("p <> q"), nodes, edges, False, {}, **options)
+        known = materialise(known, "chunk-known")
         loose = first and not known.where("part <> g").isEmpty()
         known = known.select("g", F.col("v").alias("p"), F.col("part").alias("q"), F.lit(0.0).alias("w"), *DOF)
         own = own.unionByName(known.mapInArrow(_deal_poses(place, KNOWN), DEALT))
     kind = SOLVED + "".join(f", move_{c} double" for c in DOF if loose)
     done = together(own).mapInArrow(_each_chunk(_finish(first, loose), _schema(kind)), kind)
     if not loose:
-        return done
+        return done, direct
     done = materialise(done, "chunk-loose")
     means = done.where("part <> g").groupBy("part").agg(*(F.avg(f"move_{c}").alias(f"mean_{c}") for c in DOF))
     back = done.join(means.withColumnRenamed("part", "_part"), (F.col("part") == F.col("_part")) & (F.col("part") != F.col("g")), "left")
-    return back.select("g", "v", "part", *((F.col(c) - F.coalesce(f"mean_{c}", F.lit(0.0))).alias(c) for c in DOF))
+    return back.select("g", "v", "part", *((F.col(c) - F.coalesce(f"mean_{c}", F.lit(0.0))).alias(c) for c in DOF)), direct
 
 
-def _by_blocks(poses: DataFrame, links: DataFrame, n: int, m: int, first: bool, origins: dict[int, list[float]], **options) -> DataFrame:
+def _by_blocks(poses: DataFrame, links: DataFrame, n: int, m: int, first: bool, origins: dict[int, list[float]], **options) -> tuple[DataFrame, bool]:
     """``_level`` for what has many neighbours everywhere, by ``blocks.solve``."""
     flat = lambda c: F.array(*(c if i % 5 == 0 else F.lit(0.0) for i in range(16)))
-    pulls = links.select("g", "p", "w").unionByName(links.select("g", F.col("q").alias("p"), "w")).groupBy("g", "p").agg(F.sum("w").alias("pull"))
-    total = F.col("w") + F.coalesce("pull", F.lit(0.0))
-    nodes = poses.join(pulls, ["g", "p"], "left").select("g", F.col("p").alias("v"), flat(total).alias("d"), F.array(*DOF).alias("b"), (4 * total).alias("s"))
+    ends = links.select("g", "p", "w", *((-F.col(c)).alias(c) for c in DOF)).unionByName(links.select("g", F.col("q").alias("p"), "w", *DOF))
+    ends = ends.groupBy("g", "p").agg(F.sum("w").alias("total"), *(F.sum(c).alias(f"pull_{c}") for c in DOF))
+    plus = lambda c, more: F.col(c) + F.coalesce(more, F.lit(0.0))
+    side = F.array(*(plus(c, f"pull_{c}") for c in DOF))
+    nodes = poses.join(ends, ["g", "p"], "left").select("g", F.col("p").alias("v"), flat(plus("w", "total")).alias("d"), side.alias("b"), (4 * plus("w", "total")).alias("s"))
     x = blocks.solve(nodes, links.select("g", "p", "q", flat(-F.col("w")).alias("h")), 4, **options)
-    return x.select("g", "v", F.col("g").alias("part"), *(F.get("x", F.lit(i)).alias(c) for i, c in enumerate(DOF)))
+    return x.select("g", "v", F.col("g").alias("part"), *(F.get("x", F.lit(i)).alias(c) for i, c in enumerate(DOF))), False
 
 
 def solve(poses: DataFrame, factors: DataFrame, n: int, m: int, **options) -> DataFrame:
@@ -413,5 +418,8 @@ def solve(poses: DataFrame, factors: DataFrame, n: int, m: int, **options) -> Da
     rows = poses.select(number("g").alias("g"), number("id").alias("p"), number("id").alias("q"), F.lit(0.0).alias("w"), *values)
     links = factors.select(number("g").alias("g"), number("a").alias("p"), number("b").alias("q"), F.col("weight").cast("double").alias("w"), *values)
     origins = {r.g: [r[c] for c in DOF] for r in rows.where("g = p").collect()}  # one of each large graph
-    done = _level(rows, links, n, m, True, origins, **options)
+    done, direct = _level(rows, links, n, m, True, origins, **options)
+    if direct:  # once more from there: sums of large pulls have left some millions of rounding errors, which add up along a path
+        rows = materialise(done.select("g", F.col("v").alias("p"), F.col("v").alias("q"), F.lit(0.0).alias("w"), *DOF), "chunk-poses")
+        done, _ = _level(rows, links, n, m, True, origins, **options)
     return done.select(F.col("v").cast(poses.schema["id"].dataType).alias("id"), *DOF)

@@ -311,14 +311,15 @@ def fit05_long(spark, d):
     """All rows as one path in order of time, with a loop over every hundredth pose that agrees with the steps between: the fit is their sum."""
     from pointloom.operators import fit
 
-    path = scans.running(bridge.trajectory(spark, d).select("t", "seq", "gx", *fit.DOF), [F.col("t"), F.col("seq")], {"up_to": F.col("gx")}, "path-in-order")
+    step = F.col("gx").cast("decimal(8,3)")  # fortieths, so that sums are exact
+    path = scans.running(bridge.trajectory(spark, d).select("t", "seq", "gx", *fit.DOF), [F.col("t"), F.col("seq")], {"up_to": step}, "path-in-order")
     path = durable.materialise(path.withColumnRenamed("position", "id"), "path")
-    off = F.col("up_to") - F.col("gx")
+    off = (F.col("up_to") - step).cast("double")
     ends = path.select(F.col("id").alias("to"), *(F.col(c).alias(f"to_{c}") for c in fit.DOF), off.alias("to_off"))
 
     def factors(rows, ahead, weight):
         both = rows.join(ends, F.col("id") + ahead == F.col("to"))
-        return both.select(F.col("id").alias("a"), F.col("to").alias("b"), *((F.col(f"to_{c}") - F.col(c) + F.col("to_off") - off).alias(c) for c in fit.DOF), F.lit(weight).alias("weight"))
+        return both.select(F.col("id").alias("a"), F.col("to").alias("b"), *((F.col(f"to_{c}") - F.col(c) + (F.col("to_off") - off)).alias(c) for c in fit.DOF), F.lit(weight).alias("weight"))
 
     links = durable.materialise(factors(path, 1, 1.0).unionByName(factors(path.where("id % 100 = 0"), 1000, 5.0)), "path-links")
     poses = fit.optimise(path.select("id", *fit.DOF), links, small=2000, tolerance=1e-13)
